@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -27,6 +28,22 @@ def bucket_start(time_us: Column | str, width_us: int) -> Column:
     return t - F.pmod(t, F.lit(int(width_us)).cast("bigint"))
 
 
+def position(order) -> Column:
+    """Order columns as one value that can be compared.
+
+    One column is used as it is.  A (time, id) pair of non-negative integers becomes a
+    decimal: unlike a struct, min/max/max_by over it runs as a hash aggregate, so map tasks
+    need not sort their rows first.
+    """
+    first = col(order[0])
+    if len(order) == 1:
+        return first
+    if len(order) == 2:
+        shifted = first.cast("decimal(18,0)") * F.lit(Decimal(10**19))
+        return (shifted + col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def nul_cut(text: Column | str) -> Column:
     """Text up to the first NUL."""
     return F.substring_index(col(text), F.char(F.lit(0)), 1)

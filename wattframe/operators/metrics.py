@@ -54,9 +54,15 @@ def labelled(est: DataFrame) -> DataFrame:
     )
 
 
-def gauge_latest(est: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
-    """Gauges show the current interval only; for equal labels the last estimate counts."""
-    now = est.agg(F.max("interval")).scalar()
+def gauge_latest(
+    est: DataFrame, labels: Sequence[str] = LABELS, now: Column | None = None
+) -> DataFrame:
+    """Gauges show the current interval only; for equal labels the last estimate counts.
+
+    ``now`` is the current interval if it is known from something cheaper than the
+    estimates; a condition on the interval reaches below their aggregation.
+    """
+    now = est.agg(F.max("interval")).scalar() if now is None else now
     current = labelled(est).where(F.col("interval") == now)
     return current.groupBy("interval", *labels).agg(
         *[F.max_by(g, F.struct("timestamp_ns", "energy_nj")).alias(g) for g in GAUGES],
@@ -69,7 +75,7 @@ def gauge_latest(est: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
 def counters(
     est: DataFrame, labels: Sequence[str] = LABELS, bucket_us: int = 24 * HOUR
 ) -> DataFrame:
-    """Cumulative energy and carbon per label set at each interval."""
+    """Cumulative energy and carbon per label set at each interval (``est`` is read twice)."""
     per_interval = (
         labelled(est)
         .groupBy("interval", *labels)

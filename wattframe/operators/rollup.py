@@ -22,6 +22,13 @@ COUNTERS = (
     "gpu_active_ns",
 )
 
+_SEGMENT_SUMS = (
+    "total_cpu_time_ns",
+    "ctx_switches",
+    "voluntary_ctx_switches",
+    "involuntary_ctx_switches",
+)
+
 
 def _order() -> Column:
     return F.struct(*ORDER)
@@ -31,15 +38,11 @@ def _count(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 
 
-def merge_aggregates(order: Column | None = None) -> list[Column]:
-    """Sums, last non-empty command name and latest time of a set of partial vectors."""
-    order = _order() if order is None else order
-    named = F.when(F.col("comm") != "", order)
-    return [
-        *[F.sum(c).alias(c) for c in COUNTERS],
-        F.coalesce(F.max_by("comm", named), F.lit("")).alias("comm"),
-        (F.max("ts_us") * 1000).alias("timestamp_ns"),
-    ]
+def _groups(window: str | None, keys: Sequence[str], time: str) -> list[Column]:
+    groups = [F.col(k) for k in keys]
+    if window is not None:
+        groups.insert(0, F.window(time, window)["start"].alias("interval"))
+    return groups
 
 
 def pid_merge(
@@ -48,27 +51,67 @@ def pid_merge(
     keys: Sequence[str] = PROCESS,
     time: str = "ts",
 ) -> DataFrame:
-    """Partial vectors merged per process and tumbling window, as one map-side-combined
-    aggregate: a hot process reaches the shuffle as one row per map task and window."""
-    groups = [F.col(k) for k in keys]
-    if window is not None:
-        groups.insert(0, F.window(time, window).alias("interval"))
-    merged = vectors.groupBy(*groups).agg(*merge_aggregates())
-    if window is not None:
-        merged = merged.withColumn("interval", F.col("interval.start"))
-    return merged
+    """Partial vectors merged per process and tumbling window: sums, the last non-empty
+    command name, the latest time.
+
+    Two aggregates: the first also groups by name, so all it keeps are numbers and it runs
+    as a hash aggregate that reduces a hot process to a few rows per map task and window;
+    picking the last name is left to the second, which only sees those.
+    """
+    groups = ["interval", *keys] if window is not None else list(keys)
+    named = vectors.groupBy(*_groups(window, keys, time), "comm").agg(
+        *[F.sum(c).alias(c) for c in COUNTERS],
+        F.max("ts_us").alias("_last_us"),
+        F.max(S.position(ORDER)).alias("_last"),
+    )
+    return named.groupBy(*groups).agg(
+        *[F.sum(c).alias(c) for c in COUNTERS],
+        _last_name(F.col("_last")),
+        (F.max("_last_us") * 1000).alias("timestamp_ns"),
+    )
+
+
+def pid_merge_single(
+    vectors: DataFrame,
+    window: str = "1 second",
+    keys: Sequence[str] = PROCESS,
+    time: str = "ts",
+) -> DataFrame:
+    """:func:`pid_merge` as one aggregate, for streams: one state store, any output mode."""
+    return vectors.groupBy(F.window(time, window).alias("interval"), *keys).agg(
+        *[F.sum(c).alias(c) for c in COUNTERS],
+        _last_name(S.position(ORDER)),
+        (F.max("ts_us") * 1000).alias("timestamp_ns"),
+    ).withColumn("interval", F.col("interval.start"))
+
+
+def _last_name(place: Column) -> Column:
+    named = F.when(F.col("comm") != "", place)
+    return F.coalesce(F.max_by("comm", named), F.lit("")).alias("comm")
+
+
+def _first_name() -> Column:
+    return F.min_by("comm", F.col("_first")).alias("comm")
 
 
 def cpu_stats(switches: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
     """Kernel-side CPU statistics from context-switch rows (no exec reset)."""
-    return switches.groupBy(*keys).agg(
+    place = S.position(ORDER)
+    named = switches.groupBy(*keys, "comm").agg(
         F.sum("delta_ns").alias("total_cpu_time_ns"),
         _count(F.lit(True)).alias("ctx_switches"),
         _count(~S.is_involuntary("prev_state")).alias("voluntary_ctx_switches"),
         _count(S.is_involuntary("prev_state")).alias("involuntary_ctx_switches"),
-        F.max_by("cpu_id", _order()).alias("last_cpu_id"),
-        (F.max("ts_us") * 1000).alias("last_seen_ns"),
-        F.min_by("comm", _order()).alias("comm"),
+        F.max_by("cpu_id", place).alias("last_cpu_id"),
+        F.max("ts_us").alias("_last_us"),
+        F.max(place).alias("_last"),
+        F.min(place).alias("_first"),
+    )
+    return named.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in _SEGMENT_SUMS],
+        F.max_by("last_cpu_id", "_last").alias("last_cpu_id"),
+        (F.max("_last_us") * 1000).alias("last_seen_ns"),
+        _first_name(),
     )
 
 
@@ -79,41 +122,43 @@ def mem_stats(faults: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
     time only when it is what created the process's entry.
     """
     fault = F.col("is_major") | F.col("is_minor")
-    last_fault = F.coalesce(
-        F.max(F.when(fault, F.col("ts_us"))), F.min(F.when(F.col("is_reclaim"), F.col("ts_us")))
-    )
-    return faults.groupBy(*keys).agg(
+    named = faults.groupBy(*keys, "comm").agg(
         _count(F.col("is_major")).alias("major_faults"),
         _count(F.col("is_minor")).alias("minor_faults"),
         _count(fault).alias("total_faults"),
         _count(F.col("is_reclaim")).alias("direct_reclaim_count"),
-        (last_fault * 1000).alias("last_fault_ns"),
-        _count(F.col("is_minor")).alias("estimated_rss_pages"),
-        F.min_by("comm", _order()).alias("comm"),
+        F.max(F.when(fault, F.col("ts_us"))).alias("_last_fault_us"),
+        F.min(F.when(F.col("is_reclaim"), F.col("ts_us"))).alias("_first_reclaim_us"),
+        F.min(S.position(ORDER)).alias("_first"),
+    )
+    sums = ("major_faults", "minor_faults", "total_faults", "direct_reclaim_count")
+    last_us = F.coalesce(F.max("_last_fault_us"), F.min("_first_reclaim_us"))
+    return named.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        (last_us * 1000).alias("last_fault_ns"),
+        F.sum("minor_faults").alias("estimated_rss_pages"),
+        _first_name(),
     )
 
 
 def gpu_stats(submits: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
     """Kernel-side GPU statistics.  Completions are never recorded, so no job ever ends."""
     zero = F.lit(0).cast("bigint")
-    return submits.groupBy(*keys).agg(
+    named = submits.groupBy(*keys, "comm").agg(
         _count(F.lit(True)).alias("total_jobs_submitted"),
+        F.max("ts_us").alias("_last_us"),
+        F.min(S.position(ORDER)).alias("_first"),
+    )
+    return named.groupBy(*keys).agg(
+        F.sum("total_jobs_submitted").alias("total_jobs_submitted"),
         zero.alias("total_gpu_active_ns"),
-        (F.max("ts_us") * 1000).alias("last_submit_ns"),
+        (F.max("_last_us") * 1000).alias("last_submit_ns"),
         zero.alias("last_complete_ns"),
-        _count(F.lit(True)).alias("active_jobs"),
-        F.min_by("comm", _order()).alias("comm"),
+        F.sum("total_jobs_submitted").alias("active_jobs"),
+        _first_name(),
     )
 
 
-_SEGMENT_SUMS = (
-    "total_cpu_time_ns",
-    "ctx_switches",
-    "voluntary_ctx_switches",
-    "involuntary_ctx_switches",
-)
-
-
 def exec_segments(
     cpu_events: DataFrame,
     keys: Sequence[str] = PROCESS,

@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.functions.scalar import MICROS, bucket_start
+from wattframe.functions.scalar import MICROS, bucket_start, position
 
 DEFAULT_BUCKET = 60 * MICROS
 
@@ -35,18 +35,28 @@ def with_previous(
     """Adds ``{new name: source column}`` taken from the key's previous row (NULL if none)."""
     part = [*keys, "_bucket"]
     staged = df.withColumn("_bucket", bucket_start(time, bucket_us))
-    state = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    inside = staged.withColumn(
-        "_inside", F.lag(state).over(Window.partitionBy(*part).orderBy(*order))
+    in_bucket = Window.partitionBy(*part).orderBy(*order)
+    inside = staged.withColumns(
+        {
+            "_nth": F.row_number().over(in_bucket),
+            **{f"_inside_{n}": F.lag(source).over(in_bucket) for n, source in values.items()},
+        }
+    )
+    place = position(order)
+    ends = staged.groupBy(*part).agg(
+        *[F.max_by(source, place).alias(f"_end_{n}") for n, source in values.items()]
     )
-    ends = staged.groupBy(*part).agg(F.max_by(state, F.struct(*order)).alias("_end"))
+    per_key = Window.partitionBy(*keys).orderBy("_bucket")
     carried = ends.select(
-        *part,
-        F.lag("_end").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"),
+        *part, *[F.lag(f"_end_{n}").over(per_key).alias(f"_carried_{n}") for n in values]
     )
-    previous = F.coalesce("_inside", "_carried")
+    opens = F.col("_nth") == 1
     return inside.join(carried, part, "left").select(
-        *df.columns, *[previous[name].alias(name) for name in values]
+        *df.columns,
+        *[
+            F.when(opens, F.col(f"_carried_{n}")).otherwise(F.col(f"_inside_{n}")).alias(n)
+            for n in values
+        ],
     )
 
 
@@ -82,12 +92,12 @@ def running(
         }
     )
 
-    position = F.struct(*order)
+    place = position(order)
     ends = staged.groupBy(*part).agg(
         *[F.sum(f"_in_{n}").alias(f"_end_{n}") for n in sums],
         *[F.max(f"_in_{n}").alias(f"_end_{n}") for n in maxes],
         *[
-            F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), position)).alias(
+            F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), place)).alias(
                 f"_end_{n}"
             )
             for n in lasts
@@ -118,6 +128,58 @@ def running(
     )
 
 
+def running_since(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    reset: Column,
+    name: str,
+    time: str = "ts_us",
+    bucket_us: int = DEFAULT_BUCKET,
+) -> DataFrame:
+    """Running sum per key that starts again at each reset row (the row itself included).
+
+    The carried state depends on the order inside a bucket, so here it is taken from the
+    windowed rows.  Keep ``df`` narrow: with the same columns on both sides Spark shuffles
+    the rows once and reuses the exchange.
+    """
+    part = [*keys, "_bucket"]
+    so_far = (
+        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    )
+    staged = df.withColumns(
+        {"_bucket": bucket_start(time, bucket_us), "_value": value, "_reset": reset}
+    )
+    summed = staged.withColumn("_sum", F.sum("_value").over(so_far))
+    before_reset = F.when(F.col("_reset"), F.col("_sum") - F.col("_value"))
+    inside = summed.withColumn(
+        "_base", F.last(before_reset, ignorenulls=True).over(so_far)
+    ).withColumn("_since", F.col("_sum") - F.coalesce("_base", F.lit(0)))
+
+    place = position(order)
+    ends = inside.groupBy(*part).agg(
+        F.max_by("_since", place).alias("_end"), F.max("_reset").alias("_had_reset")
+    )
+    up_to = (
+        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    total = ends.withColumn("_total", F.sum("_end").over(up_to))
+    base = F.last(
+        F.when(F.col("_had_reset"), F.col("_total") - F.col("_end")), ignorenulls=True
+    ).over(up_to)
+    carried = total.withColumn("_state", F.col("_total") - F.coalesce(base, F.lit(0))).select(
+        *part, F.lag("_state").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_from")
+    )
+    started = F.col("_base").isNotNull()
+    return inside.join(carried, part, "left").select(
+        *df.columns,
+        (
+            F.col("_since") + F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
+        ).alias(name),
+    )
+
+
 def sliding_sum(
     df: DataFrame,
     keys: Sequence[str],

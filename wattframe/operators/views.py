@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
@@ -62,17 +62,29 @@ def reduce_series(series: DataFrame, value: str, keys: Sequence[str], time: str
 
 
 def ai_split(est: DataFrame) -> DataFrame:
-    """Energy of AI and of general processes.
+    """Energy of AI and of general processes, from estimates that carry the flag."""
+    return est.groupBy(F.col("is_ai_inference").alias("is_ai_workload")).agg(
+        S.joules(total_nj("energy_nj")).alias("energy_joules"),
+        F.count(F.lit(1)).alias("estimates"),
+    )
+
 
-    Energy is reduced to one row per process name before it meets the flag series, so both
-    sides of the join are one row per key and share its partitioning.
+def ai_split_series(
+    energy: DataFrame, flags: DataFrame, on: Sequence[str] = ("interval", *PROCESS_NAME)
+) -> DataFrame:
+    """The same from two sample series, energy and flag, matched on the process.
+
+    Many energy series may meet one flag.  Energy is summed per process name first, so both
+    sides have one row per key when they meet, and neither can be skewed.
     """
-    energy = est.groupBy(*PROCESS_NAME).agg(total_nj("energy_nj").alias("_nj"))
-    flags = est.groupBy(*PROCESS_NAME).agg(F.max("is_ai_inference").alias("is_ai_workload"))
+    nj = energy.groupBy(*on).agg(
+        F.sum(S.to_nanojoules("value").cast("decimal(20,0)")).alias("_nj")
+    )
+    flag = flags.groupBy(*on).agg(F.max("value").alias("_flag"))
     return (
-        energy.join(flags, list(PROCESS_NAME))
-        .groupBy("is_ai_workload")
-        .agg(S.joules(F.sum("_nj")).alias("energy_joules"), F.count(F.lit(1)).alias("processes"))
+        nj.join(flag, list(on))
+        .groupBy((F.col("_flag") == 1.0).alias("is_ai_workload"))
+        .agg(S.joules(F.sum("_nj")).alias("energy_joules"))
     )
 
 
@@ -88,9 +100,9 @@ def topk(est: DataFrame, k: int = 10, interval: Sequence[str] = ("interval",)) -
     )
 
 
-def top_processes(est: DataFrame, n: int = 5) -> DataFrame:
+def top_processes(est: DataFrame, n: int = 5, now: Column | None = None) -> DataFrame:
     """Process table of the latest interval, as displayed."""
-    now = est.agg(F.max("interval")).scalar()
+    now = est.agg(F.max("interval")).scalar() if now is None else now
     current = est.where(F.col("interval") == now)
     return (
         current.orderBy(F.desc("energy_nj"), "host_id", "pid")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattframe.functions import fixed
 from wattframe.operators import containers, energy, events, rollup
 from wattframe.operators.model import LinearEnergyModel
-from wattframe.functions import fixed
+from wattframe.operators.timeline import running_since
 from wattframe.plans import fixture
+from wattframe.session import stored
+from wattframe.sources import tables
 
 INTERVAL = "1 hour"
 
@@ -68,18 +71,28 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def latest_interval(spark: SparkSession, sf_dir: str) -> Column:
+    """Start of the last interval, from the events' times alone."""
+    start = F.window("ts", INTERVAL)["start"]
+    return tables.read_events(spark, sf_dir).agg(F.max(start)).scalar()
+
+
+def stored_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates as a table, for queries that need them more than once."""
+    return stored(estimates(spark, sf_dir), "estimates")
+
+
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CPU time counter of each process at each CPU event; exec sets it back to 0."""
-    from wattframe.operators.timeline import running
-
     cpu = fixture.tele(spark, sf_dir, "cpu").select(
-        "event_id", "ts", "ts_us", "host_id", "pid", "event_kind", "delta_ns"
+        "event_id", "ts_us", "host_id", "pid", "event_kind", "delta_ns"
     )
-    order = ["ts_us", "event_id"]
-    total = running(cpu, rollup.PROCESS, order, sums={"total_ns": F.col("delta_ns")})
-    at_exec = F.when(F.col("event_kind") == "exec", F.col("total_ns"))
-    based = running(total, rollup.PROCESS, order, maxes={"base_ns": at_exec})
-    return based.select(
-        "event_id", "ts", "ts_us", "host_id", "pid",
-        (F.col("total_ns") - F.coalesce("base_ns", F.lit(0))).alias("counter_ns"),
+    counted = running_since(
+        cpu,
+        rollup.PROCESS,
+        rollup.ORDER,
+        value=F.col("delta_ns"),
+        reset=F.col("event_kind") == "exec",
+        name="counter_ns",
     )
+    return counted.select("event_id", "ts_us", "host_id", "pid", "counter_ns")

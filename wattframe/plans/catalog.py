@@ -12,7 +12,7 @@ from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, model, rollup, views
 from wattframe.plans import attribution as A
 from wattframe.plans import fixture
-from wattframe.session import configure, shared_dir
+from wattframe.session import configure, shared_dir, stored
 from wattframe.sources import calibration, records, samples, tables, telemetry
 from wattframe.streaming import jobs, sinks
 
@@ -243,7 +243,7 @@ def topk_energy(spark, sf_dir):
 
 @query
 def top5_processes(spark, sf_dir):
-    return views.top_processes(A.estimates(spark, sf_dir))
+    return views.top_processes(A.estimates(spark, sf_dir), now=A.latest_interval(spark, sf_dir))
 
 
 @query
@@ -262,28 +262,42 @@ def lookback_15m(spark, sf_dir):
 
 @query
 def metric_samples(spark, sf_dir):
-    return metrics.samples(A.estimates(spark, sf_dir))
+    return metrics.samples(A.stored_estimates(spark, sf_dir))
+
+
+def _sample_table(spark, sf_dir):
+    path = shared_dir(spark, "samples")
+    samples.write_samples(A.stored_estimates(spark, sf_dir), path)
+    return samples.read_samples(spark, path)
 
 
 @query
 def metric_sample_table(spark, sf_dir):
     """Samples written to the partitioned table, one metric read back from its own files."""
-    path = shared_dir(spark, "samples")
-    samples.write_samples(A.estimates(spark, sf_dir), path)
-    energy_series = samples.read_samples(spark, path).where(F.col("metric") == "energy_joules")
+    energy_series = _sample_table(spark, sf_dir).where(F.col("metric") == "energy_joules")
     return energy_series.groupBy("interval").agg(
         F.count(F.lit(1)).alias("series"), F.max("value").alias("largest")
     )
 
 
+@query
+def ai_vs_general_series(spark, sf_dir):
+    """The AI split from the exported energy and flag series."""
+    table = _sample_table(spark, sf_dir)
+    return views.ai_split_series(
+        table.where(F.col("metric") == "energy_joules"),
+        table.where(F.col("metric") == metrics.AI_GAUGE),
+    )
+
+
 @query
 def gauge_latest(spark, sf_dir):
-    return metrics.gauge_latest(A.estimates(spark, sf_dir))
+    return metrics.gauge_latest(A.estimates(spark, sf_dir), now=A.latest_interval(spark, sf_dir))
 
 
 @query
 def counter_cumulative(spark, sf_dir):
-    return metrics.counters(A.estimates(spark, sf_dir))
+    return metrics.counters(A.stored_estimates(spark, sf_dir))
 
 
 @query
@@ -311,10 +325,10 @@ def faults_per_min(spark, sf_dir):
 
 
 def _rate(spark, sf_dir, window_us):
-    rate = metrics.counter_rate(
-        A.counter_samples(spark, sf_dir), "counter_ns", rollup.PROCESS, ["ts_us", "event_id"], window_us
-    )
-    return rate.drop("ts_us")
+    exported = stored(A.counter_samples(spark, sf_dir), "counter")
+    rate = metrics.counter_rate(exported, "counter_ns", rollup.PROCESS, rollup.ORDER, window_us)
+    ts = F.timestamp_micros("ts_us").cast("timestamp_ntz")
+    return rate.withColumn("ts", ts).drop("ts_us")
 
 
 @query
@@ -345,14 +359,14 @@ def confidence_median(spark, sf_dir):
 
 @query
 def telemetry_json(spark, sf_dir):
-    return telemetry.frames(A.estimates(spark, sf_dir))
+    return telemetry.frames(A.stored_estimates(spark, sf_dir))
 
 
 @query
 def telemetry_parse(spark, sf_dir):
     """Frames written as JSON lines between greetings and cut-off frames, and read back."""
     path = shared_dir(spark, "feed")
-    docs = telemetry.frames(A.estimates(spark, sf_dir)).select("value")
+    docs = telemetry.frames(A.stored_estimates(spark, sf_dir)).select("value")
     greeting = F.to_json(
         F.struct(F.lit("connected").alias("type"), F.length("value").alias("message"))
     )

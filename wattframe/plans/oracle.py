@@ -351,7 +351,11 @@ SELECT "interval", container_name, CAST(sum(energy_nj) AS DOUBLE) / 1e9 AS energ
 SELECT "interval", comm, CAST(sum(gpu_nj) AS DOUBLE) / 1e9 AS gpu_energy_joules FROM nj GROUP BY 1, 2"""),
     "ai_vs_general": sql("""
 SELECT is_ai_inference AS is_ai_workload, CAST(sum(energy_nj) AS DOUBLE) / 1e9 AS energy_joules,
-  count(DISTINCT (host_id, pid, comm)) AS processes FROM heur GROUP BY 1"""),
+  count(*) AS estimates FROM heur GROUP BY 1"""),
+    "ai_vs_general_series": sql("""
+SELECT f.is_ai_inference AS is_ai_workload, CAST(sum(e.energy_nj) AS DOUBLE) / 1e9 AS energy_joules
+FROM heur e JOIN (SELECT DISTINCT "interval", host_id, pid, comm, is_ai_inference FROM heur) f
+  USING ("interval", host_id, pid, comm) GROUP BY 1"""),
     "series_reducers": sql("""
 SELECT component, round(avg(v), 6) AS mean_value, max(v) AS max_value, arg_max(v, "interval") AS last_value
 FROM (SELECT "interval", 'cpu' AS component, CAST(sum(cpu_nj) AS DOUBLE) / 1e9 AS v FROM nj GROUP BY 1

@@ -37,7 +37,7 @@ def pid_merge(
     vectors: DataFrame, window: str = "1 second", keys: Sequence[str] = rollup.PROCESS
 ) -> DataFrame:
     """The batch merge on a stream.  Map tasks combine before the shuffle here as well."""
-    merged = rollup.pid_merge(vectors, window=window, keys=keys, time=EVENT_TIME)
+    merged = rollup.pid_merge_single(vectors, window=window, keys=keys, time=EVENT_TIME)
     return merged.withColumn("interval", F.col("interval").cast("timestamp_ntz"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.operators.timeline import DEFAULT_BUCKET, running
+from wattframe.functions.scalar import bucket_start
+from wattframe.operators.timeline import DEFAULT_BUCKET
 
 SALTS = 8
 
@@ -48,10 +49,11 @@ def asof_lookup(
 ) -> DataFrame:
     """Attaches the values of the latest history row at or before each fact row.
 
-    One pass over facts and history together (no inequality join, no pairs): both become
-    one timeline per key, and the last non-null value is carried along it.
-    ``tie`` makes facts with equal times distinct; history comes before facts at a tie.
+    Facts and history become one timeline per key, cut into time buckets, along which the
+    last value is carried: no inequality join, no pairs, and a hot key is spread over its
+    buckets.  ``tie`` makes facts with equal times distinct; history comes before facts at a tie.
     """
+    part = ["_key", "_bucket"]
     state = F.struct(*[v.alias(n) for n, v in values.items()])
     facts = fact.select(
         F.struct(*fact.columns).alias("_row"),
@@ -59,22 +61,39 @@ def asof_lookup(
         F.col(time).alias("_time"),
         F.lit(1).alias("_rank"),
         F.struct(*tie).alias("_tie"),
-    )
+    ).withColumn("_bucket", bucket_start("_time", bucket_us))
     marks = history.select(
         history_key.alias("_key"),
         F.col(history_time).alias("_time"),
         F.lit(0).alias("_rank"),
         state.alias("_state"),
+    ).withColumn("_bucket", bucket_start("_time", bucket_us))
+
+    in_bucket = (
+        Window.partitionBy(*part)
+        .orderBy("_time", "_rank", "_tie")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    inside = facts.unionByName(marks, allowMissingColumns=True).withColumn(
+        "_found", F.last("_state", ignorenulls=True).over(in_bucket)
+    )
+
+    # state at the start of each bucket that has facts: one row per key and bucket
+    wanted = facts.select(*part).distinct()
+    ends = marks.groupBy(*part).agg(F.max_by("_state", "_time").alias("_end"))
+    earlier = (
+        Window.partitionBy("_key").orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
     )
-    timeline = facts.unionByName(marks, allowMissingColumns=True)
-    filled = running(
-        timeline,
-        keys=["_key"],
-        order=["_time", "_rank", "_tie"],
-        lasts={"_found": F.col("_state")},
-        time="_time",
-        bucket_us=bucket_us,
+    carried = (
+        wanted.withColumn("_wanted", F.lit(True))
+        .unionByName(ends, allowMissingColumns=True)
+        .withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier))
+        .where("_wanted")
+        .select(*part, "_carried")
     )
-    return filled.where(F.col("_rank") == 1).select(
-        "_row.*", *[F.col(f"_found.{n}").alias(n) for n in values]
+    found = F.coalesce("_found", "_carried")
+    return (
+        inside.where(F.col("_rank") == 1)
+        .join(carried, part, "left")
+        .select("_row.*", *[found[n].alias(n) for n in values])
     )

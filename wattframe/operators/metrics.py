@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import running, sliding_sum, with_previous
+from wattframe.operators.timeline import running_sum, sliding_sum, with_previous
 
 MINUTE = 60 * S.MICROS
 HOUR = 60 * MINUTE
@@ -82,7 +82,7 @@ def counters(
         .agg(total_nj("energy_nj").alias("_nj"), F.sum(milli_carbon()).alias("_mc"))
         .withColumn("_at", S.micros("interval"))
     )
-    cumulative = running(
+    cumulative = running_sum(
         per_interval,
         keys=labels,
         order=["_at"],

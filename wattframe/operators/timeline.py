@@ -60,71 +60,35 @@ def with_previous(
     )
 
 
-def running(
+def running_sum(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    sums: Mapping[str, Column] | None = None,
-    maxes: Mapping[str, Column] | None = None,
-    lasts: Mapping[str, Column] | None = None,
+    sums: Mapping[str, Column],
     time: str = "ts_us",
     bucket_us: int = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """Running sum / max / last-non-null per key, including the current row.
-
-    ``order`` has to be unique within a key; sums of nothing are 0.
-    """
-    sums, maxes, lasts = dict(sums or {}), dict(maxes or {}), dict(lasts or {})
+    """Running sums per key, including the current row.  ``order`` is unique within a key."""
     part = [*keys, "_bucket"]
-    inputs = {**sums, **maxes, **lasts}
     staged = df.withColumn("_bucket", bucket_start(time, bucket_us)).withColumns(
-        {f"_in_{name}": value for name, value in inputs.items()}
+        {f"_in_{name}": value for name, value in sums.items()}
     )
-
     so_far = (
         Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = staged.withColumns(
-        {
-            **{f"_at_{n}": F.sum(f"_in_{n}").over(so_far) for n in sums},
-            **{f"_at_{n}": F.max(f"_in_{n}").over(so_far) for n in maxes},
-            **{f"_at_{n}": F.last(f"_in_{n}", ignorenulls=True).over(so_far) for n in lasts},
-        }
-    )
-
-    place = position(order)
-    ends = staged.groupBy(*part).agg(
-        *[F.sum(f"_in_{n}").alias(f"_end_{n}") for n in sums],
-        *[F.max(f"_in_{n}").alias(f"_end_{n}") for n in maxes],
-        *[
-            F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), place)).alias(
-                f"_end_{n}"
-            )
-            for n in lasts
-        ],
-    )
+    inside = staged.withColumns({f"_at_{n}": F.sum(f"_in_{n}").over(so_far) for n in sums})
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = ends.select(
-        *part,
-        *[F.sum(f"_end_{n}").over(before).alias(f"_from_{n}") for n in sums],
-        *[F.max(f"_end_{n}").over(before).alias(f"_from_{n}") for n in maxes],
-        *[
-            F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_from_{n}")
-            for n in lasts
-        ],
+    carried = (
+        staged.groupBy(*part)
+        .agg(*[F.sum(f"_in_{n}").alias(f"_end_{n}") for n in sums])
+        .select(*part, *[F.sum(f"_end_{n}").over(before).alias(f"_from_{n}") for n in sums])
     )
-
     zero = F.lit(0)
     return inside.join(carried, part, "left").select(
         *df.columns,
-        *[
-            (F.coalesce(f"_at_{n}", zero) + F.coalesce(f"_from_{n}", zero)).alias(n)
-            for n in sums
-        ],
-        *[F.greatest(f"_at_{n}", f"_from_{n}").alias(n) for n in maxes],
-        *[F.coalesce(f"_at_{n}", f"_from_{n}").alias(n) for n in lasts],
+        *[(F.col(f"_at_{n}") + F.coalesce(f"_from_{n}", zero)).alias(n) for n in sums],
     )
 
 

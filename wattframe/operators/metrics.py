@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import running_sum, sliding_sum, with_previous
+from wattframe.operators.timeline import running_totals, sliding_sum, with_previous
 
 MINUTE = 60 * S.MICROS
 HOUR = 60 * MINUTE
@@ -76,17 +76,14 @@ def counters(
     est: DataFrame, labels: Sequence[str] = LABELS, bucket_us: int = 24 * HOUR
 ) -> DataFrame:
     """Cumulative energy and carbon per label set at each interval (``est`` is read twice)."""
-    per_interval = (
-        labelled(est)
-        .groupBy("interval", *labels)
-        .agg(total_nj("energy_nj").alias("_nj"), F.sum(milli_carbon()).alias("_mc"))
-        .withColumn("_at", S.micros("interval"))
-    )
-    cumulative = running_sum(
-        per_interval,
+    cumulative = running_totals(
+        labelled(est).withColumn("_at", S.micros("interval")),
         keys=labels,
-        order=["_at"],
-        sums={"_nj_total": F.col("_nj"), "_mc_total": F.col("_mc")},
+        at="interval",
+        sums={
+            "_nj_total": F.col("energy_nj").cast("decimal(20,0)"),
+            "_mc_total": milli_carbon(),
+        },
         time="_at",
         bucket_us=bucket_us,
     )

@@ -60,23 +60,32 @@ def with_previous(
     )
 
 
-def running_sum(
+def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[str],
+    at: str,
     sums: Mapping[str, Column],
-    time: str = "ts_us",
+    time: str,
     bucket_us: int = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """Running sums per key, including the current row.  ``order`` is unique within a key."""
+    """Running sums per key at each distinct ``at``; ``time`` is ``at`` in microseconds.
+
+    The rows are shuffled once, by (key, bucket): adding up equal times and the running sum
+    both work on that partitioning.
+    """
     part = [*keys, "_bucket"]
-    staged = df.withColumn("_bucket", bucket_start(time, bucket_us)).withColumns(
-        {f"_in_{name}": value for name, value in sums.items()}
+    staged = df.withColumn("_bucket", bucket_start(time, bucket_us)).select(
+        *part, at, *[value.alias(f"_in_{n}") for n, value in sums.items()]
     )
-    so_far = (
-        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    points = (
+        staged.repartition(*part)
+        .groupBy(*part, at)
+        .agg(*[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums])
+    )
+    so_far = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    inside = points.select(
+        *part, at, *[F.sum(f"_in_{n}").over(so_far).alias(f"_at_{n}") for n in sums]
     )
-    inside = staged.withColumns({f"_at_{n}": F.sum(f"_in_{n}").over(so_far) for n in sums})
     before = (
         Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -87,7 +96,7 @@ def running_sum(
     )
     zero = F.lit(0)
     return inside.join(carried, part, "left").select(
-        *df.columns,
+        *keys, at,
         *[(F.col(f"_at_{n}") + F.coalesce(f"_from_{n}", zero)).alias(n) for n in sums],
     )
 

@@ -46,7 +46,7 @@ def position(order) -> Column:
 
 def nul_cut(text: Column | str) -> Column:
     """Text up to the first NUL."""
-    return F.substring_index(col(text), F.char(F.lit(0)), 1)
+    return F.substring_index(col(text), "\0", 1)
 
 
 def pid_of(packed: Column | str) -> Column:

@@ -167,11 +167,9 @@ def single_feature_ols(df: DataFrame, feature: str, target: str = fixed.TARGET)
 
 
 def coefficients(spark, model: LinearEnergyModel) -> DataFrame:
-    """One row per feature; seven rows, taken from the fitted model."""
-    rows = list(zip(model.features, model.coefficients, model.means, model.scales))
-    return spark.createDataFrame(
-        rows, "feature string, coefficient double, mean double, scale double"
-    )
+    """Intercept and coefficients (per standard deviation); eight rows of the fitted model."""
+    rows = [("intercept", model.intercept), *zip(model.features, model.coefficients)]
+    return spark.createDataFrame(rows, "feature string, coefficient double")
 
 
 def importance(spark, model: LinearEnergyModel) -> DataFrame:

@@ -113,6 +113,20 @@ def feature_snapshot(spark, sf_dir):
     return A.snapshot(spark, sf_dir)
 
 
+@query
+def snapshot_tables(spark, sf_dir):
+    """The same join from statistics tables that were written out and read back."""
+    path = shared_dir(spark, "snapshot")
+    rollups = {
+        "cpu": rollup.cpu_stats_exec_reset(fixture.tele(spark, sf_dir, "cpu")),
+        "mem": rollup.mem_stats(events.classify_faults(fixture.tele(spark, sf_dir, "mem"))),
+        "gpu": rollup.gpu_stats(fixture.tele(spark, sf_dir, "gpu")),
+    }
+    for probe, stats in rollups.items():
+        tables.write_stats(stats, path, probe)
+    return rollup.feature_snapshot(*[tables.read_stats(spark, path, p) for p in rollups])
+
+
 # --- containers --------------------------------------------------------------------
 
 
@@ -357,7 +371,22 @@ def confidence_median(spark, sf_dir):
 
 @query
 def telemetry_json(spark, sf_dir):
-    return telemetry.frames(A.stored_estimates(spark, sf_dir))
+    """The frames, looked at through JSON paths into their text."""
+    docs = telemetry.frames(A.stored_estimates(spark, sf_dir))
+    at = lambda path: F.get_json_object("value", path)
+    return docs.select(
+        "interval",
+        "host_id",
+        "part",
+        at("$.type").alias("type"),
+        at("$.timestamp").alias("timestamp"),
+        F.json_array_length(at("$.process_data")).cast("bigint").alias("processes"),
+        at("$.process_data[0].pid").cast("bigint").alias("first_pid"),
+        at("$.process_data[0].container_id").isNull().alias("first_on_host"),
+        at("$.summary.ai_workload_count").cast("bigint").alias("ai_workload_count"),
+        at("$.summary.container_count").cast("bigint").alias("container_count"),
+        at("$.summary.total_energy_joules").cast("double").alias("total_energy_joules"),
+    )
 
 
 @query
@@ -434,52 +463,58 @@ def feature_ranges(spark, sf_dir):
     return model.feature_ranges(fixture.calibration(spark, sf_dir))
 
 
+def _fit(spark, sf_dir):
+    data = fixture.calibration(spark, sf_dir)
+    return data, model.train(data)
+
+
 @query
 def train_model(spark, sf_dir):
-    data = fixture.calibration(spark, sf_dir)
-    fitted = model.LinearEnergyModel.from_pipeline(model.train(data))
-    rows = model.coefficients(spark, fitted)
-    intercept = spark.createDataFrame(
-        [("intercept", fitted.intercept, 0.0, 1.0)], rows.schema
+    _, fitted = _fit(spark, sf_dir)
+    linear = model.LinearEnergyModel.from_pipeline(fitted)
+    return model.coefficients(spark, linear).select(
+        "feature", F.round("coefficient", 6).alias("coefficient")
     )
-    return rows.unionByName(intercept)
+
+
+@query
+def feature_importance(spark, sf_dir):
+    _, fitted = _fit(spark, sf_dir)
+    shares = model.importance(spark, model.LinearEnergyModel.from_pipeline(fitted))
+    return shares.select("feature", F.round("importance", 8).alias("importance"))
 
 
 @query
 def predict_energy(spark, sf_dir):
-    data = fixture.calibration(spark, sf_dir)
-    return model.predict(data, model.train(data)).select("event_id", "energy_joules", "predicted_joules")
+    scored = model.predict(*_fit(spark, sf_dir))
+    return scored.select(
+        "event_id", "energy_joules", F.round("predicted_joules", 4).alias("predicted_joules")
+    )
 
 
 @query
 def prediction_sample(spark, sf_dir):
-    data = fixture.calibration(spark, sf_dir)
-    scored = model.predict(data, model.train(data))
+    scored = model.predict(*_fit(spark, sf_dir))
+    error = F.abs(F.col("energy_joules") - F.col("predicted_joules"))
     return (
         scored.orderBy("event_id")
         .limit(5)
         .select(
             "event_id",
             F.col("energy_joules").alias("actual"),
-            F.col("predicted_joules").alias("predicted"),
-            F.abs(F.col("energy_joules") - F.col("predicted_joules")).alias("error"),
+            F.round("predicted_joules", 4).alias("predicted"),
+            F.round(error, 4).alias("error"),
         )
     )
 
 
-@query
-def feature_importance(spark, sf_dir):
-    data = fixture.calibration(spark, sf_dir)
-    return model.importance(spark, model.LinearEnergyModel.from_pipeline(model.train(data)))
-
-
 @query
 def model_roundtrip(spark, sf_dir):
-    data = fixture.calibration(spark, sf_dir)
+    data, fitted = _fit(spark, sf_dir)
     path = shared_dir(spark, "model")
-    calibration.save_model(model.train(data), path)
-    loaded = calibration.load_model(path)
-    return model.predict(data, loaded).select("event_id", "predicted_joules")
+    calibration.save_model(fitted, path)
+    scored = model.predict(data, calibration.load_model(path))
+    return scored.select("event_id", F.round("predicted_joules", 4).alias("predicted_joules"))
 
 
 @query

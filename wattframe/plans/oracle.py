@@ -8,6 +8,10 @@ from __future__ import annotations
 
 import re
 
+FEATURES = (
+    "cpu_time_ns", "ctx_switches", "cpu_freq_mhz", "major_faults", "minor_faults", "rss_bytes", "gpu_active_ns",
+)
+
 VIEWS = {
     "tele": """
 SELECT event_id, ts, epoch_us(ts) AS ts_us, user_id % 4 AS host_id, user_id AS pid,
@@ -222,6 +226,26 @@ FROM (SELECT *, count(*) FILTER (WHERE event_kind = 'exec') OVER (PARTITION BY h
 SELECT *, CASE WHEN before_ns IS NULL THEN 0 WHEN counter_ns < before_ns THEN counter_ns
   ELSE counter_ns - before_ns END AS increase
 FROM (SELECT *, lag(counter_ns) OVER (PARTITION BY host_id, pid ORDER BY ts, event_id) AS before_ns FROM counter) c""",
+    "moments": "SELECT avg(energy_joules) AS y_mean, " + ", ".join(
+        f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(FEATURES)
+    ) + " FROM tele_calibration",
+    # normal equations of the standardised features, right-hand side as the last column
+    "equations": "SELECT [" + ", ".join(
+        "[" + ", ".join(f"corr({f}, {g})" for g in FEATURES)
+        + f", covar_samp({f}, energy_joules) / stddev_samp({f})]" for f in FEATURES
+    ) + "] AS m FROM tele_calibration",
+    # Gauss-Jordan elimination, one column per step
+    "elimination": """
+SELECT 0 AS k, m FROM equations
+UNION ALL SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1
+  THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+  ELSE list_transform(r, lambda v, j: v - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)
+FROM elimination WHERE k < 7""",
+    "solution": """
+SELECT list_transform(m, lambda r: r[8]) AS c FROM elimination WHERE k = 7""",
+    "predicted": "SELECT t.event_id, t.energy_joules, greatest(m.y_mean + " + " + ".join(
+        f"s.c[{i + 1}] * (t.{f} - m.m{i}) / m.s{i}" for i, f in enumerate(FEATURES)
+    ) + ", CAST(0 AS DOUBLE)) AS p FROM tele_calibration t CROSS JOIN moments m CROSS JOIN solution s",
     "bounds": "SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 'Infinity'::DOUBLE]::DOUBLE[]) AS le",
 }
 
@@ -233,14 +257,15 @@ def sql(body: str, **features: str) -> str:
 
     def visit(text: str) -> None:
         for name in texts:
-            if name not in needed and re.search(rf"(FROM|JOIN)\s+{name}\b", text):
+            if name not in needed and text is not texts[name] and re.search(rf"(FROM|JOIN)\s+{name}\b", text):
                 visit(texts[name])
                 needed.append(name)
 
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({texts[n].strip()})" for n in needed) + "\n" + body.strip()
+    start = "WITH RECURSIVE " if "elimination" in needed else "WITH "
+    return start + ",\n".join(f"{n} AS ({texts[n].strip()})" for n in needed) + "\n" + body.strip()
 
 
 VECTOR = """"interval", host_id, pid, comm, cpu_time_ns, ctx_switches, major_faults, minor_faults,
@@ -249,9 +274,6 @@ ESTIMATE = """energy_joules, cpu_energy_joules, memory_energy_joules, gpu_energy
   carbon_grams_co2, confidence, is_ai_inference"""
 PARTIAL = """event_id, ts, host_id, pid, tgid, probe, comm, cpu_time_ns, ctx_switches, major_faults,
   minor_faults, gpu_jobs_submitted, gpu_active_ns"""
-FEATURES = (
-    "cpu_time_ns", "ctx_switches", "cpu_freq_mhz", "major_faults", "minor_faults", "rss_bytes", "gpu_active_ns",
-)
 SLIDING_MINUTE = "OVER (ORDER BY step RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)"
 
 _SCORED_EXTRA = """energy_joules / CAST(1 AS DOUBLE) AS power_watts, energy_joules / 3.6e6 * CAST(475 AS DOUBLE) AS carbon_grams_co2,
@@ -295,6 +317,7 @@ SELECT probe, ts_us * 1000 AS timestamp_ns, pid, tgid, comm, cpu_time_ns, ctx_sw
     "mem_stats": sql("SELECT * FROM mem_plain"),
     "gpu_stats": sql("SELECT * FROM gpu_plain"),
     "feature_snapshot": sql("SELECT * FROM snap"),
+    "snapshot_tables": sql("SELECT * FROM snap"),
     "cgroup_container_id": sql("SELECT host_id, pid, container_id FROM ids"),
     "mem_limit": sql("""
 SELECT host_id, pid, CASE WHEN trim(mem_limit_text) IN ('max', '9223372036854771712') THEN 0
@@ -429,6 +452,14 @@ FROM (SELECT *, observations * CAST(0.5 AS DOUBLE) AS rank, lag(le, 1, CAST(0 AS
 WHERE cumulative >= rank QUALIFY row_number() OVER (PARTITION BY day ORDER BY le) = 1""",
         features="live_features",
     ),
+    "telemetry_json": sql("""
+SELECT "interval", host_id, CAST(0 AS BIGINT) AS part, 'telemetry' AS type,
+  strftime("interval", '%Y-%m-%dT%H:%M:%SZ') AS timestamp, count(*) AS processes, min(pid) AS first_pid,
+  arg_min(container_id, pid) = '' AS first_on_host,
+  count(*) FILTER (WHERE is_ai_inference) AS ai_workload_count,
+  count(DISTINCT nullif(container_id, '')) AS container_count,
+  CAST(sum(energy_nj) AS DOUBLE) / 1e9 AS total_energy_joules
+FROM attributed GROUP BY 1, 2"""),
     "telemetry_parse": sql("""
 SELECT a."interval", s.tracked_processes, s.total_energy_joules, a.pid, a.comm, a.container_id, a.container_name,
   a.energy_joules, a.is_ai_inference AS is_ai_workload
@@ -459,6 +490,24 @@ FROM (SELECT energy_joules AS y, greatest(5.0e-9::DOUBLE * cpu_time_ns + 1.0e-5:
             for f in FEATURES
         )
     ),
+    "train_model": sql(
+        "SELECT 'intercept' AS feature, round(y_mean, 6) AS coefficient FROM moments UNION ALL "
+        + " UNION ALL ".join(
+            f"SELECT '{f}', round(c[{i + 1}], 6) FROM solution" for i, f in enumerate(FEATURES)
+        )
+    ),
+    "feature_importance": sql(
+        " UNION ALL ".join(
+            f"SELECT '{f}' AS feature, round(abs(c[{i + 1}]) / list_sum(list_transform(c, lambda v: abs(v))), 8) "
+            "AS importance FROM solution"
+            for i, f in enumerate(FEATURES)
+        )
+    ),
+    "predict_energy": sql("SELECT event_id, energy_joules, round(p, 4) AS predicted_joules FROM predicted"),
+    "model_roundtrip": sql("SELECT event_id, round(p, 4) AS predicted_joules FROM predicted"),
+    "prediction_sample": sql("""
+SELECT event_id, energy_joules AS actual, round(p, 4) AS predicted, round(abs(energy_joules - p), 4) AS error
+FROM predicted ORDER BY event_id LIMIT 5"""),
     "energy_breakdown": sql(
         "SELECT event_id, energy_joules, cpu_energy_joules, memory_energy_joules, gpu_energy_joules FROM scored",
         features="calibration_features",

@@ -13,6 +13,21 @@ PARTIAL_VECTOR = """
     gpu_active_ns bigint, malformed boolean
 """
 
+# per-process statistics of each probe
+STATS = {
+    "cpu": """
+        host_id bigint, pid bigint, total_cpu_time_ns bigint, ctx_switches bigint,
+        voluntary_ctx_switches bigint, involuntary_ctx_switches bigint, last_cpu_id bigint,
+        last_seen_ns bigint, comm string""",
+    "mem": """
+        host_id bigint, pid bigint, major_faults bigint, minor_faults bigint,
+        total_faults bigint, direct_reclaim_count bigint, last_fault_ns bigint,
+        estimated_rss_pages bigint, comm string""",
+    "gpu": """
+        host_id bigint, pid bigint, total_jobs_submitted bigint, total_gpu_active_ns bigint,
+        last_submit_ns bigint, last_complete_ns bigint, active_jobs bigint, comm string""",
+}
+
 INVENTORY_DOC = """
     array<struct<Id: string, Names: array<string>, Image: string, Labels: map<string,string>>>
 """

@@ -1,4 +1,4 @@
-"""Event tables, batch and streaming."""
+"""Event tables, batch and streaming, and per-process statistics tables."""
 
 from __future__ import annotations
 
@@ -18,3 +18,12 @@ def stream_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | Non
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(sf_dir)
+
+
+def write_stats(stats: DataFrame, path: str, probe: str) -> None:
+    """One statistics table per probe."""
+    stats.write.mode("overwrite").parquet(f"{path}/{probe}_stats")
+
+
+def read_stats(spark: SparkSession, path: str, probe: str) -> DataFrame:
+    return spark.read.schema(schemas.STATS[probe]).parquet(f"{path}/{probe}_stats")

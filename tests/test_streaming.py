@@ -175,3 +175,15 @@ def test_bad_frames_are_dropped(spark):
     lines = ['{"type":"telemetry","process_data":[],"summary":{"tracked_processes":0}}', '{"type":"connected"}', "{bad", ""]
     df = spark.createDataFrame([(v,) for v in lines], "value string")
     assert telemetry.parse(df).count() == 1
+
+
+def test_model_scoring_on_a_stream(spark, sf_dir, feed):
+    from wattframe.plans import attribution as A
+
+    zero = F.lit(0).cast("bigint")
+    features = lambda df: df.withColumns({"cpu_freq_mhz": zero, "rss_bytes": zero})
+    columns = ["event_id", "energy_joules", "confidence", "model_version"]
+    scored = jobs.scored(features(jobs.partial_stream(stream(spark, feed))), A.REFERENCE_MODEL)
+    sinks.append_files(scored.select(columns), f"{feed}/out", f"{feed}/check")
+    batch = features(events.partial_vectors(fixture.tele(spark, sf_dir)))
+    same(spark.read.parquet(f"{feed}/out"), jobs.scored(batch, A.REFERENCE_MODEL).select(columns))

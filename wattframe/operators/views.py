@@ -151,9 +151,13 @@ def bands(summary: DataFrame) -> DataFrame:
 
 
 def lookback(df: DataFrame, window: str = "15 minutes", time: str = "ts") -> DataFrame:
-    """Rows no older than the window before the latest one."""
-    latest = df.agg(F.max(time)).scalar()
-    return df.where(F.col(time) >= latest - F.expr(f"INTERVAL {window}"))
+    """Rows no older than the window before the latest one.
+
+    The bound is worked out inside the subquery, so the condition is a plain comparison
+    that the scan can use to skip row groups.
+    """
+    bound = df.agg(F.max(time) - F.expr(f"INTERVAL {window}")).scalar()
+    return df.where(F.col(time) >= bound)
 
 
 def carbon_by_region(est: DataFrame) -> DataFrame:

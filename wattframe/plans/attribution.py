@@ -26,11 +26,15 @@ REFERENCE_MODEL = LinearEnergyModel(
 )
 
 
-def vectors(spark: SparkSession, sf_dir: str, keys=rollup.PROCESS) -> DataFrame:
-    """Feature vectors per process and interval."""
-    return rollup.pid_merge(
-        events.partial_vectors(fixture.tele(spark, sf_dir)), window=INTERVAL, keys=keys
-    )
+def vectors(
+    spark: SparkSession, sf_dir: str, keys=rollup.PROCESS, since: Column | None = None
+) -> DataFrame:
+    """Feature vectors per process and interval, of events from ``since`` on if given."""
+    rows = tables.read_events(spark, sf_dir)
+    if since is not None:
+        rows = rows.where(F.col("ts") >= since)
+    partial = events.partial_vectors(fixture.telemetry(rows))
+    return rollup.pid_merge(partial, window=INTERVAL, keys=keys)
 
 
 def process_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +45,10 @@ def known_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.parse_inventory(fixture.inventory(spark, sf_dir))
 
 
-def attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attributed(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
     """Vectors with container id and name."""
     with_id = containers.attach_container_id(
-        vectors(spark, sf_dir), process_containers(spark, sf_dir)
+        vectors(spark, sf_dir, since=since), process_containers(spark, sf_dir)
     )
     return containers.enrich(with_id, known_inventory(spark, sf_dir))
 
@@ -53,28 +57,19 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return energy.heuristic(attributed(spark, sf_dir))
 
 
-def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model estimates where the model was up, heuristic ones elsewhere."""
-    zero = F.lit(0).cast("bigint")
-    full = vectors(spark, sf_dir).withColumns({"cpu_freq_mhz": zero, "rss_bytes": zero})
-    return energy.estimate(
-        full, REFERENCE_MODEL, fixture.model_registry(spark, sf_dir, INTERVAL)
-    )
-
-
-def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-process feature vectors from the three statistics tables."""
-    return rollup.feature_snapshot(
-        rollup.cpu_stats_exec_reset(fixture.tele(spark, sf_dir, "cpu")),
-        rollup.mem_stats(events.classify_faults(fixture.tele(spark, sf_dir, "mem"))),
-        rollup.gpu_stats(fixture.tele(spark, sf_dir, "gpu")),
-    )
+def latest_interval(spark: SparkSession, sf_dir: str, n: int = 1) -> Column:
+    """Start of the n-th last interval that has events, from the events' times alone."""
+    start = F.window("ts", INTERVAL)["start"].alias("start")
+    starts = tables.read_events(spark, sf_dir).select(start)
+    if n == 1:
+        return starts.agg(F.max("start")).scalar()
+    return starts.distinct().orderBy(F.desc("start")).limit(n).agg(F.min("start")).scalar()
 
 
-def latest_interval(spark: SparkSession, sf_dir: str) -> Column:
-    """Start of the last interval, from the events' times alone."""
-    start = F.window("ts", INTERVAL)["start"]
-    return tables.read_events(spark, sf_dir).agg(F.max(start)).scalar()
+def latest_estimates(spark: SparkSession, sf_dir: str, intervals: int = 1) -> DataFrame:
+    """Estimates of the last intervals; the scan skips everything before them."""
+    since = latest_interval(spark, sf_dir, intervals)
+    return energy.heuristic(attributed(spark, sf_dir, since=since))
 
 
 def stored_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:

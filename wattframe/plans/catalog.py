@@ -255,12 +255,14 @@ def topk_energy(spark, sf_dir):
 
 @query
 def top5_processes(spark, sf_dir):
-    return views.top_processes(A.estimates(spark, sf_dir), now=A.latest_interval(spark, sf_dir))
+    now = A.latest_interval(spark, sf_dir)
+    return views.top_processes(A.latest_estimates(spark, sf_dir), now=now)
 
 
 @query
 def history_tail(spark, sf_dir):
-    return views.history_tail(views.system_summary(A.estimates(spark, sf_dir)))
+    recent = A.latest_estimates(spark, sf_dir, fixed.HISTORY_POINTS)
+    return views.history_tail(views.system_summary(recent))
 
 
 @query
@@ -304,7 +306,8 @@ def ai_vs_general_series(spark, sf_dir):
 
 @query
 def gauge_latest(spark, sf_dir):
-    return metrics.gauge_latest(A.estimates(spark, sf_dir), now=A.latest_interval(spark, sf_dir))
+    now = A.latest_interval(spark, sf_dir)
+    return metrics.gauge_latest(A.latest_estimates(spark, sf_dir), now=now)
 
 
 @query

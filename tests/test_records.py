@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
+
 from wattframe.plans import fixture
-from wattframe.sources.records import HEADER, decode_records
+from wattframe.sources.records import LAYOUTS as DTYPES
+from wattframe.sources.records import decode_events, decode_records, with_time
 
 LAYOUTS = {
     "cpu": ("<QIIII16sQIIq", 64),
@@ -19,10 +22,14 @@ def cpu(ts, pid, tgid, comm, delta, order="<"):
 
 
 def test_sizes_and_offsets():
-    for text, size in LAYOUTS.values():
+    assert {p: d.itemsize for p, d in DTYPES.items()} == {"cpu": 64, "mem": 80, "gpu": 64}
+    for probe, (text, size) in LAYOUTS.items():
         assert struct.calcsize(text) == size
-    assert {n: HEADER.fields[n][1] for n in HEADER.names} == {
-        "timestamp_ns": 0, "pid": 8, "tgid": 12, "comm": 24, "delta_ns": 40}
+        values = tuple(b"abc" if c == "16s" else i + 1 for i, c in enumerate(
+            text[1:].replace("4x", "").replace("16s", "s").replace("s", "S")) if c != "S")
+        values = values[:5] + (b"abc",) + values[5:]
+        row = np.frombuffer(struct.pack(text, *values), DTYPES[probe])[0]
+        assert tuple(row.tolist()) == values
 
 
 def frame(spark, rows):
@@ -67,3 +74,18 @@ def test_bad_utf8_and_big_endian(spark):
 def test_packed_records_have_the_right_sizes(spark, sf_dir):
     sizes = fixture.packed_records(spark, sf_dir).selectExpr("probe", "length(data) AS n").distinct().collect()
     assert {r.probe: r.n for r in sizes} == {"cpu": 64, "mem": 80, "gpu": 64}
+
+
+def test_full_events(spark):
+    big = 2**64 - 1
+    mem = struct.pack(LAYOUTS["mem"][0], 7_001, 2, 3, 3, 5, b"m\0x", big, 1, 2**63, 4, 9)
+    rows = [("mem", mem), ("mem", mem[:79]), ("cpu", cpu(1, 2, 3, b"c", 4))]
+    (r,) = decode_events(frame(spark, rows), "mem").collect()
+    assert (r.timestamp_ns, r.pid, r.tgid, r.cpu_id, r.comm, r.event_kind) == (7_001, 2, 3, 5, "m", "reclaim")
+    assert (int(r.address), int(r.ip), int(r.gfp_flags), r.reclaim_order) == (big, 1, 9, 4)
+
+
+def test_record_times_count_from_boot(spark):
+    df = spark.createDataFrame([(1_999,)], "timestamp_ns bigint")
+    r = with_time(df, boot_epoch_ns=5_000_000).first()
+    assert r.ts_us == 5_001

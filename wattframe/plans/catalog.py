@@ -79,6 +79,30 @@ def decode_records(spark, sf_dir):
     return decoded.drop("malformed")
 
 
+@query
+def records_to_energy(spark, sf_dir):
+    """Binary records all the way to joules and grams per process and hour."""
+    packed = fixture.packed_records(spark, sf_dir)
+    decoded = records.with_time(records.decode_records(packed, keep=["host_id", "event_id"]))
+    vectors = rollup.pid_merge(decoded, window=A.INTERVAL)
+    return energy.heuristic(vectors).select("interval", "host_id", "pid", "comm", *ESTIMATE)
+
+
+@query
+def snapshot_from_records(spark, sf_dir):
+    """Statistics of the three probes from their full records, joined per process."""
+    packed = fixture.packed_records(spark, sf_dir)
+    cpu, mem, gpu = [
+        records.with_time(records.decode_events(packed, probe, keep=["host_id", "event_id"]))
+        for probe in ("cpu", "mem", "gpu")
+    ]
+    return rollup.feature_snapshot(
+        rollup.cpu_stats_exec_reset(cpu),
+        rollup.mem_stats(events.classify_faults(mem)),
+        rollup.gpu_stats(gpu),
+    )
+
+
 # --- rollups -----------------------------------------------------------------------
 
 

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators.timeline import with_previous
 from wattframe.sources import tables
-from wattframe.sources.records import HEADER
+from wattframe.sources.records import EVENT_KINDS, LAYOUTS
 
 # Which event type stands for which probe event, and the process names.
 KINDS = {"click": "switch", "signup": "exec", "view": "fault_user"}
@@ -185,8 +186,6 @@ def inventory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration rows: the published linear relation plus a bounded disturbance."""
-    from wattframe.functions import fixed
-
     e, u = F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     features = tables.read_events(spark, sf_dir).select(
@@ -212,27 +211,44 @@ def model_registry(spark: SparkSession, sf_dir: str, interval: str = "1 hour") -
     return hours.withColumn("available", number % 5 < 3)
 
 
+_TYPE_NUMBERS = {kind: n for kinds in EVENT_KINDS.values() for n, kind in kinds.items()}
+
+
 def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    layout = HEADER.newbyteorder("<")
+    layouts = {probe: layout.newbyteorder("<") for probe, layout in LAYOUTS.items()}
     for batch in stream:
-        out = np.zeros(batch.num_rows, layout)
-        out["timestamp_ns"] = batch.column("ts_us").to_numpy(zero_copy_only=False) * 1000
-        for field in ("pid", "tgid", "delta_ns"):
-            out[field] = batch.column(field).to_numpy(zero_copy_only=False)
-        out["comm"] = [c.encode() for c in batch.column("comm").to_pylist()]
-        sizes = {"cpu": 64, "mem": 80, "gpu": 64}
-        probes = batch.column("probe").to_pylist()
-        head = out.tobytes()
-        width = layout.itemsize
-        data = [
-            head[i * width : (i + 1) * width].ljust(sizes[p], b"\0") for i, p in enumerate(probes)
-        ]
+        columns = {
+            name: batch.column(name).to_numpy(zero_copy_only=False)
+            for name in ("ts_us", "pid", "tgid", "cpu_id", "delta_ns", "prev_state", "error_code")
+        }
+        columns["timestamp_ns"] = columns.pop("ts_us") * 1000
+        columns["comm"] = np.array([c.encode() for c in batch.column("comm").to_pylist()], "S16")
+        kinds = batch.column("event_kind").to_pylist()
+        columns["event_type"] = np.array([_TYPE_NUMBERS[k] for k in kinds], np.int64)
+        probes = np.array(batch.column("probe").to_pylist())
+        data = np.empty(len(probes), object)
+        for probe, layout in layouts.items():
+            (at,) = np.nonzero(probes == probe)
+            rows = np.zeros(len(at), layout)
+            for name in layout.names:
+                if name in columns:
+                    rows[name] = columns[name][at]
+            packed, width = rows.tobytes(), layout.itemsize
+            data[at] = [packed[i * width : (i + 1) * width] for i in range(len(at))]
         yield pa.RecordBatch.from_pydict(
-            {"probe": pa.array(probes, pa.string()), "data": pa.array(data, pa.binary())}
+            {
+                "host_id": batch.column("host_id"),
+                "event_id": batch.column("event_id"),
+                "probe": batch.column("probe"),
+                "data": pa.array(data.tolist(), pa.binary()),
+            }
         )
 
 
 def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The telemetry as the binary records a probe would have written."""
-    rows = tele(spark, sf_dir).select("probe", "ts_us", "pid", "tgid", "comm", "delta_ns")
-    return rows.mapInArrow(_pack, "probe string, data binary")
+    rows = tele(spark, sf_dir).select(
+        "host_id", "event_id", "probe", "event_kind", "ts_us", "pid", "tgid", "cpu_id", "comm",
+        "delta_ns", "prev_state", "error_code",
+    )
+    return rows.mapInArrow(_pack, "host_id bigint, event_id bigint, probe string, data binary")

@@ -317,6 +317,7 @@ SELECT probe, ts_us * 1000 AS timestamp_ns, pid, tgid, comm, cpu_time_ns, ctx_sw
     "mem_stats": sql("SELECT * FROM mem_plain"),
     "gpu_stats": sql("SELECT * FROM gpu_plain"),
     "feature_snapshot": sql("SELECT * FROM snap"),
+    "snapshot_from_records": sql("SELECT * FROM snap"),
     "snapshot_tables": sql("SELECT * FROM snap"),
     "cgroup_container_id": sql("SELECT host_id, pid, container_id FROM ids"),
     "mem_limit": sql("""
@@ -333,6 +334,7 @@ SELECT e.event_id, e.ts, e.host_id, e.pid, e.container_id, coalesce(h.name, '')
 FROM (SELECT t.event_id, t.ts, t.host_id, t.pid, i.container_id FROM tele t JOIN ids i USING (host_id, pid)) e
 ASOF LEFT JOIN tele_inventory_hist h ON e.container_id = h.short_id AND e.ts >= h.snapshot_ts"""),
     "heuristic_energy": sql(f'SELECT "interval", host_id, pid, comm, {ESTIMATE} FROM heur'),
+    "records_to_energy": sql(f'SELECT "interval", host_id, pid, comm, {ESTIMATE} FROM heur'),
     "fallback_estimates": sql(
         f"""
 SELECT "interval", host_id, pid, comm, confidence, is_ai_inference, {_SCORED_EXTRA},

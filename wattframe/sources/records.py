@@ -1,31 +1,66 @@
-"""Captured binary records to partial feature vectors."""
+"""Captured binary records: to partial feature vectors, or to full events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wattframe import schemas
+from wattframe.functions.scalar import nul_cut
 
-# Record layout.  All records start alike; sizes are the shortest record
-# that still holds the field group.
-HEADER = np.dtype(
-    {
-        "names": ["timestamp_ns", "pid", "tgid", "comm", "delta_ns"],
-        "formats": ["u8", "u4", "u4", "S16", "u8"],
-        "offsets": [0, 8, 12, 24, 40],
-        "itemsize": 48,
-    }
-)
+
+def _layout(size: int, **fields: tuple[str, int]) -> np.dtype:
+    names = list(fields)
+    return np.dtype(
+        {
+            "names": names,
+            "formats": [fields[n][0] for n in names],
+            "offsets": [fields[n][1] for n in names],
+            "itemsize": size,
+        }
+    )
+
+
+# Record layouts (type, byte offset) and sizes, event type numbers, and the
+# shortest record that still holds a probe's payload.
+LAYOUTS = {
+    "cpu": _layout(
+        64, timestamp_ns=("u8", 0), pid=("u4", 8), tgid=("u4", 12), cpu_id=("u4", 16),
+        event_type=("u4", 20), comm=("S16", 24), delta_ns=("u8", 40), prev_pid=("u4", 48),
+        next_pid=("u4", 52), prev_state=("i8", 56),
+    ),
+    "mem": _layout(
+        80, timestamp_ns=("u8", 0), pid=("u4", 8), tgid=("u4", 12), event_type=("u4", 16),
+        cpu_id=("u4", 20), comm=("S16", 24), address=("u8", 40), ip=("u8", 48),
+        error_code=("u8", 56), reclaim_order=("u4", 64), gfp_flags=("u8", 72),
+    ),
+    "gpu": _layout(
+        64, timestamp_ns=("u8", 0), pid=("u4", 8), tgid=("u4", 12), event_type=("u4", 16),
+        cpu_id=("u4", 20), comm=("S16", 24), job_id=("u8", 40), fence_id=("u8", 48),
+        ring_id=("u4", 56), hw_job_count=("u4", 60),
+    ),
+}
+EVENT_KINDS = {
+    "cpu": {1: "switch", 2: "exec"},
+    "mem": {1: "fault_user", 2: "fault_kernel", 3: "reclaim"},
+    "gpu": {1: "gpu_submit"},
+}
 MIN_HEADER = 16
 MIN_PAYLOAD = {"cpu": 56, "mem": 40, "gpu": 40}
 
+# what all layouts share as far as partial vectors go; the slice is only read for CPU records
+_HEADER = _layout(
+    48, timestamp_ns=("u8", 0), pid=("u4", 8), tgid=("u4", 12), comm=("S16", 24), delta_ns=("u8", 40)
+)
+_FULL_RANGE = ("address", "ip", "gfp_flags")  # unsigned 64 bit, kept exact as decimals
+
 
-def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Record lengths, and the first ``width`` bytes of each record, zero-filled."""
+def _read(column: pa.Array, layout: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Record lengths, and the records as structured rows, zero-filled where too short."""
     column = column.fill_null(b"").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[
         column.offset : column.offset + len(column) + 1
@@ -33,59 +68,112 @@ def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(offsets)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = np.arange(width)
+    at = np.arange(layout.itemsize)
     inside = at[None, :] < lengths[:, None]
-    out = np.zeros((len(lengths), width), np.uint8)
-    out[inside] = raw[(offsets[:-1, None] + at[None, :])[inside]]
-    return lengths, out
+    padded = np.zeros((len(lengths), layout.itemsize), np.uint8)
+    padded[inside] = raw[(offsets[:-1, None] + at[None, :])[inside]]
+    return lengths, padded.view(layout).ravel()
+
+
+def _names(raw: np.ndarray, present: np.ndarray) -> pa.Array:
+    """Process names; :func:`~wattframe.functions.scalar.nul_cut` ends them at the first NUL."""
+    text = [r.decode("utf-8", "replace") if ok else "" for r, ok in zip(raw.tolist(), present)]
+    return pa.array(text, pa.string())
 
 
-def _decode(byteorder: str, strict: bool):
-    header = HEADER.newbyteorder(byteorder)
+Batches = Iterator[pa.RecordBatch]
 
-    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _vector_decoder(byteorder: str, strict: bool, keep: Sequence[str]) -> Callable[[Batches], Batches]:
+    layout = _HEADER.newbyteorder(byteorder)
+
+    def decode(stream: Batches) -> Batches:
         for batch in stream:
             probe = np.asarray(batch.column("probe").to_pylist(), dtype=object)
-            lengths, padded = _padded(batch.column("data"), header.itemsize)
-            rows = padded.view(header).ravel()
+            lengths, rows = _read(batch.column("data"), layout)
             readable = lengths >= MIN_HEADER
-            payload = np.zeros(len(rows), bool)
-            for name, size in MIN_PAYLOAD.items():
-                payload |= (probe == name) & (lengths >= size)
-            is_probe = {name: payload & (probe == name) for name in MIN_PAYLOAD}
-            number = lambda field, keep: np.where(keep, rows[field], 0).astype(np.int64)
-            # S16 drops everything after trailing NULs only, so cut at the first one
-            comm = [
-                raw.split(b"\0", 1)[0].decode("utf-8", "replace") if ok else ""
-                for raw, ok in zip(rows["comm"].tolist(), payload)
-            ]
+            whole = {p: (probe == p) & (lengths >= size) for p, size in MIN_PAYLOAD.items()}
+            payload = np.logical_or.reduce(list(whole.values()))
+            number = lambda field, ok: np.where(ok, rows[field], 0).astype(np.int64)
             out = {
-                "probe": pa.array(probe.tolist(), pa.string()),
+                **{name: batch.column(name) for name in keep},
+                "probe": batch.column("probe"),
                 "timestamp_ns": number("timestamp_ns", readable),
                 "pid": number("pid", readable),
                 "tgid": number("tgid", readable),
-                "comm": pa.array(comm, pa.string()),
-                "cpu_time_ns": number("delta_ns", is_probe["cpu"]),
-                "ctx_switches": is_probe["cpu"].astype(np.int64),
+                "comm": _names(rows["comm"], payload),
+                "cpu_time_ns": number("delta_ns", whole["cpu"]),
+                "ctx_switches": whole["cpu"].astype(np.int64),
                 "major_faults": np.zeros(len(rows), np.int64),
-                "minor_faults": is_probe["mem"].astype(np.int64),
-                "gpu_jobs_submitted": is_probe["gpu"].astype(np.int64),
+                "minor_faults": whole["mem"].astype(np.int64),
+                "gpu_jobs_submitted": whole["gpu"].astype(np.int64),
                 "gpu_active_ns": np.zeros(len(rows), np.int64),
                 "malformed": ~payload,
             }
             decoded = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
             yield decoded.filter(pa.array(readable)) if strict else decoded
 
-    return batches
+    return decode
+
 
+def _with_types(df: DataFrame, keep: Sequence[str]) -> str:
+    return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keep).schema)
 
-def decode_records(df: DataFrame, strict: bool = True, byteorder: str = "<") -> DataFrame:
-    """Decodes ``(probe, data)`` rows, a whole Arrow batch at a time.
+
+def decode_records(
+    df: DataFrame, strict: bool = True, byteorder: str = "<", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Partial feature vectors from ``(probe, data)`` rows, a whole Arrow batch at a time.
 
     Records too short for their probe's payload keep the header and are marked
     ``malformed``.  Records too short for a header are dropped when ``strict``; otherwise
-    they come out as an all-zero vector of process 0.
+    they come out as an all-zero vector of process 0.  ``keep`` names columns to carry along.
     """
-    return df.select("probe", "data").mapInArrow(
-        _decode(byteorder, strict), schemas.PARTIAL_VECTOR
+    decoded = df.select(*keep, "probe", "data").mapInArrow(
+        _vector_decoder(byteorder, strict, tuple(keep)),
+        _with_types(df, keep) + schemas.PARTIAL_VECTOR,
     )
+    return decoded.withColumn("comm", nul_cut("comm"))
+
+
+def _event_decoder(probe: str, byteorder: str, keep: Sequence[str]) -> Callable[[Batches], Batches]:
+    layout = LAYOUTS[probe].newbyteorder(byteorder)
+
+    def decode(stream: Batches) -> Batches:
+        for batch in stream:
+            lengths, rows = _read(batch.column("data"), layout)
+            out = {name: batch.column(name) for name in keep}
+            for name in layout.names:
+                if name == "comm":
+                    out[name] = _names(rows[name], np.ones(len(rows), bool))
+                elif name in _FULL_RANGE:
+                    out[name] = pa.array(rows[name].astype(np.uint64)).cast(pa.decimal128(20, 0))
+                else:
+                    out[name] = rows[name].astype(np.int64)
+            whole = pa.array(lengths >= layout.itemsize)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()}).filter(whole)
+
+    return decode
+
+
+def decode_events(
+    df: DataFrame, probe: str, byteorder: str = "<", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Every field of one probe's whole records, with the event type as ``event_kind``."""
+    types = {n: "decimal(20,0)" if n in _FULL_RANGE else "bigint" for n in LAYOUTS[probe].names}
+    types["comm"] = "string"
+    decoded = df.where(F.col("probe") == probe).select(*keep, "data").mapInArrow(
+        _event_decoder(probe, byteorder, tuple(keep)),
+        _with_types(df, keep) + ", ".join(f"{n} {t}" for n, t in types.items()),
+    )
+    kind = F.lit(None).cast("string")
+    for number, name in EVENT_KINDS[probe].items():
+        kind = F.when(F.col("event_type") == number, name).otherwise(kind)
+    return decoded.withColumns({"comm": nul_cut("comm"), "event_kind": kind, "probe": F.lit(probe)})
+
+
+def with_time(decoded: DataFrame, boot_epoch_ns: int = 0) -> DataFrame:
+    """Adds ``ts_us`` and ``ts``; record times count from boot, whose epoch time is given."""
+    ns = F.col("timestamp_ns") + F.lit(int(boot_epoch_ns)).cast("bigint")
+    timed = decoded.withColumn("_ns", ns).withColumn("ts_us", F.expr("_ns div 1000")).drop("_ns")
+    return timed.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))

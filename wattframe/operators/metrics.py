@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import running_totals, sliding_sum, with_previous
+from wattframe.operators.timeline import (
+    DEFAULT_BUCKET,
+    running_totals,
+    sliding_sum,
+    with_previous,
+)
 
 MINUTE = 60 * S.MICROS
 HOUR = 60 * MINUTE
@@ -191,7 +196,7 @@ def counter_rate(
     order: Sequence[str],
     window_us: int = 5 * MINUTE,
     time: str = "ts_us",
-    bucket_us: int = HOUR,
+    bucket_us: int = DEFAULT_BUCKET,
 ) -> DataFrame:
     """Per-second rate of a counter over the look-back window; a drop is a restart from 0.
 

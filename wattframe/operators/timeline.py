@@ -161,26 +161,53 @@ def sliding_sum(
     time: str = "ts_us",
     bucket_us: int = DEFAULT_BUCKET,
 ) -> DataFrame:
-    """Per row, the sum over the key's rows in ``(time - window, time]``.
+    """Per row, the exact sum (integers or decimals) over the key's rows in
+    ``(time - window, time]``.
 
-    Buckets are at least one window wide, so a row can only matter to its own bucket and
-    the next one: rows in the last window of a bucket are copied into the next as a halo.
+    A moving frame is added up anew for every row, which is quadratic where rows are dense.
+    Instead each value enters at its time and leaves one window later, and a running sum
+    over entries and exits is the sum inside the window.
+
+    Buckets are at least two windows wide, so a value can only matter to its own bucket and
+    the next one.  Only the entry in the own bucket carries the row's columns.
     """
-    width = max(int(bucket_us), int(window_us))
-    home = bucket_start(time, width)
-    reaches_next = F.col(time) + F.lit(int(window_us) - 1) >= home + F.lit(width)
-    staged = df.withColumns({f"_in_{n}": v for n, v in sums.items()}).select(
-        "*",
-        home.alias("_home"),
-        F.explode(
-            F.when(reaches_next, F.array(home, home + F.lit(width))).otherwise(F.array(home))
-        ).alias("_bucket"),
-    )
-    look_back = (
-        Window.partitionBy(*keys, "_bucket").orderBy(time).rangeBetween(-(int(window_us) - 1), 0)
+    width = max(int(bucket_us), 2 * int(window_us))
+    at = F.col(time)
+    home = bucket_start(at, width)
+    following = home + F.lit(width)
+    leaves = at + F.lit(int(window_us))
+    move = lambda bucket, when, sign: F.struct(
+        bucket.alias("bucket"), when.alias("at"), F.lit(sign).alias("sign")
+    )
+    elsewhere = (
+        F.when(leaves < following, F.array(move(home, leaves, -1)))
+        .when(leaves > following, F.array(move(following, at, 1), move(following, leaves, -1)))
+        .otherwise(F.array())
+    )
+    moves = F.concat(F.array(move(home, at, 0)), elsewhere)
+    staged = df.select("*", *[v.alias(f"_in_{n}") for n, v in sums.items()]).select(
+        "*", F.explode(moves).alias("_move")
+    )
+    own = F.col("_move.sign") == 0  # marks the entry that stands for the row itself
+    signed = staged.select(
+        *keys,
+        F.col("_move.bucket").alias("_bucket"),
+        F.col("_move.at").alias("_at"),
+        F.when(own, F.struct(*df.columns)).alias("_row"),
+        *[
+            F.when(F.col("_move.sign") < 0, -F.col(f"_in_{n}"))
+            .otherwise(F.col(f"_in_{n}"))
+            .alias(f"_in_{n}")
+            for n in sums
+        ],
+    )
+    so_far = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_at")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        staged.withColumns({n: F.sum(f"_in_{n}").over(look_back) for n in sums})
-        .where(F.col("_home") == F.col("_bucket"))
-        .select(*df.columns, *sums)
+        signed.select("_row", *[F.sum(f"_in_{n}").over(so_far).alias(n) for n in sums])
+        .where(F.col("_row").isNotNull())
+        .select("_row.*", *sums)
     )

@@ -1,4 +1,4 @@
-"""Bucketed ordered operators against brute force, with one key holding most rows."""
+"""Ordered operators against brute force, with one key holding most rows."""
 
 from __future__ import annotations
 
@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import containers, events, metrics, rollup
 from wattframe.operators.joins import asof_lookup, lookup_join
-from wattframe.operators.timeline import running_since, running_totals, sliding_sum, with_previous
+from wattframe.operators.timeline import (
+    STRETCH,
+    hot_keys,
+    running_since,
+    running_totals,
+    sliding_sum,
+    with_previous,
+    with_stretch,
+)
 
-BUCKETS = (10, 1000, 10**9)
+# rows above which a key is cut into stretches
+HOT = (1, 7, 50, 150, 10**6)
 
 
 def make_rows(seed, n=400):
@@ -35,20 +44,20 @@ def by_key(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", BUCKETS)
+@pytest.mark.parametrize("hot", HOT)
 @pytest.mark.parametrize("seed", [1, 2])
-def test_with_previous(spark, seed, bucket):
+def test_with_previous(spark, seed, hot):
     rows = make_rows(seed)
     want = {}
     for history in by_key(rows).values():
         for before, row in zip([None, *history], history):
             want[row[2]] = (before and before[1], before and before[3])
-    got = with_previous(frame(spark, rows), ["k"], ["ts_us", "event_id"], {"pt": "ts_us", "pv": "v"}, bucket_us=bucket)
+    got = with_previous(frame(spark, rows), ["k"], ["ts_us", "event_id"], {"pt": "ts_us", "pv": "v"}, hot_rows=hot)
     assert {r.event_id: (r.pt, r.pv) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("bucket", BUCKETS)
-def test_running_since(spark, bucket):
+@pytest.mark.parametrize("hot", HOT)
+def test_running_since(spark, hot):
     rows = make_rows(3)
     want = {}
     for history in by_key(rows).values():
@@ -57,13 +66,13 @@ def test_running_since(spark, bucket):
             total = row[3] if row[4] else total + row[3]
             want[row[2]] = total
     got = running_since(
-        frame(spark, rows), ["k"], ["ts_us", "event_id"], F.col("v"), F.col("reset"), "total", bucket_us=bucket
+        frame(spark, rows), ["k"], ["ts_us", "event_id"], F.col("v"), F.col("reset"), "total", hot_rows=hot,
     )
     assert {r.event_id: r.total for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("bucket", BUCKETS)
-def test_running_totals(spark, bucket):
+@pytest.mark.parametrize("hot", HOT)
+def test_running_totals(spark, hot):
     rows = make_rows(4)
     want = {}
     for key, history in by_key(rows).items():
@@ -71,7 +80,7 @@ def test_running_totals(spark, bucket):
         for row in history:
             total += row[3]
             want[key, row[1]] = total
-    got = running_totals(frame(spark, rows), ["k"], "ts_us", {"total": F.col("v")}, "ts_us", bucket_us=bucket)
+    got = running_totals(frame(spark, rows), ["k"], "ts_us", {"total": F.col("v")}, "ts_us", hot_rows=hot)
     assert {(r.k, r.ts_us): r.total for r in got.collect()} == want
 
 
@@ -86,8 +95,8 @@ def test_sliding_sum(spark, window, bucket):
     assert {r.event_id: r.total for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("bucket", BUCKETS)
-def test_asof(spark, bucket):
+@pytest.mark.parametrize("hot", HOT)
+def test_asof(spark, hot):
     rows = make_rows(6)
     rng = random.Random(7)
     history = sorted({(rng.randint(0, 3), rng.randint(0, 2500)) for _ in range(40)})
@@ -99,13 +108,13 @@ def test_asof(spark, bucket):
         want[r[2]] = f"{r[0]}@{times[i - 1]}" if i else None
     got = asof_lookup(
         frame(spark, rows), marks, F.col("k"), F.col("k"), {"name": F.col("name")}, ["event_id"],
-        history_time="at", bucket_us=bucket,
+        history_time="at", hot_rows=hot,
     )
     assert {r.event_id: r.name for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("bucket", BUCKETS)
-def test_exec_reset(spark, bucket):
+@pytest.mark.parametrize("hot", HOT)
+def test_exec_reset(spark, hot):
     rng = random.Random(8)
     rows = []
     for i in range(600):
@@ -127,7 +136,7 @@ def test_exec_reset(spark, bucket):
             now[2] += state != 0
             now[3] += state == 0
         now[4], now[5] = cpu, ts * 1000
-    got = rollup.cpu_stats_exec_reset(df, bucket_us=bucket)
+    got = rollup.cpu_stats_exec_reset(df, hot_rows=hot)
     assert {r.pid: list(r)[2:] for r in got.collect()} == want
 
 
@@ -142,8 +151,8 @@ def test_cpu_slices_guard(spark):
     df = spark.createDataFrame(
         rows, "host_id bigint, cpu_id bigint, ts_us bigint, event_id bigint, prev_pid bigint, next_pid bigint, prev_state bigint"
     ).withColumn("ts", F.timestamp_micros("ts_us"))
-    for bucket in (20, 10**6):
-        got = events.cpu_slices(df, bucket_us=bucket).orderBy("event_id").collect()
+    for hot in (1, 2, 10**6):
+        got = events.cpu_slices(df, hot_rows=hot).orderBy("event_id").collect()
         assert [(r.pid, r.delta_ns, r.involuntary) for r in got] == [(5, 50_000, False), (7, 30_000, True)]
 
 
@@ -169,3 +178,16 @@ def test_asof_for_host_processes(spark):
     history = spark.createDataFrame([("c", 5, "web"), ("", 1, "never")], "short_id string, snapshot_us bigint, name string")
     got = {r.pid: r.container_name for r in containers.enrich_asof(vectors, history).collect()}
     assert got == {1: "", 2: "web"}
+
+
+def test_only_hot_keys_are_cut(spark):
+    burst = [(0, 50_000 + i, i, 1, False) for i in range(900)]  # 0.9 of 100 milliseconds
+    rest = [(0, 1000 * i, 1000 + i, 1, False) for i in range(100)] + [(1, 5000, 2000, 1, False)]
+    df = frame(spark, burst + rest)
+    hot = hot_keys(df, ["k"], "ts_us", 100)
+    assert [r.k for r in hot.collect()] == [0]
+    sizes = with_stretch(df, ["k"], "ts_us", hot).groupBy("k", STRETCH).count().collect()
+    assert sum(r["count"] for r in sizes) == 1001
+    assert max(r["count"] for r in sizes) <= 101
+    assert [r[STRETCH] for r in sizes if r.k == 1] == [0]
+    assert with_stretch(df, ["k"], "ts_us", hot, only_hot=True).where("k <> 0").count() == 0

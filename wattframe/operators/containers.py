@@ -12,7 +12,7 @@ from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators.joins import asof_lookup, lookup_join
 from wattframe.operators.rollup import PROCESS
-from wattframe.operators.timeline import DEFAULT_BUCKET
+from wattframe.operators.timeline import HOT_ROWS
 
 
 def container_ids(df: DataFrame, text: str = "cgroup_text", keys: Sequence[str] = PROCESS) -> DataFrame:
@@ -99,7 +99,7 @@ def enrich_asof(
     keys: Sequence[str] = PROCESS,
     time: str = "ts_us",
     tie: Sequence[str] = ("event_id",),
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds the name the container had in the latest inventory snapshot at that time."""
     found = asof_lookup(
@@ -111,6 +111,6 @@ def enrich_asof(
         tie=tie,
         time=time,
         history_time="snapshot_us",
-        bucket_us=bucket_us,
+        hot_rows=hot_rows,
     )
     return found.withColumn("container_name", F.coalesce("_name", F.lit(""))).drop("_name")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import DEFAULT_BUCKET, with_previous
+from wattframe.operators.timeline import HOT_ROWS, with_previous
 
 def _long(value):
     return F.lit(value).cast("bigint")
@@ -61,7 +61,7 @@ def split_pid_tgid(df: DataFrame, packed: str = "pid_tgid") -> DataFrame:
 def cpu_slices(
     sched: DataFrame,
     keys: Sequence[str] = ("host_id", "cpu_id"),
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Time on CPU from raw context switches.
 
@@ -74,7 +74,7 @@ def cpu_slices(
         keys=keys,
         order=["ts_us", "event_id"],
         values={"since_us": "ts_us", "running_pid": "next_pid"},
-        bucket_us=bucket_us,
+        hot_rows=hot_rows,
     )
     charged = (F.col("running_pid") == F.col("prev_pid")) & (F.col("since_us") > 0)
     return seen.where(charged).select(

@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.functions.scalar import bucket_start
-from wattframe.operators.timeline import DEFAULT_BUCKET
+from wattframe.operators.timeline import HOT_ROWS, STRETCH, hot_keys, with_stretch
 
 SALTS = 16
 
@@ -46,44 +45,51 @@ def asof_lookup(
     tie: Sequence[str],
     time: str = "ts_us",
     history_time: str = "ts_us",
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attaches the values of the latest history row at or before each fact row.
 
-    Facts and history become one timeline per key, cut into time buckets, along which the
-    last value is carried: no inequality join, no pairs, and a hot key is spread over its
-    buckets.  ``tie`` makes facts with equal times distinct; history comes before facts at a tie.
+    Facts and history become one timeline per key along which the last value is carried: no
+    inequality join, no pairs.  A key with many facts is cut into stretches of time.
+    History times are unique within a key; ``tie`` makes facts with equal times distinct;
+    history comes before facts at a tie.
     """
-    part = ["_key", "_bucket"]
-    state = F.struct(*[v.alias(n) for n, v in values.items()])
+    part = ["_key", STRETCH]
     facts = fact.select(
         F.struct(*fact.columns).alias("_row"),
         key.alias("_key"),
         F.col(time).alias("_time"),
         F.lit(1).alias("_rank"),
         F.struct(*tie).alias("_tie"),
-    ).withColumn("_bucket", bucket_start("_time", bucket_us))
+    )
     marks = history.select(
         history_key.alias("_key"),
         F.col(history_time).alias("_time"),
         F.lit(0).alias("_rank"),
-        state.alias("_state"),
-    ).withColumn("_bucket", bucket_start("_time", bucket_us))
+        F.struct(*[v.alias(n) for n, v in values.items()]).alias("_state"),
+    )
+    hot = hot_keys(facts, ["_key"], "_time", hot_rows)
+
+    def cut(rows: DataFrame, only_hot: bool = False) -> DataFrame:
+        return with_stretch(rows, ["_key"], "_time", hot, only_hot)
 
-    in_bucket = (
+    so_far = (
         Window.partitionBy(*part)
         .orderBy("_time", "_rank", "_tie")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = facts.unionByName(marks, allowMissingColumns=True).withColumn(
-        "_found", F.last("_state", ignorenulls=True).over(in_bucket)
+    inside = (
+        cut(facts)
+        .unionByName(cut(marks), allowMissingColumns=True)
+        .withColumn("_found", F.last("_state", ignorenulls=True).over(so_far))
+        .where(F.col("_rank") == 1)
     )
 
-    # state at the start of each bucket that has facts: one row per key and bucket
-    wanted = facts.select(*part).distinct()
-    ends = marks.groupBy(*part).agg(F.max_by("_state", "_time").alias("_end"))
+    # state at the start of each stretch of a hot key that has facts
+    wanted = cut(facts, only_hot=True).select(*part).distinct()
+    ends = cut(marks, only_hot=True).groupBy(*part).agg(F.max_by("_state", "_time").alias("_end"))
     earlier = (
-        Window.partitionBy("_key").orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_key").orderBy(STRETCH).rangeBetween(Window.unboundedPreceding, -1)
     )
     carried = (
         wanted.withColumn("_wanted", F.lit(True))
@@ -93,8 +99,6 @@ def asof_lookup(
         .select(*part, "_carried")
     )
     found = F.coalesce("_found", "_carried")
-    return (
-        inside.where(F.col("_rank") == 1)
-        .join(carried, part, "left")
-        .select("_row.*", *[found[n].alias(n) for n in values])
+    return inside.join(carried, part, "left").select(
+        "_row.*", *[found[n].alias(n) for n in values]
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators.timeline import (
-    DEFAULT_BUCKET,
+    HOT_ROWS,
     running_totals,
     sliding_sum,
     with_previous,
@@ -78,9 +78,9 @@ def gauge_latest(
 
 
 def counters(
-    est: DataFrame, labels: Sequence[str] = LABELS, bucket_us: int = 24 * HOUR
+    est: DataFrame, labels: Sequence[str] = LABELS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Cumulative energy and carbon per label set at each interval (``est`` is read twice)."""
+    """Cumulative energy and carbon per label set at each interval (``est`` is read more than once)."""
     cumulative = running_totals(
         labelled(est).withColumn("_at", S.micros("interval")),
         keys=labels,
@@ -90,7 +90,7 @@ def counters(
             "_mc_total": milli_carbon(),
         },
         time="_at",
-        bucket_us=bucket_us,
+        hot_rows=hot_rows,
     )
     return cumulative.select(
         "interval",
@@ -196,7 +196,7 @@ def counter_rate(
     order: Sequence[str],
     window_us: int = 5 * MINUTE,
     time: str = "ts_us",
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per-second rate of a counter over the look-back window; a drop is a restart from 0.
 
@@ -204,7 +204,7 @@ def counter_rate(
     of the window.
     """
     seen = with_previous(
-        samples, keys=keys, order=order, values={"_before": value}, time=time, bucket_us=bucket_us
+        samples, keys=keys, order=order, values={"_before": value}, time=time, hot_rows=hot_rows
     )
     now, before = F.col(value), F.col("_before")
     increase = (
@@ -213,7 +213,7 @@ def counter_rate(
     grown = seen.withColumn("increase", increase).drop("_before")
     slid = sliding_sum(
         grown, keys=keys, window_us=window_us, sums={"_in_window": F.col("increase")},
-        time=time, bucket_us=bucket_us,
+        time=time,
     )
     seconds = window_us / S.MICROS
     return slid.withColumn(

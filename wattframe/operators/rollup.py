@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import DEFAULT_BUCKET
+from wattframe.operators.timeline import HOT_ROWS, STRETCH, hot_keys, with_stretch
 
 PROCESS = ("host_id", "pid")
 ORDER = ("ts_us", "event_id")
@@ -162,26 +162,27 @@ def gpu_stats(submits: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
 def exec_segments(
     cpu_events: DataFrame,
     keys: Sequence[str] = PROCESS,
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The CPU statistics of each process since its last exec, with the order bounds that
     make two such rows mergeable (``reset`` is the exec's position, NULL if there was none).
 
     Exec restarts the counters, so only rows from a process's last exec on count.  That
-    needs order, which a plain sum has not; cutting the process into time buckets keeps a
-    busy one spread out: reduce each bucket from its own last exec on, then keep the
-    buckets from the last one with an exec.
+    needs order, which a plain sum has not.  A busy process is cut into stretches of time:
+    each is reduced from its own last exec on, then only the stretches from the last one
+    with an exec are kept.
     """
     is_exec = F.col("event_kind") == "exec"
     position = _order()
-    part = [*keys, "_bucket"]
-    in_bucket = cpu_events.withColumn("_bucket", S.bucket_start("ts_us", bucket_us)).withColumn(
+    part = [*keys, STRETCH]
+    hot = hot_keys(cpu_events, keys, "ts_us", hot_rows)
+    in_stretch = with_stretch(cpu_events, keys, "ts_us", hot).withColumn(
         "_exec", F.max(F.when(is_exec, position)).over(Window.partitionBy(*part))
     )
     switch = F.col("event_kind") == "switch"
     involuntary = S.is_involuntary("prev_state")
-    buckets = (
-        in_bucket.where(F.col("_exec").isNull() | (position >= F.col("_exec")))
+    stretches = (
+        in_stretch.where(F.col("_exec").isNull() | (position >= F.col("_exec")))
         .groupBy(*part)
         .agg(
             F.max("_exec").alias("_exec"),
@@ -197,7 +198,7 @@ def exec_segments(
         .withColumn("reset", F.max("_exec").over(Window.partitionBy(*keys)))
     )
     return (
-        buckets.where(F.col("reset").isNull() | (F.col("last_order") >= F.col("reset")))
+        stretches.where(F.col("reset").isNull() | (F.col("last_order") >= F.col("reset")))
         .groupBy(*keys)
         .agg(
             F.max("reset").alias("reset"),
@@ -244,10 +245,10 @@ def segment_stats(segments: DataFrame, keys: Sequence[str] = PROCESS) -> DataFra
 def cpu_stats_exec_reset(
     cpu_events: DataFrame,
     keys: Sequence[str] = PROCESS,
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """CPU statistics that restart at each exec; a process that just did one shows zeros."""
-    return segment_stats(exec_segments(cpu_events, keys, bucket_us), keys)
+    return segment_stats(exec_segments(cpu_events, keys, hot_rows), keys)
 
 
 def feature_snapshot(
@@ -255,8 +256,8 @@ def feature_snapshot(
 ) -> DataFrame:
     """Full outer join of the three statistics tables, one row per process.
 
-    Each side is one row per key and already partitioned by it, so the joins add no
-    shuffle.  Missing numbers are 0; the name is the CPU side's, else memory's, never the
+    Each side is one row per key and already partitioned by it, so the first join moves
+    nothing; its result, one row per process, moves once for the second.  Missing numbers are 0; the name is the CPU side's, else memory's, never the
     GPU's; only CPU rows carry a time.
     """
     zero = F.lit(0).cast("bigint")

@@ -1,15 +1,17 @@
-"""Ordered operators that do not funnel a key's whole history through one task.
+"""Ordered operators that do not funnel a hot key's history through one task.
 
-A plain ``lag``/running-sum window sorts all rows of a key in one task, so one busy CPU
-or process decides the run time.  Here every key is cut into fixed time buckets:
+A plain ``lag`` or running-sum window sorts all rows of a key in one task, so one busy CPU
+or process decides the run time.  Here the rows per key are counted first (a narrow,
+map-side-combined aggregate).  Keys with few rows are windowed as they are.  A hot key is
+cut into stretches of time:
 
-1. the window runs inside (key, bucket), which spreads a hot key over the cluster;
-2. each (key, bucket) is reduced to one small row by an ordinary aggregate (map-side
-   combined); the state handed to the next bucket comes from a window over those rows;
-3. the carried state is joined back on (key, bucket), the partitioning step 1 already has.
+1. the window runs inside (key, stretch), which spreads the key over the cluster;
+2. each stretch of a hot key is reduced to one small row by an aggregate, and the state
+   handed from one stretch to the next comes from a window over those rows;
+3. that state is joined back on (key, stretch), the partitioning step 1 already has.
 
-Step 2 sees at most ``time range / bucket`` rows per key, whatever the number of events.
-The source is read twice; the second read only takes the key, order and value columns.
+Without hot keys steps 2 and 3 are empty and AQE drops them.  With them the source is read
+again for those keys, key, order and value columns only.
 """
 
 from __future__ import annotations
@@ -21,7 +23,53 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.scalar import MICROS, bucket_start, position
 
+HOT_ROWS = 2_000_000
+BURST = 100
 DEFAULT_BUCKET = 60 * MICROS
+STRETCH = "_stretch"
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], time: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, and the length of the stretches they are cut into.
+
+    There can be no more of them than the table has multiples of ``hot_rows``: half a
+    million in a trillion rows.  Stretches are ``BURST`` times shorter than an even spread
+    would need, so one that is that much denser than the average still fits a task.
+    """
+    stats = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(time).alias("_first"), F.max(time).alias("_last")
+    )
+    pieces = F.ceil(F.col("_rows") * F.lit(float(BURST)) / F.lit(float(hot_rows)))
+    span = F.col("_last") - F.col("_first") + 1
+    step = F.greatest(F.floor(span / pieces), F.lit(1).cast("bigint"))
+    return stats.where(F.col("_rows") > hot_rows).select(*keys, "_first", step.alias("_step"))
+
+
+def with_stretch(
+    df: DataFrame, keys: Sequence[str], time: str, hot: DataFrame, only_hot: bool = False
+) -> DataFrame:
+    """Adds the start of the row's stretch; keys that are not hot have a single one.
+
+    ``hot`` is broadcast, its size is bounded by construction (see :func:`hot_keys`).
+    """
+    marked = df.join(F.broadcast(hot), list(keys), "inner" if only_hot else "left")
+    into = F.col(time) - F.col("_first")
+    start = F.col(time) - F.pmod(into, F.col("_step"))
+    return marked.select(
+        *df.columns, F.coalesce(start, F.lit(0).cast("bigint")).alias(STRETCH)
+    )
+
+
+def _rows_so_far(part: Sequence[str], order: Sequence[str]):
+    return Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _stretches_before(keys: Sequence[str]):
+    return (
+        Window.partitionBy(*keys).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+    )
 
 
 def with_previous(
@@ -30,23 +78,25 @@ def with_previous(
     order: Sequence[str],
     values: Mapping[str, str],
     time: str = "ts_us",
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Adds ``{new name: source column}`` taken from the key's previous row (NULL if none)."""
-    part = [*keys, "_bucket"]
-    staged = df.withColumn("_bucket", bucket_start(time, bucket_us))
-    in_bucket = Window.partitionBy(*part).orderBy(*order)
-    inside = staged.withColumns(
+    part = [*keys, STRETCH]
+    hot = hot_keys(df, keys, time, hot_rows)
+    in_stretch = Window.partitionBy(*part).orderBy(*order)
+    inside = with_stretch(df, keys, time, hot).withColumns(
         {
-            "_nth": F.row_number().over(in_bucket),
-            **{f"_inside_{n}": F.lag(source).over(in_bucket) for n, source in values.items()},
+            "_nth": F.row_number().over(in_stretch),
+            **{f"_inside_{n}": F.lag(source).over(in_stretch) for n, source in values.items()},
         }
     )
     place = position(order)
-    ends = staged.groupBy(*part).agg(
-        *[F.max_by(source, place).alias(f"_end_{n}") for n, source in values.items()]
+    ends = (
+        with_stretch(df, keys, time, hot, only_hot=True)
+        .groupBy(*part)
+        .agg(*[F.max_by(source, place).alias(f"_end_{n}") for n, source in values.items()])
     )
-    per_key = Window.partitionBy(*keys).orderBy("_bucket")
+    per_key = Window.partitionBy(*keys).orderBy(STRETCH)
     carried = ends.select(
         *part, *[F.lag(f"_end_{n}").over(per_key).alias(f"_carried_{n}") for n in values]
     )
@@ -66,37 +116,35 @@ def running_totals(
     at: str,
     sums: Mapping[str, Column],
     time: str,
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running sums per key at each distinct ``at``; ``time`` is ``at`` in microseconds.
 
-    The rows are shuffled once, by (key, bucket): adding up equal times and the running sum
+    The rows are shuffled once, by (key, stretch): adding up equal times and the running sum
     both work on that partitioning.
     """
-    part = [*keys, "_bucket"]
-    staged = df.withColumn("_bucket", bucket_start(time, bucket_us)).select(
-        *part, at, *[value.alias(f"_in_{n}") for n, value in sums.items()]
-    )
+    part = [*keys, STRETCH]
+    rows = df.select(*keys, at, time, *[v.alias(f"_in_{n}") for n, v in sums.items()])
+    hot = hot_keys(rows, keys, time, hot_rows)
+    add_up = [F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums]
     points = (
-        staged.repartition(*part)
-        .groupBy(*part, at)
-        .agg(*[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums])
+        with_stretch(rows, keys, time, hot).repartition(*part).groupBy(*part, at).agg(*add_up)
     )
-    so_far = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _rows_so_far(part, [at])
     inside = points.select(
         *part, at, *[F.sum(f"_in_{n}").over(so_far).alias(f"_at_{n}") for n in sums]
     )
-    before = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = _stretches_before(keys)
     carried = (
-        staged.groupBy(*part)
-        .agg(*[F.sum(f"_in_{n}").alias(f"_end_{n}") for n in sums])
-        .select(*part, *[F.sum(f"_end_{n}").over(before).alias(f"_from_{n}") for n in sums])
+        with_stretch(rows, keys, time, hot, only_hot=True)
+        .groupBy(*part)
+        .agg(*add_up)
+        .select(*part, *[F.sum(f"_in_{n}").over(before).alias(f"_from_{n}") for n in sums])
     )
     zero = F.lit(0)
     return inside.join(carried, part, "left").select(
-        *keys, at,
+        *keys,
+        at,
         *[(F.col(f"_at_{n}") + F.coalesce(f"_from_{n}", zero)).alias(n) for n in sums],
     )
 
@@ -109,47 +157,43 @@ def running_since(
     reset: Column,
     name: str,
     time: str = "ts_us",
-    bucket_us: int = DEFAULT_BUCKET,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Running sum per key that starts again at each reset row (the row itself included).
+    """Running sum per key that starts again at each reset row (the row itself included)."""
+    part = [*keys, STRETCH]
+    hot = hot_keys(df, keys, time, hot_rows)
+    so_far = _rows_so_far(part, order)
 
-    The carried state depends on the order inside a bucket, so here it is taken from the
-    windowed rows.  Keep ``df`` narrow: with the same columns on both sides Spark shuffles
-    the rows once and reuses the exchange.
-    """
-    part = [*keys, "_bucket"]
-    so_far = (
-        Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    staged = df.withColumns(
-        {"_bucket": bucket_start(time, bucket_us), "_value": value, "_reset": reset}
-    )
-    summed = staged.withColumn("_sum", F.sum("_value").over(so_far))
-    before_reset = F.when(F.col("_reset"), F.col("_sum") - F.col("_value"))
-    inside = summed.withColumn(
-        "_base", F.last(before_reset, ignorenulls=True).over(so_far)
-    ).withColumn("_since", F.col("_sum") - F.coalesce("_base", F.lit(0)))
+    def since_reset(rows: DataFrame) -> DataFrame:
+        summed = rows.withColumns({"_value": value, "_reset": reset}).withColumn(
+            "_sum", F.sum("_value").over(so_far)
+        )
+        at_reset = F.when(F.col("_reset"), F.col("_sum") - F.col("_value"))
+        return summed.withColumn(
+            "_base", F.last(at_reset, ignorenulls=True).over(so_far)
+        ).withColumn("_since", F.col("_sum") - F.coalesce("_base", F.lit(0)))
 
-    place = position(order)
-    ends = inside.groupBy(*part).agg(
-        F.max_by("_since", place).alias("_end"), F.max("_reset").alias("_had_reset")
-    )
-    up_to = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    inside = since_reset(with_stretch(df, keys, time, hot))
+    ends = (
+        since_reset(with_stretch(df, keys, time, hot, only_hot=True))
+        .groupBy(*part)
+        .agg(
+            F.max_by("_since", position(order)).alias("_end"),
+            F.max("_reset").alias("_had_reset"),
+        )
     )
+    up_to = _rows_so_far(keys, [STRETCH])
     total = ends.withColumn("_total", F.sum("_end").over(up_to))
-    base = F.last(
-        F.when(F.col("_had_reset"), F.col("_total") - F.col("_end")), ignorenulls=True
-    ).over(up_to)
-    carried = total.withColumn("_state", F.col("_total") - F.coalesce(base, F.lit(0))).select(
-        *part, F.lag("_state").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_from")
+    at_reset = F.when(F.col("_had_reset"), F.col("_total") - F.col("_end"))
+    base = F.last(at_reset, ignorenulls=True).over(up_to)
+    state = total.withColumn("_state", F.col("_total") - F.coalesce(base, F.lit(0)))
+    carried = state.select(
+        *part, F.lag("_state").over(Window.partitionBy(*keys).orderBy(STRETCH)).alias("_from")
     )
     started = F.col("_base").isNotNull()
+    before = F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
     return inside.join(carried, part, "left").select(
-        *df.columns,
-        (
-            F.col("_since") + F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
-        ).alias(name),
+        *df.columns, (F.col("_since") + before).alias(name)
     )
 
 

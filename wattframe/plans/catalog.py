@@ -185,6 +185,7 @@ def container_asof(spark, sf_dir):
         A.process_containers(spark, sf_dir),
         spread=["event_id"],
     )
+    located = stored(located, "located")
     named = containers.enrich_asof(located, fixture.inventory_history(spark, sf_dir))
     return named.select("event_id", "ts", "host_id", "pid", "container_id", "container_name")
 

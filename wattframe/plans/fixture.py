@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,31 +217,39 @@ _TYPE_NUMBERS = {kind: n for kinds in EVENT_KINDS.values() for n, kind in kinds.
 
 def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     layouts = {probe: layout.newbyteorder("<") for probe, layout in LAYOUTS.items()}
+    widest = max(layout.itemsize for layout in layouts.values())
     for batch in stream:
         columns = {
             name: batch.column(name).to_numpy(zero_copy_only=False)
             for name in ("ts_us", "pid", "tgid", "cpu_id", "delta_ns", "prev_state", "error_code")
         }
         columns["timestamp_ns"] = columns.pop("ts_us") * 1000
-        columns["comm"] = np.array([c.encode() for c in batch.column("comm").to_pylist()], "S16")
-        kinds = batch.column("event_kind").to_pylist()
-        columns["event_type"] = np.array([_TYPE_NUMBERS[k] for k in kinds], np.int64)
-        probes = np.array(batch.column("probe").to_pylist())
-        data = np.empty(len(probes), object)
+        columns["comm"] = np.array(batch.column("comm").cast(pa.binary()).to_pylist(), "S16")
+        kinds = batch.column("event_kind")
+        columns["event_type"] = np.zeros(len(kinds), np.int64)
+        for kind, number in _TYPE_NUMBERS.items():
+            columns["event_type"][pc.equal(kinds, kind).to_numpy(zero_copy_only=False)] = number
+        padded = np.zeros((len(kinds), widest), np.uint8)
+        sizes = np.zeros(len(kinds), np.int64)
         for probe, layout in layouts.items():
-            (at,) = np.nonzero(probes == probe)
-            rows = np.zeros(len(at), layout)
+            at = pc.equal(batch.column("probe"), probe).to_numpy(zero_copy_only=False)
+            rows = np.zeros(at.sum(), layout)
             for name in layout.names:
                 if name in columns:
                     rows[name] = columns[name][at]
-            packed, width = rows.tobytes(), layout.itemsize
-            data[at] = [packed[i * width : (i + 1) * width] for i in range(len(at))]
+            padded[at, : layout.itemsize] = rows.view(np.uint8).reshape(len(rows), layout.itemsize)
+            sizes[at] = layout.itemsize
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        packed = padded[np.arange(widest) < sizes[:, None]]
+        data = pa.Array.from_buffers(
+            pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+        )
         yield pa.RecordBatch.from_pydict(
             {
                 "host_id": batch.column("host_id"),
                 "event_id": batch.column("event_id"),
                 "probe": batch.column("probe"),
-                "data": pa.array(data.tolist(), pa.binary()),
+                "data": data,
             }
         )
 

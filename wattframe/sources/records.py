@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,17 +69,25 @@ def _read(column: pa.Array, layout: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(offsets)
     data = column.buffers()[2]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    at = np.arange(layout.itemsize)
-    inside = at[None, :] < lengths[:, None]
-    padded = np.zeros((len(lengths), layout.itemsize), np.uint8)
-    padded[inside] = raw[(offsets[:-1, None] + at[None, :])[inside]]
-    return lengths, padded.view(layout).ravel()
+    width = layout.itemsize
+    raw = np.concatenate([raw, np.zeros(width, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(raw, width)[offsets[:-1]]
+    (short,) = np.nonzero(lengths < width)
+    rows[short] *= np.arange(width) < lengths[short, None]
+    return lengths, rows.view(layout).ravel()
 
 
 def _names(raw: np.ndarray, present: np.ndarray) -> pa.Array:
     """Process names; :func:`~wattframe.functions.scalar.nul_cut` ends them at the first NUL."""
-    text = [r.decode("utf-8", "replace") if ok else "" for r, ok in zip(raw.tolist(), present)]
-    return pa.array(text, pa.string())
+    names = pa.array(np.where(present, raw, b"").tolist(), pa.binary())
+    try:
+        return names.cast(pa.string())
+    except pa.ArrowInvalid:  # some name is not UTF-8
+        return pa.array([n.decode("utf-8", "replace") for n in names.to_pylist()], pa.string())
+
+
+def _equal(column: pa.Array, value: str) -> np.ndarray:
+    return pc.fill_null(pc.equal(column, value), False).to_numpy(zero_copy_only=False)
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -89,10 +98,12 @@ def _vector_decoder(byteorder: str, strict: bool, keep: Sequence[str]) -> Callab
 
     def decode(stream: Batches) -> Batches:
         for batch in stream:
-            probe = np.asarray(batch.column("probe").to_pylist(), dtype=object)
             lengths, rows = _read(batch.column("data"), layout)
             readable = lengths >= MIN_HEADER
-            whole = {p: (probe == p) & (lengths >= size) for p, size in MIN_PAYLOAD.items()}
+            whole = {
+                probe: _equal(batch.column("probe"), probe) & (lengths >= size)
+                for probe, size in MIN_PAYLOAD.items()
+            }
             payload = np.logical_or.reduce(list(whole.values()))
             number = lambda field, ok: np.where(ok, rows[field], 0).astype(np.int64)
             out = {

@@ -257,8 +257,9 @@ def feature_snapshot(
     """Full outer join of the three statistics tables, one row per process.
 
     Each side is one row per key and already partitioned by it, so the first join moves
-    nothing; its result, one row per process, moves once for the second.  Missing numbers are 0; the name is the CPU side's, else memory's, never the
-    GPU's; only CPU rows carry a time.
+    nothing; its result, one row per process, moves once for the second.  Missing numbers
+    are 0; the name is the CPU side's, else memory's, never the GPU's; only CPU rows carry a
+    time.
     """
     zero = F.lit(0).cast("bigint")
     c = cpu.withColumnRenamed("comm", "_cpu_comm")

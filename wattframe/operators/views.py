@@ -14,12 +14,21 @@ from wattframe.operators.metrics import grams, labelled, milli_carbon, total_nj
 PROCESS_NAME = ("host_id", "pid", "comm")
 
 
-def by(est: DataFrame, keys: Sequence[str], column: str = "energy_nj", name: str = "energy_joules") -> DataFrame:
+def by(
+    est: DataFrame,
+    keys: Sequence[str],
+    column: str = "energy_nj",
+    name: str = "energy_joules",
+) -> DataFrame:
     """Summed energy by any set of labels."""
     return labelled(est).groupBy(*keys).agg(S.joules(total_nj(column)).alias(name))
 
 
-def system_summary(est: DataFrame, interval: Sequence[str] = ("interval",), window_seconds: float = fixed.WINDOW_SECONDS) -> DataFrame:
+def system_summary(
+    est: DataFrame,
+    interval: Sequence[str] = ("interval",),
+    window_seconds: float = fixed.WINDOW_SECONDS,
+) -> DataFrame:
     """Totals, counts and mean confidence per interval."""
     energy = S.joules(total_nj("energy_nj"))
     return est.groupBy(*interval).agg(

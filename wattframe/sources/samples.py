@@ -9,11 +9,11 @@ from wattframe.operators import metrics
 
 
 def write_samples(est: DataFrame, path: str, with_counters: bool = True) -> None:
-    """Rows are grouped by metric and day before writing, with a few random slices each, so
-    a busy metric is written by several tasks and the file count stays bounded."""
+    """Rows are brought together by metric and day.  Rebalancing lets AQE split a metric and
+    day that is too large for one file and merge small ones, both to the advisory size."""
     rows = metrics.samples(est, with_counters).withColumn("day", F.to_date("interval"))
-    sliced = rows.repartition("metric", "day", F.pmod(F.xxhash64("host_id", "pid"), F.lit(8)))
-    sliced.write.mode("overwrite").partitionBy("metric", "day").parquet(path)
+    balanced = rows.hint("rebalance", "metric", "day")
+    balanced.write.mode("overwrite").partitionBy("metric", "day").parquet(path)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

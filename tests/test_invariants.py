@@ -67,3 +67,12 @@ def test_samples_have_every_series_of_every_process(est):
     intervals = est.select("interval").distinct().count()
     assert counts[metrics.PROCESS_GAUGE] == intervals
     assert counts[f"{metrics.HISTOGRAM}_bucket"] == 10 * intervals
+
+
+def test_sample_table_by_metric_and_day(spark, est, folder):
+    from wattframe.sources import samples
+
+    samples.write_samples(est, f"{folder}/samples", by=("metric", "day"))
+    table = samples.read_samples(spark, f"{folder}/samples")
+    assert table.count() == metrics.samples(est).count()
+    assert table.where(F.col("day") != F.to_date("interval")).count() == 0

@@ -157,11 +157,12 @@ def test_cpu_slices_guard(spark):
 
 
 def test_counter_rate_restarts(spark):
-    rows = [(0, 0, 1, 10), (0, 1_000_000, 2, 25), (0, 2_000_000, 3, 5), (0, 3_000_000, 4, 5), (0, 90_000_000, 5, 11)]
+    rows = [(0, 0, 1, 10), (0, 1_000_000, 2, 25), (0, 2_000_000, 3, 5), (0, 2_500_000, 4, 7),
+            (0, 3_000_000, 5, 7), (0, 90_000_000, 6, 13)]
     df = spark.createDataFrame(rows, "k bigint, ts_us bigint, event_id bigint, c bigint")
     got = metrics.counter_rate(df, "c", ["k"], ["ts_us", "event_id"], window_us=metrics.MINUTE)
-    seen = {r.event_id: (r.increase, r.rate_per_second) for r in got.collect()}
-    assert seen == {1: (0, 0.0), 2: (15, 0.25), 3: (5, 20 / 60), 4: (0, 20 / 60), 5: (6, 0.1)}
+    seen = [(r.ts.second + 60 * r.ts.minute, r.c, r.increase, r.rate_per_second) for r in got.orderBy("ts").collect()]
+    assert seen == [(0, 10, 0, 0.0), (1, 25, 15, 0.25), (2, 7, 7, 22 / 60), (3, 7, 0, 22 / 60), (90, 13, 6, 0.1)]
 
 
 def test_lookup_join_matches_plain_join(spark):

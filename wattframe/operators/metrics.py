@@ -195,13 +195,15 @@ def counter_rate(
     keys: Sequence[str],
     order: Sequence[str],
     window_us: int = 5 * MINUTE,
+    step_us: int = S.MICROS,
     time: str = "ts_us",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per-second rate of a counter over the look-back window; a drop is a restart from 0.
+    """Per-second rate of a counter over the look-back window, at each step with samples.
 
-    Increases are attributed to the sample that shows them.  No extrapolation to the edges
-    of the window.
+    A drop is a restart from 0; the first sample of a series shows no increase.  Increases
+    are attributed to the sample that shows them, without extrapolation to the edges of the
+    window, and added up per step before the window looks back over them.
     """
     seen = with_previous(
         samples, keys=keys, order=order, values={"_before": value}, time=time, hot_rows=hot_rows
@@ -210,15 +212,21 @@ def counter_rate(
     increase = (
         F.when(before.isNull(), F.lit(0).cast("bigint")).when(now < before, now).otherwise(now - before)
     )
-    grown = seen.withColumn("increase", increase).drop("_before")
+    steps = seen.groupBy(*keys, S.bucket_start(time, step_us).alias("step_us")).agg(
+        F.max_by(now, S.position(order)).alias(value), F.sum(increase).alias("increase")
+    )
     slid = sliding_sum(
-        grown, keys=keys, window_us=window_us, sums={"_in_window": F.col("increase")},
-        time=time,
+        steps, keys=keys, window_us=window_us, sums={"_in_window": F.col("increase")},
+        time="step_us",
+    )
+    seconds = F.lit(float(window_us / S.MICROS))
+    return slid.select(
+        *keys,
+        F.timestamp_micros("step_us").cast("timestamp_ntz").alias("ts"),
+        value,
+        "increase",
+        (F.col("_in_window").cast("double") / seconds).alias("rate_per_second"),
     )
-    seconds = window_us / S.MICROS
-    return slid.withColumn(
-        "rate_per_second", F.col("_in_window").cast("double") / F.lit(float(seconds))
-    ).drop("_in_window")
 
 
 def samples(est: DataFrame, with_counters: bool = True) -> DataFrame:

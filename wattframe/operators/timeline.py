@@ -212,8 +212,10 @@ def sliding_sum(
     Instead each value enters at its time and leaves one window later, and a running sum
     over entries and exits is the sum inside the window.
 
-    Buckets are at least two windows wide, so a value can only matter to its own bucket and
-    the next one.  Only the entry in the own bucket carries the row's columns.
+    Time is cut into buckets at least two windows wide, so a value can only matter to its
+    own bucket and the next one, and one pass is enough.  Only the entry in the own bucket
+    carries the row's columns.  Callers reduce rows to one per key and step first, which
+    bounds what a bucket can hold, however many events there are.
     """
     width = max(int(bucket_us), 2 * int(window_us))
     at = F.col(time)

@@ -366,9 +366,9 @@ def faults_per_min(spark, sf_dir):
 
 def _rate(spark, sf_dir, window_us):
     exported = stored(A.counter_samples(spark, sf_dir), "counter")
-    rate = metrics.counter_rate(exported, "counter_ns", rollup.PROCESS, rollup.ORDER, window_us)
-    ts = F.timestamp_micros("ts_us").cast("timestamp_ntz")
-    return rate.withColumn("ts", ts).drop("ts_us")
+    return metrics.counter_rate(
+        exported, "counter_ns", rollup.PROCESS, rollup.ORDER, window_us
+    )
 
 
 @query

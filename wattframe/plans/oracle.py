@@ -218,7 +218,7 @@ SELECT "interval", host_id, pid, comm, container_id, container_name,
 FROM labelled WINDOW w AS (PARTITION BY host_id, pid, comm, container_id, container_name ORDER BY "interval"
   ROWS UNBOUNDED PRECEDING)""",
     "counter": """
-SELECT event_id, ts, ts_us, host_id, pid, CAST(sum(delta_ns) OVER (PARTITION BY host_id, pid, seg ORDER BY ts, event_id
+SELECT event_id, ts, ts_us, pos, host_id, pid, CAST(sum(delta_ns) OVER (PARTITION BY host_id, pid, seg ORDER BY ts, event_id
   ROWS UNBOUNDED PRECEDING) AS BIGINT) AS counter_ns
 FROM (SELECT *, count(*) FILTER (WHERE event_kind = 'exec') OVER (PARTITION BY host_id, pid ORDER BY ts, event_id
   ROWS UNBOUNDED PRECEDING) AS seg FROM tele WHERE probe = 'cpu') s""",
@@ -282,10 +282,11 @@ _SCORED_EXTRA = """energy_joules / CAST(1 AS DOUBLE) AS power_watts, energy_joul
 
 def _rate(window_us: int) -> str:
     return sql(f"""
-SELECT event_id, ts, host_id, pid, counter_ns, increase,
-  CAST(sum(increase) OVER (PARTITION BY host_id, pid ORDER BY ts_us
+SELECT host_id, pid, make_timestamp(step) AS ts, counter_ns, increase,
+  CAST(sum(increase) OVER (PARTITION BY host_id, pid ORDER BY step
     RANGE BETWEEN {window_us - 1} PRECEDING AND CURRENT ROW) AS DOUBLE) / {window_us / 1e6:.1f}::DOUBLE AS rate_per_second
-FROM grown""")
+FROM (SELECT host_id, pid, ts_us - ts_us % 1000000 AS step, arg_max(counter_ns, pos) AS counter_ns,
+        CAST(sum(increase) AS BIGINT) AS increase FROM grown GROUP BY 1, 2, 3) s""")
 
 
 _EXEC_RESET = sql("SELECT * FROM cpu_reset")

@@ -192,14 +192,17 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> dict | None:
     """
     spark = docs.sparkSession
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    order = Window.partitionBy("lang").orderBy(mark, "doc_id")
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = (
-        usable.select("doc_id", "lang")
-        .distinct()
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= settings.per_language)
-    )
+    marked = usable.select("doc_id", "lang", mark.alias("mark")).distinct()
+    # first per language and first digit of the hash, so that a language never meets whole
+    few = Window.partitionBy("lang", F.substring("mark", 1, 1)).orderBy("mark", "doc_id")
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    chosen = marked
+    for window in (few, order):
+        chosen = chosen.withColumn("rank", F.row_number().over(window)).filter(
+            F.col("rank") <= settings.per_language
+        )
+    chosen = chosen.drop("mark")
     texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     schema = "doc_id long, lang string, rank int, buckets array<int>, counts array<int>"
 

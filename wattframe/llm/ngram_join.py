@@ -26,9 +26,12 @@ from pyspark.sql import functions as F
 from wattframe.llm.graph import Union, components
 from wattframe.session import stored
 
-WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.99999, 8
+WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.99999, 6
 #: Windows of the classes in a cell; a task holds two cells.
-CELL = 1_000_000
+CELL = 200_000
+#: Classes in candidate groups up to which their ids are broadcast to the texts (24 bytes each);
+#: with more of them texts and ids are shuffled.
+BROADCAST_ROWS = 2_000_000
 #: Bytes of text hashed at once; a longer text is taken alone.
 STEP = 1 << 21
 
@@ -175,17 +178,33 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Edges (a, b) between classes that share a band hash: each to the least one of the hash."""
+    """Edges (a, b) between classes that share a band hash: each to the first one of the hash.
+
+    Classes are shuffled once on their band hashes and read in order; a hash that many share
+    is passed through row by row and never held.
+    """
     # the number of the band is part of its hash, so equal hashes mean equal bands
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    shared = (
-        keyed.groupBy("key")
-        .agg(F.min("node").alias("a"), F.max("node").alias("z"))
-        .filter("a <> z")
-        .select("key", "a")
-    )
-    met = keyed.join(shared, "key").filter("node <> a")
-    return met.select("a", F.col("node").alias("b")).distinct()
+    keyed = classes.select(F.explode("bands").alias("key"), "node")
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.append(True, keys[1:] != keys[:-1])
+            if key is not None and keys[0] == key:
+                new[0] = False
+            run_of = np.cumsum(new)
+            heads = np.append(first if first is not None else 0, nodes[new])
+            head = heads[run_of]
+            key, first = keys[-1], head[-1]
+            edge = np.flatnonzero(head != nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(head[edge]), pa.array(nodes[edge])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray], left: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -235,10 +254,11 @@ def verified(docs: DataFrame, members: DataFrame, similarity: float) -> DataFram
     texts = docs.select(
         F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_node"), F.col("text").cast("binary").alias("data")
     )
-    held = members.select("node", "first_id").join(
-        texts, (F.col("node") == F.col("_node")) & F.col("first_id").eqNullSafe(F.col("_id"))
-    )
-    held = held.select("node", "data")
+    ids = members.select("node", "first_id")
+    if members.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    same = (F.col("node") == F.col("_node")) & F.col("first_id").eqNullSafe(F.col("_id"))
+    held = texts.join(ids, same).select("node", "data")
     rows = paired.select("root", "low", "high", "cell", "node", "copies").join(held, "node")
     keys = ["root", "low", "high"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

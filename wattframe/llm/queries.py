@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import extract, langid, mixing, ngram_join, pii, quality, sharding, vector_join
+from wattframe.llm import (
+    extract,
+    langid,
+    mixing,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    sharding,
+    vector_join,
+)
 from wattframe.llm.common import table
 
 
@@ -43,6 +53,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -54,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_html_extraction,
         op7_language_id,
         op8_pii,
+        op9_lexical_packing,
     )
 }

@@ -15,6 +15,7 @@ from wattframe.llm import (
     pii,
     quality,
     sharding,
+    suffix_dedup,
     vector_join,
 )
 from wattframe.llm.common import table
@@ -57,6 +58,10 @@ def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -69,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_language_id,
         op8_pii,
         op9_lexical_packing,
+        op10_suffix_array_dedup,
     )
 }

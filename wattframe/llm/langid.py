@@ -267,10 +267,15 @@ def scores(
     return sums / np.maximum(total, 1)[:, None] + bias, lettered
 
 
-def predict(docs: DataFrame, model: dict | None, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` (any columns, with ``text``) with ``lang_pred`` and ``score`` added."""
+def predict(
+    docs: DataFrame,
+    model: dict | None,
+    settings: Settings = Settings(),
+    names_added: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``docs`` (any columns, with ``text``) with the language and its probability added."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"{_ddl(docs)}, lang_pred string, score double"
+    schema = f"{_ddl(docs)}, `{names_added[0]}` string, `{names_added[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = loaded(shared.value, settings) if shared.value else None
@@ -289,7 +294,7 @@ def predict(docs: DataFrame, model: dict | None, settings: Settings = Settings()
             added = [pa.array(names, pa.string()), pa.array(best, pa.float64())]
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(
-                [c for _, c in kept] + added, [n for n, _ in kept] + ["lang_pred", "score"]
+                [c for _, c in kept] + added, [n for n, _ in kept] + list(names_added)
             )
 
     return docs.mapInArrow(run, schema)

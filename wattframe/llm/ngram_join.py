@@ -348,9 +348,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """``docs`` less every document but one of each class; of rows that repeat one stays."""
     judged = near_duplicates(docs, similarity, recall).filter("kept")
-    per_id = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    left = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    single = left.filter("_rows = 1").drop("_rows")
-    several = left.filter("_rows > 1 and doc_id is not null").drop("_rows").dropDuplicates(["doc_id"])
-    unnamed = left.filter("_rows > 1 and doc_id is null").drop("_rows").dropDuplicates(["text"])
+    per_id = stored(judged.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows")), "kept")
+    if per_id.count() <= BROADCAST_ROWS:
+        per_id = F.broadcast(per_id)
+    left = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
+    single = left.filter("_kept_rows = 1").drop("_kept_rows")
+    several = left.filter("_kept_rows > 1 and doc_id is not null").drop("_kept_rows").dropDuplicates(["doc_id"])
+    # rows without an id are kept one by one, but for those of one text
+    unnamed = left.filter("_kept_rows > 1 and doc_id is null").drop("_kept_rows").dropDuplicates(["text"])
     return single.unionByName(several).unionByName(unnamed)

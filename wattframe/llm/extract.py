@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wattframe.llm.common import small
+
 # Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe svg math".split())
@@ -286,7 +288,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its length of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [main_text(x) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.llm.common import small
+
 UNKNOWN = "und"
 
 
@@ -45,7 +47,7 @@ class Settings:
 
 
 #: Codes per step of the vector work; bounds its memory whatever the length of a text.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @functools.cache
@@ -207,7 +209,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> dict | None:
     schema = "doc_id long, lang string, rank int, buckets array<int>, counts array<int>"
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for row in batch.to_pylist():
                 bucket, count = counts(row.pop("text"), settings)
                 row |= {"buckets": bucket.tolist(), "counts": count.tolist()}
@@ -279,7 +281,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = loaded(shared.value, settings) if shared.value else None
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for group in groups(texts) if parts else ():

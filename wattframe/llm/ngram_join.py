@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.llm.common import small
 from wattframe.llm.graph import Union, components
 from wattframe.session import stored
 
@@ -33,7 +34,7 @@ CELL = 200_000
 #: with more of them texts and ids are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Bytes of text hashed at once; a longer text is taken alone.
-STEP = 1 << 21
+STEP = 1 << 19
 
 BREAKS = np.zeros(256, bool)
 BREAKS[[32, 9, 10, 11, 12, 13]] = True
@@ -140,7 +141,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [x or b"" for x in batch.column("data").to_pylist()]
             for first, last in groups(texts):
                 hashes, offsets, n_words = windows(texts[first:last])

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.llm.common import small
 from wattframe.session import stored
 
 WINDOW = 1024
@@ -72,7 +73,7 @@ def tokenised(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             tokens, crcs, tails = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = np.append(encode(text or ""), np.uint32(0)).astype("<u4")

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wattframe.llm.common import small
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "short_card", "ssn")
 KINDS = BASE + ADDED
@@ -152,7 +154,7 @@ def detect(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [find(t) for t in batch.column("text").to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in x) for x in found], pa.int64()) for k in BASE]
             digests = [hashlib.sha256(describe(x, BASE).encode()).hexdigest() for x in found]
@@ -172,7 +174,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars`` counted anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column("text").to_pylist()
             found = [find(t) for t in texts]
             masked = [mask(t, s) for t, s in zip(texts, found)]

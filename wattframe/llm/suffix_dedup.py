@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.llm.common import small
 from wattframe.llm.ngram_join import constants, mixed, powers
 from wattframe.session import stored
 
 LENGTH, ANCHOR = 100, 32
 #: Starts handled at once, suffixes of a shard and of a task.
-STEP, SHARD, TASK = 1 << 20, 1 << 15, 1 << 18
+STEP, SHARD, TASK = 1 << 18, 1 << 15, 1 << 18
 #: Different contexts of one anchor above which its strings are dealt over several tasks.
 CROWD = 20_000
 #: Texts with copies, or rows of places, up to which a side is broadcast; beyond it is shuffled.
@@ -111,7 +112,7 @@ def anchored(texts: DataFrame, length: int, anchor: int) -> DataFrame:
     names = ["anchor", "context", "ord", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             order = batch.column("ord").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy(zero_copy_only=False)
             for group in segments(batch.column("data").to_pylist(), length):
@@ -369,7 +370,7 @@ def cut_out(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
     schema = "anchor long, part long, ord long, place long, data binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 out = []
@@ -419,7 +420,7 @@ def removed(docs: DataFrame, length: int) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             ids = batch.column("doc_id").to_pylist()
             copy = batch.column("copy").to_pylist()

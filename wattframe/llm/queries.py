@@ -39,7 +39,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_time")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,87 @@
-"""The same results in DuckDB's SQL, for the queries that SQL can express."""
+"""The same results in DuckDB's SQL, for the queries that SQL can express.
+
+Sharding needs a checksum that SQL lacks; quality rules, language id, packing, page extraction,
+personal data and the byte-wise removal of passages have no SQL that ends on whole tables.
+Their tests hold them against plain Python instead.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_SIZE = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+
+NEAR_TEXTS = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(w) < 5 THEN [w] ELSE
+    list_transform(range(1, len(w) - 3), lambda i: w[i : i + 4]) END) AS g
+  FROM words WHERE len(w) > 0
+), sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+shared AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+), links AS (
+  SELECT x, y FROM shared JOIN sizes s ON s.r = x JOIN sizes t ON t.r = y WHERE 10 * k >= 8 * (s.n + t.n - k)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (SELECT x, min(doc_id) AS m FROM reach JOIN words ON words.r = y GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_links, least(doc_id, coalesce(m, doc_id)) AS class_id,
+       least(doc_id, coalesce(m, doc_id)) = doc_id AS kept
+FROM words LEFT JOIN least ON least.x = r LEFT JOIN counts ON counts.x = r
+"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), least AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+       least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
+"""
+
+MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, {_SIZE} AS size, source, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, (1.5 * sum(source_size::DOUBLE) OVER ()
+             - 2.0 * coalesce(sum(source_size::DOUBLE) OVER (ORDER BY source_size / weight, source NULLS LAST
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+            / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources
+), plan AS (
+  SELECT source, source_size, least(2.0 * source_size::DOUBLE, max(level) OVER () * weight) AS target FROM levels
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
+), drawn AS (
+  SELECT doc_id, size, source_size, target, before,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+  FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (CASE WHEN size > 0 THEN size * (whole + CASE WHEN 2 * before + size < 2 * (target - whole * source_size)
+        THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
+FROM drawn
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": NEAR_TEXTS,
+    "op3_embedding_near_dedup": NEAR_VECTORS,
+    "op5_source_mixing": MIXING,
+}

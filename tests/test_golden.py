@@ -129,10 +129,12 @@ def test_container_id_patterns(spark):
 
 
 def test_memory_limit_text(spark):
-    rows = [("max",), (" max\n",), ("9223372036854771712",), ("1024\n",), ("12x",), ("",)]
+    rows = [("max",), (" max\n",), ("9223372036854771712",), ("1024\n",), ("12x",), ("",),
+            ("-1",), ("+5",), ("18446744073709551615",), ("18446744073709551616",)]
     df = spark.createDataFrame([(0, i, t[0]) for i, t in enumerate(rows)], "host_id bigint, pid bigint, mem_limit_text string")
     got = [(r.limit_bytes, r.parse_error) for r in containers.memory_limits(df).orderBy("pid").collect()]
-    assert got == [(0, False), (0, False), (0, False), (1024, False), (0, True), (0, True)]
+    assert got == [(0, False), (0, False), (0, False), (1024, False), (12, False), (None, True), (None, True), (None, True),
+                   (2**64 - 1, False), (None, True)]
 
 
 def test_inventory_rows(spark):
@@ -209,3 +211,8 @@ def test_region_default(spark):
     for table in (None, energy.regions(spark)):
         got = {r.pid: r.intensity for r in energy.with_intensity(df, table).collect()}
         assert got == {1: 50.0, 2: fixed.DEFAULT_INTENSITY, 3: fixed.DEFAULT_INTENSITY}
+
+
+def test_unreadable_inventory_is_reported(spark):
+    df = spark.createDataFrame([(1, '[{"Id":"a"}]'), (2, '[{"Id":"b"'), (3, "")], "n int, doc string")
+    assert sorted(r.n for r in containers.unreadable_inventories(df).collect()) == [2, 3]

@@ -114,3 +114,17 @@ def test_fallback_rules(spark):
     got = {r.pid: (r.confidence, r.model_version) for r in energy.estimate(df, A.REFERENCE_MODEL, up).collect()}
     assert got == {1: (0.85, "1.0.0-synthetic"), 2: (0.3, "heuristic"), 3: (0.3, "heuristic"), 4: (0.3, "heuristic")}
     assert {r.confidence for r in energy.estimate(df).collect()} == {0.3}
+
+
+def test_constant_target(spark):
+    df = spark.createDataFrame([(5.0, 5.0, 4.0), (5.0, 5.0, 6.0)], "a double, met double, missed double")
+    assert model.quality(df, "a", "met").first().r2_score == 1.0
+    assert model.quality(df, "a", "missed").first().r2_score == 0.0
+
+
+def test_constant_features_leave_the_mean(data):
+    flat = data.withColumns({f: F.lit(3.0) for f in fixed.FEATURES})
+    fitted = model.fit(flat)
+    assert fitted.intercept == pytest.approx(data.agg(F.avg(fixed.TARGET)).first()[0])
+    assert set(fitted.coefficients) == {0.0}
+    assert fitted.predict(flat).select("energy_joules").distinct().count() == 1

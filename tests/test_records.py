@@ -55,12 +55,12 @@ def test_short_records(spark):
     full = cpu(1, 2, 3, b"x", 4)
     rows = [("cpu", full[:15]), ("cpu", full[:16]), ("cpu", full[:55]), ("cpu", full[:56]),
             ("mem", full[:39]), ("mem", full[:40]), ("gpu", full[:40]), ("other", full), ("cpu", b"")]
-    loose = decode_records(frame(spark, rows), strict=False).collect()
+    loose = decode_records(frame(spark, rows)).collect()
     assert [(r.pid, r.ctx_switches, r.minor_faults, r.gpu_jobs_submitted, r.malformed) for r in loose] == [
         (0, 0, 0, 0, True), (2, 0, 0, 0, True), (2, 0, 0, 0, True), (2, 1, 0, 0, False),
         (2, 0, 0, 0, True), (2, 0, 1, 0, False), (2, 0, 0, 1, False), (2, 0, 0, 0, True), (0, 0, 0, 0, True)]
     assert loose[2].comm == "" and loose[3].cpu_time_ns == 4
-    assert decode_records(frame(spark, rows)).count() == 7
+    assert decode_records(frame(spark, rows), strict=True).count() == 7
 
 
 def test_bad_utf8_and_big_endian(spark):
@@ -80,7 +80,10 @@ def test_full_events(spark):
     big = 2**64 - 1
     mem = struct.pack(LAYOUTS["mem"][0], 7_001, 2, 3, 3, 5, b"m\0x", big, 1, 2**63, 4, 9)
     rows = [("mem", mem), ("mem", mem[:79]), ("cpu", cpu(1, 2, 3, b"c", 4))]
-    (r,) = decode_events(frame(spark, rows), "mem").collect()
+    rows += [("mem", mem[:40]), ("mem", mem[:39])]
+    got = decode_events(frame(spark, rows), "mem").orderBy("malformed", "partial").collect()
+    assert [(x.malformed, x.partial) for x in got] == [(False, False), (False, True), (False, True), (True, False)]
+    r = got[0]
     assert (r.timestamp_ns, r.pid, r.tgid, r.cpu_id, r.comm, r.event_kind) == (7_001, 2, 3, 5, "m", "reclaim")
     assert (int(r.address), int(r.ip), int(r.gfp_flags), r.reclaim_order) == (big, 1, 9, 4)
 

@@ -99,11 +99,14 @@ def container_id(cgroup_text: Column | str) -> Column:
 
 
 def memory_limit(text: Column | str) -> Column:
-    """Bytes; 0 means unlimited, NULL means the text is not a number."""
+    """Bytes; 0 means unlimited, NULL means the text does not begin with an unsigned number.
+
+    What follows the digits is not looked at; a number of more than 64 bits is an error.
+    """
     trimmed = F.btrim(col(text), F.lit(" \t\r\n"))
-    return F.when(trimmed.isin(*fixed.NO_MEMORY_LIMIT), F.lit(0).cast("bigint")).otherwise(
-        trimmed.try_cast("bigint")
-    )
+    digits = F.regexp_extract(trimmed, "^([0-9]+)", 1).try_cast("decimal(38,0)")
+    number = F.when(digits < F.lit(str(2**64)).cast("decimal(38,0)"), digits).cast("decimal(20,0)")
+    return F.when(trimmed.isin(*fixed.NO_MEMORY_LIMIT), F.lit(0).cast("decimal(20,0)")).otherwise(number)
 
 
 def is_ai(comm: Column | str) -> Column:

@@ -21,17 +21,20 @@ def container_ids(df: DataFrame, text: str = "cgroup_text", keys: Sequence[str]
 
 
 def memory_limits(df: DataFrame, text: str = "mem_limit_text", keys: Sequence[str] = PROCESS) -> DataFrame:
-    """Memory limit in bytes (0 = none); unreadable text gives 0 and an error flag."""
+    """Memory limit in bytes (0 = none); unreadable text gives NULL and an error flag."""
     limit = S.memory_limit(text)
     return df.select(
         *keys,
-        F.coalesce(limit, F.lit(0)).cast("bigint").alias("limit_bytes"),
+        limit.alias("limit_bytes"),
         limit.isNull().alias("parse_error"),
     )
 
 
 def parse_inventory(df: DataFrame, doc: str = "doc") -> DataFrame:
-    """JSON container lists to rows: ids, first name without its slash, image, labels, pod."""
+    """JSON container lists to rows: ids, first name without its slash, image, labels, pod.
+
+    A document that cannot be read has no rows here; :func:`unreadable_inventories` lists it.
+    """
     item = F.explode(F.from_json(doc, schemas.INVENTORY_DOC)).alias("c")
     name = F.regexp_replace(F.coalesce(F.get("c.Names", F.lit(0)), F.lit("")), "^/", "")
     label = lambda key: F.coalesce(F.col("c.Labels")[key], F.lit(""))
@@ -46,6 +49,11 @@ def parse_inventory(df: DataFrame, doc: str = "doc") -> DataFrame:
     )
 
 
+def unreadable_inventories(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """The documents that are no JSON container list, with all their columns."""
+    return df.where(F.from_json(doc, schemas.INVENTORY_DOC).isNull())
+
+
 def attach_container_id(
     vectors: DataFrame, ids: DataFrame, keys: Sequence[str] = PROCESS,
     spread: Sequence[str] = ("timestamp_ns",),

@@ -92,6 +92,17 @@ def varying_features(df: DataFrame) -> list[str]:
     return [f for f in fixed.FEATURES if bounds[f"min_{f}"] != bounds[f"max_{f}"]]
 
 
+def fit(df: DataFrame) -> LinearEnergyModel:
+    """Ordinary least squares as a linear model; the mean alone if no feature varies."""
+    if varying_features(df):
+        return LinearEnergyModel.from_pipeline(train(df))
+    mean = df.agg(F.coalesce(F.avg(fixed.TARGET), F.lit(0.0))).first()[0]
+    none = tuple(0.0 for _ in fixed.FEATURES)
+    return LinearEnergyModel(
+        fixed.FEATURES, none, tuple(1.0 for _ in fixed.FEATURES), none, float(mean)
+    )
+
+
 def train(df: DataFrame) -> PipelineModel:
     """Ordinary least squares on standardised features (normal equations, tree-aggregated)."""
     assembler = VectorAssembler(inputCols=varying_features(df), outputCol="raw_features")
@@ -122,9 +133,14 @@ def quality(scored: DataFrame, actual: str, predicted: str) -> DataFrame:
     a, p = F.col(actual), F.col(predicted)
     n = F.count(a).cast("double")
     total = F.var_pop(a) * n
+    missed = F.sum((a - p) * (a - p))
+    # a constant target leaves nothing to explain: 1 if it is met, 0 if not
+    explained = F.when(total > 0, F.lit(1.0) - missed / F.nullif(total, F.lit(0.0))).otherwise(
+        F.when(missed == 0, 1.0).when(missed > 0, 0.0)
+    )
     return scored.agg(
         F.count(a).alias("n"),
-        (F.lit(1.0) - F.sum((a - p) * (a - p)) / total).alias("r2_score"),
+        explained.alias("r2_score"),
         F.avg(F.abs(a - p)).alias("mae_joules"),
         F.min(a).alias("min_joules"),
         F.max(a).alias("max_joules"),

@@ -45,12 +45,20 @@ def known_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.parse_inventory(fixture.inventory(spark, sf_dir))
 
 
-def attributed(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
-    """Vectors with container id and name."""
-    with_id = containers.attach_container_id(
+def located(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    """Vectors with their container's id alone, for views that show no names."""
+    return containers.attach_container_id(
         vectors(spark, sf_dir, since=since), process_containers(spark, sf_dir)
     )
-    return containers.enrich(with_id, known_inventory(spark, sf_dir))
+
+
+def located_estimates(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    return energy.heuristic(located(spark, sf_dir, since))
+
+
+def attributed(spark: SparkSession, sf_dir: str, since: Column | None = None) -> DataFrame:
+    """Vectors with container id and name."""
+    return containers.enrich(located(spark, sf_dir, since), known_inventory(spark, sf_dir))
 
 
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,8 +75,32 @@ def cpu_slices(spark, sf_dir):
 
 @query
 def decode_records(spark, sf_dir):
-    decoded = records.decode_records(fixture.packed_records(spark, sf_dir))
-    return decoded.drop("malformed")
+    return records.decode_records(fixture.packed_records(spark, sf_dir))
+
+
+@query
+def malformed_records(spark, sf_dir):
+    """Records cut at lengths around every limit: what each decoder makes of them."""
+    packed = fixture.packed_records(spark, sf_dir)
+    cut = packed.withColumn("kept", (F.col("event_id") % 12 * 7).cast("int")).withColumn(
+        "data", F.substring("data", F.lit(1), F.col("kept"))
+    )
+    kept = F.length("data").alias("n_bytes")
+    as_vectors = records.decode_records(cut.select(kept, "probe", "data"), keep=["n_bytes"])
+    fields = [
+        records.decode_events(cut.select(kept, "probe", "data"), probe, keep=["n_bytes"]).select(
+            "probe", "n_bytes", "malformed", "partial"
+        )
+        for probe in ("cpu", "mem", "gpu")
+    ]
+    full = fields[0].unionByName(fields[1]).unionByName(fields[2])
+    counted = full.groupBy("probe", "n_bytes", "malformed", "partial").agg(
+        F.count(F.lit(1)).alias("records")
+    )
+    vectors = as_vectors.groupBy("probe", "n_bytes", "malformed").agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_if(F.col("pid") > 0).alias("with_header")
+    )
+    return counted.join(vectors, ["probe", "n_bytes", "malformed"])
 
 
 @query
@@ -93,7 +117,9 @@ def snapshot_from_records(spark, sf_dir):
     """Statistics of the three probes from their full records, joined per process."""
     packed = fixture.packed_records(spark, sf_dir)
     cpu, mem, gpu = [
-        records.with_time(records.decode_events(packed, probe, keep=["host_id", "event_id"]))
+        records.with_time(records.decode_events(packed, probe, keep=["host_id", "event_id"])).where(
+            "not malformed"
+        )
         for probe in ("cpu", "mem", "gpu")
     ]
     return rollup.feature_snapshot(
@@ -226,12 +252,12 @@ def carbon_by_region(spark, sf_dir):
 
 @query
 def system_summary(spark, sf_dir):
-    return views.system_summary(A.estimates(spark, sf_dir))
+    return views.system_summary(A.located_estimates(spark, sf_dir))
 
 
 @query
 def threshold_bands(spark, sf_dir):
-    return views.bands(views.system_summary(A.estimates(spark, sf_dir)))
+    return views.bands(views.system_summary(A.located_estimates(spark, sf_dir)))
 
 
 @query
@@ -286,7 +312,8 @@ def top5_processes(spark, sf_dir):
 
 @query
 def history_tail(spark, sf_dir):
-    recent = A.latest_estimates(spark, sf_dir, fixed.HISTORY_POINTS)
+    since = A.latest_interval(spark, sf_dir, fixed.HISTORY_POINTS)
+    recent = A.located_estimates(spark, sf_dir, since)
     return views.history_tail(views.system_summary(recent))
 
 

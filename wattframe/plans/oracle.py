@@ -311,7 +311,14 @@ FROM (SELECT *, lag(ts_us) OVER w AS before_us, lag(next_pid) OVER w AS before_p
 WHERE before_pid = prev_pid AND before_us > 0"""),
     "decode_records": sql("""
 SELECT probe, ts_us * 1000 AS timestamp_ns, pid, tgid, comm, cpu_time_ns, ctx_switches, major_faults,
-  minor_faults, gpu_jobs_submitted, gpu_active_ns FROM partial"""),
+  minor_faults, gpu_jobs_submitted, gpu_active_ns, false AS malformed FROM partial"""),
+    "malformed_records": sql("""
+SELECT probe, n_bytes, n_bytes < least_bytes AS malformed, n_bytes >= least_bytes AND n_bytes < whole_bytes AS partial,
+  count(*) AS records, count(*) AS vectors, count(*) FILTER (n_bytes >= 16 AND pid > 0) AS with_header
+FROM (SELECT probe, pid, least(event_id % 12 * 7, CASE probe WHEN 'mem' THEN 80 ELSE 64 END)::INTEGER AS n_bytes,
+        CASE probe WHEN 'cpu' THEN 56 ELSE 40 END AS least_bytes,
+        CASE probe WHEN 'mem' THEN 80 ELSE 64 END AS whole_bytes FROM tele)
+GROUP BY ALL"""),
     "pid_batch_merge": sql(f"SELECT {VECTOR} FROM vectors"),
     "cpu_stats": sql("SELECT * FROM cpu_plain"),
     "cpu_stats_exec_reset": _EXEC_RESET,
@@ -323,8 +330,10 @@ SELECT probe, ts_us * 1000 AS timestamp_ns, pid, tgid, comm, cpu_time_ns, ctx_sw
     "cgroup_container_id": sql("SELECT host_id, pid, container_id FROM ids"),
     "mem_limit": sql("""
 SELECT host_id, pid, CASE WHEN trim(mem_limit_text) IN ('max', '9223372036854771712') THEN 0
-  ELSE coalesce(TRY_CAST(trim(mem_limit_text) AS BIGINT), 0) END AS limit_bytes,
-  trim(mem_limit_text) <> 'max' AND TRY_CAST(trim(mem_limit_text) AS BIGINT) IS NULL AS parse_error
+  ELSE TRY_CAST(TRY_CAST(regexp_extract(trim(mem_limit_text), '^([0-9]+)', 1) AS UBIGINT) AS DECIMAL(20,0)) END
+    AS limit_bytes,
+  trim(mem_limit_text) <> 'max' AND TRY_CAST(regexp_extract(trim(mem_limit_text), '^([0-9]+)', 1) AS UBIGINT) IS NULL
+    AS parse_error
 FROM tele_cgroup"""),
     "container_inventory": sql("SELECT * FROM inventory"),
     "container_enrich": sql("""

@@ -57,7 +57,7 @@ MIN_PAYLOAD = {"cpu": 56, "mem": 40, "gpu": 40}
 _HEADER = _layout(
     48, timestamp_ns=("u8", 0), pid=("u4", 8), tgid=("u4", 12), comm=("S16", 24), delta_ns=("u8", 40)
 )
-_FULL_RANGE = ("address", "ip", "gfp_flags")  # unsigned 64 bit, kept exact as decimals
+_FULL_RANGE = ("address", "ip", "gfp_flags", "job_id", "fence_id")  # unsigned 64 bit, kept exact as decimals
 
 
 def _read(column: pa.Array, layout: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +132,13 @@ def _with_types(df: DataFrame, keep: Sequence[str]) -> str:
 
 
 def decode_records(
-    df: DataFrame, strict: bool = True, byteorder: str = "<", keep: Sequence[str] = ()
+    df: DataFrame, strict: bool = False, byteorder: str = "<", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Partial feature vectors from ``(probe, data)`` rows, a whole Arrow batch at a time.
 
     Records too short for their probe's payload keep the header and are marked
-    ``malformed``.  Records too short for a header are dropped when ``strict``; otherwise
-    they come out as an all-zero vector of process 0.  ``keep`` names columns to carry along.
+    ``malformed``.  Records too short for a header come out as an all-zero vector of process
+    0, marked too; only ``strict`` drops them.  ``keep`` names columns to carry along.
     """
     decoded = df.select(*keep, "probe", "data").mapInArrow(
         _vector_decoder(byteorder, strict, tuple(keep)),
@@ -161,8 +161,9 @@ def _event_decoder(probe: str, byteorder: str, keep: Sequence[str]) -> Callable[
                     out[name] = pa.array(rows[name].astype(np.uint64)).cast(pa.decimal128(20, 0))
                 else:
                     out[name] = rows[name].astype(np.int64)
-            whole = pa.array(lengths >= layout.itemsize)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()}).filter(whole)
+            out["malformed"] = lengths < MIN_PAYLOAD[probe]
+            out["partial"] = (lengths >= MIN_PAYLOAD[probe]) & (lengths < layout.itemsize)
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
     return decode
 
@@ -170,9 +171,13 @@ def _event_decoder(probe: str, byteorder: str, keep: Sequence[str]) -> Callable[
 def decode_events(
     df: DataFrame, probe: str, byteorder: str = "<", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Every field of one probe's whole records, with the event type as ``event_kind``."""
+    """Every field of one probe's records, with the event type as ``event_kind``.
+
+    No record is left out: one that lacks trailing fields has zeros there and is marked
+    ``partial``, one too short for its payload is marked ``malformed``.
+    """
     types = {n: "decimal(20,0)" if n in _FULL_RANGE else "bigint" for n in LAYOUTS[probe].names}
-    types["comm"] = "string"
+    types |= {"comm": "string", "malformed": "boolean", "partial": "boolean"}
     decoded = df.where(F.col("probe") == probe).select(*keep, "data").mapInArrow(
         _event_decoder(probe, byteorder, tuple(keep)),
         _with_types(df, keep) + ", ".join(f"{n} {t}" for n, t in types.items()),

@@ -136,7 +136,7 @@ def test_exec_reset(spark, hot):
             now[2] += state != 0
             now[3] += state == 0
         now[4], now[5] = cpu, ts * 1000
-    got = rollup.cpu_stats_exec_reset(df, hot_rows=hot)
+    got = rollup.cpu_stats_exec_reset(df)
     assert {r.pid: list(r)[2:] for r in got.collect()} == want
 
 
@@ -192,3 +192,28 @@ def test_only_hot_keys_are_cut(spark):
     assert max(r["count"] for r in sizes) <= 101
     assert [r[STRETCH] for r in sizes if r.k == 1] == [0]
     assert with_stretch(df, ["k"], "ts_us", hot, only_hot=True).where("k <> 0").count() == 0
+
+
+def test_bursts_and_null_keys_are_cut_by_rows(spark):
+    """Nine tenths of a key's rows within a thousandth of a thousandth of its time."""
+    burst = [(0, 5 * 10**11 + i, i, 1, False) for i in range(18_000)]
+    rest = [(0, i * 5 * 10**8, 20_000 + i, 1, False) for i in range(2_000)]
+    nulls = [(None, 1000 * i, 30_000 + i, 1, False) for i in range(5_000)]
+    df = frame(spark, burst + rest + nulls + [(1, 7, 50_000, 1, False)])
+    hot = hot_keys(df, ["k"], "ts_us", 1000)
+    assert {r.k for r in hot.collect()} == {0, None}
+    sizes = with_stretch(df, ["k"], "ts_us", hot).groupBy("k", STRETCH).count().collect()
+    assert sum(r["count"] for r in sizes) == 25_001
+    assert max(r["count"] for r in sizes) <= 2000
+    assert sum(r.k is None for r in sizes) >= 5
+    got = with_previous(df, ["k"], ["ts_us", "event_id"], {"pt": "ts_us"}, hot_rows=1000)
+    assert got.where("pt is null").count() == 3
+    assert got.where("k is null and ts_us - pt = 1000").count() == 4_999
+
+
+def test_hot_keys_are_bounded_by_the_share_of_all_rows(spark, monkeypatch):
+    from wattframe.operators import timeline
+
+    monkeypatch.setattr(timeline, "MOST_HOT", 4)
+    df = frame(spark, [(i % 10, i, i, 1, False) for i in range(1000)] + [(0, i, i, 1, False) for i in range(2000)])
+    assert [r.k for r in hot_keys(df, ["k"], "ts_us", 5).collect()] == [0]

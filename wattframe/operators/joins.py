@@ -7,7 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.operators.timeline import HOT_ROWS, STRETCH, hot_keys, with_stretch
+from wattframe.operators.timeline import (
+    HOT_ROWS,
+    STRETCH,
+    hot_keys,
+    null_safe_join,
+    with_stretch,
+)
 
 SALTS = 16
 
@@ -68,7 +74,9 @@ def asof_lookup(
         F.lit(0).alias("_rank"),
         F.struct(*[v.alias(n) for n, v in values.items()]).alias("_state"),
     )
-    hot = hot_keys(facts, ["_key"], "_time", hot_rows)
+    # a key with many states is as busy as one with many facts
+    both = facts.select("_key", "_time").unionByName(marks.select("_key", "_time"))
+    hot = hot_keys(both, ["_key"], "_time", hot_rows)
 
     def cut(rows: DataFrame, only_hot: bool = False) -> DataFrame:
         return with_stretch(rows, ["_key"], "_time", hot, only_hot)
@@ -99,6 +107,6 @@ def asof_lookup(
         .select(*part, "_carried")
     )
     found = F.coalesce("_found", "_carried")
-    return inside.join(carried, part, "left").select(
+    return null_safe_join(inside, carried, part, "left").select(
         "_row.*", *[found[n].alias(n) for n in values]
     )

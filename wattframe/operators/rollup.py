@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators.timeline import HOT_ROWS, STRETCH, hot_keys, with_stretch
+from wattframe.operators.joins import lookup_join
 
 PROCESS = ("host_id", "pid")
 ORDER = ("ts_us", "event_id")
@@ -162,52 +162,42 @@ def gpu_stats(submits: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
 def exec_segments(
     cpu_events: DataFrame,
     keys: Sequence[str] = PROCESS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The CPU statistics of each process since its last exec, with the order bounds that
     make two such rows mergeable (``reset`` is the exec's position, NULL if there was none).
 
-    Exec restarts the counters, so only rows from a process's last exec on count.  That
-    needs order, which a plain sum has not.  A busy process is cut into stretches of time:
-    each is reduced from its own last exec on, then only the stretches from the last one
-    with an exec are kept.
+    Exec restarts the counters, so only rows from a process's last exec on count.  No order
+    is needed for that: the last exec of each process is a map-side-combined maximum over the
+    exec rows alone, and the rows from it on are added up.
     """
-    is_exec = F.col("event_kind") == "exec"
     position = _order()
-    part = [*keys, STRETCH]
-    hot = hot_keys(cpu_events, keys, "ts_us", hot_rows)
-    in_stretch = with_stretch(cpu_events, keys, "ts_us", hot).withColumn(
-        "_exec", F.max(F.when(is_exec, position)).over(Window.partitionBy(*part))
+    execs = (
+        cpu_events.where(F.col("event_kind") == "exec").groupBy(*keys).agg(F.max(position).alias("reset"))
     )
     switch = F.col("event_kind") == "switch"
     involuntary = S.is_involuntary("prev_state")
-    stretches = (
-        in_stretch.where(F.col("_exec").isNull() | (position >= F.col("_exec")))
-        .groupBy(*part)
+    per_name = (
+        lookup_join(cpu_events, execs, keys, ["ts_us", "event_id"])
+        .where(F.col("reset").isNull() | (position >= F.col("reset")))
+        .groupBy(*keys, "comm")  # numbers alone are left, so it runs as a hash aggregate
         .agg(
-            F.max("_exec").alias("_exec"),
+            F.max("reset").alias("reset"),
             F.sum(F.when(switch, F.col("delta_ns")).otherwise(0)).alias("total_cpu_time_ns"),
             _count(switch).alias("ctx_switches"),
             _count(switch & ~involuntary).alias("voluntary_ctx_switches"),
             _count(switch & involuntary).alias("involuntary_ctx_switches"),
             F.min(position).alias("first_order"),
             F.max(position).alias("last_order"),
-            F.min_by("comm", position).alias("comm"),
             F.max_by("cpu_id", position).alias("last_cpu_id"),
         )
-        .withColumn("reset", F.max("_exec").over(Window.partitionBy(*keys)))
     )
-    return (
-        stretches.where(F.col("reset").isNull() | (F.col("last_order") >= F.col("reset")))
-        .groupBy(*keys)
-        .agg(
-            F.max("reset").alias("reset"),
-            *[F.sum(c).alias(c) for c in _SEGMENT_SUMS],
-            F.min("first_order").alias("first_order"),
-            F.max("last_order").alias("last_order"),
-            F.min_by("comm", "first_order").alias("comm"),
-            F.max_by("last_cpu_id", "last_order").alias("last_cpu_id"),
-        )
+    return per_name.groupBy(*keys).agg(
+        F.max("reset").alias("reset"),
+        *[F.sum(c).alias(c) for c in _SEGMENT_SUMS],
+        F.min_by("comm", "first_order").alias("comm"),
+        F.max_by("last_cpu_id", "last_order").alias("last_cpu_id"),
+        F.min("first_order").alias("first_order"),
+        F.max("last_order").alias("last_order"),
     )
 
 
@@ -245,10 +235,9 @@ def segment_stats(segments: DataFrame, keys: Sequence[str] = PROCESS) -> DataFra
 def cpu_stats_exec_reset(
     cpu_events: DataFrame,
     keys: Sequence[str] = PROCESS,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """CPU statistics that restart at each exec; a process that just did one shows zeros."""
-    return segment_stats(exec_segments(cpu_events, keys, hot_rows), keys)
+    return segment_stats(exec_segments(cpu_events, keys), keys)
 
 
 def feature_snapshot(

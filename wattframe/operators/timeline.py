@@ -3,7 +3,7 @@
 A plain ``lag`` or running-sum window sorts all rows of a key in one task, so one busy CPU
 or process decides the run time.  Here the rows per key are counted first (a narrow,
 map-side-combined aggregate).  Keys with few rows are windowed as they are.  A hot key is
-cut into stretches of time:
+cut into stretches of time that hold about equally many rows, at quantiles of its times:
 
 1. the window runs inside (key, stretch), which spreads the key over the cluster;
 2. each stretch of a hot key is reduced to one small row by an aggregate, and the state
@@ -24,27 +24,64 @@ from pyspark.sql import functions as F
 from wattframe.functions.scalar import MICROS, bucket_start, position
 
 HOT_ROWS = 2_000_000
-BURST = 100
+#: Keys that can be hot at once: beyond ``HOT_ROWS``, a key is hot only if it has more than
+#: this share of all rows.  Bounds what is broadcast to about 3 MB, whatever the table.
+MOST_HOT = 50_000
+#: Quantiles a hot key is cut at, at most; a power of two.
+PIECES = 4096
+FIRST_STRETCH = -(1 << 62)
 DEFAULT_BUCKET = 60 * MICROS
 STRETCH = "_stretch"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which NULL keys are equal; the keys come from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in on})
+    same = F.lit(True)
+    for k in on:
+        same = same & left[k].eqNullSafe(renamed[f"_right_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in on])
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], time: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, and the length of the stretches they are cut into.
+    """Keys with more than ``hot_rows`` rows and the times, ``_cuts``, they are cut at.
 
-    There can be no more of them than the table has multiples of ``hot_rows``: half a
-    million in a trillion rows.  Stretches are ``BURST`` times shorter than an even spread
-    would need, so one that is that much denser than the average still fits a task.
+    A stretch holds half of ``hot_rows`` rows, within the error of the quantiles, however
+    densely the rows lie; only rows of one and the same microsecond stay together.  Of a table
+    with more than ``MOST_HOT`` times ``hot_rows`` rows, keys with less than that share are
+    not called hot, so there are never more of them.
     """
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(time).alias("_first"), F.max(time).alias("_last")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    limit = F.greatest(
+        F.lit(float(hot_rows)),
+        F.coalesce(counts.agg(F.sum("_rows") / F.lit(float(MOST_HOT))).scalar(), F.lit(0.0)),
+    )
+    busy = counts.withColumn("_limit", limit).where(F.col("_rows") > F.col("_limit"))
+    rows = null_safe_join(df.select(*keys, time), F.broadcast(busy), keys, "inner")
+    quantiles = F.percentile_approx(time, [i / PIECES for i in range(1, PIECES)], 4 * PIECES)
+    cut = rows.groupBy(*keys).agg(
+        quantiles.alias("_all"), F.max("_rows").alias("_rows"), F.max("_limit").alias("_limit")
+    )
+    every = F.greatest(
+        F.floor(F.col("_limit") * PIECES / (2 * F.col("_rows"))).cast("int"), F.lit(1)
+    )
+    chosen = F.filter("_all", lambda t, i: (i + 1) % F.col("_every") == 0)
+    return cut.withColumn("_every", every).select(
+        *keys, F.array_distinct(F.transform(chosen, lambda t: t.cast("bigint"))).alias("_cuts")
+    )
+
+
+def _stretch_of(time: Column, cuts: Column) -> Column:
+    """The last cut that is not after ``time``, by bisection."""
+    steps = F.array(*[F.lit(PIECES >> k) for k in range(1, PIECES.bit_length())])
+    place = F.aggregate(
+        steps,
+        F.lit(-1),
+        lambda at, step: F.when(F.get(cuts, at + step) <= time, at + step).otherwise(at),
     )
-    pieces = F.ceil(F.col("_rows") * F.lit(float(BURST)) / F.lit(float(hot_rows)))
-    span = F.col("_last") - F.col("_first") + 1
-    step = F.greatest(F.floor(span / pieces), F.lit(1).cast("bigint"))
-    return stats.where(F.col("_rows") > hot_rows).select(*keys, "_first", step.alias("_step"))
+    return F.coalesce(F.get(cuts, place), F.lit(FIRST_STRETCH))
 
 
 def with_stretch(
@@ -54,12 +91,11 @@ def with_stretch(
 
     ``hot`` is broadcast, its size is bounded by construction (see :func:`hot_keys`).
     """
-    marked = df.join(F.broadcast(hot), list(keys), "inner" if only_hot else "left")
-    into = F.col(time) - F.col("_first")
-    start = F.col(time) - F.pmod(into, F.col("_step"))
-    return marked.select(
-        *df.columns, F.coalesce(start, F.lit(0).cast("bigint")).alias(STRETCH)
+    marked = null_safe_join(df, F.broadcast(hot), keys, "inner" if only_hot else "left")
+    start = F.when(F.col("_cuts").isNull(), F.lit(0).cast("bigint")).otherwise(
+        _stretch_of(F.col(time), F.col("_cuts"))
     )
+    return marked.select(*df.columns, start.alias(STRETCH))
 
 
 def _rows_so_far(part: Sequence[str], order: Sequence[str]):
@@ -101,7 +137,7 @@ def with_previous(
         *part, *[F.lag(f"_end_{n}").over(per_key).alias(f"_carried_{n}") for n in values]
     )
     opens = F.col("_nth") == 1
-    return inside.join(carried, part, "left").select(
+    return null_safe_join(inside, carried, part, "left").select(
         *df.columns,
         *[
             F.when(opens, F.col(f"_carried_{n}")).otherwise(F.col(f"_inside_{n}")).alias(n)
@@ -142,7 +178,7 @@ def running_totals(
         .select(*part, *[F.sum(f"_in_{n}").over(before).alias(f"_from_{n}") for n in sums])
     )
     zero = F.lit(0)
-    return inside.join(carried, part, "left").select(
+    return null_safe_join(inside, carried, part, "left").select(
         *keys,
         at,
         *[(F.col(f"_at_{n}") + F.coalesce(f"_from_{n}", zero)).alias(n) for n in sums],
@@ -192,7 +228,7 @@ def running_since(
     )
     started = F.col("_base").isNotNull()
     before = F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
-    return inside.join(carried, part, "left").select(
+    return null_safe_join(inside, carried, part, "left").select(
         *df.columns, (F.col("_since") + before).alias(name)
     )
 

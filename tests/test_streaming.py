@@ -82,38 +82,67 @@ def test_counters_survive_a_restart(spark, sf_dir, folder):
     same(second, jobs.counters(est, labels))
 
 
+def run_exec_reset(spark, folder, beat=None):
+    tables.heartbeat(spark, f"{folder}/beats", beat)
+    timed = jobs.with_event_time(
+        stream(spark, folder, "cpu"), heartbeats=tables.stream_heartbeats(spark, f"{folder}/beats")
+    )
+    out = jobs.exec_reset(timed)
+    sinks.changelog(out, f"{folder}/out", f"{folder}/check", "append", keys=rollup.PROCESS, compact_every=3)
+    return sinks.latest(spark, f"{folder}/out", rollup.PROCESS)
+
+
 def test_exec_reset_over_batches_equals_batch(spark, sf_dir, feed):
-    state = jobs.run_exec_reset(stream(spark, feed, "cpu"), f"{feed}/state", f"{feed}/check")
-    want = rollup.cpu_stats_exec_reset(fixture.tele(spark, sf_dir, "cpu"))
-    same(rollup.segment_stats(state.current()), want)
+    run_exec_reset(spark, feed)
+    got = run_exec_reset(spark, feed, dt.datetime(2100, 1, 1))
+    same(got, rollup.cpu_stats_exec_reset(fixture.tele(spark, sf_dir, "cpu")))
 
 
-def test_exec_reset_ignores_rows_from_before_the_known_exec(spark, folder):
+def test_an_exec_that_comes_batches_later_still_resets(spark, folder):
     schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     row = lambda i, s, kind, v=1.0: (i, at(s), 9, kind, v, '{"k": 1}')
     batches = [
-        [row(1, 1, "click"), row(2, 10, "signup"), row(3, 11, "click")],
-        [row(4, 5, "click"), row(5, 12, "click")],  # the first one is late and from the old segment
-        [row(6, 20, "signup")],
+        [row(1, 1, "click"), row(2, 8, "click"), row(3, 8, "click")],
+        [row(4, 5, "click"), row(5, 9, "click")],
+        [row(6, 3, "signup")],  # the exec, two micro-batches and a restart after rows that follow it
+        [row(7, 40, "click")],
     ]
-    seen = []
     for i, rows in enumerate(batches):
         add(spark.createDataFrame(rows, schema), folder, i)
-        state = jobs.run_exec_reset(stream(spark, folder, "cpu"), f"{folder}/state", f"{folder}/check")
-        seen += [(r.ctx_switches, r.total_cpu_time_ns) for r in rollup.segment_stats(state.current()).collect()]
-    assert seen == [(1, 10**6), (2, 2 * 10**6), (0, 0)]
+        run_exec_reset(spark, folder)
+    got = run_exec_reset(spark, folder, dt.datetime(2024, 1, 2))
+    everything = spark.createDataFrame([r for rows in batches for r in rows], schema)
+    want = rollup.cpu_stats_exec_reset(fixture.telemetry(fixture.only_probe(everything, "cpu")))
+    assert [r.ctx_switches for r in want.collect()] == [5]
+    same(got, want)
+
+
+def test_steps_count_like_the_batch_operator(spark, sf_dir):
+    """One step as long as all of time is the whole statistics; NULLs included."""
+    cpu = fixture.tele(spark, sf_dir, "cpu").withColumn(
+        "prev_state", F.when(F.col("event_id") % 5 != 0, F.col("prev_state"))
+    ).withColumn("delta_ns", F.when(F.col("event_id") % 7 != 0, F.col("delta_ns")))
+    steps = rollup.step_segments(cpu.withColumn("at", F.col("ts").cast("timestamp")), "at", "36500 days")
+    # a process of execs alone adds up nothing there and zeros here
+    same(steps.drop("had_exec"), rollup.cpu_stats_exec_reset(cpu))
+
 
+def test_changelog_stays_bounded(spark, folder):
+    import os
+
+    def rows(i):
+        return spark.createDataFrame([(i % 4, i)], "k bigint, v bigint").coalesce(1)
 
-def test_state_table_replay_starts_from_the_same_state(spark, folder):
-    state = sinks.StateTable(spark, f"{folder}/state")
-    one = lambda v: spark.createDataFrame([(v,)], "v bigint")
-    assert state.before(0) is None
-    state.write(one(1), 0)
-    state.write(one(2), 1)
-    assert state.before(1).first().v == 1
-    state.write(one(20), 1)  # batch 1 again
-    assert state.current().first().v == 20 and state.before(2).first().v == 20
+    for i in range(12):
+        staged = f"{folder}/in"
+        rows(i).write.mode("append").parquet(staged)
+        values = spark.readStream.schema("k bigint, v bigint").parquet(staged)
+        sinks.changelog(values, f"{folder}/out", f"{folder}/check", "append", keys=["k"], compact_every=3)
+        held = [f for f in os.listdir(f"{folder}/out") if f.startswith("batch_id=")]
+        assert len(held) <= 6
+    got = {r.k: r.v for r in sinks.latest(spark, f"{folder}/out", ["k"]).collect()}
+    assert got == {0: 8, 1: 9, 2: 10, 3: 11}
 
 
 def test_late_rows_are_dropped_after_the_watermark(spark, folder):
@@ -135,21 +164,31 @@ def test_fan_in_fills_missing_columns(spark):
     assert got == [(1, 2, None), (3, None, 4)]
 
 
-def test_summary_of_closed_windows(spark, sf_dir, feed):
+def test_summary_of_all_windows_after_a_heartbeat(spark, sf_dir, feed):
     ids = spark.createDataFrame([], "host_id bigint, pid bigint, container_id string")
-    jobs.run_summary(jobs.partial_stream(stream(spark, feed)), f"{feed}/out", f"{feed}/check", ids, "1 hour")
+    for beat in (None, dt.datetime(2100, 1, 1)):
+        tables.heartbeat(spark, f"{feed}/beats", beat)
+        beats = tables.stream_heartbeats(spark, f"{feed}/beats")
+        jobs.run_summary(
+            jobs.partial_stream(stream(spark, feed), beats), f"{feed}/out", f"{feed}/check", lambda: ids, "1 hour"
+        )
     got = spark.read.parquet(f"{feed}/out").drop(sinks.BATCH)
     est = energy.heuristic(
         rollup.pid_merge(events.partial_vectors(fixture.tele(spark, sf_dir)), "1 hour")
     ).withColumn("container_id", F.lit(""))
-    latest = fixture.tele(spark, sf_dir).agg(F.max("ts")).scalar()
-    closed = F.col("interval") + F.expr("INTERVAL 1 HOUR 10 SECONDS") <= latest
-    same(got, views.system_summary(est).where(closed))
+    same(got, views.system_summary(est))
 
 
 def test_two_sinks_hold_the_same_processes(spark, feed):
+    nothing = (
+        spark.createDataFrame([], "host_id bigint, pid bigint, container_id string"),
+        spark.createDataFrame(
+            [], "full_id string, short_id string, name string, image_name string, pod_name string, pod_namespace string"
+        ),
+    )
     jobs.run_two_sinks(
-        jobs.partial_stream(stream(spark, feed)), f"{feed}/samples", f"{feed}/frames", f"{feed}/check", "1 hour"
+        jobs.partial_stream(stream(spark, feed)), f"{feed}/samples", f"{feed}/frames", f"{feed}/check",
+        lambda: nothing, "1 hour",
     )
     series = samples.read_samples(spark, f"{feed}/samples").where("metric = 'energy_joules'")
     frames = telemetry.parse(spark.read.text(f"{feed}/frames"))
@@ -157,6 +196,37 @@ def test_two_sinks_hold_the_same_processes(spark, feed):
     same(series.select("interval", "pid", F.col("value").alias("energy_joules")), processes)
 
 
+def test_a_new_container_shows_up_in_the_next_batch(spark, folder):
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    pid = fixture.telemetry(spark.createDataFrame([(1, at(0), 9, "click", 1.0, '{"k": 1}')], schema)).first()
+    known = {"ids": [], "inventory": []}
+
+    def dimensions():
+        return (
+            spark.createDataFrame(known["ids"], "host_id bigint, pid bigint, container_id string"),
+            spark.createDataFrame(
+                known["inventory"],
+                "full_id string, short_id string, name string, image_name string, pod_name string, pod_namespace string",
+            ),
+        )
+
+    for i in range(3):  # batch i closes the window of batch i - 1
+        add(spark.createDataFrame([(i, at(5 * i), 9, "click", 1.0, '{"k": 1}')], schema), folder, i)
+        jobs.run_two_sinks(
+            jobs.partial_stream(stream(spark, folder)), f"{folder}/samples", f"{folder}/frames", f"{folder}/check",
+            dimensions, "1 minute",
+        )
+        if i == 1:  # started after the first window was published
+            known["ids"] = [(pid.host_id, pid.pid, "abcdefabcdef")]
+            known["inventory"] = [("abcdefabcdef00", "abcdefabcdef", "web", "img", "", "")]
+    series = samples.read_samples(spark, f"{folder}/samples")
+    names = {r.interval.minute: r.container_name for r in series.where("metric = 'energy_joules'").collect()}
+    assert names == {0: "host", 5: "web"}
+    totals = [r.value for r in series.where("metric = 'energy_joules_total'").orderBy("interval").collect()]
+    assert len(totals) == 2 and totals[1] == 2 * totals[0]
+
+
 def test_frames_split_by_pid_range_and_keep_everyone(spark):
     rows = [(0, p, "x") for p in (1, 2, 20_000, 40_000)]
     est = energy.heuristic(

@@ -229,24 +229,22 @@ def counter_rate(
     )
 
 
-def samples(est: DataFrame, with_counters: bool = True) -> DataFrame:
+def samples(est: DataFrame) -> DataFrame:
     """Every series of every interval as long rows: gauges, counters, AI flag, process
     count and the cumulative confidence histogram.
 
     Per-process gauges and the flag come from one narrow pass (unpivot); counters and the
-    per-interval series each need one aggregate.  A micro-batch has no history to count
-    from, so streams leave the counters to the job that keeps their state.
+    per-interval series each need one aggregate.  Counters the estimates bring along, as those
+    of a stream do, are taken as they are.
     """
     base = labelled(est)
     labels = ["interval", *LABELS]
-    per_process = base.withColumn(
-        AI_GAUGE, F.col("is_ai_inference").cast("double")
-    ).unpivot(labels, [*GAUGES, AI_GAUGE], "metric", "value")
-    series = per_process
-    if with_counters:
-        series = series.unionByName(
-            counters(est).unpivot(labels, list(COUNTERS), "metric", "value")
-        )
+    counted = set(COUNTERS) <= set(est.columns)
+    series = base.withColumn(AI_GAUGE, F.col("is_ai_inference").cast("double")).unpivot(
+        labels, [*GAUGES, AI_GAUGE, *(COUNTERS if counted else ())], "metric", "value"
+    )
+    if not counted:
+        series = series.unionByName(counters(est).unpivot(labels, list(COUNTERS), "metric", "value"))
 
     def system_wide(df: DataFrame) -> DataFrame:
         blank = {c: F.lit("") for c in ("comm", "container_id", "container_name")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
@@ -201,23 +201,48 @@ def exec_segments(
     )
 
 
-def merge_segments(older: DataFrame, newer: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
-    """Segments of two stretches of the same processes; ``newer`` wins where it has an exec."""
-    both = older.unionByName(newer)
-    reset = F.max("reset").over(Window.partitionBy(*keys))
+def step_segments(
+    cpu_events: DataFrame, time: str, step: str = "1 second", keys: Sequence[str] = PROCESS
+) -> DataFrame:
+    """What each step of time adds to a process's statistics, for streams: one aggregate.
+
+    An exec may be seen after rows that follow it, so a step's rows are kept until the step
+    is closed and are put in order then.  A group is the rows of one process in one step,
+    which a host's clock bounds; a busy process is spread over its steps.
+    """
+    row = F.struct("ts_us", "event_id", "event_kind", "prev_state", "delta_ns", "comm", "cpu_id")
+    steps = cpu_events.groupBy(F.window(time, step).alias("step"), *keys).agg(
+        F.sort_array(F.collect_list(row)).alias("_rows")
+    )
+    place = lambda r: F.struct(r["ts_us"], r["event_id"])
+    is_exec = lambda r: r["event_kind"].eqNullSafe("exec")
+    is_switch = lambda r: r["event_kind"].eqNullSafe("switch")
+    involuntary = lambda r: F.coalesce(S.is_involuntary(r["prev_state"]), F.lit(False))
+    voluntary = lambda r: F.coalesce(~S.is_involuntary(r["prev_state"]), F.lit(False))
+    count = lambda test: F.size(F.filter("_kept", test)).cast("bigint")
+    cpu_time = F.aggregate(
+        F.filter("_kept", is_switch),
+        F.lit(0).cast("bigint"),
+        lambda total, r: total + F.coalesce(r["delta_ns"], F.lit(0).cast("bigint")),
+    )
+    last = F.element_at("_kept", -1)
     return (
-        both.withColumn("_reset", reset)
-        .where(F.col("_reset").isNull() | (F.col("last_order") >= F.col("_reset")))
-        .groupBy(*keys)
-        .agg(
-            F.max("reset").alias("reset"),
-            *[F.sum(c).alias(c) for c in _SEGMENT_SUMS],
-            F.min_by("comm", "first_order").alias("comm"),
-            F.max_by("last_cpu_id", "last_order").alias("last_cpu_id"),
-            F.min("first_order").alias("first_order"),
-            F.max("last_order").alias("last_order"),
+        steps.withColumn("_reset", F.array_max(F.transform(F.filter("_rows", is_exec), place)))
+        .withColumn(
+            "_kept",
+            F.filter("_rows", lambda r: F.col("_reset").isNull() | (place(r) >= F.col("_reset"))),
+        )
+        .select(
+            *keys,
+            F.col("_reset").isNotNull().alias("had_exec"),
+            cpu_time.alias("total_cpu_time_ns"),
+            count(is_switch).alias("ctx_switches"),
+            count(lambda r: is_switch(r) & voluntary(r)).alias("voluntary_ctx_switches"),
+            count(lambda r: is_switch(r) & involuntary(r)).alias("involuntary_ctx_switches"),
+            last["cpu_id"].cast("bigint").alias("last_cpu_id"),
+            (last["ts_us"] * 1000).alias("last_seen_ns"),
+            F.element_at("_kept", 1)["comm"].alias("comm"),
         )
-        .select(*older.columns)
     )
 
 

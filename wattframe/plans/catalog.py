@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -594,8 +595,20 @@ def _events(spark, sf_dir, probe=None):
     return fixture.telemetry(stream if probe is None else fixture.only_probe(stream, probe))
 
 
-def _vectors(spark, sf_dir):
-    return jobs.partial_stream(_events(spark, sf_dir))
+def _vectors(spark, sf_dir, heartbeats=None):
+    return jobs.partial_stream(_events(spark, sf_dir), heartbeats)
+
+
+def _to_the_end(spark, sf_dir, path, run):
+    """Runs a stream over the events, then once more with a heartbeat of a later day, which
+    closes the windows that were still open.  ``run`` takes the stream of heartbeats."""
+    beats = f"{path}/heartbeats"
+    tables.heartbeat(spark, beats)
+    run(tables.stream_heartbeats(spark, beats))
+    last = tables.read_events(spark, sf_dir).agg(F.max("ts")).first()[0]
+    if last is not None:
+        tables.heartbeat(spark, beats, last + dt.timedelta(days=1))
+        run(tables.stream_heartbeats(spark, beats))
 
 
 @query
@@ -627,8 +640,15 @@ def stream_counters(spark, sf_dir):
 @query
 def stream_exec_reset(spark, sf_dir):
     path = shared_dir(spark, "exec")
-    state = jobs.run_exec_reset(_events(spark, sf_dir, "cpu"), f"{path}/state", f"{path}/checkpoint")
-    return rollup.segment_stats(state.current())
+
+    def run(heartbeats):
+        timed = jobs.with_event_time(_events(spark, sf_dir, "cpu"), heartbeats=heartbeats)
+        sinks.changelog(
+            jobs.exec_reset(timed), f"{path}/out", f"{path}/checkpoint", "append", keys=rollup.PROCESS
+        )
+
+    _to_the_end(spark, sf_dir, path, run)
+    return sinks.latest(spark, f"{path}/out", rollup.PROCESS)
 
 
 @query
@@ -652,25 +672,46 @@ def stream_energy(spark, sf_dir):
 @query
 def stream_summary(spark, sf_dir):
     path = shared_dir(spark, "summary")
-    jobs.run_summary(
-        _vectors(spark, sf_dir), f"{path}/out", f"{path}/checkpoint",
-        A.process_containers(spark, sf_dir), A.INTERVAL,
-    )
+
+    def run(heartbeats):
+        jobs.run_summary(
+            _vectors(spark, sf_dir, heartbeats), f"{path}/out", f"{path}/checkpoint",
+            lambda: A.process_containers(spark, sf_dir), A.INTERVAL,
+        )
+
+    _to_the_end(spark, sf_dir, path, run)
     return spark.read.parquet(f"{path}/out").drop(sinks.BATCH)
 
 
+def _published(spark, sf_dir):
+    """What the live path has written of the whole event table, container names included."""
+    path = shared_dir(spark, "sinks")
+
+    def run(heartbeats):
+        jobs.run_two_sinks(
+            _vectors(spark, sf_dir, heartbeats), f"{path}/samples", f"{path}/feed", f"{path}/checkpoint",
+            lambda: (A.process_containers(spark, sf_dir), A.known_inventory(spark, sf_dir)), A.INTERVAL,
+        )
+
+    _to_the_end(spark, sf_dir, path, run)
+    return samples.read_samples(spark, f"{path}/samples"), telemetry.parse(spark.read.text(f"{path}/feed"))
+
+
+@query
+def stream_samples(spark, sf_dir):
+    """Every series of the live path."""
+    series, _ = _published(spark, sf_dir)
+    return series.select("interval", *metrics.LABELS, "le", "metric", "value")
+
+
 @query
 def stream_two_sinks(spark, sf_dir):
     """Rows each sink holds per interval."""
-    path = shared_dir(spark, "sinks")
-    jobs.run_two_sinks(
-        _vectors(spark, sf_dir), f"{path}/samples", f"{path}/feed", f"{path}/checkpoint", A.INTERVAL
-    )
+    series, feed = _published(spark, sf_dir)
     metric_rows = (
-        samples.read_samples(spark, f"{path}/samples")
+        series
         .groupBy("interval", "metric").agg(F.count(F.lit(1)).alias("entries"))
     )
-    feed = telemetry.parse(spark.read.text(f"{path}/feed"))
     feed_rows = feed.groupBy("interval").agg(
         F.sum(F.size("process_data")).alias("entries")
     ).select("interval", F.lit("feed").alias("metric"), "entries")

@@ -549,16 +549,14 @@ SELECT event_id, host_id, pid, comm, e / 1e9 AS energy_joules, cpu_time_ns * 5 /
   e / 1e9 AS power_watts, e / 1e9 / 3.6e6 * CAST(475 AS DOUBLE) AS carbon_grams_co2, CAST(0.3 AS DOUBLE) AS confidence,
   comm IN ('python3', 'torch', 'ollama', 'vllm') AS is_ai_inference
 FROM (SELECT *, cpu_time_ns * 5 + minor_faults * 500 + gpu_jobs_submitted * 100000 AS e FROM partial) p"""),
-    "stream_summary": sql("""
-SELECT * FROM summary
-WHERE "interval" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND"""),
+    "stream_summary": sql("SELECT * FROM summary"),
     "stream_two_sinks": sql("""
-SELECT "interval", metric, entries FROM (
-  SELECT "interval", m.metric, CAST(count(*) * m.per_process AS BIGINT) AS entries
-  FROM vectors CROSS JOIN (SELECT unnest(['energy_joules', 'power_watts', 'carbon_grams_co2', 'cpu_energy_joules',
-    'memory_energy_joules', 'gpu_energy_joules', 'ai_workload_detected', 'feed']) AS metric, 1 AS per_process) m
-  GROUP BY 1, 2, m.per_process
-  UNION ALL SELECT DISTINCT "interval", 'tracked_processes', CAST(1 AS BIGINT) FROM vectors
-  UNION ALL SELECT DISTINCT "interval", 'estimation_confidence_bucket', CAST(10 AS BIGINT) FROM vectors) s
-WHERE "interval" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 SECOND"""),
+SELECT "interval", m.metric, CAST(count(*) AS BIGINT) AS entries
+FROM vectors CROSS JOIN (SELECT unnest(['energy_joules', 'power_watts', 'carbon_grams_co2', 'cpu_energy_joules',
+  'memory_energy_joules', 'gpu_energy_joules', 'ai_workload_detected', 'energy_joules_total',
+  'carbon_grams_co2_total', 'feed']) AS metric) m
+GROUP BY 1, 2
+UNION ALL SELECT DISTINCT "interval", 'tracked_processes', CAST(1 AS BIGINT) FROM vectors
+UNION ALL SELECT DISTINCT "interval", 'estimation_confidence_bucket', CAST(10 AS BIGINT) FROM vectors"""),
 }
+ORACLE["stream_samples"] = ORACLE["metric_samples"]

@@ -11,12 +11,12 @@ from wattframe.operators import metrics
 
 
 def write_samples(
-    est: DataFrame, path: str, with_counters: bool = True, by: Sequence[str] = ("metric",)
+    est: DataFrame, path: str, by: Sequence[str] = ("metric",)
 ) -> None:
     """Rows are brought together by the partition columns (``day`` may be one, for retention)
     and ordered by time, so a time range skips row groups.  Rebalancing lets AQE split a
     partition that is too large for one file and merge small ones, to the advisory size."""
-    rows = metrics.samples(est, with_counters)
+    rows = metrics.samples(est)
     if "day" in by:
         rows = rows.withColumn("day", F.to_date("interval"))
     ordered = rows.hint("rebalance", *by).sortWithinPartitions(*by, "interval")

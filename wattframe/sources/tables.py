@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattframe import schemas
 
@@ -20,6 +23,19 @@ def stream_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | Non
     return reader.parquet(sf_dir)
 
 
+def heartbeat(spark: SparkSession, path: str, at: dt.datetime | None = None) -> None:
+    """Tells streams reading the heartbeats of ``path`` that time has come to ``at``.
+
+    Without a time only the (empty) folder is made, which a stream needs to start.
+    """
+    beat = spark.range(0 if at is None else 1).select(F.lit(at).cast("timestamp_ntz").alias("ts"))
+    beat.write.mode("append").parquet(path)
+
+
+def stream_heartbeats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema("ts timestamp_ntz").parquet(path)
+
+
 def write_stats(stats: DataFrame, path: str, probe: str) -> None:
     """One statistics table per probe."""
     stats.write.mode("overwrite").parquet(f"{path}/{probe}_stats")

@@ -3,16 +3,17 @@ sink of its own, a ``run_*`` that drives it into a folder."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DecimalType, StructField, StructType
 
 from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, rollup, views
-from wattframe.operators.joins import lookup_join
 from wattframe.sources import samples, telemetry
-from wattframe.streaming import sinks
+from wattframe.streaming import sinks, state
 
 WATERMARK = "10 seconds"
 EVENT_TIME = "event_time"
@@ -26,11 +27,22 @@ def fan_in(*probes: DataFrame) -> DataFrame:
     return out
 
 
-def with_event_time(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Watermarks need a zoned timestamp; rows later than the delay are dropped downstream."""
-    return stream.withColumn(EVENT_TIME, F.col("ts").cast("timestamp")).withWatermark(
-        EVENT_TIME, watermark
-    )
+def with_event_time(
+    stream: DataFrame, watermark: str = WATERMARK, heartbeats: DataFrame | None = None
+) -> DataFrame:
+    """Watermarks need a zoned timestamp; rows later than the delay are dropped downstream.
+
+    ``heartbeats`` (:func:`wattframe.sources.tables.stream_heartbeats`) move the watermark where
+    no events come, so the last windows close too.  They leave the stream right behind the
+    watermark; the condition names the event time, which keeps it from being pushed below.
+    """
+    zoned = F.col("ts").cast("timestamp")
+    if heartbeats is not None:
+        stream = stream.unionByName(heartbeats.withColumn("_beat", zoned), allowMissingColumns=True)
+    timed = stream.withColumn(EVENT_TIME, zoned).withWatermark(EVENT_TIME, watermark)
+    if heartbeats is None:
+        return timed
+    return timed.where(F.col("_beat").isNull() | (F.col("_beat") != F.col(EVENT_TIME))).drop("_beat")
 
 
 def pid_merge(
@@ -53,47 +65,34 @@ def counters(estimates: DataFrame, labels: Sequence[str]) -> DataFrame:
     )
 
 
-def run_exec_reset(
+def exec_reset(
     cpu_events: DataFrame,
-    path: str,
-    checkpoint: str,
     keys: Sequence[str] = rollup.PROCESS,
-) -> sinks.StateTable:
-    """CPU statistics since each process's last exec, kept up to date by a stream.
-
-    A keyed stateful operator would hand a busy process's whole micro-batch to one task.
-    Here the micro-batch is first reduced by the batch operator, which spreads such a
-    process over its time buckets, and one row per process is merged into the state table.
-    Rows older than the exec the state already knows belong to an earlier segment and are
-    left out; an exec arriving later than rows after it only counts within its micro-batch.
+    step: str = "1 second",
+    expiry_ms: int | None = None,
+) -> DataFrame:
+    """CPU statistics since each process's last exec; a row whenever a process's change.
+
+    Two states, both Spark's: the rows of steps that are still open, held per process and
+    step until the watermark has passed, so an exec may come after rows that follow it; and
+    one row per process, into which closed steps are folded in order.  Append mode.
     """
-    spark = cpu_events.sparkSession
-    state = sinks.StateTable(spark, path)
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id)
-        if known is not None:
-            resets = known.where(F.col("reset").isNotNull()).select(
-                *keys, F.col("reset").alias("_reset")
-            )
-            position = F.struct(*rollup.ORDER)
-            batch = (
-                lookup_join(batch, resets, list(keys), ["event_id"])
-                .where(F.col("_reset").isNull() | (position >= F.col("_reset")))
-                .drop("_reset")
-            )
-        fresh = rollup.exec_segments(batch, keys)
-        merged = fresh if known is None else rollup.merge_segments(known, fresh, keys)
-        state.write(merged, batch_id)
-
-    sinks.for_each_batch(cpu_events, merge, checkpoint, "append")
-    return state
+    steps = rollup.step_segments(cpu_events, EVENT_TIME, step, keys)
+    schema = StructType([f for f in steps.schema if f.name != "had_exec"])
+    return steps.groupBy(*keys).transformWithStateInPandas(
+        state.SinceExec(keys, expiry_ms), schema, "Append", "ProcessingTime" if expiry_ms else "None"
+    )
 
 
 def enriched(
     vectors: DataFrame, ids: DataFrame, inventory: DataFrame, spread: Sequence[str] = ("event_id",)
 ) -> DataFrame:
-    """Stream joined to the container and grid dimensions, which are read anew per batch."""
+    """Rows joined to the container and grid dimensions.
+
+    On a stream the dimensions are those the query was started with; to see what has been
+    added since, call this on each micro-batch with dimensions read there, as
+    :func:`run_two_sinks` does.
+    """
     known = containers.attach_container_id(vectors, ids, spread=spread)
     named = containers.enrich(known, inventory, spread=spread)
     return energy.with_intensity(named)
@@ -104,48 +103,88 @@ def scored(vectors: DataFrame, model=None) -> DataFrame:
     return energy.heuristic(vectors) if model is None else energy.model_estimates(vectors, model)
 
 
+def with_counters(
+    estimates: DataFrame, keys: Sequence[str] = (*rollup.PROCESS, "comm"), expiry_ms: int | None = None
+) -> DataFrame:
+    """Adds the running totals of each process's energy and carbon to estimates of closed windows.
+
+    The totals are Spark's keyed state, exact integers; a process that runs in one container, as
+    they do, has one series.  Append mode.
+    """
+    plain = estimates.columns
+    counted = estimates.withColumns(
+        {"exact_nj": F.col("energy_nj").cast("decimal(20,0)"), "exact_mc": metrics.milli_carbon()}
+    )
+    schema = StructType(
+        [*counted.schema.fields, *[StructField(f"{n}_total", DecimalType(38, 0)) for n in ("exact_nj", "exact_mc")]]
+    )
+    totals = counted.groupBy(*keys).transformWithStateInPandas(
+        state.Counter(keys, ["exact_nj", "exact_mc"], "interval", expiry_ms),
+        schema, "Append", "ProcessingTime" if expiry_ms else "None",
+    )
+    return totals.select(
+        *plain,
+        S.joules("exact_nj_total").alias(metrics.COUNTERS[0]),
+        metrics.grams(F.col("exact_mc_total")).alias(metrics.COUNTERS[1]),
+    )
+
+
 def run_summary(
     vectors: DataFrame,
     path: str,
     checkpoint: str,
-    ids: DataFrame,
+    ids: Callable[[], DataFrame],
     window: str = "1 second",
-) -> None:
+    trigger: Mapping[str, object] = sinks.AVAILABLE_NOW,
+) -> StreamingQuery:
     """System summary of every closed window.
 
     Append mode releases all processes of a window in the same micro-batch, once the
-    watermark has passed its end, so the batch operator sees whole windows.
+    watermark has passed its end, so the batch operator sees whole windows.  ``ids`` is
+    called in every micro-batch, so processes that are new since then are known.
     """
     closed = pid_merge(vectors, window)
 
     def summarise(batch: DataFrame, batch_id: int) -> None:
-        known = containers.attach_container_id(batch, ids)
+        known = containers.attach_container_id(batch, ids())
         est = energy.heuristic(known.withColumn("container_name", F.lit("")))
         sinks.write_batch(views.system_summary(est), path, batch_id)
 
-    sinks.for_each_batch(closed, summarise, checkpoint, "append")
+    return sinks.for_each_batch(closed, summarise, checkpoint, "append", trigger)
 
 
 def run_two_sinks(
-    vectors: DataFrame, samples_path: str, feed_path: str, checkpoint: str, window: str = "1 second"
-) -> None:
-    """Metric samples and telemetry frames from the same micro-batch of closed windows."""
-    closed = pid_merge(vectors, window)
+    vectors: DataFrame,
+    samples_path: str,
+    feed_path: str,
+    checkpoint: str,
+    dimensions: Callable[[], tuple[DataFrame, DataFrame]],
+    window: str = "1 second",
+    estimate: Callable[[DataFrame], DataFrame] = energy.heuristic,
+    trigger: Mapping[str, object] = sinks.AVAILABLE_NOW,
+) -> StreamingQuery:
+    """The live path: vectors merged per window, estimated, counted, named by their container
+    and published as metric samples and as telemetry frames.
+
+    ``dimensions`` gives the processes' container ids and the inventory.  It is called in
+    every micro-batch, so a container started since the last one is seen.  ``estimate`` turns
+    merged vectors into estimates (model, heuristic or one falling back on the other).
+    """
+    published = with_counters(estimate(pid_merge(vectors, window)))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        est = energy.heuristic(
-            batch.withColumns({"container_id": F.lit(""), "container_name": F.lit("")})
-        )
-        est.persist()
+        ids, inventory = dimensions()
+        named = containers.enrich(containers.attach_container_id(batch, ids), inventory)
+        est = named.persist()
         try:
-            samples.write_samples(est, f"{samples_path}/{sinks.BATCH}={batch_id}", with_counters=False)
+            samples.write_samples(est, f"{samples_path}/{sinks.BATCH}={batch_id}")
             telemetry.write_frames(est, f"{feed_path}/{sinks.BATCH}={batch_id}")
         finally:
             est.unpersist()
 
-    sinks.for_each_batch(closed, publish, checkpoint, "append")
+    return sinks.for_each_batch(published, publish, checkpoint, "append", trigger)
 
 
-def partial_stream(stream: DataFrame) -> DataFrame:
+def partial_stream(stream: DataFrame, heartbeats: DataFrame | None = None) -> DataFrame:
     """Event stream to partial vectors with event time."""
-    return events.partial_vectors(with_event_time(stream))
+    return events.partial_vectors(with_event_time(stream, heartbeats=heartbeats))

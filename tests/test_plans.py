@@ -75,11 +75,25 @@ def test_ordered_operators_without_hot_keys_are_one_window(spark, sf_dir):
     df.collect()
     text = plan(df)
     final = text[: text.index("== Initial Plan ==")]
-    # counting rows per key, the previous-value window, the sliding window
-    assert final.count("Window") <= 2
+    # the whole chain is one plan, nothing is stored on the way: the counter and what it restarts
+    # from are two window nodes on one shuffle of raw rows, the third is the sliding one
+    assert final.count("Window") <= 3
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*_stretch", final)) == 1
     assert "SortMergeJoin" not in final
 
 
+def test_no_event_sized_table_is_written(spark, sf_dir, monkeypatch):
+    from wattframe.plans import catalog
+
+    def refuse(*args):
+        raise AssertionError("stored a table")
+
+    monkeypatch.setattr(catalog, "stored", refuse, raising=False)
+    monkeypatch.setattr("wattframe.session.stored", refuse)
+    for name in ("container_asof", "counter_rate", "counter_rate_6h"):
+        assert QUERIES[name](spark, sf_dir).columns
+
+
 def test_metric_read_touches_its_own_files(spark, sf_dir):
     text = plan(QUERIES["metric_sample_table"](spark, sf_dir))
     assert re.search(r"PartitionFilters: \[[^\]]*metric[^\]]*energy_joules", text)

@@ -71,6 +71,23 @@ def test_running_since(spark, hot):
     assert {r.event_id: r.total for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("hot", HOT)
+def test_running_since_with_the_value_before(spark, hot):
+    rows = make_rows(7)
+    want = {}
+    for history in by_key(rows).values():
+        total = None
+        for row in history:
+            before = total
+            total = row[3] if row[4] else (total or 0) + row[3]
+            want[row[2]] = (total, before)
+    got = running_since(
+        frame(spark, rows), ["k"], ["ts_us", "event_id"], F.col("v"), F.col("reset"), "total",
+        hot_rows=hot, previous="before",
+    )
+    assert {r.event_id: (r.total, r.before) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("hot", HOT)
 def test_running_totals(spark, hot):
     rows = make_rows(4)

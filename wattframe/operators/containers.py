@@ -108,17 +108,31 @@ def enrich_asof(
     time: str = "ts_us",
     tie: Sequence[str] = ("event_id",),
     hot_rows: int = HOT_ROWS,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds the name the container had in the latest inventory snapshot at that time."""
+    """Adds the name the container had in the latest inventory snapshot at that time.
+
+    Where the vectors have no ``container_id`` yet, ``ids`` gives the processes' (and it is
+    added).  Rows per container then come from rows per process, so events are counted
+    without the join.
+    """
+    per_process = vectors.groupBy(*keys, *(() if ids is not None else ("container_id",))).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    if ids is not None:
+        vectors = attach_container_id(vectors, ids, keys, spread=tie)
+        per_process = attach_container_id(per_process, ids, keys, spread=keys)
+    key = _or_own_key("container_id", keys)
     found = asof_lookup(
         vectors,
         history,
-        key=_or_own_key("container_id", keys),
+        key=key,
         history_key=F.col("short_id"),
         values={"_name": F.col("name")},
         tie=tie,
         time=time,
         history_time="snapshot_us",
         hot_rows=hot_rows,
+        fact_rows=per_process.select(key.alias("_key"), "_rows"),
     )
     return found.withColumn("container_name", F.coalesce("_name", F.lit(""))).drop("_name")

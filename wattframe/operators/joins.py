@@ -52,13 +52,15 @@ def asof_lookup(
     time: str = "ts_us",
     history_time: str = "ts_us",
     hot_rows: int = HOT_ROWS,
+    fact_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Attaches the values of the latest history row at or before each fact row.
 
     Facts and history become one timeline per key along which the last value is carried: no
     inequality join, no pairs.  A key with many facts is cut into stretches of time.
     History times are unique within a key; ``tie`` makes facts with equal times distinct;
-    history comes before facts at a tie.
+    history comes before facts at a tie.  ``fact_rows`` are numbers of facts (``_key``,
+    ``_rows``, several entries per key add up) where the caller has them from a narrower source.
     """
     part = ["_key", STRETCH]
     facts = fact.select(
@@ -75,8 +77,13 @@ def asof_lookup(
         F.struct(*[v.alias(n) for n, v in values.items()]).alias("_state"),
     )
     # a key with many states is as busy as one with many facts
+    one = F.lit(1).cast("bigint").alias("_rows")
+    entries = (facts.select("_key", one) if fact_rows is None else fact_rows).unionByName(
+        marks.select("_key", one)
+    )
+    counts = entries.groupBy("_key").agg(F.sum("_rows").alias("_rows"))
     both = facts.select("_key", "_time").unionByName(marks.select("_key", "_time"))
-    hot = hot_keys(both, ["_key"], "_time", hot_rows)
+    hot = hot_keys(both, ["_key"], "_time", hot_rows, counts)
 
     def cut(rows: DataFrame, only_hot: bool = False) -> DataFrame:
         return with_stretch(rows, ["_key"], "_time", hot, only_hot)

@@ -208,7 +208,21 @@ def counter_rate(
     seen = with_previous(
         samples, keys=keys, order=order, values={"_before": value}, time=time, hot_rows=hot_rows
     )
-    now, before = F.col(value), F.col("_before")
+    return increase_rate(seen, value, "_before", keys, order, window_us, step_us, time)
+
+
+def increase_rate(
+    seen: DataFrame,
+    value: str,
+    previous: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    window_us: int = 5 * MINUTE,
+    step_us: int = S.MICROS,
+    time: str = "ts_us",
+) -> DataFrame:
+    """:func:`counter_rate` of samples that carry the previous one's value."""
+    now, before = F.col(value), F.col(previous)
     increase = (
         F.when(before.isNull(), F.lit(0).cast("bigint")).when(now < before, now).otherwise(now - before)
     )

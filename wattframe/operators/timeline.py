@@ -44,16 +44,22 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], time: str, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Keys with more than ``hot_rows`` rows and the times, ``_cuts``, they are cut at.
 
     A stretch holds half of ``hot_rows`` rows, within the error of the quantiles, however
     densely the rows lie; only rows of one and the same microsecond stay together.  Of a table
     with more than ``MOST_HOT`` times ``hot_rows`` rows, keys with less than that share are
-    not called hot, so there are never more of them.
+    not called hot, so there are never more of them.  ``counts`` are the keys' ``_rows`` where
+    the caller knows them from something narrower than ``df``.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     limit = F.greatest(
         F.lit(float(hot_rows)),
         F.coalesce(counts.agg(F.sum("_rows") / F.lit(float(MOST_HOT))).scalar(), F.lit(0.0)),
@@ -194,22 +200,32 @@ def running_since(
     name: str,
     time: str = "ts_us",
     hot_rows: int = HOT_ROWS,
+    previous: str | None = None,
 ) -> DataFrame:
-    """Running sum per key that starts again at each reset row (the row itself included)."""
+    """Running sum per key that starts again at each reset row (the row itself included).
+
+    ``previous`` names a second column, the sum at the key's row before (NULL if none); it
+    comes from the same window.
+    """
     part = [*keys, STRETCH]
     hot = hot_keys(df, keys, time, hot_rows)
     so_far = _rows_so_far(part, order)
 
-    def since_reset(rows: DataFrame) -> DataFrame:
-        summed = rows.withColumns({"_value": value, "_reset": reset}).withColumn(
-            "_sum", F.sum("_value").over(so_far)
-        )
+    def since_reset(rows: DataFrame, prior: bool = False) -> DataFrame:
+        before_row = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        running = {"_sum": F.sum("_value").over(so_far)}
+        if prior:
+            running["_nth"] = F.count(F.lit(1)).over(so_far)
+        summed = rows.withColumns({"_value": value, "_reset": reset}).withColumns(running)
         at_reset = F.when(F.col("_reset"), F.col("_sum") - F.col("_value"))
-        return summed.withColumn(
-            "_base", F.last(at_reset, ignorenulls=True).over(so_far)
-        ).withColumn("_since", F.col("_sum") - F.coalesce("_base", F.lit(0)))
+        base = {"_base": F.last(at_reset, ignorenulls=True).over(so_far)}
+        if prior:
+            base["_prior_base"] = F.last(at_reset, ignorenulls=True).over(before_row)
+        return summed.withColumns(base).withColumn(
+            "_since", F.col("_sum") - F.coalesce("_base", F.lit(0))
+        )
 
-    inside = since_reset(with_stretch(df, keys, time, hot))
+    inside = since_reset(with_stretch(df, keys, time, hot), previous is not None)
     ends = (
         since_reset(with_stretch(df, keys, time, hot, only_hot=True))
         .groupBy(*part)
@@ -226,11 +242,16 @@ def running_since(
     carried = state.select(
         *part, F.lag("_state").over(Window.partitionBy(*keys).orderBy(STRETCH)).alias("_from")
     )
-    started = F.col("_base").isNotNull()
-    before = F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
-    return null_safe_join(inside, carried, part, "left").select(
-        *df.columns, (F.col("_since") + before).alias(name)
-    )
+    carry = lambda started: F.when(started, F.lit(0)).otherwise(F.coalesce("_from", F.lit(0)))
+    added = [(F.col("_since") + carry(F.col("_base").isNotNull())).alias(name)]
+    if previous is not None:
+        prior_sum = F.col("_sum") - F.coalesce("_value", F.lit(0)) - F.coalesce("_prior_base", F.lit(0))
+        added.append(
+            F.when(F.col("_nth") == 1, F.col("_from"))
+            .otherwise(prior_sum + carry(F.col("_prior_base").isNotNull()))
+            .alias(previous)
+        )
+    return null_safe_join(inside, carried, part, "left").select(*df.columns, *added)
 
 
 def sliding_sum(

@@ -104,7 +104,7 @@ def stored_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The CPU time counter of each process at each CPU event; exec sets it back to 0."""
+    """The CPU time counter of each process at and before each CPU event; exec sets it back to 0."""
     cpu = fixture.tele(spark, sf_dir, "cpu").select(
         "event_id", "ts_us", "host_id", "pid", "event_kind", "delta_ns"
     )
@@ -115,5 +115,6 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         value=F.col("delta_ns"),
         reset=F.col("event_kind") == "exec",
         name="counter_ns",
+        previous="counter_before_ns",
     )
-    return counted.select("event_id", "ts_us", "host_id", "pid", "counter_ns")
+    return counted.select("event_id", "ts_us", "host_id", "pid", "counter_ns", "counter_before_ns")

@@ -13,7 +13,7 @@ from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, model, rollup, views
 from wattframe.plans import attribution as A
 from wattframe.plans import fixture
-from wattframe.session import configure, shared_dir, stored
+from wattframe.session import configure, shared_dir
 from wattframe.sources import calibration, records, samples, tables, telemetry
 from wattframe.streaming import jobs, sinks
 
@@ -207,13 +207,11 @@ def container_enrich(spark, sf_dir):
 
 @query
 def container_asof(spark, sf_dir):
-    located = containers.attach_container_id(
+    named = containers.enrich_asof(
         fixture.tele(spark, sf_dir).select("event_id", "ts", "ts_us", "host_id", "pid"),
-        A.process_containers(spark, sf_dir),
-        spread=["event_id"],
+        fixture.inventory_history(spark, sf_dir),
+        ids=A.process_containers(spark, sf_dir),
     )
-    located = stored(located, "located")
-    named = containers.enrich_asof(located, fixture.inventory_history(spark, sf_dir))
     return named.select("event_id", "ts", "host_id", "pid", "container_id", "container_name")
 
 
@@ -393,9 +391,8 @@ def faults_per_min(spark, sf_dir):
 
 
 def _rate(spark, sf_dir, window_us):
-    exported = stored(A.counter_samples(spark, sf_dir), "counter")
-    return metrics.counter_rate(
-        exported, "counter_ns", rollup.PROCESS, rollup.ORDER, window_us
+    return metrics.increase_rate(
+        A.counter_samples(spark, sf_dir), "counter_ns", "counter_before_ns", rollup.PROCESS, rollup.ORDER, window_us
     )
 
 

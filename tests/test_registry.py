@@ -39,7 +39,7 @@ SHUFFLED = ("container_enrich", "container_asof", "cpu_slices", "counter_rate",
 
 @pytest.mark.parametrize("name", SHUFFLED)
 def test_same_without_broadcast(spark, con, sf_dir, name):
-    """Dimensions too large to broadcast take the salted shuffle join."""
+    """Dimensions too large to broadcast take the shuffle join."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")

@@ -186,9 +186,34 @@ def test_lookup_join_matches_plain_join(spark):
     rows = [(0 if i % 3 else i, i) for i in range(300)]
     fact = spark.createDataFrame(rows, "k bigint, i bigint")
     dim = spark.createDataFrame([(k, f"d{k}") for k in range(0, 200)], "k bigint, name string")
-    for salts in (1, 5):
-        got = sorted((r.i, r.name) for r in lookup_join(fact, dim, ["k"], ["i"], salts).collect())
-        assert got == [(i, f"d{k}" if k < 200 else None) for k, i in sorted(rows, key=lambda r: r[1])]
+    got = sorted((r.i, r.name) for r in lookup_join(fact, dim, ["k"]).collect())
+    assert got == [(i, f"d{k}" if k < 200 else None) for k, i in sorted(rows, key=lambda r: r[1])]
+
+
+def test_a_hot_lookup_key_is_split(spark):
+    """Even below an aggregate that could reuse the join's partitioning."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        i = F.col("id")
+        fact = spark.range(0, 40_000, 1, 8).select(F.when(i % 3 == 0, 7).otherwise(i).alias("k"), F.xxhash64(i).alias("i"))
+        dim = spark.range(0, 1000).select(i.alias("k"), F.lit("d").alias("name"))
+        counted = lookup_join(fact, dim, ["k"]).groupBy("k", "name").agg(F.count("i").alias("n"), F.max("i"))
+        rows = {r.k: (r.name, r.n) for r in counted.collect()}  # the largest i keeps i in the shuffle
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert rows[7] == ("d", 13_335) and rows[1] == ("d", 1) and rows[1001] == (None, 1)
+    assert sum(n for _, n in rows.values()) == 40_000
 
 
 def test_asof_for_host_processes(spark):

@@ -56,10 +56,9 @@ def unreadable_inventories(df: DataFrame, doc: str = "doc") -> DataFrame:
 
 def attach_container_id(
     vectors: DataFrame, ids: DataFrame, keys: Sequence[str] = PROCESS,
-    spread: Sequence[str] = ("timestamp_ns",),
 ) -> DataFrame:
     """Adds ``container_id`` from the per-process ids, ``''`` where the process is unknown."""
-    return lookup_join(vectors, ids, keys, spread).withColumn(
+    return lookup_join(vectors, ids, keys).withColumn(
         "container_id", F.coalesce("container_id", F.lit(""))
     )
 
@@ -77,7 +76,6 @@ def enrich(
     vectors: DataFrame,
     inventory: DataFrame,
     keys: Sequence[str] = PROCESS,
-    spread: Sequence[str] = ("host_id", "pid", "timestamp_ns"),
 ) -> DataFrame:
     """Adds the container's name, image and pod.
 
@@ -92,7 +90,7 @@ def enrich(
         .where(F.col("_found.name") != "")
     )
     joined = lookup_join(
-        vectors.withColumn("_lookup", _or_own_key("container_id", keys)), known, ["_lookup"], spread
+        vectors.withColumn("_lookup", _or_own_key("container_id", keys)), known, ["_lookup"]
     )
     return joined.select(
         *vectors.columns,
@@ -120,8 +118,8 @@ def enrich_asof(
         F.count(F.lit(1)).alias("_rows")
     )
     if ids is not None:
-        vectors = attach_container_id(vectors, ids, keys, spread=tie)
-        per_process = attach_container_id(per_process, ids, keys, spread=keys)
+        vectors = attach_container_id(vectors, ids, keys)
+        per_process = attach_container_id(per_process, ids, keys)
     key = _or_own_key("container_id", keys)
     found = asof_lookup(
         vectors,

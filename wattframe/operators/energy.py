@@ -101,7 +101,6 @@ def estimate(
     on: str = "interval",
     intensity: Column | float = fixed.DEFAULT_INTENSITY,
     window_seconds: float = fixed.WINDOW_SECONDS,
-    spread: tuple[str, ...] = ("host_id", "pid"),
 ) -> DataFrame:
     """Model estimate where the model was available and the features are finite, else the
     heuristic for the same vector.  ``availability`` has one row per ``on`` value."""
@@ -110,7 +109,7 @@ def estimate(
     usable = F.lit(True)
     if availability is not None:
         known = availability.select(on, F.col("available").alias("_available"))
-        vectors = lookup_join(vectors, known, [on], spread)
+        vectors = lookup_join(vectors, known, [on])
         usable = F.coalesce("_available", F.lit(False))
     for feature in model.features:
         usable = usable & S.is_finite(feature)
@@ -139,7 +138,6 @@ def regions(spark) -> DataFrame:
 
 def with_intensity(
     df: DataFrame, region_table: DataFrame | None = None, default: float = fixed.DEFAULT_INTENSITY,
-    spread: tuple[str, ...] = ("host_id", "pid"),
 ) -> DataFrame:
     """Adds ``intensity`` by region, the default where the region has no entry.
 
@@ -149,7 +147,7 @@ def with_intensity(
     if region_table is None:
         joined = df.join(F.broadcast(regions(df.sparkSession)), ["region"], "left")
     else:
-        joined = lookup_join(df, region_table, ["region"], spread)
+        joined = lookup_join(df, region_table, ["region"])
     return joined.withColumn(
         "intensity", F.coalesce("grams_per_kwh", F.lit(float(default)))
     ).drop("grams_per_kwh")

@@ -15,31 +15,18 @@ from wattframe.operators.timeline import (
     with_stretch,
 )
 
-SALTS = 16
 
-
-def lookup_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join to a dimension with one row per key.
 
-    There is no broadcast hint: Spark broadcasts the dimension when its size is under
+    There is no broadcast hint: Spark broadcasts the dimension, as it is, when its size is under
     ``spark.sql.autoBroadcastJoinThreshold`` (static estimate, or the size AQE measured).
-    Beyond that the join shuffles, and then a hot key's fact rows are spread over ``salts``
-    partitions by a hash of ``spread`` while the dimension is repeated once per salt; AQE's
-    skew join cuts such a partition further where it is still far above the median.
+    Beyond that the join shuffles, and AQE cuts the partitions hot keys fall into by measured
+    size, into as many parts as they need; nothing is repeated for keys that are not hot.
+    The session has it do so even where a later aggregate on the same keys then has to shuffle
+    (``spark.sql.adaptive.forceOptimizeSkewedJoin``, see :mod:`wattframe.session`).
     """
-    salted_fact = fact.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    )
-    salted_dim = dim.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    )
-    return salted_fact.join(salted_dim, [*on, "_salt"], "left").drop("_salt")
+    return fact.join(dim, list(on), "left")
 
 
 def asof_lookup(

@@ -177,7 +177,7 @@ def exec_segments(
     switch = F.col("event_kind") == "switch"
     involuntary = S.is_involuntary("prev_state")
     per_name = (
-        lookup_join(cpu_events, execs, keys, ["ts_us", "event_id"])
+        lookup_join(cpu_events, execs, keys)
         .where(F.col("reset").isNull() | (position >= F.col("reset")))
         .groupBy(*keys, "comm")  # numbers alone are left, so it runs as a hash aggregate
         .agg(

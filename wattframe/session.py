@@ -12,6 +12,8 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a hot key's rows are split also where the aggregate after the join could reuse its shuffle
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # streams keep their state on disk beside the task, not in its heap, with changes checkpointed
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

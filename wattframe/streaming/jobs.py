@@ -84,17 +84,15 @@ def exec_reset(
     )
 
 
-def enriched(
-    vectors: DataFrame, ids: DataFrame, inventory: DataFrame, spread: Sequence[str] = ("event_id",)
-) -> DataFrame:
+def enriched(vectors: DataFrame, ids: DataFrame, inventory: DataFrame) -> DataFrame:
     """Rows joined to the container and grid dimensions.
 
     On a stream the dimensions are those the query was started with; to see what has been
     added since, call this on each micro-batch with dimensions read there, as
     :func:`run_two_sinks` does.
     """
-    known = containers.attach_container_id(vectors, ids, spread=spread)
-    named = containers.enrich(known, inventory, spread=spread)
+    known = containers.attach_container_id(vectors, ids)
+    named = containers.enrich(known, inventory)
     return energy.with_intensity(named)
 
 

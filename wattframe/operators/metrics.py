@@ -161,6 +161,32 @@ def histogram_quantile(q: float, buckets: str = "buckets") -> Column:
     )
 
 
+def quantile_over_window(est: DataFrame, q: float, window_us: int = 5 * MINUTE) -> DataFrame:
+    """Quantile of the observations inside the look-back window, at each interval.
+
+    What a dashboard reads off the rate of a histogram's cumulative buckets: the increase of each
+    bucket inside the window (the rate's division by its length cancels out), interpolated.
+    There is one row per interval and bucket bound left when the window looks back.
+    """
+    per_interval = histogram(est, by=["interval"]).select(
+        S.micros("interval").alias("step_us"), F.explode("buckets").alias("b")
+    )
+    slid = sliding_sum(
+        per_interval.select("step_us", F.col("b.le").alias("le"), F.col("b.cumulative").alias("increase")),
+        keys=["le"],
+        window_us=window_us,
+        sums={"cumulative": F.col("increase")},
+        time="step_us",
+    )
+    at = F.timestamp_micros("step_us").cast("timestamp_ntz").alias("interval")
+    buckets = F.sort_array(F.collect_list(F.struct("le", "cumulative"))).alias("buckets")
+    return slid.groupBy("step_us").agg(buckets).select(
+        at,
+        F.element_at("buckets", -1)["cumulative"].alias("observations"),
+        histogram_quantile(q).alias("quantile"),
+    )
+
+
 def rate_over_events(
     df: DataFrame,
     values: dict[str, Column],

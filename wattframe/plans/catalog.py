@@ -419,6 +419,13 @@ def confidence_median(spark, sf_dir):
     return hist.select("day", "observations", median.alias("median_confidence"))
 
 
+@query
+def confidence_panel(spark, sf_dir):
+    """Median confidence over the last six hours, at each interval."""
+    panel = metrics.quantile_over_window(A.fallback(spark, sf_dir), 0.5, 6 * metrics.HOUR)
+    return panel.select("interval", "observations", F.round("quantile", 9).alias("median_confidence"))
+
+
 # --- telemetry frames --------------------------------------------------------------
 
 

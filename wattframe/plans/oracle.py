@@ -464,6 +464,21 @@ FROM (SELECT *, observations * CAST(0.5 AS DOUBLE) AS rank, lag(le, 1, CAST(0 AS
 WHERE cumulative >= rank QUALIFY row_number() OVER (PARTITION BY day ORDER BY le) = 1""",
         features="live_features",
     ),
+    "confidence_panel": sql(
+        """
+SELECT "interval", observations, round(CASE WHEN isinf(le) THEN 0.99 ELSE
+  low + (le - low) * ((rank - under) / (cumulative - under)) END, 9) AS median_confidence
+FROM (SELECT *, observations * CAST(0.5 AS DOUBLE) AS rank, lag(le, 1, CAST(0 AS DOUBLE)) OVER w AS low,
+        CAST(lag(cumulative, 1, 0) OVER w AS DOUBLE) AS under
+      FROM (SELECT "interval", le, CAST(sum(c) OVER s AS BIGINT) AS cumulative, CAST(sum(n) OVER s AS BIGINT) AS observations
+            FROM (SELECT "interval", b.le, count(*) FILTER (WHERE confidence <= b.le) AS c, count(*) AS n
+                  FROM fallback_rows CROSS JOIN bounds b GROUP BY 1, 2) h
+            WINDOW s AS (PARTITION BY le ORDER BY epoch_us("interval")
+              RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)) t
+      WINDOW w AS (PARTITION BY "interval" ORDER BY le)) r
+WHERE cumulative >= rank QUALIFY row_number() OVER (PARTITION BY "interval" ORDER BY le) = 1""",
+        features="live_features",
+    ),
     "telemetry_json": sql("""
 SELECT "interval", host_id, CAST(0 AS BIGINT) AS part, 'telemetry' AS type,
   strftime("interval", '%Y-%m-%dT%H:%M:%SZ') AS timestamp, count(*) AS processes, min(pid) AS first_pid,

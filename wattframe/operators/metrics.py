@@ -77,29 +77,47 @@ def gauge_latest(
     )
 
 
-def counters(
+def exact_counters(
     est: DataFrame, labels: Sequence[str] = LABELS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Cumulative energy and carbon per label set at each interval (``est`` is read more than once)."""
+    """Cumulative energy (``nj_total``) and carbon (``mc_total``) per label set at each interval
+    as exact integers, which differences and rates can be taken of (``est`` is read more than
+    once)."""
     cumulative = running_totals(
         labelled(est).withColumn("_at", S.micros("interval")),
         keys=labels,
         at="interval",
         sums={
-            "_nj_total": F.col("energy_nj").cast("decimal(20,0)"),
-            "_mc_total": milli_carbon(),
+            "nj_total": F.col("energy_nj").cast("decimal(20,0)"),
+            "mc_total": milli_carbon(),
         },
         time="_at",
         hot_rows=hot_rows,
     )
-    return cumulative.select(
+    return cumulative.select("interval", *labels, "nj_total", "mc_total")
+
+
+def counters(
+    est: DataFrame, labels: Sequence[str] = LABELS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """:func:`exact_counters` in joules and grams."""
+    return exact_counters(est, labels, hot_rows).select(
         "interval",
         *labels,
-        S.joules("_nj_total").alias(COUNTERS[0]),
-        grams(F.col("_mc_total")).alias(COUNTERS[1]),
+        S.joules("nj_total").alias(COUNTERS[0]),
+        grams(F.col("mc_total")).alias(COUNTERS[1]),
     )
 
 
+def carbon_rate(
+    est: DataFrame, window_us: int = 5 * MINUTE, labels: Sequence[str] = LABELS
+) -> DataFrame:
+    """Grams of CO2 per second of each series over the look-back window, from the exact counter."""
+    exported = exact_counters(est, labels).withColumn("ts_us", S.micros("interval"))
+    rated = counter_rate(exported, "mc_total", labels, ["ts_us"], window_us)
+    return rated.select("ts", *labels, grams(F.col("rate_per_second")).alias("carbon_grams_per_second"))
+
+
 def histogram_aggregates(value: str = "confidence", bounds: Sequence[float] = fixed.CONFIDENCE_BOUNDS):
     """Cumulative bucket counts, count and sum as one row's columns (one pass)."""
     return [

@@ -366,6 +366,12 @@ def counter_cumulative(spark, sf_dir):
     return metrics.counters(A.stored_estimates(spark, sf_dir))
 
 
+@query
+def carbon_counter_rate(spark, sf_dir):
+    """Rate of every series' carbon counter over six hours."""
+    return metrics.carbon_rate(A.stored_estimates(spark, sf_dir), 6 * metrics.HOUR)
+
+
 @query
 def carbon_per_min(spark, sf_dir):
     vectors = events.partial_vectors(fixture.tele(spark, sf_dir))

@@ -435,6 +435,13 @@ SELECT "interval", host_id, pid, comm, container_id, container_name, energy_joul
   cpu_energy_joules, memory_energy_joules, gpu_energy_joules, CAST(is_ai_inference AS DOUBLE) AS ai_workload_detected
 FROM labelled WHERE "interval" = (SELECT max("interval") FROM vectors)"""),
     "counter_cumulative": sql("SELECT * FROM cum"),
+    "carbon_counter_rate": sql("""
+SELECT "interval" AS ts, host_id, pid, comm, container_id, container_name,
+  CAST(sum(increase) OVER (PARTITION BY host_id, pid, comm, container_id, container_name ORDER BY epoch_us("interval")
+    RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS DOUBLE) / 21600.0::DOUBLE / 1e3 / 1e9 / 3.6e6
+    AS carbon_grams_per_second
+FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY host_id, pid, comm, container_id, container_name
+        ORDER BY "interval") = 1 THEN 0 ELSE energy_nj * 475000 END AS increase FROM labelled) g"""),
     "carbon_per_min": sql(f"""
 SELECT make_timestamp(step) AS ts,
   CAST(sum(step_nj) {SLIDING_MINUTE} AS DOUBLE) / 1e9 / 3.6e6 * CAST(475 AS DOUBLE) AS carbon_grams_per_min

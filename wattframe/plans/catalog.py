@@ -634,7 +634,7 @@ def stream_fanin(spark, sf_dir):
 def stream_pid_merge(spark, sf_dir):
     path = shared_dir(spark, "merge")
     merged = jobs.pid_merge(_vectors(spark, sf_dir), A.INTERVAL)
-    sinks.changelog(merged, f"{path}/out", f"{path}/checkpoint")
+    sinks.changelog(merged, f"{path}/out", f"{path}/checkpoint", keys=["interval", "host_id", "pid"])
     return sinks.latest(spark, f"{path}/out", ["interval", "host_id", "pid"]).select(*VECTOR)
 
 
@@ -643,7 +643,7 @@ def stream_counters(spark, sf_dir):
     path = shared_dir(spark, "counters")
     labels = ["host_id", "pid", "comm"]
     est = jobs.scored(events.partial_vectors(_events(spark, sf_dir)))
-    sinks.changelog(jobs.counters(est, labels), f"{path}/out", f"{path}/checkpoint")
+    sinks.changelog(jobs.counters(est, labels), f"{path}/out", f"{path}/checkpoint", keys=labels)
     return sinks.latest(spark, f"{path}/out", labels)
 
 

@@ -240,3 +240,38 @@ def test_long_texts_are_scored_as_short_ones():
     finally:
         langid.STEP = begin
     assert np.allclose(whole, parts)
+
+
+SENTENCE = "Some words of the article, which go on, and on, until there is enough of it to be read. "
+
+
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ("<div class='layout has-sidebar'><article><p>", "</article></div>"),
+        ("<div class='layout has-sidebar'><p>", "</div>"),
+        ("<div class='elementor-widget elementor-widget-text-editor'><p>", "</div>"),
+        ("<div class=widget><main><p>", "</main></div>"),
+        ("<form id=aspnetForm><p>", "</form>"),
+        ("<body>", "</body>"),
+        ("<main>", "</main>"),
+        ("<center>", "</center>"),
+        ("<figure>", "</figure>"),
+    ],
+)
+def test_no_wrapper_and_no_block_loses_the_article(opening, closing):
+    menu = "<nav><a href=/>Home</a></nav><div class=sidebar>Read more</div>"
+    assert extract.main_text(f"{menu}{opening}{SENTENCE * 5}{closing}") == (SENTENCE * 5).strip()
+
+
+def test_an_article_in_many_widgets_is_kept_and_small_boxes_go():
+    parts = "".join(f"<div class='elementor-widget w{i}'><p>{i} {SENTENCE}</p></div>" for i in range(9))
+    page = f"<body>{parts}<div class='share-box'>Tell your friends</div><aside>Side</aside></body>"
+    assert extract.main_text(page).split("\n\n") == [f"{i} {SENTENCE}".strip() for i in range(9)]
+
+
+def test_comments_and_teasers_do_not_replace_the_article():
+    said = f"<article class='comment-body'><p>{SENTENCE * 3}</p></article>"
+    teasers = "<div class='related'><article><p>Another one, to read next.</p></article></div>"
+    page = f"<article><p>{SENTENCE * 4}</p><div id=comments>{said * 5}</div></article>{teasers}"
+    assert extract.main_text(page) == (SENTENCE * 4).strip()

@@ -5,6 +5,10 @@ the further away; an element's points are discounted by the share of its text in
 The best container is kept with those siblings that look like part of it, less what is named
 or marked as menu, header, footer, sidebar, notice, advert, form or reader comment.
 
+A name alone loses no article: elements are dropped by name once the page is read, and only
+if all of that name hold a small share of the page's unlinked text and not its only article.
+Those that stay pass a quarter of their points.
+
 Null and empty pages give an empty text.  Pages may be cut off anywhere: an open tag or comment
 at the end is dropped, an open element ends with the page.  Work is linear in the page.  Equal
 rows give equal results; an empty table gives none.
@@ -24,14 +28,16 @@ from wattframe.llm.common import small
 # Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript template iframe svg math".split())
-DROPPED = frozenset(
-    "head nav footer aside form button select option label fieldset dialog menu object audio video canvas".split()
-)
+DROPPED = frozenset("head button select option label menu object audio video canvas".split())
+#: Elements that are dropped unless the page's article stands in them, or too much of its text.
+MARKED = frozenset("nav footer aside header form fieldset dialog".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var img wbr".split()
 )
-PARAGRAPH = frozenset("p pre blockquote td li dd div section article".split())
+#: Elements whose text counts for the one around them; any other block's counts for itself.
+PARAGRAPH = frozenset("p pre blockquote td th li dt dd figcaption caption summary address".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
     "h6 header hr main menu nav ol p pre section table ul".split()
@@ -52,6 +58,17 @@ NAMES = re.compile(
     re.I,
 )
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
+#: Names that say what else is on the page, and names of what readers wrote.
+NEUTRAL = re.compile(r"(?<![^\s])(?:\S*[_-])?(?:has|with|without|no|is)[_-]\S*", re.I)
+READERS = frozenset("comment comments disqus respond reply replies".split())
+#: Share of the page's unlinked text from which a name, or one of READERS, no longer drops.
+SMALL, SMALL_READERS = 0.25, 0.9
+#: Marks that drop whatever their share; an article inside keeps them too.
+NEVER_TEXT = frozenset("<nav> <footer> <aside> <dialog>".split())
+#: Characters up to which a name drops what stands beside an article, whatever the share.
+SHORT = 250
+#: Part of their points that marked elements pass.
+PENALTY = 0.25
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<(?=[/a-zA-Z])[^>]*(?:>|\Z)""",
@@ -61,10 +78,14 @@ _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "text", "linked", "points", "children")
+    __slots__ = ("tag", "parent", "dropped", "mark", "article", "inside", "part", "text", "linked", "points", "children")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.mark = ""
+        self.article = False  # whether an outermost article stands inside
+        self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
+        self.part = 1.0
         self.text = self.linked = 0
         self.points = 0.0
         self.children: list[Node] = []
@@ -79,7 +100,10 @@ class Page:
         self._at, self._inline, self._links = self.root, [], 0
         self._said: list[str] = []
         self._linked = 0
+        self._marked: list[Node] = []
+        self._articles: list[Node] = []
         self._read(source)
+        self._settle()
 
     def _read(self, source: str) -> None:
         last, end = 0, len(source)
@@ -133,7 +157,15 @@ class Page:
             self._end(("p",), SCOPE | {"article", "section", "div", "td", "th", "li", "blockquote"})
         if tag in SIBLING_ENDS:
             self._end(SIBLING_ENDS[tag], SCOPE - {"body", "html"} if tag in ("li", "dt", "dd") else {"table"})
-        self._push(tag, self._at.dropped or self._unwanted(tag, rest))
+        self._push(tag, self._at.dropped or tag in DROPPED or _hidden(rest))
+        node = self._at
+        if node.dropped:
+            return
+        node.mark = self._mark(tag, rest)
+        if node.mark:
+            self._marked.append(node)
+        elif tag in ("article", "main"):
+            self._articles.append(node)
 
     def _push(self, tag: str, dropped: bool) -> None:
         node = Node(tag, self._at, dropped)
@@ -167,29 +199,88 @@ class Page:
             self._at = node.parent
 
     def _within(self, tags: tuple[str, ...]) -> bool:
-        node = self._at
+        node = self._at.parent
         while node:
             if node.tag in tags:
                 return True
             node = node.parent
         return False
 
-    def _unwanted(self, tag: str, rest: str) -> bool:
+    def _mark(self, tag: str, rest: str) -> str:
+        """What an element is named or marked as; empty if nothing speaks against it."""
         if tag in NEVER:
-            return False
-        if tag in DROPPED:
-            return True
+            return ""
+        if tag in MARKED and tag != "header":
+            return f"<{tag}>"
         if tag == "header":
-            return not self._within(("article", "main"))
+            return "" if self._within(("article", "main")) else "<header>"
         if not rest.strip():
-            return False
-        if _hidden(rest):
-            return True
+            return ""
         named = dict((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest))
-        names = f"{named.get('class', '')} {named.get('id', '')}"
-        if named.get("role", "").lower() in ROLES or NAMES.search(names):
-            return True
-        return bool(HEADER.search(names)) and not self._within(("article", "main"))
+        if named.get("role", "").lower() in ROLES:
+            return f"role {named['role'].lower()}"
+        names = NEUTRAL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}")
+        found = NAMES.search(names)
+        if found:
+            return found[0].strip(" \t\r\n\f_-").lower()
+        return "header" if HEADER.search(names) and not self._within(("article", "main")) else ""
+
+    def _settle(self) -> None:
+        """Drop the marked elements without an article and with little of the text; the blocks
+        left are those outside."""
+        if not self._marked:
+            return
+        total, shares = 0, {}
+        names: dict[int, frozenset] = {id(self.root): frozenset()}
+        for node, text, linked in self.blocks:
+            chain, at = [], node
+            while id(at) not in names:
+                chain.append(at)
+                at = at.parent
+            for at in reversed(chain):
+                above = names[id(at.parent)]
+                names[id(at)] = above | {at.mark} if at.mark else above
+            total += len(text) - linked
+            for mark in names[id(node)]:
+                shares[mark] = shares.get(mark, 0) + len(text) - linked
+        free = self._find_articles()
+        for node in self._marked:
+            size = shares.get(node.mark, 0)
+            small = size < total * (SMALL_READERS if node.mark in READERS else SMALL)
+            beside = free and not node.inside and size <= SHORT
+            node.dropped = not node.article and (small or beside or not size or node.mark in NEVER_TEXT)
+        settled: set[int] = {id(self.root)}
+
+        def settle(node: Node) -> Node:
+            chain, at = [], node
+            while id(at) not in settled:
+                chain.append(at)
+                at = at.parent
+            for at in reversed(chain):
+                settled.add(id(at))
+                at.dropped = at.dropped or at.parent.dropped
+                at.part = 1.0 if at.tag in ("article", "main") else PENALTY if at.mark else at.parent.part
+            return node
+
+        self.blocks = [b for b in self.blocks if not settle(b[0]).dropped]
+
+    def _find_articles(self) -> bool:
+        """Whether an outermost article stands in no marked element.  If none does, the ways up
+        from them are noted; beside one that does they are teasers, inside another comments."""
+        for node in self._articles:
+            if node.inside:
+                continue
+            at, marked = node.parent, False
+            while at and not marked:
+                marked, at = bool(at.mark), at.parent
+            if not marked:
+                return True
+        for node in self._articles:
+            at = node.parent
+            while not node.inside and at and not at.article:
+                at.article = True
+                at = at.parent
+        return False
 
 
 def _hidden(rest: str) -> bool:
@@ -212,19 +303,20 @@ def points(text: str) -> float:
 
 
 def best(page: Page) -> Node | None:
-    """The element with most points per share of text outside links."""
+    """The element with most points per share of text outside links.  Headings count only on a
+    page without any other text."""
     found: dict[int, Node] = {}
     for node, text, linked in page.blocks:
-        level, at = 0, node if node.tag in PARAGRAPH or node.tag == "#root" else None
         up: Node | None = node
         while up:
             up.text += len(text)
             up.linked += linked
             up = up.parent
-        if at is None:
-            continue
-        given = points(text) * (1 - linked / len(text))
-        up = node.parent if node.tag in ("p", "pre", "td", "li", "dd", "blockquote") else node
+    scored = [b for b in page.blocks if b[0].tag not in HEADING and b[2] < len(b[1])] or page.blocks
+    for node, text, linked in scored:
+        level = 0
+        given = points(text) * (1 - linked / len(text)) * node.part
+        up = node.parent if node.tag in PARAGRAPH or node.tag in HEADING else node
         up = up or page.root
         while up:
             up.points += given / (1, 2, 3, 6, 9, 12)[min(level, 5)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -181,6 +182,47 @@ def test_repeated_passages(clashing, raw, monkeypatch, crowd, shard, broadcast):
     assert got == expected
 
 
+def shared_passage(n=240):
+    """Different documents around one passage, some rows twice."""
+    draw = random.Random(3)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(160))
+    texts = ["".join(draw.choice("ijklmnop ") for _ in range(120)) + passage + f" {i} " * 30 for i in range(n)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return [*rows, *rows[:5], (None, "q" * 90 + passage)]
+
+
+def test_strings_of_a_crowded_anchor_leave_a_task_once(spark):
+    rows = [(i, 0, t.encode()) for i, t in shared_passage()]
+    texts = spark.createDataFrame([r for r in rows if r[0] is not None], "ord long, tag long, data binary").coalesce(2)
+    places = suffix_dedup.anchored(texts, 100, 32).selectExpr("anchor", "3L as splits", "ord", "place", "0L as tag")
+    strings = suffix_dedup.cut_out(texts, places.distinct(), 100).collect()
+    met = Counter((r.anchor, bytes(r.data)) for r in strings if r.data is not None)
+    tasks = texts.rdd.getNumPartitions()
+    assert max(met.values()) <= tasks and sum(r.data is None for r in strings) >= 61 * (240 - tasks)
+    hot = Counter((r.anchor, r.part) for r in strings if r.data is None)
+    assert max(hot.values()) <= 10
+
+
+def test_firsts_give_every_place_once():
+    firsts, draw = suffix_dedup.Firsts(), random.Random(4)
+    rows = [(1, draw.randrange(9), draw.randrange(9) << 30, draw.choice([b"x", b"y"])) for _ in range(300)]
+    again = [firsts.add(a, 1, o, p, d) for a, o, p, d in rows]
+    first = {d: min((o, p) for _, o, p, e in rows if e == d) for d in (b"x", b"y")}
+    assert {(r[4], r[2:4]) for r in firsts.taken()} == set(first.items()) and not firsts.rows
+    want = {(o, p) for _, o, p, d in rows if (o, p) != first[d]}
+    assert {r[2:4] for r in again if r} == want and all(r[1] < 0 for r in again if r)
+
+
+def test_a_passage_in_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 50)
+    monkeypatch.setattr(suffix_dedup, "TASK", 2000)
+    raw = shared_passage()
+    docs = spark.createDataFrame(raw, "doc_id long, text string").repartition(4)
+    want = brute(raw)
+    got = Counter(tuple(r) for r in suffix_dedup.deduplicate(docs).collect())
+    assert got == Counter((doc, *want[(doc if doc is not None else 2**63, text)]) for doc, text in raw)
+
+
 def test_repeated_passages_of_nothing(empty):
     assert suffix_dedup.deduplicate(empty).count() == 0
 

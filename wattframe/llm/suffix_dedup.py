@@ -7,7 +7,9 @@ document with a smaller id, or before in the same one.  Strings never cross docu
    strings have equal anchors.  A stretch of starts with one anchor is a context.  Contexts
    meet on their anchor's hash, and an anchor whose context nothing else shares is left out:
    no string of it can occur twice.  Equal contexts are one string, whose later copies go.
-2. What is left, different contexts with one anchor, is dealt over tasks by anchor.  A task
+2. What is left, different contexts with one anchor, is dealt over tasks by anchor.  An anchor
+   with very many of them is dealt string by string: a task that cuts strings out keeps the
+   first place of each, and of what meets after that one place per string is held.  A task
    cuts its strings into shards, sorts the suffixes of each shard and keeps its transform.
 3. The transforms are merged by refining their interleave (Holt and McMillan, 2014): a pass
    takes every suffix one character further left, so after k passes the order is right for k
@@ -39,8 +41,9 @@ from wattframe.session import stored
 LENGTH, ANCHOR = 100, 32
 #: Starts handled at once, suffixes of a shard and of a task.
 STEP, SHARD, TASK = 1 << 18, 1 << 15, 1 << 18
-#: Different contexts of one anchor above which its strings are dealt over several tasks.
-CROWD = 20_000
+#: Different contexts of one anchor above which its strings are dealt over several tasks; first
+#: places of such strings that a task holds, and parts over which places that repeat are dealt.
+CROWD, HELD, SPREAD = 20_000, 1 << 17, 1 << 16
 #: Texts with copies, or rows of places, up to which a side is broadcast; beyond it is shuffled.
 BROADCAST_ROWS = 1_000_000
 LAST = (1 << 63) - 1
@@ -321,21 +324,34 @@ def sharing(strings: list[bytes], group: np.ndarray, before: np.ndarray, length:
 
 
 def compared(strings: DataFrame, length: int, anchor: int) -> DataFrame:
-    """Places that repeat an earlier string, among (anchor, part, ord, place, data)."""
+    """Places that repeat an earlier string, among (anchor, part, ord, place, data).  Where there
+    is no data the place is known to repeat one."""
     parts = int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = strings.repartition(2 * parts, "anchor", "part").sortWithinPartitions("anchor", "part", "ord", "place")
+    dealt = strings.repartition(2 * parts, "anchor", "part")
+    dealt = dealt.sortWithinPartitions("anchor", "part", "data", "ord", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, key = [], 0, None
         for batch in batches:
+            again: list[tuple[int, int]] = []
             for row in batch.to_pylist():
+                if row["data"] is None:
+                    again.append((row["ord"], row["place"]))
+                    continue
                 now = (row["anchor"], row["part"])
+                if now == key and row["part"] and row["data"] == held[-1]["data"]:
+                    # the first of equal strings is held; rows equal to it are the same document
+                    if (row["ord"], row["place"]) != (held[-1]["ord"], held[-1]["place"]):
+                        again.append((row["ord"], row["place"]))
+                    continue
                 if now != key and size > TASK:
                     yield found(held)
                     held, size = [], 0
                 key = now
                 held.append(row)
                 size += len(row["data"]) + 1
+            if again:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*again)], ["ord", "place"])
         if held:
             yield found(held)
 
@@ -364,12 +380,43 @@ def compared(strings: DataFrame, length: int, anchor: int) -> DataFrame:
     return dealt.mapInArrow(run, "ord long, place long")
 
 
+class Firsts:
+    """The first place of each string that a task has met, of bounded number."""
+
+    def __init__(self):
+        self.rows: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+
+    def add(self, anchor: int, part: int, order: int, place: int, text: bytes) -> tuple | None:
+        """A row of a place, this one or the one held so far, that repeats the string."""
+        held = self.rows.get((anchor, text))
+        if held is None or (order, place) < held[1:]:
+            self.rows[anchor, text] = (part, order, place)
+        if held is None or (order, place) == held[1:]:
+            return None
+        order, place = max((order, place), held[1:])
+        return anchor, -1 - (order * 31 + (place >> 30)) % SPREAD, order, place, None
+
+    def taken(self) -> list[tuple]:
+        """The rows of the first places, which are no longer held."""
+        out = [(anchor, *row, text) for (anchor, text), row in self.rows.items()]
+        self.rows = {}
+        return out
+
+
 def cut_out(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """(anchor, part, ord, place, data): the strings of (anchor, splits, ord, place)."""
+    """(anchor, part, ord, place, data): the strings of (anchor, splits, ord, place).  Of equal
+    strings of a crowded anchor a task gives the first; the others have no data and parts below
+    0, which spread them."""
     listed = places.groupBy("ord", "tag").agg(F.collect_list(F.struct("anchor", "splits", "place")).alias("places"))
     schema = "anchor long, part long, ord long, place long, data binary"
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(arrays, ["anchor", "part", "ord", "place", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = Firsts()
         for batch in small(batches):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
@@ -385,12 +432,16 @@ def cut_out(texts: DataFrame, places: DataFrame, length: int) -> DataFrame:
                         digest = hashlib.blake2b(text, digest_size=8).digest()
                         part = 1 + int.from_bytes(digest, "little") % p["splits"]
                         place = packed(start, 1, first + before - start, p["place"] & 65535)
-                        out.append((p["anchor"], part, row["ord"], place, text))
-                columns = list(zip(*out))
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], ["anchor", "part", "ord", "place", "data"]
-                )
+                        again = firsts.add(p["anchor"], part, row["ord"], place, text)
+                        if again:
+                            out.append(again)
+                    if len(firsts.rows) > HELD:
+                        out += firsts.taken()
+                if out:
+                    yield batch_of(out)
+        rest = firsts.taken()
+        for i in range(0, len(rest), 10_000):
+            yield batch_of(rest[i : i + 10_000])
 
     return joined(texts, listed, places).select("ord", "data", "places").mapInArrow(run, schema)
 
@@ -468,9 +519,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 
     found = stored(matched(anchored(searched, length, anchor)), "matches")
     different = found.filter("not again").select("anchor", "ord", "place", tag_of(F.col("place")))
+    starts = F.shiftright("place", 23).bitwiseAND(F.lit(127))
     crowded = (
-        different.groupBy("anchor").count().filter(F.col("count") > CROWD)
-        .select("anchor", F.ceil(F.col("count") / CROWD).alias("splits"))
+        different.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(starts).alias("starts"))
+        .filter(F.col("n") > CROWD)
+        .select("anchor", F.ceil(F.col("starts") * (length + 1) / TASK).alias("splits"))
     )
     places = different.join(crowded, "anchor", "left").fillna(0, ["splits"])
     strings = cut_out(searched, places, length)

@@ -149,6 +149,48 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(tails[0])[0] == 2
 
 
+def topical(n=1200, topics=40):
+    """Tails of common ids and of ids of their topic."""
+    draw = np.random.default_rng(6)
+    common = draw.zipf(1.3, (n, 60)) % 300
+    own = 1000 + draw.integers(0, topics, n)[:, None] * 50 + draw.integers(0, 50, (n, 40))
+    return [np.append(c, o).astype("<u2") for c, o in zip(common, own)]
+
+
+def pieces_of(spark, tails):
+    rows = [(i, len(t), [], t.tobytes()) for i, t in enumerate(tails)]
+    return spark.createDataFrame(rows, "doc_id long, n_tokens long, crcs array<long>, tail binary").repartition(3)
+
+
+def test_scores_are_bm25_of_the_whole_corpus(spark):
+    tails = topical(300)
+    corpus = packing.corpus_of(pieces_of(spark, tails))
+    sets, mean = [Counter(t.tolist()) for t in tails], np.mean([len(t) for t in tails])
+    df = Counter(x for s in sets for x in s)
+    got = packing.Index(tails[:50], corpus).scores(7)
+    for d in range(50):
+        want = sum(
+            np.log1p((300 - df[x] + 0.5) / (df[x] + 0.5)) * sets[d][x] * 2.2
+            / (sets[d][x] + 1.2 * (0.25 + 0.75 * len(tails[d]) / mean))
+            for x in sets[7] if x in sets[d]
+        )
+        assert abs(got[d] - want) < 1e-3 * max(want, 1)
+
+
+@pytest.mark.parametrize("shard_rows", [300, 150, 75])
+def test_nearest_tails_meet_in_a_shard(spark, shard_rows):
+    tails = topical()
+    pieces = pieces_of(spark, tails)
+    corpus = packing.corpus_of(pieces)
+    shard = {r.doc_id: r.shard for r in packing.dealt(pieces, corpus, shard_rows).select("doc_id", "shard").collect()}
+    assert len(shard) == 1200 and max(Counter(shard.values()).values()) <= 1.2 * shard_rows
+    index, met = packing.Index(tails, corpus), []
+    for seed in range(0, 1200, 6):
+        near = [i for i in index.nearest(seed, 11) if i != seed][:10]
+        met += [shard[i] == shard[seed] for i in near]
+    assert np.mean(met) > 0.5
+
+
 def brute(raw, length=100):
     first = {}
     order = sorted({(r[0] if r[0] is not None else 2**63, r[1] or "") for r in raw})

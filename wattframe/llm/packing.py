@@ -1,10 +1,13 @@
 """Packing documents into sequences by lexical retrieval.
 
 Documents are tokenised; every full window of a document is a sequence of its own, and the rest
-of it, its tail, is packed.  Tails are dealt over shards of bounded size.  Each shard has a
-BM25 inverted index over the token ids of its tails; a seed retrieves the most similar unused
-tails, which fill its window greedily.  The last one is cut where the window ends and its rest
-stays in the shard, so at most one sequence per shard has padding.
+of it, its tail, is packed.  Tails are dealt over shards of bounded size by the pivots, a few
+of the tails themselves, that BM25 finds most similar to them, so that like tails meet.  Each
+shard has a BM25 index over the token ids of its tails, with document frequencies and the mean
+length of the whole corpus; a seed, with all its terms, retrieves the most similar unused tails,
+which fill its window greedily.  The last one is cut where the window ends and its rest stays
+in the shard, so at most one sequence per shard has padding.  Seeds do not look into other
+shards.
 
 A null or empty text is the closing token alone.  Texts are tokenised whole.  Equal rows are
 packed each on its own.  An empty table gives no rows; other columns are ignored.
@@ -27,8 +30,11 @@ from wattframe.llm.common import small
 from wattframe.session import stored
 
 WINDOW = 1024
-#: Tails per shard, terms of a seed that are looked up, BM25's constants.
-SHARD_ROWS, TERMS, K1, B = 4096, 24, 1.2, 0.75
+#: Tails per shard, pivots by which they are dealt and how many of them name a cell, most
+#: frequent terms whose scores are one matrix product, BM25's constants.
+SHARD_ROWS, PIVOTS, NEAREST, HOT, K1, B = 4096, 64, 3, 256, 1.2, 0.75
+#: Numbers of token ids: they fit 16 bits.
+IDS = 1 << 16
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 # Characters on which both tokenisers split alike; any other text takes the slower one.
@@ -96,43 +102,77 @@ def tokenised(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n_tokens long, crcs array<long>, tail binary")
 
 
+class Corpus:
+    """What BM25 takes from all tails: the weight of each term and the mean length."""
+
+    def __init__(self, n: int, df: np.ndarray, mean: float):
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.mean = mean
+
+    @classmethod
+    def of(cls, tails: list[np.ndarray]) -> "Corpus":
+        df = np.zeros(IDS, np.int64)
+        for t in tails:
+            df[np.unique(t)] += 1
+        return cls(len(tails), df, float(np.mean([len(t) for t in tails])) if tails else 1.0)
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+
 class Index:
     """BM25 over the token ids of tails; knows which are still unused."""
 
-    def __init__(self, tails: list[np.ndarray]):
+    def __init__(self, tails: list[np.ndarray], corpus: Corpus | None = None):
         n = len(tails)
-        sizes = np.array([len(t) for t in tails])
+        corpus = corpus or Corpus.of(tails)
+        sizes = np.array([len(t) for t in tails], np.int64)
         owner = np.repeat(np.arange(n), sizes)
         joined = np.concatenate(tails).astype(np.int64) if n else np.zeros(0, np.int64)
         pair, tf = np.unique(joined * n + owner, return_counts=True) if n else (joined, joined)
-        self.term, self.doc = pair // max(n, 1), pair % max(n, 1)
-        self.starts = np.searchsorted(self.term, np.arange(int(self.term.max(initial=0)) + 2))
+        term, self.doc = pair // max(n, 1), pair % max(n, 1)
+        self.starts = np.searchsorted(term, np.arange(IDS + 1))
+        self.weight = corpus.weight(term, tf, sizes[self.doc])
+        # the most frequent terms have most postings: their part of all scores is one product
         df = np.diff(self.starts)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sizes.mean() if n else 1.0
-        self.idf = idf
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))
+        hot = np.argsort(-df, kind="stable")[:HOT]
+        self.rare = np.ones(IDS, bool)
+        self.rare[hot] = False
+        column = np.full(IDS, -1)
+        column[hot] = np.arange(len(hot))
+        at = np.flatnonzero(column[term] >= 0)
+        asked, given = np.zeros((n, len(hot)), np.float32), np.zeros((n, len(hot)), np.float32)
+        asked[self.doc[at], column[term[at]]] = 1
+        given[self.doc[at], column[term[at]]] = self.weight[at]
+        self.frequent = asked @ given.T
         self.unused = sizes > 0
-        self.n = n
+        self.tails, self.n = tails, n
 
-    def neighbours(self, ids: np.ndarray, wanted: int = 32) -> np.ndarray:
-        """Unused tails most similar to a seed, best first; those that share no rare term last."""
-        terms = np.unique(ids).astype(np.int64)
-        if len(terms) > TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:TERMS]]
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of all tails for all terms of one."""
+        terms = np.unique(self.tails[seed]).astype(np.int64)
+        terms = terms[self.rare[terms]]
         first, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         take = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-        score = np.bincount(self.doc[take], weights=self.weight[take], minlength=self.n)
+        return self.frequent[seed] + np.bincount(self.doc[take], weights=self.weight[take], minlength=self.n)
+
+    def nearest(self, seed: int, wanted: int = 32) -> np.ndarray:
+        """Unused tails most similar to a seed, best first; those that share no term last."""
+        score = self.scores(seed)
         score[~self.unused] = -1
         some = min(wanted, self.n)
         best = np.argpartition(-score, some - 1)[:some]
         best = best[np.lexsort((best, -score[best]))]
         return best[score[best] >= 0]
 
+    def neighbours(self, ids: np.ndarray, wanted: int = 32) -> np.ndarray:
+        """The same for a tail given by its ids, which is one of the index."""
+        return self.nearest(next(i for i, t in enumerate(self.tails) if np.array_equal(t, ids)), wanted)
 
-def fill(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
+
+def fill(tails: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (tail, begin, end) that hold every id once."""
-    index = Index(tails)
+    index = Index(tails, corpus)
     begin = np.zeros(len(tails), np.int64)
     sizes = np.array([len(t) for t in tails])
     for seed in range(len(tails)):
@@ -142,7 +182,7 @@ def fill(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[i
         sequence, room = [(seed, int(begin[seed]), int(sizes[seed]))], window - int(sizes[seed] - begin[seed])
         last = seed
         while room > 0:
-            found = index.neighbours(tails[last])
+            found = index.nearest(last)
             if not len(found):
                 break
             skipped = None
@@ -165,11 +205,76 @@ def fill(tails: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[i
         yield sequence
 
 
+def corpus_of(pieces: DataFrame) -> Corpus:
+    """Document frequencies, number and mean length of all tails; one row per term leaves a
+    task's batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, tails, total = np.zeros(IDS, np.int64), 0, 0
+        for batch in batches:
+            for tail in batch.column("tail").to_pylist():
+                ids = np.frombuffer(tail, "<u2")
+                df[np.unique(ids)] += 1
+                tails, total = tails + 1, total + len(ids)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [tails, total]))], ["term", "n"]
+        )
+
+    counted = pieces.select("tail").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    known = {r["term"]: r["n"] for r in counted.collect()}
+    n, total = known.pop(-1, 0), known.pop(-2, 0)
+    df = np.zeros(IDS, np.int64)
+    df[list(known)] = list(known.values())
+    return Corpus(n, df, total / max(n, 1) or 1.0)
+
+
+def dealt(pieces: DataFrame, corpus: Corpus, shard_rows: int) -> DataFrame:
+    """``pieces`` with their shard.  A tail's cell is the row of its nearest pivots; shards are
+    made of cells in order, and a cell over the size of a shard is cut by a hash of its rows'
+    numbers, so that equal rows part too."""
+    hashed = F.xxhash64("tail")
+    first = pieces.filter(F.length("tail") > 2).select("tail", hashed.alias("h")).orderBy("h", "tail")
+    chosen = sorted({bytes(r["tail"]) for r in first.limit(4 * PIVOTS).collect()}, key=zlib.crc32)[:PIVOTS]
+    table = np.zeros((IDS, max(len(chosen), 1)), np.float32)
+    for i, tail in enumerate(chosen):
+        term, tf = np.unique(np.frombuffer(tail, "<u2"), return_counts=True)
+        table[term, i] = corpus.weight(term, tf, np.full(len(term), len(tail) // 2))
+    broadcast = pieces.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int64)
+            for i, tail in enumerate(batch.column("tail").to_pylist()):
+                score = broadcast.value[np.unique(np.frombuffer(tail, "<u2"))].sum(axis=0)
+                for near in np.argsort(-score, kind="stable")[:NEAREST]:
+                    cells[i] = cells[i] * PIVOTS + near
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*batch.schema.names, "cell"])
+
+    schema = "doc_id long, n_tokens long, crcs array<long>, tail binary, cell long"
+    placed = stored(pieces.mapInArrow(run, schema), "cells")
+    # PIVOTS ** NEAREST rows at most
+    counts = sorted((r["cell"], r["count"]) for r in placed.groupBy("cell").count().collect())
+    begin, parts = np.zeros(PIVOTS**NEAREST, np.int64), np.ones(PIVOTS**NEAREST, np.int64)
+    shard, held = 0, 0
+    for cell, count in counts:
+        if held and held + count > shard_rows:
+            shard, held = shard + 1, 0
+        begin[cell], parts[cell] = shard, -(-count // shard_rows)
+        held += count
+        if parts[cell] > 1:
+            shard, held = shard + int(parts[cell]), 0
+    known = pieces.sparkSession.createDataFrame(
+        [(c, int(begin[c]), int(parts[c])) for c, _ in counts], "cell long, begin long, parts long"
+    )
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))
+    return placed.join(F.broadcast(known), "cell").withColumn("shard", F.col("begin") + part).drop("cell", "begin", "parts")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
     pieces = stored(tokenised(docs, window), "tokens")
-    shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "tail"), F.lit(shards)))
+    corpus = corpus_of(pieces)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -182,7 +287,7 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) ->
                 out.append((r["doc_id"], i * window, window, crc, r["n_tokens"], sequence, 0))
                 sequence += 1
         tails = [np.frombuffer(r["tail"], "<u2") for r in rows]
-        for parts in fill(tails, window):
+        for parts in fill(tails, window, corpus):
             offset = 0
             for i, begin, end in parts:
                 r = rows[i]
@@ -195,4 +300,4 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = SHARD_ROWS) ->
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
     schema = ", ".join(f"`{n}` long" for n in names)
-    return dealt.groupBy("shard").applyInArrow(run, schema)
+    return dealt(pieces, corpus, shard_rows).groupBy("shard").applyInArrow(run, schema)

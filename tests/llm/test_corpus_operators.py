@@ -191,6 +191,13 @@ def test_nearest_tails_meet_in_a_shard(spark, shard_rows):
     assert np.mean(met) > 0.5
 
 
+def test_equal_rows_are_dealt_over_shards(spark):
+    tails = [np.arange(50, dtype="<u2")] * 600 + topical(300)
+    pieces = pieces_of(spark, tails)
+    got = packing.dealt(pieces, packing.corpus_of(pieces), 100).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 900 and max(r["count"] for r in got) <= 150
+
+
 def brute(raw, length=100):
     first = {}
     order = sorted({(r[0] if r[0] is not None else 2**63, r[1] or "") for r in raw})

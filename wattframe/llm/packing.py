@@ -33,8 +33,8 @@ WINDOW = 1024
 #: Tails per shard, pivots by which they are dealt and how many of them name a cell, most
 #: frequent terms whose scores are one matrix product, BM25's constants.
 SHARD_ROWS, PIVOTS, NEAREST, HOT, K1, B = 4096, 64, 3, 256, 1.2, 0.75
-#: Numbers of token ids: they fit 16 bits.
-IDS = 1 << 16
+#: Numbers of token ids: they fit 16 bits.  Seeds whose products are made at once.
+IDS, BLOCK = 1 << 16, 128
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 # Characters on which both tokenisers split alike; any other text takes the slower one.
@@ -133,7 +133,8 @@ class Index:
         term, self.doc = pair // max(n, 1), pair % max(n, 1)
         self.starts = np.searchsorted(term, np.arange(IDS + 1))
         self.weight = corpus.weight(term, tf, sizes[self.doc])
-        # the most frequent terms have most postings: their part of all scores is one product
+        del owner, joined, pair, tf
+        # the most frequent terms have most postings: their part of scores is a matrix product
         df = np.diff(self.starts)
         hot = np.argsort(-df, kind="stable")[:HOT]
         self.rare = np.ones(IDS, bool)
@@ -144,17 +145,26 @@ class Index:
         asked, given = np.zeros((n, len(hot)), np.float32), np.zeros((n, len(hot)), np.float32)
         asked[self.doc[at], column[term[at]]] = 1
         given[self.doc[at], column[term[at]]] = self.weight[at]
-        self.frequent = asked @ given.T
+        self.asked, self.given = asked, given
+        self.begin, self.frequent = 0, np.zeros((0, n), np.float32)
         self.unused = sizes > 0
         self.tails, self.n = tails, n
 
+    def ahead(self, seed: int) -> None:
+        """Have the products of the block of seeds that this one, taken in turn, stands in."""
+        if not self.begin <= seed < self.begin + len(self.frequent):
+            self.begin = seed // BLOCK * BLOCK
+            self.frequent = self.asked[self.begin : self.begin + BLOCK] @ self.given.T
+
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of all tails for all terms of one."""
         terms = np.unique(self.tails[seed]).astype(np.int64)
         terms = terms[self.rare[terms]]
         first, length = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
         take = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-        return self.frequent[seed] + np.bincount(self.doc[take], weights=self.weight[take], minlength=self.n)
+        known = self.begin <= seed < self.begin + len(self.frequent)
+        frequent = self.frequent[seed - self.begin] if known else self.given @ self.asked[seed]
+        return frequent + np.bincount(self.doc[take], weights=self.weight[take], minlength=self.n)
 
     def nearest(self, seed: int, wanted: int = 32) -> np.ndarray:
         """Unused tails most similar to a seed, best first; those that share no term last."""
@@ -179,6 +189,7 @@ def fill(tails: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None =
         if not index.unused[seed]:
             continue
         index.unused[seed] = False
+        index.ahead(seed)
         sequence, room = [(seed, int(begin[seed]), int(sizes[seed]))], window - int(sizes[seed] - begin[seed])
         last = seed
         while room > 0:

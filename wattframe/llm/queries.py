@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wattframe.llm import (
+    collocations,
     extract,
     langid,
     mixing,
     ngram_join,
     packing,
+    periodic,
     pii,
     quality,
     sharding,
     suffix_dedup,
+    topk_search,
     vector_join,
 )
 from wattframe.llm.common import table
@@ -62,6 +65,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,5 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_lexical_packing,
         op10_suffix_array_dedup,
+        op11_collocations,
+        op12_periodic_runs,
+        op13_topk_search,
     )
 }

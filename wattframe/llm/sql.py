@@ -80,8 +80,65 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM drawn
 """
 
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), lengths AS (SELECT unnest(range(1, 6)) AS m),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase
+  FROM pieces JOIN lengths ON len(w) >= m
+), totals AS (SELECT lang, count(*) AS n FROM grams WHERE m = 1 GROUP BY lang),
+counts AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM counts),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM split JOIN (SELECT unnest(range(1, 5)) AS k) ON k < m
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, n,
+         ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head
+  JOIN counts y ON y.lang = c.lang AND y.phrase = rest JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored
+), parts AS (
+  SELECT lang, m, a, w, unnest(range(2, m)) AS size FROM split
+), inside AS (
+  SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS i FROM parts) GROUP BY ALL
+), ranked AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank,
+         w.phrase, a, l, r, n, score
+  FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase
+  WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 100 * a)
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+TOP_K = """
+WITH numbered AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+), pairs AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM numbered q JOIN numbered c ON q.r <> c.r AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs
+) WHERE rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": NEAR_TEXTS,
     "op3_embedding_near_dedup": NEAR_VECTORS,
     "op5_source_mixing": MIXING,
+    "op11_collocations": COLLOCATIONS,
+    "op13_topk_search": TOP_K,
 }

@@ -2,16 +2,19 @@
 
 Every paragraph passes points for its length and its commas to the elements around it, fewer
 the further away; an element's points are discounted by the share of its text inside links.
-The best container is kept with those siblings that look like part of it, less what is named
-or marked as menu, header, footer, sidebar, notice, advert, form or reader comment.
+The best container is kept with those siblings that hold a container of a fifth of its worth, and
+with the headings and paragraphs beside it; inside an article the same holds on every level up to it.
 
-A name alone loses no article: elements are dropped by name once the page is read, and only
-if all of that name hold a small share of the page's unlinked text and not its only article.
-Those that stay pass a quarter of their points.
+What is named or marked as menu, header, footer, sidebar, notice, advert, form or reader comment
+goes with all that stands in it, however much that is, before points are given.  Two things guard
+against names of wrappers: a form, widget or header around the page's only article or main part is none,
+and where no paragraph at all would be left, the names that may be wrappers (forms, widgets, headers first, then
+sidebars and boxes) give way one after the other until there is one.  Menus, footers, adverts, comments and
+notices of consent never do.
 
 Null and empty pages give an empty text.  Pages may be cut off anywhere: an open tag or comment
-at the end is dropped, an open element ends with the page.  Work is linear in the page.  Equal
-rows give equal results; an empty table gives none.
+at the end is dropped, an open element ends with the page.  A page is a unit of any length: its tree is
+held in memory, and work grows with its blocks times their depth.  Equal rows give equal results; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,28 +50,34 @@ SIBLING_ENDS = {
     "td": ("td", "th"), "th": ("td", "th"),
 }
 SCOPE = frozenset("ul ol table dl body html".split())
-NEVER = frozenset("html body article main".split())
+NEVER = frozenset("html body main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|"
-    r"nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|aside|footer|masthead|topbar|"
-    r"comment|comments|disqus|respond|reply|replies|notice|notices|cookie|cookies|consent|gdpr|popup|modal|overlay|"
+    r"(?:^|[\s_-])(?:ad|ads|adbox|adslot|adunit|adsense|advert|adverts|advertisement|advertising|sponsor|sponsored|"
+    r"promo|promotion|banner|nav|navbar|navigation|subnav|topnav|sidenav|menu|menus|submenu|breadcrumb|breadcrumbs|"
+    r"sidebar|aside|footer|masthead|topbar|comment|comments|commentlist|commentform|commenter|disqus|respond|reply|"
+    r"replies|notice|notices|alert|cookie|cookies|consent|gdpr|popup|modal|overlay|form|"
     r"newsletter|subscribe|subscription|share|sharing|social|related|recommended|widget|login|signup|pagination|"
     r"pager|toolbar|skip)(?:$|[\s_-])",
     re.I,
 )
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|head)(?:$|[\s_-])", re.I)
-#: Names that say what else is on the page, and names of what readers wrote.
+#: Names that say what else is on the page.
 NEUTRAL = re.compile(r"(?<![^\s])(?:\S*[_-])?(?:has|with|without|no|is)[_-]\S*", re.I)
-READERS = frozenset("comment comments disqus respond reply replies".split())
-#: Share of the page's unlinked text from which a name, or one of READERS, no longer drops.
-SMALL, SMALL_READERS = 0.25, 0.9
-#: Marks that drop whatever their share; an article inside keeps them too.
-NEVER_TEXT = frozenset("<nav> <footer> <aside> <dialog>".split())
-#: Characters up to which a name drops what stands beside an article, whatever the share.
-SHORT = 250
-#: Part of their points that marked elements pass.
-PENALTY = 0.25
+#: Where names are written in one: the parts of commentSection are two words.
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: The only names that speak against an article itself.
+NO_ARTICLE = frozenset(
+    "comment comments commentlist commenter reply replies respond related recommended ad ads advert adverts "
+    "advertisement sponsored sponsor".split()
+)
+#: Marks that may belong to a wrapper of the whole page, and marks that may be wrong about a part of it.
+WRAPPERS = frozenset("<form> <fieldset> <header> form header widget banner masthead topbar overlay".split()) | {
+    "role form", "role banner"
+}
+BOXES = frozenset(
+    "<aside> aside sidebar promo promotion popup modal related recommended notice notices".split()
+) | {"role complementary"}
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<(?=[/a-zA-Z])[^>]*(?:>|\Z)""",
@@ -78,16 +87,14 @@ _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "mark", "article", "inside", "part", "text", "linked", "points", "children")
+    __slots__ = ("tag", "parent", "dropped", "mark", "text", "linked", "points", "most", "children")
 
     def __init__(self, tag: str, parent: "Node | None", dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.mark = ""
-        self.article = False  # whether an outermost article stands inside
-        self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
-        self.part = 1.0
         self.text = self.linked = 0
         self.points = 0.0
+        self.most = 0.0  # the best worth of it and what it holds
         self.children: list[Node] = []
 
 
@@ -100,7 +107,7 @@ class Page:
         self._at, self._inline, self._links = self.root, [], 0
         self._said: list[str] = []
         self._linked = 0
-        self._marked: list[Node] = []
+        self._marked = False
         self._articles: list[Node] = []
         self._read(source)
         self._settle()
@@ -163,7 +170,7 @@ class Page:
             return
         node.mark = self._mark(tag, rest)
         if node.mark:
-            self._marked.append(node)
+            self._marked = True
         elif tag in ("article", "main"):
             self._articles.append(node)
 
@@ -219,68 +226,69 @@ class Page:
         named = dict((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest))
         if named.get("role", "").lower() in ROLES:
             return f"role {named['role'].lower()}"
-        names = NEUTRAL.sub(" ", f"{named.get('class', '')} {named.get('id', '')}")
-        found = NAMES.search(names)
-        if found:
-            return found[0].strip(" \t\r\n\f_-").lower()
-        return "header" if HEADER.search(names) and not self._within(("article", "main")) else ""
+        names = NEUTRAL.sub(" ", HUMP.sub(" ", f"{named.get('class', '')} {named.get('id', '')}"))
+        # names share their separators, so each search starts at the last one's end
+        at = 0
+        while found := NAMES.search(names, at):
+            name = found[0].strip(" \t\r\n\f_-").lower()
+            if tag != "article" or name in NO_ARTICLE:
+                return name
+            at = max(found.end() - 1, at + 1)
+        return "header" if tag != "article" and HEADER.search(names) and not self._within(("article", "main")) else ""
 
     def _settle(self) -> None:
-        """Drop the marked elements without an article and with little of the text; the blocks
-        left are those outside."""
+        """Leaves the blocks outside marked elements.  ``above`` of a block: the marks it stands in."""
         if not self._marked:
             return
-        total, shares = 0, {}
-        names: dict[int, frozenset] = {id(self.root): frozenset()}
-        for node, text, linked in self.blocks:
-            chain, at = [], node
-            while id(at) not in names:
-                chain.append(at)
-                at = at.parent
-            for at in reversed(chain):
-                above = names[id(at.parent)]
-                names[id(at)] = above | {at.mark} if at.mark else above
-            total += len(text) - linked
-            for mark in names[id(node)]:
-                shares[mark] = shares.get(mark, 0) + len(text) - linked
-        free = self._find_articles()
-        for node in self._marked:
-            size = shares.get(node.mark, 0)
-            small = size < total * (SMALL_READERS if node.mark in READERS else SMALL)
-            beside = free and not node.inside and size <= SHORT
-            node.dropped = not node.article and (small or beside or not size or node.mark in NEVER_TEXT)
-        settled: set[int] = {id(self.root)}
-
-        def settle(node: Node) -> Node:
-            chain, at = [], node
-            while id(at) not in settled:
+        wraps = self._wrappers()
+        above: dict[int, frozenset] = {id(self.root): frozenset()}
+        listed = []
+        for block in self.blocks:
+            chain, at = [], block[0]
+            while id(at) not in above:
                 chain.append(at)
                 at = at.parent
             for at in reversed(chain):
-                settled.add(id(at))
-                at.dropped = at.dropped or at.parent.dropped
-                at.part = 1.0 if at.tag in ("article", "main") else PENALTY if at.mark else at.parent.part
-            return node
-
-        self.blocks = [b for b in self.blocks if not settle(b[0]).dropped]
-
-    def _find_articles(self) -> bool:
-        """Whether an outermost article stands in no marked element.  If none does, the ways up
-        from them are noted; beside one that does they are teasers, inside another comments."""
-        for node in self._articles:
-            if node.inside:
-                continue
-            at, marked = node.parent, False
-            while at and not marked:
-                marked, at = bool(at.mark), at.parent
-            if not marked:
-                return True
+                outer = above[id(at.parent)]
+                above[id(at)] = outer | {at.mark} if at.mark and id(at) not in wraps else outer
+            listed.append((block, above[id(block[0])]))
+        free: frozenset = frozenset()
+        for tier in (WRAPPERS, WRAPPERS | BOXES):
+            tier = set(tier) - free
+            while tier and not any(marks <= free and is_paragraph(block) for block, marks in listed):
+                # the mark that alone hides most of the page
+                hidden = {m: 0.0 for m in tier}
+                for block, marks in listed:
+                    rest = marks - free
+                    if len(rest) == 1 and rest <= tier and is_paragraph(block):
+                        hidden[next(iter(rest))] += points(block[1]) * (1 - block[2] / len(block[1]))
+                most = max(sorted(hidden), key=hidden.__getitem__)
+                if not hidden[most]:
+                    # or marks in one another, which only give way together
+                    inner = [m for block, marks in listed for m in sorted(marks & tier) if marks - free <= tier]
+                    if not inner:
+                        break
+                    most = inner[0]
+                free |= {most}
+                tier.discard(most)
+        self.blocks = [block for block, marks in listed if marks <= free]
+
+    def _wrappers(self) -> set[int]:
+        """Elements with a wrapper's mark around articles, if all of the page's articles stand in marked
+        ones.  Beside an article that does not, those are teasers."""
+        around: set[int] = set()
         for node in self._articles:
-            at = node.parent
-            while not node.inside and at and not at.article:
-                at.article = True
+            at, chain, others = node.parent, [], False
+            while at:
+                if at.mark:
+                    chain.append(id(at))
+                    others = others or at.mark not in WRAPPERS
                 at = at.parent
-        return False
+            if not chain:
+                return set()
+            if not others:
+                around.update(chain)
+        return around
 
 
 def _hidden(rest: str) -> bool:
@@ -302,6 +310,11 @@ def points(text: str) -> float:
     return 1 + text.count(",") + min(len(text) / 100, 3)
 
 
+def is_paragraph(block: tuple[Node, str, int]) -> bool:
+    """Whether a block gives points to what is around it."""
+    return block[0].tag not in HEADING and block[2] < len(block[1])
+
+
 def best(page: Page) -> Node | None:
     """The element with most points per share of text outside links.  Headings count only on a
     page without any other text."""
@@ -312,10 +325,10 @@ def best(page: Page) -> Node | None:
             up.text += len(text)
             up.linked += linked
             up = up.parent
-    scored = [b for b in page.blocks if b[0].tag not in HEADING and b[2] < len(b[1])] or page.blocks
+    scored = [b for b in page.blocks if is_paragraph(b)] or page.blocks
     for node, text, linked in scored:
         level = 0
-        given = points(text) * (1 - linked / len(text)) * node.part
+        given = points(text) * (1 - linked / len(text))
         up = node.parent if node.tag in PARAGRAPH or node.tag in HEADING else node
         up = up or page.root
         while up:
@@ -328,28 +341,35 @@ def best(page: Page) -> Node | None:
         worth = node.points * (1 - node.linked / max(node.text, 1))
         if worth > most:
             top, most = node, worth
+        up = node
+        while up and up.most < worth:
+            up.most = worth
+            up = up.parent
     return top
 
 
+#: Part of the best container's worth that a sibling holds to be kept, and share of links in a line.
+SIBLING, LINKED = 0.2, 0.25
+
+
 def kept(page: Page) -> set[int]:
     """Elements whose blocks are the main text."""
     top = best(page)
     if top is None:
         return set()
-    up: Node | None = top
-    while up and up.tag != "article":
-        up = up.parent
-    if up:  # the whole article, with its title
-        return {id(up)}
-    out = {id(top)}
-    if top.parent and top.tag not in ("body", "html", "main", "#root"):
-        least = max(10.0, top.points * 0.2)
-        for near in top.parent.children:
-            density = near.linked / max(near.text, 1)
-            if near.points * (1 - density) >= least:
-                out.add(id(near))
-            elif near.tag in ("p", "h1", "h2", "h3", "h4") and near.text and density < 0.25:
+    least = SIBLING * top.points * (1 - top.linked / max(top.text, 1))
+    out, at = {id(top)}, top
+    inside, up = False, top
+    while up := up.parent:
+        inside = inside or up.tag == "article"
+    while at.parent and at.tag not in ("article", "body", "html", "main", "#root"):
+        for near in at.parent.children:
+            line = near.tag == "p" or near.tag in HEADING or (near.tag in ("header", "hgroup") and inside)
+            if near.most >= least or (line and near.text and near.linked < LINKED * near.text):
                 out.add(id(near))
+        at = at.parent
+        if not inside:
+            break
     return out
 
 

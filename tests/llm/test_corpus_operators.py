@@ -53,8 +53,42 @@ def test_ngram_join(docs, raw, clashing, monkeypatch, cell):
     want = Counter((raw[k][0], len(links[k]), least[k]) for k in sets)
     got = ngram_join.near_duplicates(clashing).collect()
     assert Counter((r.doc_id, r.n_links, r.class_id) for r in got) == want
-    out = ngram_join.deduplicate(docs).collect()
-    assert Counter(r.doc_id for r in out) == Counter({r.doc_id: 1 for r in got if r.doc_id == r.class_id})
+
+
+def one_per_class(raw):
+    """Rows that stay, as (id, text): by brute force, without a look at ids but for the order."""
+    sets = [shingles(r[1]) for r in raw]
+    n, out, seen = len(raw), Counter(), set()
+    for a in range(n):
+        if a in seen:
+            continue
+        group, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            near = [y for y in range(n) if y not in group and sets[x] and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])]
+            group.update(near)
+            todo += near
+        seen |= group
+        first = min((raw[x][0] is None, raw[x][0] or 0) for x in group)
+        out[(None if first[0] else first[1], frozenset(raw[x][1] for x in group if (raw[x][0] is None, raw[x][0] or 0) == first))] += 1
+    return out
+
+
+def test_one_row_of_each_class_stays(spark, raw):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    odd = [(1, long("a")), (1, long("b")), (2, long("c")), (3, long("a")), (2, long("d") + " x"), (9, long("d")), (1, long("d"))]
+    odd += [(None, long("e")), (None, long("e")), (None, long("f")), (None, long("f") + " y"), (7, None), (7, None), (7, " ")]
+    odd += [(8, long("g"))] * 3 + [(0, long("a") + " z"), (None, None)]
+    for rows in (odd, [(r[0], r[1]) for r in raw]):
+        names = "node root copies nth first_id _kept_id _kept_rows _node".split()
+        table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _x int")
+        table = table.select("*", *[F.lit("x").alias(c) for c in names])
+        out = ngram_join.deduplicate(table.repartition(3))
+        assert out.columns == table.columns
+        left, want = Counter((r.doc_id, r.text) for r in out.collect()), one_per_class(rows)
+        assert sum(left.values()) == sum(want.values())
+        for (doc, text), times in left.items():
+            assert times == sum(n for (d, texts), n in want.items() if d == doc and text in texts), (doc, text)
 
 
 def test_ngram_join_of_nothing(empty):

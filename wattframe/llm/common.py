@@ -39,6 +39,17 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(first, rows)
 
 
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until ``rows`` has no such column."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_blocks(rows: DataFrame, order: list[str], name: str, block_rows: int) -> DataFrame:
     """``rows`` range-partitioned by ``order`` and written, with their ``block`` number.
 

@@ -9,7 +9,7 @@ Equal texts are one class, compared once, so copies never meet.  A group too lar
 is cut into cells, and each pair of cells is a task: no pair is left out, none becomes a row.
 What a cell gives out is a number per class and a spanning forest of its links.
 
-Null texts and texts without words link with nothing.  Texts are read whole.  Rows that repeat
+Null texts and texts without words link with nothing and are classes of their own.  Texts are read whole.  Rows that repeat
 are copies of each other.  An empty table gives no rows; other columns are ignored.
 """
 
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import small
+from wattframe.llm.common import small, unused
 from wattframe.llm.graph import Union, components
 from wattframe.session import stored
 
@@ -307,16 +307,12 @@ def verified(docs: DataFrame, members: DataFrame, similarity: float) -> DataFram
     return dealt.mapInArrow(run, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row per document: its class, number of links and whether it stays.
-
-    ``n_links``: other documents at the similarity or more.  ``class_id``: smallest doc_id
-    reachable by links, itself included.  ``kept``: the document whose id that is.
-    """
+def judged(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node, n_windows), and per different text with words (node) its smallest id, its
+    copies, its links to other texts and the ``root`` of its class."""
     bands, rows = banding(similarity, recall)
     known = stored(banded(docs, bands, rows), "banded")
-    worded = known.filter("n_windows > 0")
-    classes = worded.groupBy("node").agg(
+    classes = known.filter("n_windows > 0").groupBy("node").agg(
         F.min("doc_id").alias("first_id"),
         F.count("*").alias("copies"),
         F.first("n_windows").alias("n_windows"),
@@ -335,10 +331,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         .join(roots, "node", "left")
         .withColumn("root", F.coalesce("root", "node"))
     )
+    return known, own
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row per document: its class, number of links and whether it stays.
+
+    ``n_links``: other documents at the similarity or more.  ``class_id``: smallest doc_id
+    reachable by links, itself included.  ``kept``: the document whose id that is.
+    """
+    known, own = judged(docs, similarity, recall)
     smallest = own.groupBy("root").agg(F.min("first_id").alias("class_id"))
     own = own.join(smallest, "root").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_id"
     )
+    worded = known.filter("n_windows > 0")
     linked = worded.select("doc_id", "node").join(own, "node").select("doc_id", "n_links", "class_id")
     alone = known.filter("n_windows = 0").select(
         "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id")
@@ -347,14 +354,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """``docs`` less every document but one of each class; of rows that repeat one stays."""
-    judged = near_duplicates(docs, similarity, recall).filter("kept")
-    per_id = stored(judged.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_kept_rows")), "kept")
-    if per_id.count() <= BROADCAST_ROWS:
-        per_id = F.broadcast(per_id)
-    left = docs.join(per_id, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
-    single = left.filter("_kept_rows = 1").drop("_kept_rows")
-    several = left.filter("_kept_rows > 1 and doc_id is not null").drop("_kept_rows").dropDuplicates(["doc_id"])
-    # rows without an id are kept one by one, but for those of one text
-    unnamed = left.filter("_kept_rows > 1 and doc_id is null").drop("_kept_rows").dropDuplicates(["text"])
-    return single.unionByName(several).unionByName(unnamed)
+    """``docs`` less every row but one of each class; rows without words are classes of their own.
+
+    A class is told by its texts, not by its ids, which may repeat or be null: its row with the smallest
+    id stays (null last), of rows with equal id and text the first by the other columns.
+    """
+    _, own = judged(docs, similarity, recall)
+    order = F.struct(F.col("first_id").isNull(), "first_id", "node")
+    stays = own.groupBy("root").agg(F.min_by(F.struct("node", "first_id", "copies"), order).alias("x"))
+    node, first, copies, nth = unused(docs, "node", "first_id", "copies", "nth")
+    stays = stored(
+        stays.select(F.col("x.node").alias(node), F.col("x.first_id").alias(first), F.col("x.copies").alias(copies)), "stays"
+    )
+    if stays.count() <= BROADCAST_ROWS:
+        stays = F.broadcast(stays)
+    same = (F.xxhash64(docs["text"]) == F.col(node)) & docs["doc_id"].cast("long").eqNullSafe(F.col(first))
+    left = docs.join(stays, same)
+    single = left.filter(F.col(copies) == 1).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    by_rest = Window.partitionBy(node).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rest])) if rest else F.lit(1))
+    several = left.filter(F.col(copies) > 1).withColumn(nth, F.row_number().over(by_rest))
+    several = several.filter(F.col(nth) == 1).select(*docs.columns)
+    worded = F.coalesce(docs["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return single.unionByName(several).unionByName(docs.filter(~worded))

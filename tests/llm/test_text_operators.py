@@ -7,6 +7,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattframe.llm import extract, langid, mixing, pii, quality, sharding
 from wattframe.llm.common import words
@@ -122,16 +123,68 @@ def test_targets_by_repeated_resharing(spark):
     assert got == pytest.approx(want)
 
 
-def test_schedule_inverse():
-    for schedule in mixing.SCHEDULES:
-        lines, total = mixing.demand(schedule)
-        assert lines[0][3] == 0 and lines[-1][4] == pytest.approx(1) and total > 0
-
-
-def test_curriculum_repeats_and_sorts(docs, empty):
-    drawn = mixing.mix(docs).collect()
-    out = mixing.curriculum(docs).collect()
-    assert len(out) == sum(r.passes for r in drawn)
+@pytest.mark.parametrize("schedule", [*mixing.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (0.3001, 0.1), (1.0, 0.1))])
+def test_schedule_inverse(spark, schedule):
+    """Against sums over a fine grid: the share due by the time found is the share asked for."""
+    shares = [i / 40 for i in range(41)]
+    df = spark.createDataFrame([(s,) for s in shares], "share double")
+    found = [r.t for r in df.select(mixing.time_due(df["share"], schedule).alias("t")).collect()]
+
+    def weight(t):
+        for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]):
+            if t <= t1:
+                return w0 + (w1 - w0) * (t - t0) / (t1 - t0)
+
+    n = 20_000
+    steps = [weight((i + 0.5) / n) for i in range(n)]
+    for share, t in zip(shares, found):
+        due = sum(steps[: round(t * n)]) / sum(steps)
+        assert abs(due - share) < 2e-3 and 0 <= t <= 1 + 1e-9
+    assert found == sorted(found)
+
+
+def test_positions_follow_the_schedules(docs, raw):
+    early, late = ((0.0, 9.0), (1.0, 1.0)), ((0.0, 1.0), (1.0, 9.0))
+    mean = {}
+    for name, schedules in (("early", [early] * 3), ("late", [late] * 3)):
+        got = mixing.in_order(docs, schedules=schedules, block_rows=9).collect()
+        assert len(got) == len(raw)
+        taken = [r for r in got if r.passes]
+        assert all(r.first_time == r.times[0] and r.last_time == r.times[-1] for r in taken)
+        assert all(r.first_time is None for r in got if not r.passes)
+        firsts = [r.first_time for r in got]
+        assert firsts == sorted(firsts, key=lambda t: (t is None, t))
+        # each pass stands where its source's demand reaches the middle of the document
+        for r in taken:
+            share = [0.0]
+            for t in r.times:
+                low, high = schedules[0][0][1], schedules[0][1][1]
+                share.append((low * t + (high - low) * t * t / 2) / ((low + high) / 2))
+            steps = [b - a for a, b in zip(share[1:], share[2:])]
+            assert all(abs(x * r.target - r.source_size) < 1e-6 * r.source_size for x in steps[:-1] or steps if r.passes > 2)
+        mean[name] = sum(r.first_time for r in taken) / len(taken)
+    assert mean["early"] < mean["late"]
+
+
+def test_curriculum_repeats_and_sorts(spark, docs, empty, raw):
+    names = "place _mix_id _mix_rows _mix_words times block nth size _row _time _doc".split()
+    rows = [*raw, *[(None, "equal in id and size", "a", "a", 1)] * 30, *[(None, "other in id only now", "a", "a", 1)] * 30]
+    table = spark.createDataFrame(rows, docs.schema).select("*", *[F.lit("x").alias(c) for c in names])
+    drawn = mixing.mix(table.select(*docs.columns)).collect()
+    out = mixing.curriculum(table, block_rows=7)
+    assert out.columns == table.columns
+    got = out.collect()
+    assert len(got) == sum(r.passes for r in drawn)
+    per_id = lambda x: sorted(((r.doc_id is None, r.doc_id or 0) for r in x for _ in range(getattr(r, "passes", 1))))
+    assert per_id(got) == per_id(drawn)
+    assert {r.text for r in got if r.doc_id is None} >= {"equal in id and size", "other in id only now"}
+    # documents with an id of their own come in the order of their training times
+    times = {}
+    for r in drawn:
+        times.setdefault(r.doc_id, []).extend(r.times)
+    once = {d: t[0] for d, t in times.items() if len(t) == 1}
+    order = [once[r.doc_id] for r in got if r.doc_id in once]
+    assert order == sorted(order) and len(order) > 20
     assert mixing.curriculum(empty).count() == 0
 
 

@@ -51,14 +51,17 @@ def unused(rows: DataFrame, *names: str) -> list[str]:
 
 
 def in_blocks(rows: DataFrame, order: list[str], name: str, block_rows: int) -> DataFrame:
-    """``rows`` range-partitioned by ``order`` and written, with their ``block`` number.
+    """``rows`` range-partitioned by ``order`` and written, with their ``block`` and a number ``nth``.
 
     Blocks follow the order, so a running value needs one row per block besides a window that
-    stays inside a block.  Written because the cut comes from a sample: later reads agree.
+    stays inside a block.  The rows are written first: the cut samples the table, not what made it, and
+    each row gets a number, which comes last in the order, so that equal rows part too.  The blocks are
+    written because the cut comes from a sample: later reads agree.
     """
     spark = rows.sparkSession
-    n = max(1, -(-rows.count() // block_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = rows.repartitionByRange(n, *order).withColumn("block", F.spark_partition_id())
+    listed = stored(rows.withColumn("nth", F.monotonically_increasing_id()), f"{name}-rows")
+    n = max(1, -(-listed.count() // block_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = listed.repartitionByRange(n, *order, "nth").withColumn("block", F.spark_partition_id())
     return stored(cut, name)
 
 
@@ -69,12 +72,13 @@ def running(
 
     ``rows`` come from ``in_blocks`` by the keys and then the order.  No key is sorted whole:
     the window runs inside (key, block), and one row per key and block carries the sums on.
+    Rows that are equal by the order follow in that of their numbers.
     """
     part = rows.groupBy(*keys, "block").agg(F.sum(value).alias("_part"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_base", F.coalesce(F.sum("_part").over(before), F.lit(0))).drop("_part")
     part = part.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "block"])], "_base")
-    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(
+    inside = Window.partitionBy(*keys, "block").orderBy(*order, "nth").rowsBetween(
         Window.unboundedPreceding, -1
     )
     own = rows.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))

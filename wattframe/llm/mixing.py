@@ -6,8 +6,9 @@ changes over training time; the integral of the schedule says how much of the so
 is due by any time, and its inverse gives each document's place in training.
 
 Nulls: a null text has no words, a null source is a source of its own and comes last.  Empty
-texts are never taken.  Equal rows are taken alike up to the one at the cut.  An empty table
-gives no rows; other columns pass through ``curriculum`` and are ignored by ``mix``.
+texts are never taken.  Equal rows are taken alike up to the one at the cut.  Texts of any length are counted
+whole.  An empty table gives no rows; other columns, whatever their names, pass through ``curriculum`` and are
+ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import in_blocks, running, word_count
+from wattframe.llm.common import in_blocks, running, unused, word_count
 from wattframe.session import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -50,7 +51,7 @@ def ranked(sources: DataFrame) -> DataFrame:
     return (
         cut.join(base, "block")
         .withColumn("rank", F.col("_base") + F.row_number().over(inside) - 1)
-        .drop("_last", "_base", "block")
+        .drop("_last", "_base", "block", "nth")
     )
 
 
@@ -121,15 +122,16 @@ def mix(
 
     A source goes through its documents in the order of a hash of doc_id as often as its
     target holds it whole, then once more as far as the rest reaches.  ``times`` has the
-    position of each pass.
+    training position (0 to 1) of each pass, ``first_time`` and ``last_time`` those at its ends: the time at
+    which the source's demand, its schedule integrated, reaches the middle of the document.
     """
     listed = docs.select("doc_id", word_count(F.col("text")).alias("size"), "source").withColumn(
         "place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     )
-    cut = in_blocks(listed, ["source", "place"], "mixing", block_rows)
+    order = ["place", "doc_id", "size"]
+    cut = in_blocks(listed, ["source", *order], "mixing", block_rows)
     sums = cut.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sums, weights, budget, most).withColumnRenamed("source", "_source")
-    order = ["place", "doc_id", "size"]
     placed = running(cut, ["source"], order, F.col("size"), "before")
     both = placed.join(plan, placed["source"].eqNullSafe(plan["_source"]))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
@@ -152,7 +154,7 @@ def mix(
             out = F.when(F.col("kind") == i, kinds[i]).otherwise(out)
         return out
 
-    first = F.when(F.col("passes") > 0, due(F.lit(0)))
+    first, last = (F.when(F.col("passes") > 0, due(x)) for x in (F.lit(0), F.col("passes") - 1))
     passes = F.when(
         F.col("passes") > 0,
         F.transform(F.sequence(F.lit(0), F.col("passes") - 1), due),
@@ -166,60 +168,71 @@ def mix(
         F.col("taken").cast("long").alias("taken"),
         "passes",
         first.alias("first_time"),
+        last.alias("last_time"),
         passes.alias("times"),
     )
 
 
+def in_order(docs: DataFrame, **options) -> DataFrame:
+    """:func:`mix`, range-sorted by the first training position; what is never taken comes last."""
+    drawn = stored(mix(docs, **options), "positions")
+    order = [F.asc_nulls_last("first_time"), F.asc_nulls_last("doc_id")]
+    return drawn.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 #: Documents up to which their places are broadcast to the texts; beyond it both are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def _null_safe(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+def _null_safe(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     out = F.lit(True)
-    for c in columns:
-        out = out & a[c].eqNullSafe(b[c])
+    for x, y in pairs:
+        out = out & a[x].eqNullSafe(b[y])
     return out
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str, block_rows: int) -> DataFrame:
+    """Adds ``name``: 0, 1, ... along the order inside each key, no key in one task."""
+    cut = in_blocks(rows, [*keys, *order], "numbered", block_rows)
+    return running(cut, keys, order, F.lit(1), name).drop("block", "nth")
+
+
+def curriculum(docs: DataFrame, block_rows: int = 200_000, **options) -> DataFrame:
     """The mixed corpus: documents repeated as often as taken, sorted by training time.
 
     Places are joined to the texts by doc_id, source and size.  Rows that agree in all three
-    are told apart by number, on those rows only.
+    are told apart by a number, which both sides count block by block.
     """
-    drawn = stored(mix(docs, **options).select("doc_id", "source", "size", "passes", "times"), "drawn")
-    key = ["_mix_id", "_mix_source", "_mix_size"]
-    named = drawn.select(F.col("doc_id").alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2]), "times")
-    agreeing = named.groupBy(*key).agg(F.count("*").alias("_mix_rows"), F.first("times").alias("_mix_times"))
-    once = agreeing.filter((F.col("_mix_rows") == 1) & (F.size("_mix_times") > 0))
+    drawn = stored(
+        mix(docs, block_rows=block_rows, **options).select("doc_id", "source", "size", "passes", "times"), "drawn"
+    )
+    doc, source, size, words, row, nth, times, time = unused(
+        docs, "_doc", "_source", "_size", "_words", "_row", "_nth", "_times", "_time"
+    )
+    key = [doc, source, size]
+    own = ["doc_id", "source", words]
+    named = drawn.select(
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias(size), F.col("times").alias(times)
+    )
+    agreeing = named.groupBy(*key).agg(F.count("*").alias(nth), F.first(times).alias(times))
+    once = agreeing.filter((F.col(nth) == 1) & (F.size(times) > 0)).drop(nth)
     if drawn.count() <= BROADCAST_ROWS:
         once = F.broadcast(once)
-    texts = docs.withColumn("_mix_words", word_count(F.col("text")))
-
-    def same(places: DataFrame):
-        return (
-            texts["doc_id"].eqNullSafe(places[key[0]])
-            & texts["source"].eqNullSafe(places[key[1]])
-            & (texts["_mix_words"] == places[key[2]])
-        )
-
-    single = texts.join(once, same(once)).select(*docs.columns, F.explode("_mix_times").alias("_mix_time"))
-    often = agreeing.filter("_mix_rows > 1").select(*key)
-    by_time = Window.partitionBy(*key).orderBy("times")
-    dealt = named.join(often, _null_safe(named, often, key)).select(named["*"]).withColumn("_mix_nth", F.row_number().over(by_time))
-    numbered = texts.join(often, same(often), "left_semi").withColumn(
-        "_mix_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_mix_words").orderBy("text"))
+    texts = docs.withColumn(words, word_count(F.col("text")))
+    single = texts.join(once, _null_safe(texts, once, list(zip(own, key)))).select(
+        *docs.columns, F.explode(times).alias(time)
     )
-    several = numbered.join(
-        dealt,
-        numbered["doc_id"].eqNullSafe(dealt[key[0]])
-        & numbered["source"].eqNullSafe(dealt[key[1]])
-        & (numbered["_mix_words"] == dealt[key[2]])
-        & (numbered["_mix_row"] == dealt["_mix_nth"]),
-    ).select(*docs.columns, F.explode("times").alias("_mix_time"))
+    often = stored(agreeing.filter(F.col(nth) > 1).select(*key), "often")
+    repeated = texts.join(often, _null_safe(texts, often, list(zip(own, key))), "left_semi")
+    repeated = stored(repeated.withColumn(row, F.monotonically_increasing_id()), "repeated")
+    rows = numbered(repeated.select(row, *own), own, [row], nth, block_rows)
+    dealt = named.join(often, _null_safe(named, often, list(zip(key, key)))).select(named["*"])
+    places = numbered(dealt, key, [times], nth, block_rows)
+    met = rows.join(places, _null_safe(rows, places, [*zip(own, key), (nth, nth)])).select(row, times)
+    several = repeated.join(met.filter(F.size(times) > 0), row).select(*docs.columns, F.explode(times).alias(time))
     return (
         single.unionByName(several)
-        .repartitionByRange(F.col("_mix_time"), F.col("doc_id"))
-        .sortWithinPartitions("_mix_time", "doc_id")
-        .drop("_mix_time")
+        .repartitionByRange(F.col(time), F.col("doc_id"))
+        .sortWithinPartitions(time, "doc_id")
+        .drop(time)
     )

@@ -7,6 +7,8 @@ Their tests hold them against plain Python instead.
 
 from __future__ import annotations
 
+from wattframe.llm.mixing import SCHEDULES, demand
+
 _SIZE = r"len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
 
 NEAR_TEXTS = r"""
@@ -50,12 +52,36 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_
 FROM embeddings LEFT JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 """
 
+
+
+def _double(x: float) -> str:
+    return f"{x:.17e}"
+
+
+def _time_due(share: str) -> str:
+    """The inverse of the integrated schedules, line by line, for the source's kind."""
+    kinds = []
+    for schedule in SCHEDULES:
+        lines, total = demand(schedule)
+        here = []
+        for t0, w0, slope, before, _ in lines:
+            area = f"(({share} - {_double(before)}) * {_double(total)})"
+            if slope:
+                root = f"sqrt(greatest({_double(w0 * w0)} + {_double(2 * slope)} * {area}, 0.0::DOUBLE))"
+                here.append(f"{_double(t0)} + ({root} - {_double(w0)}) / {_double(slope)}")
+            else:
+                here.append(f"{_double(t0)} + {area} / {_double(w0)}")
+        upto = " ".join(f"WHEN {share} <= {_double(line[4])} THEN {h}" for line, h in zip(lines[:-1], here))
+        kinds.append(f"CASE {upto} ELSE {here[-1]} END" if upto else here[-1])
+    return "CASE kind " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END"
+
+
 MIXING = f"""
 WITH sized AS (
   SELECT doc_id, {_SIZE} AS size, source, md5(coalesce(doc_id::VARCHAR, '')) AS place FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind, ([5.0, 2.0, 1.0])[1 + kind]::DOUBLE AS weight
   FROM sized GROUP BY source
 ), levels AS (
   SELECT *, (1.5 * sum(source_size::DOUBLE) OVER ()
@@ -65,19 +91,27 @@ WITH sized AS (
                                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM sources
 ), plan AS (
-  SELECT source, source_size, least(2.0 * source_size::DOUBLE, max(level) OVER () * weight) AS target FROM levels
+  SELECT source, source_size, kind, least(2.0 * source_size::DOUBLE, max(level) OVER () * weight) AS target FROM levels
 ), placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized
 ), drawn AS (
-  SELECT doc_id, size, source_size, target, before,
+  SELECT doc_id, size, source_size, target, before, kind,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
   FROM placed JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source
+), passed AS (
+  SELECT *, (CASE WHEN size > 0 THEN whole + CASE WHEN 2 * before + size < 2 * (target - whole * source_size)
+             THEN 1 ELSE 0 END ELSE 0 END)::BIGINT AS passes
+  FROM drawn
+), shares AS (
+  SELECT *, CASE WHEN passes > 0 THEN least((before::DOUBLE + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) END AS first_share,
+         CASE WHEN passes > 0 THEN
+           least((((passes - 1) * source_size + before)::DOUBLE + size / 2.0::DOUBLE) / target, 1.0::DOUBLE) END AS last_share
+  FROM passed
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (CASE WHEN size > 0 THEN size * (whole + CASE WHEN 2 * before + size < 2 * (target - whole * source_size)
-        THEN 1 ELSE 0 END) ELSE 0 END)::BIGINT AS taken
-FROM drawn
+SELECT doc_id, size::BIGINT AS size, source_size, target, (size * passes)::BIGINT AS taken,
+       {_time_due("first_share")} AS first_time, {_time_due("last_share")} AS last_time
+FROM shares
 """
 
 COLLOCATIONS = r"""

@@ -61,7 +61,7 @@ def prose(seed=2):
     return [*out, ("xx", None), ("xx", ""), (None, " .,; "), *out[:5], ("yy", "a " * 500), ("zz", "one, two")]
 
 
-@pytest.mark.parametrize("chunk, broadcast, top", [(4 << 20, 10**6, 2000), (300, 0, 7), (300, 10**6, 2000)])
+@pytest.mark.parametrize("chunk, broadcast, top", [(4 << 20, 10**6, 2000), (300, 0, 7), (300, 30, 2000), (300, 10**6, 2000)])
 def test_collocations(spark, monkeypatch, chunk, broadcast, top):
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     monkeypatch.setattr(collocations, "BROADCAST_ROWS", broadcast)
@@ -92,7 +92,7 @@ def test_runs_at_the_ends_of_partitions_are_added_up(spark):
     for parts in (1, 3, 17):
         cuts = [rows[i * 300 // parts : (i + 1) * 300 // parts] for i in range(parts)]
         rdd = spark.sparkContext.parallelize(cuts, parts).flatMap(lambda x: x)
-        stream = spark.createDataFrame(rdd, "lang string, window string, n long")
+        stream = spark.createDataFrame(rdd, "lang string, window string, n long").withColumn("window", F.col("window").cast("binary"))
         got = {r.phrase: r.a for r in collocations.prefix_counts(stream, 5, 30).collect()}
         assert got == {p: n for p, n in want.items() if n >= 30}
 

@@ -13,8 +13,10 @@ right of it (suffix order), and the count of the most frequent extension by a wo
 Counts of 64 bits, products as exact decimals.  A phrase inside a longer one that is as frequent has an
 extension by one word that is as frequent, as counts cannot grow with the length: one word is enough.
 
-Frequent words cut pieces where a word is too rare to be part of any candidate.  Their list is broadcast up to
-a size that is checked; beyond it no word is cut out, more windows are sorted and the result is the same.
+Two lists cut pieces where no candidate can reach across: words, and pairs of neighbours, that are found too
+rarely.  Each list is counted over the whole corpus, and broadcast up to a size that is checked; with the list
+of words, windows hold numbers of words instead of words.  Beyond that size nothing is cut, more windows are
+sorted and the result is the same.
 
 Nulls: a null text is empty; a null lang is ``und``, together with rows that say so; doc_id is not read.
 Repeated rows count each.  Empty tables give no rows.  Other columns are ignored, whatever their
@@ -23,11 +25,13 @@ names.  A text is one unit: its arrays take about 60 bytes per byte of text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +40,11 @@ from wattframe.session import stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 4 << 20
-#: Frequent words up to which their list is broadcast (about 20 bytes each).
+CHUNK = 8 << 20
+#: Frequent words and frequent pairs up to which each list is broadcast (about 20 and 8 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Bits and bytes of a word's number in pairs and in windows.
+BITS, WIDTH = 21, 3
 #: Between the words of a window: below every byte that a word can hold once escaped.
 GAP = "\x00"
 ESCAPE = (("\x01", "\x01\x02"), ("\x00", "\x01\x01"))
@@ -133,51 +139,106 @@ def joined(words: pa.Array, rows: np.ndarray) -> pa.Array:
     return pc.binary_join(parts, GAP)
 
 
-def windows(docs: DataFrame, frequent: DataFrame | None, longest: int) -> DataFrame:
-    """(lang, window, n): windows of at least two words, added up per chunk."""
-    listed: dict[str, list[str]] = {}
-    known = None
-    if frequent is not None:
-        for row in frequent.toLocalIterator():
-            listed.setdefault(row["lang"], []).append(row["phrase"])
-        known = docs.sparkSession.sparkContext.broadcast(listed)
+def listed_words(frequent: DataFrame) -> dict[str, pa.Array]:
+    """Per lang its frequent words; a word's place is its number."""
+    out: dict[str, list[str]] = {}
+    for row in frequent.toLocalIterator():
+        out.setdefault(row["lang"], []).append(row["phrase"])
+    return {lang: pa.array(sorted(words), pa.string()) for lang, words in out.items()}
+
+
+def numbered_words(words: pa.Array, known: dict[str, pa.Array] | None, lang: str) -> tuple[np.ndarray, pa.Array]:
+    """Number of each word (-1: not listed; without a list each word has one) and the words by number."""
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy().astype(np.int32)
+    if known is None:
+        return at, coded.dictionary
+    listed = known.get(lang, pa.array([], pa.string()))
+    number = pc.fill_null(pc.index_in(coded.dictionary, value_set=listed), -1).to_numpy().astype(np.int32)
+    return (number[at] if len(at) else at), listed
+
+
+def pair_counts(docs: DataFrame, known: Broadcast) -> DataFrame:
+    """(lang, pair, a) of neighbouring listed words; a pair is the numbers of its two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed: dict[str, pa.Array] = {}
         for lang, texts in chunks(batches):
             words, piece = words_of(texts)
-            if known is not None and lang not in allowed:
-                allowed[lang] = pa.array(known.value.get(lang, []), pa.string())
-            coded = words.dictionary_encode()
-            ids = coded.indices.to_numpy().astype(np.int32)
-            if known is not None:
-                rare = ~pc.is_in(coded.dictionary, value_set=allowed[lang]).to_numpy(zero_copy_only=False)
-                ids = np.where(rare[ids], -1, ids)
-            # a window goes on as long as the next word is in the piece and not cut out
+            ids, _ = numbered_words(words, known.value, lang)
+            beside = (ids[:-1] >= 0) & (ids[1:] >= 0) & (piece[:-1] == piece[1:])
+            pairs = (ids[:-1][beside].astype(np.int64) << BITS) | ids[1:][beside]
+            pair, n = np.unique(pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(pair), pa.string()), pa.array(pair), pa.array(n.astype(np.int64))],
+                ["lang", "pair", "n"],
+            )
+
+    parts = texts_of(docs).mapInArrow(run, "lang string, pair long, n long")
+    return parts.groupBy("lang", "pair").agg(F.sum("n").alias("a"))
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as bytes, the high byte first; -1 ends a row."""
+    some = rows >= 0
+    data = rows[some].astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - WIDTH :]
+    offsets = np.append(0, np.cumsum(some.sum(1) * WIDTH)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def windows(docs: DataFrame, known: Broadcast | None, pairs: Broadcast | None, longest: int) -> DataFrame:
+    """(lang, window, n), added up per chunk: windows of two words or more, or given the pairs, of three."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in chunks(batches):
+            words, piece = words_of(texts)
+            ids, names = numbered_words(words, known.value if known else None, lang)
+            # a window goes on as long as the next word is in the piece and follows in no rare pair
+            link = (ids[:-1] >= 0) & (ids[1:] >= 0) & (piece[:-1] == piece[1:])
+            if pairs is not None:
+                at = np.flatnonzero(link)
+                own = (ids[at].astype(np.int64) << BITS) | ids[at + 1]
+                often = pairs.value.get(lang, np.zeros(0, np.int64))
+                place = np.minimum(np.searchsorted(often, own), max(len(often) - 1, 0))
+                link[at] = (often[place] == own) if len(often) else False
             n = len(ids)
-            wide = np.full((n + longest, longest), -1, np.int32)
-            go = ids >= 0
-            wide[:n, 0] = ids
+            wide = np.full((n, longest), -1, np.int32)
+            wide[:, 0] = ids
+            go = link
             for k in range(1, longest):
-                go = go[: max(n - k, 0)] & (ids[k:] >= 0) & (piece[k:] == piece[: max(n - k, 0)])
                 wide[: len(go), k][go] = ids[k:][go]
-            rows, counts = distinct_rows(wide[wide[:, 1] >= 0])
+                go = go[:-1] & link[k:]
+            rows, counts = distinct_rows(wide[wide[:, 1 if pairs is None else 2] >= 0])
             for first in range(0, len(rows), 1 << 16):
                 some = rows[first : first + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * len(some), pa.string()),
-                        joined(coded.dictionary, some),
+                        packed(some) if known else joined(names, some).cast(pa.binary()),
                         pa.array(counts[first : first + len(some)].astype(np.int64)),
                     ],
                     ["lang", "window", "n"],
                 )
 
-    return texts_of(docs).mapInArrow(run, "lang string, window string, n long")
+    return texts_of(docs).mapInArrow(run, "lang string, window binary, n long")
+
+
+def unpacked(window: pa.Array, longest: int) -> np.ndarray:
+    """The numbers of packed windows, a row each, -1 after the last."""
+    offsets = np.frombuffer(window.buffers()[1], np.int32)[window.offset : window.offset + len(window) + 1].astype(np.int64)
+    data = np.frombuffer(window.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, WIDTH).astype(np.int64)
+    number = (data << (8 * np.arange(WIDTH)[::-1])).sum(1)
+    return spread(number, np.diff(offsets) // WIDTH, longest)
+
+
+def spread(number: np.ndarray, sizes: np.ndarray, longest: int) -> np.ndarray:
+    wide = np.full((len(sizes), longest), -1, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    wide[row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]] = number
+    return wide
 
 
-def prefix_counts(stream: DataFrame, longest: int, least: int) -> DataFrame:
-    """(lang, phrase, n) of phrases of two words or more, from windows in prefix order.
+def prefix_counts(stream: DataFrame, longest: int, least: int, known: Broadcast | None = None, shortest: int = 2) -> DataFrame:
+    """(lang, phrase, a) of phrases of ``shortest`` words or more, from windows in prefix order.
 
     Runs inside a partition are whole and leave if they are frequent enough; the first and the
     last run of every length always leave, as they may go on in another partition.
@@ -192,22 +253,26 @@ def prefix_counts(stream: DataFrame, longest: int, least: int) -> DataFrame:
             lang, window, n = (batch.column(i) for i in range(3))
             counts = n.to_numpy()
             langs = lang.dictionary_encode()
-            parts = pc.split_pattern(window, GAP)
-            sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            coded = parts.flatten().dictionary_encode()
-            wide = np.full((len(sizes), longest), -1, np.int64)
-            begin = np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            flat = np.arange(len(row)) - begin[row]
-            wide[row, flat] = coded.indices.to_numpy()
+            if known:
+                wide = unpacked(window, longest)
+            else:
+                parts = pc.split_pattern(window.cast(pa.string()), GAP)
+                words = parts.flatten().dictionary_encode()
+                sizes = parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                wide = spread(words.indices.to_numpy(), sizes, longest)
+            sizes = (wide >= 0).sum(1)
             same = np.append(False, langs.indices.to_numpy()[1:] == langs.indices.to_numpy()[:-1])
             same[1:] &= wide[1:, 0] == wide[:-1, 0]
 
             def phrase(at: int, m: int) -> tuple[str, str]:
-                return lang[at].as_py(), GAP.join(window[at].as_py().split(GAP)[:m])
+                own = lang[at].as_py()
+                names = known.value[own] if known else words.dictionary
+                return own, GAP.join(names[int(k)].as_py() for k in wide[at, :m])
 
             for m in range(2, longest + 1):
                 same = same & np.append(False, wide[1:, m - 1] == wide[:-1, m - 1])
+                if m < shortest:
+                    continue
                 valid = sizes >= m
                 # rows shorter than m end a run and belong to none
                 marks = np.flatnonzero(~same)
@@ -245,12 +310,38 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     counted = stored(word_counts(docs), "words")
     totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = counted.filter(F.col("a") >= least)
-    cut = frequent if frequent.count() <= BROADCAST_ROWS else None
-    found = stored(windows(docs, cut, longest), "windows")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stream = found.repartitionByRange(parts, "lang", "window").sortWithinPartitions("lang", "window")
-    longer = prefix_counts(stream, longest, least)
-    return stored(frequent.unionByName(longer), "phrases"), totals
+    known = pairs = None
+    parts = [frequent]
+    if frequent.count() <= BROADCAST_ROWS:
+        known = spark.sparkContext.broadcast(listed_words(frequent))
+        often = stored(pair_counts(docs, known).filter(F.col("a") >= least), "pairs")
+        if often.count() <= BROADCAST_ROWS:
+            listed: dict[str, list[int]] = {}
+            for row in often.toLocalIterator():
+                listed.setdefault(row["lang"], []).append(row["pair"])
+            pairs = spark.sparkContext.broadcast({lang: np.sort(np.array(x, np.int64)) for lang, x in listed.items()})
+            parts.append(named_pairs(often, known))
+    found = stored(windows(docs, known, pairs, longest), "windows")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream = found.repartitionByRange(n, "lang", "window").sortWithinPartitions("lang", "window")
+    parts.append(prefix_counts(stream, longest, least, known, 3 if pairs else 2))
+    return stored(functools.reduce(DataFrame.unionByName, parts), "phrases"), totals
+
+
+def named_pairs(often: DataFrame, known: Broadcast) -> DataFrame:
+    """(lang, phrase, a) of pairs given by numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = []
+            for lang, pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                names = known.value[lang]
+                named.append(GAP.join((names[pair >> BITS].as_py(), names[pair & ((1 << BITS) - 1)].as_py())))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(named, pa.string()), batch.column(2)], ["lang", "phrase", "a"]
+            )
+
+    return often.mapInArrow(run, "lang string, phrase string, a long")
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

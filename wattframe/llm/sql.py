@@ -1,8 +1,7 @@
 """The same results in DuckDB's SQL, for the queries that SQL can express.
 
-Sharding needs a checksum that SQL lacks; quality rules, language id, packing, page extraction,
-personal data and the byte-wise removal of passages have no SQL that ends on whole tables.
-Their tests hold them against plain Python instead.
+Quality rules (their hash), language id, packing, page extraction, personal data and periodic
+runs have none; their tests hold them against plain Python instead.
 """
 
 from __future__ import annotations
@@ -73,7 +72,8 @@ def _time_due(share: str) -> str:
                 here.append(f"{_double(t0)} + {area} / {_double(w0)}")
         upto = " ".join(f"WHEN {share} <= {_double(line[4])} THEN {h}" for line, h in zip(lines[:-1], here))
         kinds.append(f"CASE {upto} ELSE {here[-1]} END" if upto else here[-1])
-    return "CASE kind " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END"
+    by_kind = "CASE kind " + " ".join(f"WHEN {i} THEN {k}" for i, k in enumerate(kinds)) + " END"
+    return f"CASE WHEN {share} IS NOT NULL THEN {by_kind} END"
 
 
 MIXING = f"""
@@ -169,10 +169,76 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+#: The checksum runs over half bytes, the low one first, with a table of 16 entries made in place.
+SHARDS = r"""
+WITH RECURSIVE listed AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h,
+         (doc_id::HUGEINT + CASE WHEN doc_id < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) AS key
+  FROM documents
+), table16 AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(16))::BIGINT AS i))
+), sums AS (
+  SELECT r, doc_id, key, strlen(h) // 2 + 1 AS size,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(
+             CASE WHEN h = '' THEN [] ELSE string_split(regexp_replace(h, '(.)(.)', '\2\1', 'g'), '') END,
+             lambda c: instr('0123456789ABCDEF', c)::BIGINT - 1)),
+           lambda a, x: xor(t[1 + (xor(a, x) & 15)], a >> 4))) AS text_crc32
+  FROM listed, table16
+), walk AS (
+  SELECT r, coalesce(key, 0) AS key, -1::BIGINT AS past, -1::BIGINT AS here, 0::BIGINT AS next, 17 AS shards FROM sums
+  UNION ALL
+  SELECT r, k, here, next,
+         floor((next + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592)::DOUBLE + 1)))::BIGINT, shards
+  FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616::HUGEINT AS k FROM walk WHERE next < shards)
+), ends AS (
+  SELECT r, here, past FROM walk WHERE next >= shards
+), placed AS (
+  SELECT s.*, CASE WHEN here = 16 THEN past ELSE here END::INTEGER AS shard, here::INTEGER AS grown_shard
+  FROM sums s JOIN ends USING (r)
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM placed
+"""
+
+#: Every 100-byte string by its digest; what it covers is cut out of the text's hexadecimal form.
+REPEATS = """
+WITH listed AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, coalesce(text, '')) AS r, doc_id,
+         hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n
+  FROM documents
+), starts AS (
+  SELECT r, p, md5(substr(h, 2 * p + 1, 200)) AS s
+  FROM (SELECT r, h, unnest(range(0, n - 99)) AS p FROM listed WHERE n >= 100)
+), again AS (
+  SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY s ORDER BY r, p) AS nth FROM starts) WHERE nth > 1
+), marked AS (
+  SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM again
+), numbered AS (
+  SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM marked
+), spans AS (
+  SELECT r, run, min(p) AS first, max(p) + 100 AS past FROM numbered GROUP BY r, run
+), gaps AS (
+  SELECT r, first, past, coalesce(lag(past) OVER (PARTITION BY r ORDER BY first), 0) AS before FROM spans
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(past - first) AS n_removed, max(past) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (first - before)), '' ORDER BY first) AS left_hex
+  FROM gaps JOIN listed USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN last IS NULL THEN h ELSE left_hex || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM listed LEFT JOIN cut USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": NEAR_TEXTS,
+    "op2_sharding": SHARDS,
     "op3_embedding_near_dedup": NEAR_VECTORS,
     "op5_source_mixing": MIXING,
+    "op10_suffix_array_dedup": REPEATS,
     "op11_collocations": COLLOCATIONS,
     "op13_topk_search": TOP_K,
 }

@@ -6,9 +6,11 @@ penalties, so most of them are exactly zero; a temperature fitted on labelled do
 training never saw turns scores into probabilities.
 
 The fit reads a bounded sample of labelled documents (``Settings.per_language`` each, the first
-in the order of a hash of doc_id); prediction reads every text whole.  A null text, or one
-without letters, is ``und`` with score 0, and so is everything if nothing is labelled.  Rows are
-predicted one by one, so equal rows agree, and an empty table gives no rows.
+in the order of a hash of doc_id, ties by a hash of the text; rows that repeat count once); prediction reads
+every text whole, long ones in steps.  A null text, or one without letters, is ``und`` with score 0, and so is
+everything if nothing is labelled.  Rows are predicted one by one, so equal rows agree; of equal scores the first
+language by name wins.  An empty table gives no rows.  ``predict`` passes other columns on, and replaces those
+that have the names of the two it adds; ``identify`` ignores other columns.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.llm.common import small
+from wattframe.session import stored
 
 UNKNOWN = "und"
+#: Documents in the sample up to which their keys are broadcast to the texts (40 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -194,18 +199,26 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> dict | None:
     """
     spark = docs.sparkSession
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    marked = usable.select("doc_id", "lang", mark.alias("mark")).distinct()
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("content")
+    )
+    # an id may repeat with other texts: each different text is a document of its own
+    key = ["doc_id", "lang", "content"]
+    marked = usable.select(*key, mark.alias("mark")).distinct()
     # first per language and first digit of the hash, so that a language never meets whole
-    few = Window.partitionBy("lang", F.substring("mark", 1, 1)).orderBy("mark", "doc_id")
-    order = Window.partitionBy("lang").orderBy("mark", "doc_id")
+    few = Window.partitionBy("lang", F.substring("mark", 1, 1)).orderBy("mark", "doc_id", "content")
+    order = Window.partitionBy("lang").orderBy("mark", "doc_id", "content")
     chosen = marked
     for window in (few, order):
         chosen = chosen.withColumn("rank", F.row_number().over(window)).filter(
             F.col("rank") <= settings.per_language
         )
-    chosen = chosen.drop("mark")
-    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    chosen = stored(chosen.select(*[F.col(c).alias(f"_{c}") for c in key], "rank"), "sample")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
+    same = functools.reduce(lambda x, y: x & y, [usable[c].eqNullSafe(chosen[f"_{c}"]) for c in key])
+    # rows that repeat are one
+    texts = usable.join(chosen, same).groupBy("doc_id", "lang", "rank").agg(F.first("text").alias("text"))
     schema = "doc_id long, lang string, rank int, buckets array<int>, counts array<int>"
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +289,7 @@ def predict(
     names_added: tuple[str, str] = ("lang_pred", "score"),
 ) -> DataFrame:
     """``docs`` (any columns, with ``text``) with the language and its probability added."""
+    docs = docs.drop(*names_added)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"{_ddl(docs)}, `{names_added[0]}` string, `{names_added[1]}` double"
 

@@ -211,6 +211,36 @@ def test_scores_are_bm25_of_the_whole_corpus(spark):
         assert abs(got[d] - want) < 1e-3 * max(want, 1)
 
 
+def test_windows_are_filled_with_the_seeds_neighbours():
+    """Against a plain loop: a seed's unused tails by BM25, best first, as far as they fit; the best one
+    that does not fit is cut."""
+    tails = [t[: 20 + 7 * (i % 11)] for i, t in enumerate(topical(120, 6))]
+    index, window = packing.Index(tails), 256
+    score = [index.scores(i) for i in range(len(tails))]
+    left, begin, want = set(range(len(tails))), [0] * len(tails), []
+    for seed in range(len(tails)):
+        if seed not in left:
+            continue
+        left.discard(seed)
+        got, room = [(seed, begin[seed], len(tails[seed]))], window - len(tails[seed]) + begin[seed]
+        while room and left:
+            best = sorted(left, key=lambda i: (-score[seed][i], i))[:32]
+            whole = []
+            for i in best:
+                if len(tails[i]) - begin[i] <= room:
+                    whole.append(i)
+                    room -= len(tails[i]) - begin[i]
+            got += [(i, begin[i], len(tails[i])) for i in whole]
+            left -= set(whole)
+            rest = [i for i in best if i not in whole]
+            if room and rest:
+                got.append((rest[0], begin[rest[0]], begin[rest[0]] + room))
+                begin[rest[0]] += room
+                room = 0
+        want.append(got)
+    assert list(packing.fill(tails, window)) == want
+
+
 @pytest.mark.parametrize("shard_rows", [300, 150, 75])
 def test_nearest_tails_meet_in_a_shard(spark, shard_rows):
     tails = topical()

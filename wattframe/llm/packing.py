@@ -127,13 +127,17 @@ class Index:
         n = len(tails)
         corpus = corpus or Corpus.of(tails)
         sizes = np.array([len(t) for t in tails], np.int64)
-        owner = np.repeat(np.arange(n), sizes)
-        joined = np.concatenate(tails).astype(np.int64) if n else np.zeros(0, np.int64)
-        pair, tf = np.unique(joined * n + owner, return_counts=True) if n else (joined, joined)
-        term, self.doc = pair // max(n, 1), pair % max(n, 1)
+        counted = [np.unique(t, return_counts=True) for t in tails]
+        term = np.concatenate([t for t, _ in counted] or [np.zeros(0, np.uint16)])
+        tf = np.concatenate([c.astype(np.float32) for _, c in counted] or [np.zeros(0, np.float32)])
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in counted])
+        del counted
+        order = np.argsort(term, kind="stable")
+        term, tf, self.doc = term[order], tf[order], doc[order]
+        del order, doc
         self.starts = np.searchsorted(term, np.arange(IDS + 1))
-        self.weight = corpus.weight(term, tf, sizes[self.doc])
-        del owner, joined, pair, tf
+        self.weight = corpus.weight(term, tf, sizes[self.doc]).astype(np.float32)
+        del tf
         # the most frequent terms have most postings: their part of scores is a matrix product
         df = np.diff(self.starts)
         hot = np.argsort(-df, kind="stable")[:HOT]
@@ -191,9 +195,9 @@ def fill(tails: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None =
         index.unused[seed] = False
         index.ahead(seed)
         sequence, room = [(seed, int(begin[seed]), int(sizes[seed]))], window - int(sizes[seed] - begin[seed])
-        last = seed
         while room > 0:
-            found = index.nearest(last)
+            # the seed asks again if all that it was given fits
+            found = index.nearest(seed)
             if not len(found):
                 break
             skipped = None
@@ -203,7 +207,6 @@ def fill(tails: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None =
                     sequence.append((int(i), int(begin[i]), int(sizes[i])))
                     index.unused[i] = False
                     room -= left
-                    last = int(i)
                     if not room:
                         break
                 elif skipped is None:

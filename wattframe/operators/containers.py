@@ -12,7 +12,7 @@ from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators.joins import asof_lookup, lookup_join
 from wattframe.operators.rollup import PROCESS
-from wattframe.operators.timeline import HOT_ROWS
+from wattframe.operators.timeline import HOT_ROWS, with_previous
 
 
 def container_ids(df: DataFrame, text: str = "cgroup_text", keys: Sequence[str] = PROCESS) -> DataFrame:
@@ -63,6 +63,69 @@ def attach_container_id(
     )
 
 
+#: Before any time there is.
+ALWAYS = -(1 << 62)
+
+
+def pid_versions(
+    captures: DataFrame,
+    execs: DataFrame,
+    keys: Sequence[str] = PROCESS,
+    time: str = "ts_us",
+    text: str = "cgroup_text",
+    tie: str = "event_id",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """From when on which container id holds for a pid: (keys, ``valid_us``, ``container_id``).
+
+    An exec is where a pid's process begins, so what was captured before says nothing about it; the first
+    capture after it does, back to the exec.  Before a pid's first mark its first capture holds.  A version
+    holds until the next one; a process that is never captured has ``''``.  Of captures in one
+    microsecond the last by ``tie`` counts; an exec in the same microsecond comes before them.
+    """
+    mark = lambda rows, rank, value: rows.select(*keys, time, F.lit(rank).alias("rank"), value.alias("id"))
+    read = captures.groupBy(*keys, time).agg(F.max_by(S.container_id(text), tie).alias("id"))
+    marks = mark(execs.select(*keys, time).distinct(), 0, F.lit(None).cast("string")).unionByName(
+        mark(read, 1, F.col("id"))
+    )
+    # what follows a mark is what comes before it on the way back
+    back = marks.select("*", (-F.col(time)).alias("back_us"), (-F.col("rank")).alias("back_rank"))
+    seen = with_previous(
+        back, keys, ["back_us", "back_rank"], {"next_rank": "rank", "next_id": "id"}, "back_us", hot_rows
+    )
+    own = F.when(F.col("rank") == 1, F.col("id")).when(F.col("next_rank") == 1, F.col("next_id")).otherwise("")
+    first = marks.groupBy(*keys).agg(F.min_by(F.struct("rank", "id"), F.struct(time, "rank")).alias("mark"))
+    versions = seen.select(*keys, F.col(time).alias("valid_us"), own.alias("id"), "rank").unionByName(
+        first.where("mark.rank = 1").select(
+            *keys, F.lit(ALWAYS).cast("bigint").alias("valid_us"), F.col("mark.id").alias("id"), F.lit(1).alias("rank")
+        )
+    )
+    return versions.groupBy(*keys, "valid_us").agg(F.max_by("id", "rank").alias("container_id"))
+
+
+def attach_container_id_asof(
+    vectors: DataFrame,
+    versions: DataFrame,
+    keys: Sequence[str] = PROCESS,
+    time: str = "ts_us",
+    tie: Sequence[str] = ("event_id",),
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Adds the ``container_id`` that the pid's version gives at each row's time, ``''`` without one."""
+    found = asof_lookup(
+        vectors,
+        versions,
+        key=F.struct(*keys),
+        history_key=F.struct(*keys),
+        values={"container_id": F.col("container_id")},
+        tie=tie,
+        time=time,
+        history_time="valid_us",
+        hot_rows=hot_rows,
+    )
+    return found.withColumn("container_id", F.coalesce("container_id", F.lit("")))
+
+
 def _or_own_key(container_id: str, keys: Sequence[str]) -> Column:
     """Host processes have no container to look up.  Giving each its own key, which no
     inventory has, keeps them from meeting in one partition under ``''``."""

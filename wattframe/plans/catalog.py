@@ -13,7 +13,7 @@ from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, model, rollup, views
 from wattframe.plans import attribution as A
 from wattframe.plans import fixture
-from wattframe.session import configure, shared_dir
+from wattframe.session import configure, shared_dir, stored
 from wattframe.sources import calibration, records, samples, tables, telemetry
 from wattframe.streaming import jobs, sinks
 
@@ -215,6 +215,24 @@ def container_asof(spark, sf_dir):
     return named.select("event_id", "ts", "host_id", "pid", "container_id", "container_name")
 
 
+@query
+def pid_container_asof(spark, sf_dir):
+    """Container id and name of every event, the pid's process and the inventory taken as of its time."""
+    rows = fixture.tele(spark, sf_dir)
+    cpu = fixture.tele(spark, sf_dir, "cpu")
+    versions = stored(
+        containers.pid_versions(
+            fixture.cgroup_captures(spark, sf_dir), cpu.where(F.col("event_kind") == "exec")
+        ),
+        "pid-versions",
+    )
+    located = containers.attach_container_id_asof(rows.select("event_id", "ts", "ts_us", "host_id", "pid"), versions)
+    named = containers.enrich_asof(
+        stored(located, "located"), stored(fixture.inventory_history(spark, sf_dir), "inventory")
+    )
+    return named.select("event_id", "ts", "host_id", "pid", "container_id", "container_name")
+
+
 # --- energy ------------------------------------------------------------------------
 
 

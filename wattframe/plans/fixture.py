@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
@@ -114,10 +114,7 @@ def _full_id(c):
     return F.concat(F.md5(F.concat(F.lit("c"), text)), F.md5(F.concat(F.lit("d"), text)))
 
 
-def cgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured cgroup text and memory limit of each process."""
-    pid = F.col("pid")
-    cid = F.col("cid")
+def _cgroup_text(pid: Column, cid: Column) -> Column:
     path = (
         F.when(pid % 6 == 0, F.concat(F.lit("/docker/"), cid))
         .when(pid % 6 == 1, F.concat(F.lit("/kubepods.slice/cri-containerd-"), cid, F.lit(".scope")))
@@ -126,6 +123,21 @@ def cgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(pid % 6 == 4, F.concat(F.lit("/custom/"), cid))
         .otherwise("/")
     )
+    return F.concat(F.lit("0::/\n12:devices:"), path, F.lit("\n"))
+
+
+def cgroup_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cgroup texts as they were read over time: a pid that is used again may sit in another container."""
+    seen = tele(spark, sf_dir).where(F.col("k") % 5 == 2)
+    cid = _full_id((F.col("pid") + F.col("event_id") % 3) % CONTAINERS)
+    return seen.select(
+        "event_id", "ts_us", "host_id", "pid", _cgroup_text(F.col("pid"), cid).alias("cgroup_text")
+    )
+
+
+def cgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured cgroup text and memory limit of each process."""
+    pid = F.col("pid")
     limit = (
         F.when(pid % 4 == 0, "max")
         .when(pid % 4 == 1, "9223372036854771712")
@@ -138,7 +150,7 @@ def cgroup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "host_id",
             "pid",
-            F.concat(F.lit("0::/\n12:devices:"), path, F.lit("\n")).alias("cgroup_text"),
+            _cgroup_text(pid, F.col("cid")).alias("cgroup_text"),
             limit.alias("mem_limit_text"),
         )
     )

@@ -45,6 +45,23 @@ SELECT host_id, pid,
     ELSE '/' END, chr(10)) AS cgroup_text,
   CASE pid % 4 WHEN 0 THEN 'max' WHEN 1 THEN '9223372036854771712' WHEN 2 THEN ' 536870912 ' ELSE '1048576' END AS mem_limit_text
 FROM (SELECT DISTINCT host_id, pid, concat(md5(concat('c', CAST(pid % 20 AS STRING))), md5(concat('d', CAST(pid % 20 AS STRING)))) AS cid FROM tele) p""",
+    "tele_captures": """
+SELECT event_id, ts_us, host_id, pid,
+  CASE WHEN pid % 6 = 5 THEN '' ELSE left(md5(concat('c', CAST((pid + event_id % 3) % 20 AS STRING))), 12) END AS id
+FROM tele WHERE k % 5 = 2""",
+    "pid_marks": """
+SELECT *, lead(rank) OVER w AS next_rank, lead(id) OVER w AS next_id, row_number() OVER w AS nth
+FROM (SELECT DISTINCT host_id, pid, ts_us, 0 AS rank, CAST(NULL AS VARCHAR) AS id FROM tele WHERE event_kind = 'exec'
+      UNION ALL
+      SELECT host_id, pid, ts_us, 1, arg_max(id, event_id) FROM tele_captures GROUP BY host_id, pid, ts_us) m
+WINDOW w AS (PARTITION BY host_id, pid ORDER BY ts_us, rank)""",
+    "pid_versions": """
+SELECT host_id, pid, valid_us, arg_max(id, rank) AS container_id
+FROM (SELECT host_id, pid, ts_us AS valid_us, rank,
+        CASE WHEN rank = 1 THEN id WHEN next_rank = 1 THEN next_id ELSE '' END AS id FROM pid_marks
+      UNION ALL
+      SELECT host_id, pid, CAST(-4611686018427387904 AS BIGINT), 1, id FROM pid_marks WHERE nth = 1 AND rank = 1) v
+GROUP BY host_id, pid, valid_us""",
     "tele_inventory": """
 SELECT c, concat('[{"Id":"', md5(concat('c', CAST(c AS STRING))), md5(concat('d', CAST(c AS STRING))),
   '","Names":["/svc-', CAST(c AS STRING), '"],"Image":"img-', CAST(c % 3 AS STRING), '","Labels":{',
@@ -342,6 +359,12 @@ FROM attributed"""),
     "container_asof": sql("""
 SELECT e.event_id, e.ts, e.host_id, e.pid, e.container_id, coalesce(h.name, '') AS container_name
 FROM (SELECT t.event_id, t.ts, t.host_id, t.pid, i.container_id FROM tele t JOIN ids i USING (host_id, pid)) e
+ASOF LEFT JOIN tele_inventory_hist h ON e.container_id = h.short_id AND e.ts >= h.snapshot_ts"""),
+    "pid_container_asof": sql("""
+SELECT e.event_id, e.ts, e.host_id, e.pid, e.container_id, coalesce(h.name, '') AS container_name
+FROM (SELECT t.event_id, t.ts, t.host_id, t.pid, coalesce(v.container_id, '') AS container_id
+      FROM tele t ASOF LEFT JOIN pid_versions v
+      ON t.host_id = v.host_id AND t.pid = v.pid AND t.ts_us >= v.valid_us) e
 ASOF LEFT JOIN tele_inventory_hist h ON e.container_id = h.short_id AND e.ts >= h.snapshot_ts"""),
     "heuristic_energy": sql(f'SELECT "interval", host_id, pid, comm, {ESTIMATE} FROM heur'),
     "records_to_energy": sql(f'SELECT "interval", host_id, pid, comm, {ESTIMATE} FROM heur'),

@@ -126,7 +126,7 @@ def attach_container_id_asof(
     return found.withColumn("container_id", F.coalesce("container_id", F.lit("")))
 
 
-def _or_own_key(container_id: str, keys: Sequence[str]) -> Column:
+def lookup_key(container_id: str, keys: Sequence[str]) -> Column:
     """Host processes have no container to look up.  Giving each its own key, which no
     inventory has, keeps them from meeting in one partition under ``''``."""
     return F.coalesce(
@@ -153,7 +153,7 @@ def enrich(
         .where(F.col("_found.name") != "")
     )
     joined = lookup_join(
-        vectors.withColumn("_lookup", _or_own_key("container_id", keys)), known, ["_lookup"]
+        vectors.withColumn("_lookup", lookup_key("container_id", keys)), known, ["_lookup"]
     )
     return joined.select(
         *vectors.columns,
@@ -183,7 +183,7 @@ def enrich_asof(
     if ids is not None:
         vectors = attach_container_id(vectors, ids, keys)
         per_process = attach_container_id(per_process, ids, keys)
-    key = _or_own_key("container_id", keys)
+    key = lookup_key("container_id", keys)
     found = asof_lookup(
         vectors,
         history,

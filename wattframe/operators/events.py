@@ -39,12 +39,11 @@ _KEPT = (
 )
 
 
-def classify_faults(df: DataFrame) -> DataFrame:
-    """Memory events with their class; a reclaim is neither a major nor a minor fault."""
-    mem = df.where(F.col("probe") == "mem")
+def with_fault_classes(df: DataFrame) -> DataFrame:
+    """Adds the class of memory events to events of all probes; a reclaim is neither a major nor a minor fault."""
     kind = F.col("event_kind")
     major = S.is_major_fault("event_kind", "error_code")
-    return mem.withColumns(
+    return df.withColumns(
         {
             "is_major": S.is_fault(kind) & major,
             "is_minor": S.is_fault(kind) & ~major,
@@ -53,6 +52,11 @@ def classify_faults(df: DataFrame) -> DataFrame:
     )
 
 
+def classify_faults(df: DataFrame) -> DataFrame:
+    """Memory events with their class."""
+    return with_fault_classes(df.where(F.col("probe") == "mem"))
+
+
 def split_pid_tgid(df: DataFrame, packed: str = "pid_tgid") -> DataFrame:
     """Low half of the packed id is the thread, high half the process."""
     return df.withColumns({"pid": S.pid_of(packed), "tgid": S.tgid_of(packed)})

@@ -255,6 +255,13 @@ def counter_rate(
     return increase_rate(seen, value, "_before", keys, order, window_us, step_us, time)
 
 
+def ended_as_zero(samples: DataFrame, value: str, ended: str = "ended") -> DataFrame:
+    """Samples of counters that end (:func:`wattframe.streaming.jobs.silent_counters`) for :func:`counter_rate`:
+    the row that ends a series counts as 0, so that the series which returns is a restart however high it is."""
+    zero = F.lit(0).cast(samples.schema[value].dataType)
+    return samples.withColumn(value, F.when(F.col(ended), zero).otherwise(F.col(value)))
+
+
 def increase_rate(
     seen: DataFrame,
     value: str,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,17 +202,24 @@ def exec_segments(
 
 
 def step_segments(
-    cpu_events: DataFrame, time: str, step: str = "1 second", keys: Sequence[str] = PROCESS
+    cpu_events: DataFrame,
+    time: str,
+    step: str = "1 second",
+    keys: Sequence[str] = PROCESS,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """What each step of time adds to a process's statistics, for streams: one aggregate.
+    """What each step of time adds to a process's CPU statistics, for streams: one aggregate.
 
     An exec may be seen after rows that follow it, so a step's rows are kept until the step
     is closed and are put in order then.  A group is the rows of one process in one step,
-    which a host's clock bounds; a busy process is spread over its steps.
+    which a host's clock bounds; a busy process is spread over its steps.  ``also`` are further
+    aggregates of the same groups, which may then hold rows of other probes.
     """
+    also = dict(also or {})
     row = F.struct("ts_us", "event_id", "event_kind", "prev_state", "delta_ns", "comm", "cpu_id")
+    of_cpu = F.when(F.col("event_kind").isin("switch", "exec"), row)
     steps = cpu_events.groupBy(F.window(time, step).alias("step"), *keys).agg(
-        F.sort_array(F.collect_list(row)).alias("_rows")
+        F.sort_array(F.collect_list(of_cpu)).alias("_rows"), *[v.alias(n) for n, v in also.items()]
     )
     place = lambda r: F.struct(r["ts_us"], r["event_id"])
     is_exec = lambda r: r["event_kind"].eqNullSafe("exec")
@@ -225,7 +232,7 @@ def step_segments(
         F.lit(0).cast("bigint"),
         lambda total, r: total + F.coalesce(r["delta_ns"], F.lit(0).cast("bigint")),
     )
-    last = F.element_at("_kept", -1)
+    last = F.get("_kept", F.size("_kept") - 1)
     return (
         steps.withColumn("_reset", F.array_max(F.transform(F.filter("_rows", is_exec), place)))
         .withColumn(
@@ -241,11 +248,46 @@ def step_segments(
             count(lambda r: is_switch(r) & involuntary(r)).alias("involuntary_ctx_switches"),
             last["cpu_id"].cast("bigint").alias("last_cpu_id"),
             (last["ts_us"] * 1000).alias("last_seen_ns"),
-            F.element_at("_kept", 1)["comm"].alias("comm"),
+            F.get("_kept", F.lit(0))["comm"].alias("comm"),
+            *(("step", *also) if also else ()),
         )
     )
 
 
+def step_stats(
+    classified: DataFrame, time: str, step: str = "1 second", keys: Sequence[str] = PROCESS
+) -> DataFrame:
+    """What each step adds to a process's CPU, memory and GPU statistics: events of all probes, classified
+    (:func:`wattframe.operators.events.classify_faults`), in one aggregate.  No column is NULL."""
+    kind = F.col("event_kind")
+    is_mem, is_gpu = kind.isin("fault_user", "fault_kernel", "reclaim"), kind == "gpu_submit"
+    major, minor, reclaim = (is_mem & F.col(c) for c in ("is_major", "is_minor", "is_reclaim"))
+    fault = major | minor
+    place = F.struct(*ORDER)
+    first = lambda test: F.min_by(F.when(test, F.col("comm")), F.when(test, place))
+    steps = step_segments(
+        classified, time, step, keys,
+        also={
+            "cpu_rows": _count(kind.isin("switch", "exec")), "mem_rows": _count(is_mem), "jobs": _count(is_gpu),
+            "major_faults": _count(major), "minor_faults": _count(minor), "total_faults": _count(fault),
+            "direct_reclaim_count": _count(reclaim), "last_fault_us": F.max(F.when(fault, F.col("ts_us"))),
+            "first_reclaim_us": F.min(F.when(reclaim, F.col("ts_us"))), "mem_comm": first(is_mem),
+            "last_submit_us": F.max(F.when(is_gpu, F.col("ts_us"))), "gpu_comm": first(is_gpu),
+        },
+    )
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    text = lambda c, name: F.coalesce(F.col(c), F.lit("")).alias(name)
+    counts = ("jobs", "major_faults", "minor_faults", "total_faults", "direct_reclaim_count")
+    return steps.select(
+        *keys,
+        S.micros(F.col("step.start")).alias("step_us"),
+        (F.col("cpu_rows") > 0).alias("has_cpu"), (F.col("mem_rows") > 0).alias("has_mem"), (F.col("jobs") > 0).alias("has_gpu"),
+        "had_exec", *[whole(c) for c in (*_SEGMENT_SUMS, "last_cpu_id", "last_seen_ns", *counts)],
+        *[whole(c) for c in ("last_fault_us", "first_reclaim_us", "last_submit_us")],
+        text("comm", "cpu_comm"), text("mem_comm", "mem_comm"), text("gpu_comm", "gpu_comm"),
+    )
+
+
 def segment_stats(segments: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
     """Segments in the layout of :func:`cpu_stats`."""
     return segments.select(
@@ -275,12 +317,17 @@ def feature_snapshot(
     are 0; the name is the CPU side's, else memory's, never the GPU's; only CPU rows carry a
     time.
     """
-    zero = F.lit(0).cast("bigint")
     c = cpu.withColumnRenamed("comm", "_cpu_comm")
     m = mem.withColumnRenamed("comm", "_mem_comm")
     joined = c.join(m, list(keys), "full").join(gpu.drop("comm"), list(keys), "full")
+    return snapshot_row(joined, keys)
+
+
+def snapshot_row(stats: DataFrame, keys: Sequence[str] = PROCESS) -> DataFrame:
+    """Feature vectors from rows that hold all three statistics of a process; missing ones are NULL."""
+    zero = F.lit(0).cast("bigint")
     value = lambda name: F.coalesce(F.col(name), zero)
-    return joined.select(
+    return stats.select(
         *keys,
         F.coalesce(
             F.nullif("_cpu_comm", F.lit("")), F.col("_mem_comm"), F.lit("")

@@ -627,7 +627,7 @@ def _vectors(spark, sf_dir, heartbeats=None):
     return jobs.partial_stream(_events(spark, sf_dir), heartbeats)
 
 
-def _to_the_end(spark, sf_dir, path, run):
+def _to_the_end(spark, sf_dir, path, run, after=dt.timedelta(days=1)):
     """Runs a stream over the events, then once more with a heartbeat of a later day, which
     closes the windows that were still open.  ``run`` takes the stream of heartbeats."""
     beats = f"{path}/heartbeats"
@@ -635,7 +635,7 @@ def _to_the_end(spark, sf_dir, path, run):
     run(tables.stream_heartbeats(spark, beats))
     last = tables.read_events(spark, sf_dir).agg(F.max("ts")).first()[0]
     if last is not None:
-        tables.heartbeat(spark, beats, last + dt.timedelta(days=1))
+        tables.heartbeat(spark, beats, last + after)
         run(tables.stream_heartbeats(spark, beats))
 
 
@@ -679,6 +679,78 @@ def stream_exec_reset(spark, sf_dir):
     return sinks.latest(spark, f"{path}/out", rollup.PROCESS)
 
 
+def _process_stats(spark, sf_dir):
+    """The latest statistics of every process, from the keyed state."""
+    path = shared_dir(spark, "process-stats")
+
+    def run(heartbeats):
+        timed = jobs.with_event_time(_events(spark, sf_dir), heartbeats=heartbeats)
+        sinks.changelog(
+            jobs.process_stats(timed), f"{path}/out", f"{path}/checkpoint", "append", keys=rollup.PROCESS
+        )
+
+    _to_the_end(spark, sf_dir, path, run)
+    return sinks.latest(spark, f"{path}/out", rollup.PROCESS)
+
+
+@query
+def stream_mem_stats(spark, sf_dir):
+    return jobs.mem_stats(_process_stats(spark, sf_dir))
+
+
+@query
+def stream_gpu_stats(spark, sf_dir):
+    return jobs.gpu_stats(_process_stats(spark, sf_dir))
+
+
+@query
+def stream_feature_snapshot(spark, sf_dir):
+    return jobs.feature_snapshot(_process_stats(spark, sf_dir))
+
+
+@query
+def stream_container_asof(spark, sf_dir):
+    """Events named by the inventory as of their time, both read as streams."""
+    path = shared_dir(spark, "asof")
+    fixture.inventory_history(spark, sf_dir).write.parquet(f"{path}/history")
+    schema = spark.read.parquet(f"{path}/history").schema
+
+    def run(heartbeats):
+        rows = _events(spark, sf_dir).select("event_id", "ts", "ts_us", "host_id", "pid")
+        facts = containers.attach_container_id(rows, A.process_containers(spark, sf_dir))
+        history = spark.readStream.schema(schema).parquet(f"{path}/history")
+        named = jobs.container_asof(facts, history, heartbeats=heartbeats)
+        sinks.append_files(named, f"{path}/out", f"{path}/checkpoint")
+
+    _to_the_end(spark, sf_dir, path, run)
+    return spark.read.parquet(f"{path}/out").drop("ts_us")
+
+
+#: Silence after which a counter of the fixture's hourly windows ends.
+SILENCE = dt.timedelta(hours=20)
+
+
+def _silent_counters(spark, sf_dir):
+    path = shared_dir(spark, "silent")
+
+    def run(heartbeats):
+        est = jobs.scored(_vectors(spark, sf_dir, heartbeats))
+        counted = jobs.silent_counters(est, ["host_id", "pid"], SILENCE, A.INTERVAL)
+        sinks.append_files(counted, f"{path}/out", f"{path}/checkpoint")
+
+    _to_the_end(spark, sf_dir, path, run, after=dt.timedelta(days=3))
+    return spark.read.parquet(f"{path}/out")
+
+
+@query
+def stream_counters_expiry(spark, sf_dir):
+    """Counters that end when their series is silent, and start from 0 when it returns."""
+    return _silent_counters(spark, sf_dir).select(
+        "ts", "host_id", "pid", S.joules("nj_total").alias(metrics.COUNTERS[0]),
+        metrics.grams(F.col("mc_total")).alias(metrics.COUNTERS[1]), "ended",
+    )
+
+
 @query
 def stream_enriched(spark, sf_dir):
     path = shared_dir(spark, "enriched")

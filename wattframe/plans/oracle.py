@@ -118,6 +118,11 @@ SELECT *, energy_nj / 1e9 AS energy_joules, cpu_nj / 1e9 AS cpu_energy_joules,
   CAST(0.3 AS DOUBLE) AS confidence,
   comm IN ('python','python3','torch','tensorflow','triton','onnxruntime','trtexec','nvidia-smi','ollama','vllm','mlserver','bentoml') AS is_ai_inference
 FROM nj""",
+    "silent_sessions": """
+SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY host_id, pid ORDER BY at_us) AS session
+FROM (SELECT host_id, pid, epoch_us("interval") AS at_us, energy_nj,
+        coalesce(epoch_us("interval") - lag(epoch_us("interval")) OVER (PARTITION BY host_id, pid ORDER BY "interval") > 72000000000, false) AS fresh
+      FROM nj) g""",
     "ids": """
 SELECT p.host_id, p.pid, coalesce(f.id, '') AS container_id
 FROM tele_cgroup p LEFT JOIN (
@@ -360,6 +365,13 @@ FROM attributed"""),
 SELECT e.event_id, e.ts, e.host_id, e.pid, e.container_id, coalesce(h.name, '') AS container_name
 FROM (SELECT t.event_id, t.ts, t.host_id, t.pid, i.container_id FROM tele t JOIN ids i USING (host_id, pid)) e
 ASOF LEFT JOIN tele_inventory_hist h ON e.container_id = h.short_id AND e.ts >= h.snapshot_ts"""),
+    "stream_counters_expiry": sql("""
+SELECT make_timestamp(at_us) AS ts, host_id, pid, CAST(nj AS DOUBLE) / 1e9 AS energy_joules_total,
+  CAST(nj * 475000 AS DOUBLE) / 1e3 / 1e9 / 3.6e6 AS carbon_grams_co2_total, ended
+FROM (SELECT host_id, pid, at_us, nj, ended FROM (
+        SELECT *, sum(energy_nj) OVER (PARTITION BY host_id, pid, session ORDER BY at_us) AS nj, false AS ended FROM silent_sessions) a
+      UNION ALL
+      SELECT host_id, pid, max(at_us) + 72000000000, sum(energy_nj), true FROM silent_sessions GROUP BY host_id, pid, session) u"""),
     "pid_container_asof": sql("""
 SELECT e.event_id, e.ts, e.host_id, e.pid, e.container_id, coalesce(h.name, '') AS container_name
 FROM (SELECT t.event_id, t.ts, t.host_id, t.pid, coalesce(v.container_id, '') AS container_id
@@ -605,3 +617,5 @@ UNION ALL SELECT DISTINCT "interval", 'tracked_processes', CAST(1 AS BIGINT) FRO
 UNION ALL SELECT DISTINCT "interval", 'estimation_confidence_bucket', CAST(10 AS BIGINT) FROM vectors"""),
 }
 ORACLE["stream_samples"] = ORACLE["metric_samples"]
+for _name in ("mem_stats", "gpu_stats", "feature_snapshot", "container_asof"):
+    ORACLE[f"stream_{_name}"] = ORACLE[_name]

@@ -3,12 +3,13 @@ sink of its own, a ``run_*`` that drives it into a folder."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import DecimalType, StructField, StructType
+from pyspark.sql.types import BooleanType, DecimalType, StructField, StructType
 
 from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, rollup, views
@@ -84,6 +85,129 @@ def exec_reset(
     )
 
 
+def process_stats(
+    all_events: DataFrame,
+    keys: Sequence[str] = rollup.PROCESS,
+    step: str = "1 second",
+    expiry_ms: int | None = None,
+) -> DataFrame:
+    """CPU, memory and GPU statistics of a process in one row, whenever one of its steps has closed.
+
+    What takes three tables and a full outer join in a batch is one keyed state with three variables here, so
+    no side waits for another.  Append mode; :func:`mem_stats`, :func:`gpu_stats` and :func:`feature_snapshot`
+    read the rows (the latest per process, if they come from a changelog).
+    """
+    steps = rollup.step_stats(events.with_fault_classes(all_events), EVENT_TIME, step, keys)
+    gone = ("step_us", "had_exec", "first_reclaim_us")
+    schema = StructType([f for f in steps.schema if f.name not in gone])
+    return steps.groupBy(*keys).transformWithStateInPandas(
+        state.ProcessStats(keys, expiry_ms), schema, "Append", "ProcessingTime" if expiry_ms else "None"
+    )
+
+
+def mem_stats(stats: DataFrame, keys: Sequence[str] = rollup.PROCESS) -> DataFrame:
+    """The layout of :func:`wattframe.operators.rollup.mem_stats`."""
+    return stats.where("has_mem").select(
+        *keys, *state.MEM, (F.col("last_fault_us") * 1000).alias("last_fault_ns"),
+        F.col("minor_faults").alias("estimated_rss_pages"), F.col("mem_comm").alias("comm"),
+    )
+
+
+def gpu_stats(stats: DataFrame, keys: Sequence[str] = rollup.PROCESS) -> DataFrame:
+    """The layout of :func:`wattframe.operators.rollup.gpu_stats`; no job is ever seen to end."""
+    zero = F.lit(0).cast("bigint")
+    return stats.where("has_gpu").select(
+        *keys, F.col("jobs").alias("total_jobs_submitted"), zero.alias("total_gpu_active_ns"),
+        (F.col("last_submit_us") * 1000).alias("last_submit_ns"), zero.alias("last_complete_ns"),
+        F.col("jobs").alias("active_jobs"), F.col("gpu_comm").alias("comm"),
+    )
+
+
+def feature_snapshot(stats: DataFrame, keys: Sequence[str] = rollup.PROCESS) -> DataFrame:
+    """The layout of :func:`wattframe.operators.rollup.feature_snapshot`."""
+    names = {
+        "_cpu_comm": F.when(F.col("has_cpu"), F.col("cpu_comm")), "_mem_comm": F.when(F.col("has_mem"), F.col("mem_comm")),
+        "estimated_rss_pages": F.col("minor_faults"), "total_jobs_submitted": F.col("jobs"),
+        "total_gpu_active_ns": F.lit(0).cast("bigint"),
+    }
+    return rollup.snapshot_row(stats.withColumns(names), keys)
+
+
+#: Times in JSON to the microsecond.
+EXACT = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+#: Parts that the facts of one container are dealt over, as a container may hold a third of all rows.
+SALTS = 16
+
+
+def container_asof(
+    facts: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str] = rollup.PROCESS,
+    watermark: str = WATERMARK,
+    heartbeats: DataFrame | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
+    """:func:`wattframe.operators.containers.enrich_asof` on two streams: adds ``container_name``.
+
+    ``facts`` (with ``ts``, ``ts_us`` and ``container_id``) wait in keyed state until the watermark has passed
+    them; so an inventory snapshot may come after the facts that it names, as long as it is no later than the
+    watermark allows.  Versions no fact can need any more are evicted.  A container's facts are dealt over ``salts``
+    keys, each with its versions; host processes are looked up under keys of their own.  Append mode.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
+    schema = StructType([f for f in facts.schema if f.name != EVENT_TIME])
+    asked = facts.select(
+        containers.lookup_key("container_id", keys).alias("entry"), part.alias("salt"), F.lit(1).alias("rank"),
+        "ts", F.col("ts_us").alias("at_us"), F.to_json(F.struct(*[f.name for f in schema]), EXACT).alias("row"),
+        F.lit(None).cast("string").alias("value"),
+    )
+    every = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    known = history.select(
+        F.col("short_id").alias("entry"), every.alias("salt"), F.lit(0).alias("rank"),
+        F.col("snapshot_ts").alias("ts"), F.col("snapshot_us").alias("at_us"), F.lit(None).cast("string").alias("row"),
+        F.col("name").alias("value"),
+    )
+    both = with_event_time(asked.unionByName(known), watermark, heartbeats)
+    found = both.groupBy("entry", "salt").transformWithStateInPandas(
+        state.AsOf(), "row string, value string", "Append", "EventTime"
+    )
+    return found.select(
+        F.from_json("row", schema, EXACT).alias("r"), F.coalesce("value", F.lit("")).alias("container_name")
+    ).select("r.*", "container_name")
+
+
+def silent_counters(
+    estimates: DataFrame, labels: Sequence[str], silence: dt.timedelta, window: str = "1 second"
+) -> DataFrame:
+    """Running totals per label set that end after a silence: state does not grow with every series ever seen.
+
+    Estimates (with event time) are added up per window, then counted in the order of windows.  A series whose
+    last window began more than ``silence`` ago gets a row that repeats its last value with ``ended`` set, and is
+    forgotten; if it returns it starts from 0.  ``ts`` is a window's start, or the end of the silence.  Append mode.
+    """
+    windows = estimates.groupBy(F.window(EVENT_TIME, window).alias("window"), *labels).agg(
+        F.sum(F.col("energy_nj").cast("decimal(20,0)")).alias("nj"), F.sum(metrics.milli_carbon()).alias("mc")
+    )
+    timed = windows.select(
+        F.window_time("window").alias(EVENT_TIME), *labels, S.micros(F.col("window.start")).alias("at_us"), "nj", "mc"
+    )
+    of = timed.schema
+    schema = StructType(
+        [
+            *[of[c] for c in labels], of["at_us"],
+            *[StructField(f"{n}_total", DecimalType(38, 0)) for n in ("nj", "mc")], StructField("ended", BooleanType()),
+        ]
+    )
+    totals = timed.groupBy(*labels).transformWithStateInPandas(
+        state.SilentCounter(labels, ["nj", "mc"], int(silence.total_seconds() * 1000)), schema, "Append", "EventTime"
+    )
+    return totals.select(
+        F.timestamp_micros("at_us").cast("timestamp_ntz").alias("ts"), *labels, "nj_total", "mc_total", "ended"
+    )
+
+
 def enriched(vectors: DataFrame, ids: DataFrame, inventory: DataFrame) -> DataFrame:
     """Rows joined to the container and grid dimensions.
 

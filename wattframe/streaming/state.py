@@ -8,6 +8,7 @@ The frames come with the names of the columns, unless those start with an unders
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
@@ -77,3 +78,169 @@ class Counter(_Held):
             ends.append(totals[-1])
         self.held.update(tuple(ends))
         yield seen
+
+
+class AsOf(StatefulProcessor):
+    """Gives each fact the version that held at its time, once the watermark has passed that time.
+
+    Rows of a key: versions (``rank`` 0, with ``value``) and facts (``rank`` 1, with ``row``), at ``at_us``.  Facts
+    wait, as a version may come after them; versions that no later row can need are evicted.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.facts = handle.getListState("facts", "at_us bigint, row string")
+        self.versions = handle.getMapState("versions", "at_us bigint", "value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        facts, last = [], None
+        for seen in rows:
+            for at, rank, row, value in zip(*(seen[c].tolist() for c in ("at_us", "rank", "row", "value"))):
+                last = at if last is None else max(at, last)
+                if rank:
+                    facts.append((int(at), row))
+                else:
+                    self.versions.updateValue((int(at),), (value,))
+        if facts:
+            self.facts.appendList(facts)
+        if last is not None:
+            self.handle.registerTimer(int(last) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        versions = sorted((int(at), value) for (at,), (value,) in self.versions.iterator())
+        times = [at for at, _ in versions]
+        held = list(self.facts.get()) if self.facts.exists() else []
+        due = [f for f in held if f[0] < passed]
+        if due:
+            rest = [f for f in held if f[0] >= passed]
+            if rest:
+                self.facts.put(rest)
+            else:
+                self.facts.clear()
+        for at in times[: max(bisect_left(times, passed) - 1, 0)]:
+            self.versions.removeKey((at,))
+        if due:
+            found = [bisect_right(times, at) - 1 for at, _ in due]
+            yield pd.DataFrame(
+                {"row": [row for _, row in due], "value": [versions[i][1] if i >= 0 else None for i in found]}
+            )
+
+    def close(self) -> None:
+        pass
+
+
+CPU = (*SUMS, "last_cpu_id", "last_seen_ns")
+MEM = ("major_faults", "minor_faults", "total_faults", "direct_reclaim_count")
+
+
+class ProcessStats(StatefulProcessor):
+    """The CPU, memory and GPU statistics of a process, each a state of its own, folded from its closed steps.
+
+    CPU statistics start again at an exec.  A name is the one seen first.  A reclaim moves the time of the last
+    fault only where it is what created the process's memory entry.
+    """
+
+    def __init__(self, keys: Sequence[str], expiry_ms: int | None = None):
+        self.keys, self.expiry_ms = list(keys), expiry_ms
+
+    def init(self, handle) -> None:
+        numbers = lambda names: ", ".join(f"{n} bigint" for n in names)
+        held = lambda name, schema: handle.getValueState(name, schema, ttlDurationMs=self.expiry_ms)
+        self.cpu = held("cpu", f"{numbers(CPU)}, comm string")
+        self.mem = held("mem", f"{numbers(MEM)}, last_fault_us bigint, had_fault boolean, comm string")
+        self.gpu = held("gpu", "total_jobs_submitted bigint, last_submit_us bigint, comm string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        steps = pd.concat(list(rows)).sort_values("step_us")
+        cpu, mem, gpu = (s.get() if s.exists() else None for s in (self.cpu, self.mem, self.gpu))
+        for step in steps.to_dict("records"):
+            if step["has_cpu"]:
+                kept = None if step["had_exec"] else cpu
+                sums = [int(step[c]) + (kept[i] if kept else 0) for i, c in enumerate(SUMS)]
+                last = [int(step["last_cpu_id"]), int(step["last_seen_ns"])]
+                cpu = (*sums, *last, kept[-1] if kept else step["cpu_comm"])
+            if step["has_mem"]:
+                sums = [int(step[c]) + (mem[i] if mem else 0) for i, c in enumerate(MEM)]
+                if step["total_faults"]:
+                    last, faulted = int(step["last_fault_us"]), True
+                elif mem:
+                    last, faulted = mem[len(MEM)], mem[len(MEM) + 1]
+                else:
+                    last, faulted = int(step["first_reclaim_us"]), False
+                mem = (*sums, last, faulted, mem[-1] if mem else step["mem_comm"])
+            if step["has_gpu"]:
+                jobs = int(step["jobs"]) + (gpu[0] if gpu else 0)
+                gpu = (jobs, int(step["last_submit_us"]), gpu[-1] if gpu else step["gpu_comm"])
+        for state, value in ((self.cpu, cpu), (self.mem, mem), (self.gpu, gpu)):
+            if value is not None:
+                state.update(value)
+        zero = lambda n: (0,) * n
+        c, m, g = cpu or (*zero(len(CPU)), ""), mem or (*zero(len(MEM)), 0, False, ""), gpu or (0, 0, "")
+        yield pd.DataFrame(
+            [
+                {
+                    **dict(zip(self.keys, key)), "has_cpu": cpu is not None, "has_mem": mem is not None,
+                    "has_gpu": gpu is not None, **dict(zip(CPU, c)), "cpu_comm": c[-1], **dict(zip(MEM, m)),
+                    "last_fault_us": m[len(MEM)], "mem_comm": m[-1], "jobs": g[0], "last_submit_us": g[1],
+                    "gpu_comm": g[-1],
+                }
+            ]
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class SilentCounter(StatefulProcessor):
+    """Running totals that end when their series has been silent: a last row with ``ended`` set, then no state.
+
+    A series that comes back starts from 0.  Whether a silence is seen by a timer or between two rows of one
+    micro-batch makes no difference to what comes out.
+    """
+
+    def __init__(self, keys: Sequence[str], names: Sequence[str], silence_ms: int):
+        self.keys, self.names, self.silence_ms = list(keys), list(names), silence_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        sums = ", ".join(f"{n} decimal(38,0)" for n in self.names)
+        self.held = handle.getValueState("held", f"last_us bigint, {sums}")
+
+    def _row(self, key, at_us: int, totals: list[int], ended: bool) -> dict:
+        sums = {f"{n}_total": Decimal(t) for n, t in zip(self.names, totals)}
+        return {**dict(zip(self.keys, key)), "at_us": at_us, **sums, "ended": ended}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows)).sort_values("at_us")
+        held = self.held.get() if self.held.exists() else None
+        last, totals = (held[0], [int(t) for t in held[1:]]) if held else (None, [0] * len(self.names))
+        before, out = last, []
+        for at, *values in zip(seen["at_us"].tolist(), *(seen[n].tolist() for n in self.names)):
+            if last is not None and at - last > self.silence_ms * 1000:
+                out.append(self._row(key, last + self.silence_ms * 1000, totals, True))
+                totals = [0] * len(self.names)
+            totals = [t + int(v) for t, v in zip(totals, values)]
+            last = int(at)
+            out.append(self._row(key, last, totals, False))
+        self.held.update((last, *[Decimal(t) for t in totals]))
+        if before is not None:
+            self.handle.deleteTimer(self._ends(before))
+        self.handle.registerTimer(self._ends(last))
+        yield pd.DataFrame(out)
+
+    def _ends(self, at_us: int) -> int:
+        # a row in the last microsecond of the silence still belongs to the series
+        return at_us // 1000 + self.silence_ms + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return
+        last, *totals = self.held.get()
+        if self._ends(int(last)) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+            yield pd.DataFrame([self._row(key, int(last) + self.silence_ms * 1000, [int(t) for t in totals], True)])
+
+    def close(self) -> None:
+        pass

@@ -205,6 +205,100 @@ def quantile_over_window(est: DataFrame, q: float, window_us: int = 5 * MINUTE)
     )
 
 
+def histogram_counters(
+    df: DataFrame,
+    value: str = "confidence",
+    bounds: Sequence[float] = fixed.CONFIDENCE_BOUNDS,
+    by: Sequence[str] = (),
+    life: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """The histogram as an exporter shows it: at each interval, what has been counted since the exporter's start.
+
+    ``buckets`` (cumulative over the bounds), ``observations`` and ``total_nano`` (the sum, in exact billionths) all
+    grow together, from one aggregate per interval and one running sum over those rows.  ``life`` names the
+    exporter's life that an interval falls into (one and the same, if not given); counters start again with it.
+    """
+    at_most = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    nano = F.round(F.col(value) * F.lit(1e9)).cast("decimal(19,0)")
+    per_interval = df.groupBy("interval", *by).agg(
+        *at_most, F.count(value).alias("observations"), F.sum(nano).alias("total_nano")
+    )
+    names = [*[f"b{i}" for i in range(len(bounds))], "observations", "total_nano"]
+    steps = per_interval.withColumns(
+        {"_life": F.lit("") if life is None else life, "_at": S.micros("interval")}
+    )
+    grown = running_totals(steps, [*by, "_life"], "interval", {n: F.col(n) for n in names}, "_at", hot_rows)
+    bucket = lambda le, n: F.struct(F.lit(float(le)).alias("le"), F.col(n).alias("cumulative"))
+    buckets = F.array(*[bucket(b, f"b{i}") for i, b in enumerate(bounds)], bucket("inf", "observations"))
+    return grown.select("interval", *by, buckets.alias("buckets"), "observations", "total_nano")
+
+
+def histogram_series(counters: DataFrame, by: Sequence[str] = (), name: str = HISTOGRAM) -> DataFrame:
+    """Those counters as samples: ``_bucket`` per bound, ``_sum`` and ``_count``."""
+    sample = lambda metric, le, value: F.struct(
+        F.lit(f"{name}_{metric}").alias("metric"), le.alias("le"), value.cast("double").alias("value")
+    )
+    none = F.lit("")
+    rows = F.concat(
+        F.transform("buckets", lambda b: sample("bucket", le_label(b["le"]), b["cumulative"])),
+        F.array(
+            sample("sum", none, F.col("total_nano").cast("double") / F.lit(1e9)),
+            sample("count", none, F.col("observations")),
+        ),
+    )
+    return counters.select("interval", *by, F.explode(rows).alias("s")).select("interval", *by, "s.*")
+
+
+def histogram_rate(
+    counters: DataFrame, window_us: int = 5 * MINUTE, by: Sequence[str] = (), hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Per-second rates of all of a histogram's counters over the look-back window, at each sample.
+
+    A histogram restarts as a whole: if its count, its sum or any bucket drops, every counter is taken to have
+    started from 0.  The first sample of a series shows no increase.  Buckets are made monotonic again, as their
+    rates may not be if samples were lost in between.
+    """
+    samples = counters.withColumn("ts_us", S.micros("interval"))
+    before = {"_buckets": "buckets", "_observations": "observations", "_total": "total_nano"}
+    seen = with_previous(samples, by, ["ts_us"], before, hot_rows=hot_rows)
+    dropped = F.exists(
+        F.zip_with("buckets", "_buckets", lambda now, then: now["cumulative"] < then["cumulative"]), lambda d: d
+    )
+    restart = (F.col("observations") < F.col("_observations")) | (F.col("total_nano") < F.col("_total")) | dropped
+    bounds = F.transform("buckets", lambda b: b["le"])
+    values = F.concat(
+        F.transform("buckets", lambda b: b["cumulative"].cast("decimal(38,0)")),
+        F.array(F.col("total_nano").cast("decimal(38,0)")),
+    )
+    earlier = F.concat(
+        F.transform("_buckets", lambda b: b["cumulative"].cast("decimal(38,0)")), F.array(F.col("_total").cast("decimal(38,0)"))
+    )
+    zero = F.lit(0).cast("decimal(38,0)")
+    increase = F.when(F.col("_observations").isNull(), F.transform(values, lambda v: zero)).when(restart, values)
+    increase = increase.otherwise(F.zip_with(values, earlier, lambda now, then: (now - then).cast("decimal(38,0)")))
+    # a place per counter; the bounds and the last place are those of the row
+    long = seen.select(*by, "ts_us", bounds.alias("_bounds"), F.posexplode(increase).alias("_place", "_in"))
+    slid = sliding_sum(long, [*by, "_place"], window_us, {"_sum": F.col("_in")})
+    rows = slid.groupBy(*by, "ts_us").agg(
+        F.first("_bounds").alias("_bounds"), F.sort_array(F.collect_list(F.struct("_place", "_sum"))).alias("_all")
+    )
+    counts = F.transform(F.slice("_all", F.lit(1), F.size("_all") - 1), lambda x: x["_sum"])
+    rising = F.transform(counts, lambda x, i: F.array_max(F.slice(F.col("_counts"), F.lit(1), i + 1)))
+    seconds = F.lit(float(window_us / S.MICROS))
+    whole = rows.withColumn("_counts", counts).withColumn(
+        "buckets",
+        F.zip_with("_bounds", rising, lambda le, c: F.struct(le.alias("le"), c.cast("bigint").alias("cumulative"))),
+    )
+    observed = F.element_at("buckets", -1)["cumulative"]
+    return whole.select(
+        F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("interval"), *by, "buckets",
+        observed.alias("observations"),
+        (observed.cast("double") / seconds).alias("count_per_second"),
+        (F.element_at("_all", -1)["_sum"].cast("double") / F.lit(1e9) / seconds).alias("sum_per_second"),
+    )
+
+
 def rate_over_events(
     df: DataFrame,
     values: dict[str, Column],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
-from wattframe.operators import containers, energy, events, metrics, model, rollup, views
+from wattframe.operators import containers, energy, events, metrics, model, refits, rollup, views
 from wattframe.plans import attribution as A
 from wattframe.plans import fixture
 from wattframe.session import configure, shared_dir, stored
@@ -450,6 +450,28 @@ def confidence_panel(spark, sf_dir):
     return panel.select("interval", "observations", F.round("quantile", 9).alias("median_confidence"))
 
 
+def _histogram(spark, sf_dir):
+    """The confidence histogram of an exporter that is restarted every midnight."""
+    day = F.date_trunc("day", F.col("interval").cast("timestamp")).cast("string")
+    return metrics.histogram_counters(A.fallback(spark, sf_dir), life=day)
+
+
+@query
+def histogram_counters(spark, sf_dir):
+    return metrics.histogram_series(_histogram(spark, sf_dir))
+
+
+@query
+def confidence_rate_panel(spark, sf_dir):
+    """Median and mean confidence from the rates of the histogram's counters over six hours."""
+    rates = metrics.histogram_rate(stored(_histogram(spark, sf_dir), "histogram"), 6 * metrics.HOUR)
+    mean = F.when(F.col("observations") > 0, F.col("sum_per_second") / F.col("count_per_second"))
+    return rates.select(
+        "interval", "observations", F.round(metrics.histogram_quantile(0.5), 9).alias("median_confidence"),
+        F.round(mean, 9).alias("mean_confidence"), F.round("count_per_second", 9).alias("count_per_second"),
+    )
+
+
 # --- telemetry frames --------------------------------------------------------------
 
 
@@ -561,6 +583,33 @@ def train_model(spark, sf_dir):
     )
 
 
+def _daily_fits(spark, sf_dir):
+    """Calibration rows with their day, and a model version per day."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
+    rows = fixture.calibration(spark, sf_dir, keep=("ts",)).withColumns({"interval": day, "model": F.lit("energy")})
+    states = stored(refits.gram_state(rows, ["model", "interval"]), "gram")
+    return rows, stored(refits.refits(states, ["model"]), "versions")
+
+
+@query
+def incremental_ols(spark, sf_dir):
+    """The coefficients of a model that is refitted every day on all days so far."""
+    _, versions = _daily_fits(spark, sf_dir)
+    names = F.array(*[F.lit(f) for f in fixed.FEATURES])
+    pairs = F.explode(F.arrays_zip(names.alias("feature"), F.col("coefficients").alias("coefficient"))).alias("p")
+    return versions.select("interval", "n", pairs).select(
+        "interval", "n", F.col("p.feature").alias("feature"), F.round("p.coefficient", 5).alias("coefficient")
+    )
+
+
+@query
+def versioned_predictions(spark, sf_dir):
+    """Each calibration row predicted by the version that was current on its day."""
+    rows, versions = _daily_fits(spark, sf_dir)
+    scored = refits.predict_asof(rows, versions, ["model"])
+    return scored.select("event_id", "model_interval", F.round("predicted_joules", 3).alias("predicted_joules"))
+
+
 @query
 def feature_importance(spark, sf_dir):
     _, fitted = _fit(spark, sf_dir)

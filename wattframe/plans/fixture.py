@@ -197,12 +197,14 @@ def inventory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration rows: the published linear relation plus a bounded disturbance."""
+def calibration(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Calibration rows: the published linear relation plus a bounded disturbance.  ``keep`` names columns of
+    the events to carry along."""
     e, u = F.col("event_id"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("int")
     features = tables.read_events(spark, sf_dir).select(
         "event_id",
+        *keep,
         (F.round(F.col("value") * 100).cast("bigint") * 10000).cast("double").alias("cpu_time_ns"),
         (k + 1).cast("double").alias("ctx_switches"),
         ((u * 37) % 3700 + 800).cast("double").alias("cpu_freq_mhz"),

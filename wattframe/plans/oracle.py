@@ -268,6 +268,38 @@ SELECT list_transform(m, lambda r: r[8]) AS c FROM elimination WHERE k = 7""",
     "predicted": "SELECT t.event_id, t.energy_joules, greatest(m.y_mean + " + " + ".join(
         f"s.c[{i + 1}] * (t.{f} - m.m{i}) / m.s{i}" for i, f in enumerate(FEATURES)
     ) + ", CAST(0 AS DOUBLE)) AS p FROM tele_calibration t CROSS JOIN moments m CROSS JOIN solution s",
+    # calibration rows up to each day, and their normal equations
+    "daily_rows": """
+SELECT d.day, c.* FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events) d
+JOIN (SELECT t.*, date_trunc('day', e.ts) AS own_day FROM tele_calibration t JOIN events e USING (event_id)) c ON c.own_day <= d.day""",
+    "daily_equations": "SELECT day, count(*) AS n, avg(energy_joules) AS y_mean, " + ", ".join(
+        f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(FEATURES)
+    ) + ", [" + ", ".join(
+        "[" + ", ".join(f"corr({f}, {g})" for g in FEATURES)
+        + f", covar_samp({f}, energy_joules) / stddev_samp({f})]" for f in FEATURES
+    ) + "] AS m FROM daily_rows GROUP BY day HAVING count(*) > 8",
+    "daily_elimination": """
+SELECT 0 AS k, day, m FROM daily_equations
+UNION ALL SELECT k + 1, day, list_transform(m, lambda r, i: CASE WHEN i = k + 1
+  THEN list_transform(r, lambda v: v / m[k + 1][k + 1])
+  ELSE list_transform(r, lambda v, j: v - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END)
+FROM daily_elimination WHERE k < 7""",
+    "daily_solution": """
+SELECT q.* EXCLUDE (m), list_transform(e.m, lambda r: r[8]) AS c FROM daily_elimination e JOIN daily_equations q USING (day) WHERE k = 7""",
+    # an exporter's counters, started again every midnight, and what they grow by
+    "hist_counters": """
+SELECT "interval", le, CAST(sum(c) OVER w AS BIGINT) AS cumulative, CAST(sum(n) OVER w AS BIGINT) AS observations,
+  sum(s) OVER w AS nano
+FROM (SELECT "interval", b.le, count(*) FILTER (WHERE confidence <= b.le) AS c, count(*) AS n,
+        sum(CAST(round(confidence * 1e9) AS BIGINT)) AS s
+      FROM fallback_rows CROSS JOIN bounds b GROUP BY 1, 2) h
+WINDOW w AS (PARTITION BY date_trunc('day', "interval"), le ORDER BY "interval")""",
+    "hist_increases": """
+SELECT "interval", le, CASE WHEN p IS NULL THEN 0 WHEN restart THEN cumulative ELSE cumulative - p END AS c,
+  CASE WHEN p IS NULL THEN 0 WHEN restart THEN nano ELSE nano - q END AS s
+FROM (SELECT *, bool_or(cumulative < p OR nano < q) OVER (PARTITION BY "interval") AS restart
+      FROM (SELECT *, lag(cumulative) OVER (PARTITION BY le ORDER BY "interval") AS p,
+              lag(nano) OVER (PARTITION BY le ORDER BY "interval") AS q FROM hist_counters) l) r""",
     "bounds": "SELECT unnest([0.1, 0.2, 0.3, 0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 'Infinity'::DOUBLE]::DOUBLE[]) AS le",
 }
 
@@ -286,7 +318,7 @@ def sql(body: str, **features: str) -> str:
     visit(body)
     if not needed:
         return body
-    start = "WITH RECURSIVE " if "elimination" in needed else "WITH "
+    start = "WITH RECURSIVE " if {"elimination", "daily_elimination"} & set(needed) else "WITH "
     return start + ",\n".join(f"{n} AS ({texts[n].strip()})" for n in needed) + "\n" + body.strip()
 
 
@@ -529,6 +561,29 @@ SELECT "interval", host_id, CAST(0 AS BIGINT) AS part, 'telemetry' AS type,
   count(DISTINCT nullif(container_id, '')) AS container_count,
   CAST(sum(energy_nj) AS DOUBLE) / 1e9 AS total_energy_joules
 FROM attributed GROUP BY 1, 2"""),
+    "histogram_counters": sql(
+        """
+SELECT "interval", 'estimation_confidence_bucket' AS metric,
+  CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(le AS VARCHAR) END AS le, CAST(cumulative AS DOUBLE) AS value FROM hist_counters
+UNION ALL SELECT "interval", 'estimation_confidence_sum', '', CAST(nano AS DOUBLE) / 1e9 FROM hist_counters WHERE isinf(le)
+UNION ALL SELECT "interval", 'estimation_confidence_count', '', CAST(observations AS DOUBLE) FROM hist_counters WHERE isinf(le)""",
+        features="live_features",
+    ),
+    "confidence_rate_panel": sql(
+        """
+SELECT "interval", observations, CASE WHEN observations > 0 THEN round(CASE WHEN isinf(le) THEN 0.99 ELSE
+  low + (le - low) * ((rank - under) / (cumulative - under)) END, 9) END AS median_confidence,
+  CASE WHEN observations > 0 THEN round(nano / 1e9 / observations, 9) END AS mean_confidence,
+  round(observations / 21600.0::DOUBLE, 9) AS count_per_second
+FROM (SELECT *, observations * CAST(0.5 AS DOUBLE) AS rank, lag(le, 1, CAST(0 AS DOUBLE)) OVER w AS low,
+        CAST(lag(cumulative, 1, 0) OVER w AS DOUBLE) AS under
+      FROM (SELECT *, max(cumulative) OVER (PARTITION BY "interval") AS observations
+            FROM (SELECT "interval", le, CAST(sum(c) OVER s AS BIGINT) AS cumulative, CAST(sum(s) OVER s AS DOUBLE) AS nano FROM hist_increases
+                  WINDOW s AS (PARTITION BY le ORDER BY epoch_us("interval") RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW)) t) o
+      WINDOW w AS (PARTITION BY "interval" ORDER BY le)) r
+WHERE cumulative >= rank QUALIFY row_number() OVER (PARTITION BY "interval" ORDER BY le) = 1""",
+        features="live_features",
+    ),
     "telemetry_parse": sql("""
 SELECT a."interval", s.tracked_processes, s.total_energy_joules, a.pid, a.comm, a.container_id, a.container_name,
   a.energy_joules, a.is_ai_inference AS is_ai_workload
@@ -565,6 +620,19 @@ FROM (SELECT energy_joules AS y, greatest(5.0e-9::DOUBLE * cpu_time_ns + 1.0e-5:
             f"SELECT '{f}', round(c[{i + 1}], 6) FROM solution" for i, f in enumerate(FEATURES)
         )
     ),
+    "incremental_ols": sql(
+        " UNION ALL ".join(
+            f"SELECT day AS \"interval\", n, '{f}' AS feature, round(c[{i + 1}], 5) AS coefficient FROM daily_solution"
+            for i, f in enumerate(FEATURES)
+        )
+    ),
+    "versioned_predictions": sql(
+        "SELECT r.event_id, v.day AS model_interval, round(greatest(v.y_mean + "
+        + " + ".join(f"v.c[{i + 1}] * (r.{f} - v.m{i}) / v.s{i}" for i, f in enumerate(FEATURES))
+        + ", CASE WHEN v.day IS NOT NULL THEN CAST(0 AS DOUBLE) END), 3) AS predicted_joules "
+        "FROM (SELECT t.*, date_trunc('day', e.ts) AS own_day FROM tele_calibration t JOIN events e USING (event_id)) r "
+        "ASOF LEFT JOIN daily_solution v ON r.own_day > v.day"
+    ),
     "feature_importance": sql(
         " UNION ALL ".join(
             f"SELECT '{f}' AS feature, round(abs(c[{i + 1}]) / list_sum(list_transform(c, lambda v: abs(v))), 8) "

@@ -76,13 +76,20 @@ def pid_merge_single(
     window: str = "1 second",
     keys: Sequence[str] = PROCESS,
     time: str = "ts",
+    keep_time: bool = False,
 ) -> DataFrame:
-    """:func:`pid_merge` as one aggregate, for streams: one state store, any output mode."""
-    return vectors.groupBy(F.window(time, window).alias("interval"), *keys).agg(
+    """:func:`pid_merge` as one aggregate, for streams: one state store, any output mode.
+
+    With ``keep_time`` the rows keep their event time (the window's), for stateful steps that follow.
+    """
+    merged = vectors.groupBy(F.window(time, window).alias("interval"), *keys).agg(
         *[F.sum(c).alias(c) for c in COUNTERS],
         _last_name(S.position(ORDER)),
         (F.max("ts_us") * 1000).alias("timestamp_ns"),
-    ).withColumn("interval", F.col("interval.start"))
+    )
+    if keep_time:
+        merged = merged.withColumn(time, F.window_time("interval"))
+    return merged.withColumn("interval", F.col("interval.start"))
 
 
 def _last_name(place: Column) -> Column:

@@ -30,16 +30,23 @@ def system_summary(
     window_seconds: float = fixed.WINDOW_SECONDS,
 ) -> DataFrame:
     """Totals, counts and mean confidence per interval."""
+    held = F.count_distinct(F.nullif("container_id", F.lit("")))
+    columns = summary_columns(held, window_seconds)
+    return est.groupBy(*interval).agg(*[c.alias(n) for n, c in columns.items()])
+
+
+def summary_columns(containers: Column, window_seconds: float = fixed.WINDOW_SECONDS) -> dict[str, Column]:
+    """The summary's aggregates; how containers are counted differs between batches and streams."""
     energy = S.joules(total_nj("energy_nj"))
-    return est.groupBy(*interval).agg(
-        energy.alias("total_energy_joules"),
-        (energy / F.lit(float(window_seconds))).alias("total_power_watts"),
-        grams(F.sum(milli_carbon())).alias("total_carbon_grams_co2"),
-        F.count(F.lit(1)).alias("tracked_processes"),
-        F.count_if("is_ai_inference").alias("ai_workload_count"),
-        F.count_distinct(F.nullif("container_id", F.lit(""))).alias("container_count"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 9).alias("avg_confidence"),
-    )
+    return {
+        "total_energy_joules": energy,
+        "total_power_watts": energy / F.lit(float(window_seconds)),
+        "total_carbon_grams_co2": grams(F.sum(milli_carbon())),
+        "tracked_processes": F.count(F.lit(1)),
+        "ai_workload_count": F.count_if("is_ai_inference"),
+        "container_count": containers,
+        "avg_confidence": F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 9),
+    }
 
 
 def totals(est: DataFrame, window_seconds: float = fixed.WINDOW_SECONDS) -> DataFrame:

@@ -832,6 +832,65 @@ def stream_summary(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").drop(sinks.BATCH)
 
 
+def _closed(spark, sf_dir, heartbeats, keys=rollup.PROCESS):
+    """Estimates of closed windows that can go on into another stateful step."""
+    merged = jobs.pid_merge(_vectors(spark, sf_dir, heartbeats), A.INTERVAL, keys, keep_time=True)
+    return energy.heuristic(merged)
+
+
+def _appended(spark, sf_dir, name, stream):
+    """What ``stream`` (of the heartbeats) has appended to files."""
+    path = shared_dir(spark, name)
+
+    def run(heartbeats):
+        sinks.append_files(stream(heartbeats), f"{path}/out", f"{path}/checkpoint")
+
+    _to_the_end(spark, sf_dir, path, run)
+    return spark.read.parquet(f"{path}/out")
+
+
+def _summaries(spark, sf_dir, heartbeats):
+    located = containers.attach_container_id(
+        _closed(spark, sf_dir, heartbeats), A.process_containers(spark, sf_dir)
+    )
+    return jobs.summaries(located, A.INTERVAL)
+
+
+@query
+def stream_summary_chained(spark, sf_dir):
+    """The system summary as one plan, windows merged and then summed up, with an exactly-once sink."""
+    out = _appended(spark, sf_dir, "summaries", lambda beats: _summaries(spark, sf_dir, beats))
+    return out.drop(jobs.EVENT_TIME)
+
+
+@query
+def stream_topk(spark, sf_dir):
+    return _appended(spark, sf_dir, "topk", lambda beats: jobs.topk(_closed(spark, sf_dir, beats)))
+
+
+@query
+def stream_history(spark, sf_dir):
+    """The chart's last points, kept in state as summaries come in."""
+    path = shared_dir(spark, "history")
+    values = ["total_energy_joules", "total_power_watts", "total_carbon_grams_co2"]
+
+    def run(heartbeats):
+        tail = jobs.history(_summaries(spark, sf_dir, heartbeats), values)
+        sinks.changelog(tail, f"{path}/out", f"{path}/checkpoint", "append", keys=["series"])
+
+    _to_the_end(spark, sf_dir, path, run)
+    return views.history_tail(jobs.tail_rows(sinks.latest(spark, f"{path}/out", ["series"]), values))
+
+
+@query
+def stream_gauges(spark, sf_dir):
+    """Gauges of every cycle, with tombstones for series that were not seen again."""
+    hour = dt.timedelta(hours=1)
+    return _appended(
+        spark, sf_dir, "gauges", lambda beats: jobs.gauges(_closed(spark, sf_dir, beats), hour)
+    )
+
+
 def _published(spark, sf_dir):
     """What the live path has written of the whole event table, container names included."""
     path = shared_dir(spark, "sinks")

@@ -655,6 +655,12 @@ SELECT host_id, pid, comm, {_SCORED_EXTRA}, CAST(0.85 AS DOUBLE) AS confidence,
   comm IN ('python3', 'torch', 'ollama', 'vllm') AS is_ai_inference, '1.0.0-synthetic' AS model_version FROM scored""",
         features="snap",
     ),
+    "stream_gauges": sql("""
+SELECT "interval", host_id, pid, comm, energy_joules, power_watts, carbon_grams_co2, cpu_energy_joules,
+  memory_energy_joules, gpu_energy_joules, false AS stale FROM heur
+UNION ALL SELECT "interval" + INTERVAL 1 HOUR, host_id, pid, comm, NULL, NULL, NULL, NULL, NULL, NULL, true
+FROM (SELECT *, lead("interval") OVER (PARTITION BY host_id, pid, comm ORDER BY "interval") AS later FROM heur) h
+WHERE later IS NULL OR later > "interval" + INTERVAL 1 HOUR"""),
     "stream_fanin": sql(f"SELECT {PARTIAL} FROM partial"),
     "stream_pid_merge": sql(f"SELECT {VECTOR} FROM vectors"),
     "stream_counters": sql("""
@@ -685,5 +691,7 @@ UNION ALL SELECT DISTINCT "interval", 'tracked_processes', CAST(1 AS BIGINT) FRO
 UNION ALL SELECT DISTINCT "interval", 'estimation_confidence_bucket', CAST(10 AS BIGINT) FROM vectors"""),
 }
 ORACLE["stream_samples"] = ORACLE["metric_samples"]
+ORACLE["stream_topk"], ORACLE["stream_history"] = ORACLE["topk_energy"], ORACLE["history_tail"]
+ORACLE["stream_summary_chained"] = ORACLE["stream_summary"]
 for _name in ("mem_stats", "gpu_stats", "feature_snapshot", "container_asof"):
     ORACLE[f"stream_{_name}"] = ORACLE[_name]

@@ -9,8 +9,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BooleanType, DecimalType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DecimalType, LongType, StructField, StructType
 
+from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, rollup, views
 from wattframe.sources import samples, telemetry
@@ -18,6 +19,8 @@ from wattframe.streaming import sinks, state
 
 WATERMARK = "10 seconds"
 EVENT_TIME = "event_time"
+#: Parts that the rows of one container or window are dealt over, as it may hold a third of all.
+SALTS = 16
 
 
 def fan_in(*probes: DataFrame) -> DataFrame:
@@ -47,10 +50,16 @@ def with_event_time(
 
 
 def pid_merge(
-    vectors: DataFrame, window: str = "1 second", keys: Sequence[str] = rollup.PROCESS
+    vectors: DataFrame,
+    window: str = "1 second",
+    keys: Sequence[str] = rollup.PROCESS,
+    keep_time: bool = False,
 ) -> DataFrame:
-    """The batch merge on a stream.  Map tasks combine before the shuffle here as well."""
-    merged = rollup.pid_merge_single(vectors, window=window, keys=keys, time=EVENT_TIME)
+    """The batch merge on a stream.  Map tasks combine before the shuffle here as well.
+
+    With ``keep_time`` closed windows (append mode) can go on into another stateful step.
+    """
+    merged = rollup.pid_merge_single(vectors, window=window, keys=keys, time=EVENT_TIME, keep_time=keep_time)
     return merged.withColumn("interval", F.col("interval").cast("timestamp_ntz"))
 
 
@@ -137,8 +146,6 @@ def feature_snapshot(stats: DataFrame, keys: Sequence[str] = rollup.PROCESS) ->
 EXACT = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
-#: Parts that the facts of one container are dealt over, as a container may hold a third of all rows.
-SALTS = 16
 
 
 def container_asof(
@@ -251,6 +258,83 @@ def with_counters(
     )
 
 
+def summaries(estimates: DataFrame, window: str = "1 second") -> DataFrame:
+    """System summary of every closed window as a stream: a second aggregate behind the merge.
+
+    ``estimates`` are those of windows closed by :func:`pid_merge` with ``keep_time`` and have their
+    ``container_id``.  The rows keep their event time.  A window's state is its sums and its set of containers.
+    """
+    containers_seen = F.collect_set(F.nullif("container_id", F.lit("")))
+    grouped = estimates.groupBy(F.window(EVENT_TIME, window).alias("interval")).agg(
+        *[c.alias(n) for n, c in views.summary_columns(F.size(containers_seen).cast("bigint")).items()]
+    )
+    return grouped.withColumn(EVENT_TIME, F.window_time("interval")).withColumn(
+        "interval", F.col("interval.start").cast("timestamp_ntz")
+    )
+
+
+def topk(
+    estimates: DataFrame, k: int = 10, keys: Sequence[str] = rollup.PROCESS, salts: int = SALTS
+) -> DataFrame:
+    """The k largest consumers of each closed window (:func:`wattframe.operators.views.topk`) as a stream.
+
+    A window closes in one micro-batch.  Its rows are dealt over ``salts`` keys, each of which passes on its k
+    largest, so one task never holds a window; the k of a window are then picked from k times ``salts`` rows.
+    """
+    rows = estimates.select("interval", *keys, "comm", "energy_nj", "energy_joules")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    columns, order = rows.columns, ["energy_nj", *keys]
+    parts = dealt.groupBy("interval", "salt").transformWithStateInPandas(
+        state.Largest(columns, order, k), rows.schema, "Append", "None"
+    )
+    ranked = StructType([*rows.schema.fields, StructField("rank", LongType())])
+    whole = parts.groupBy("interval").transformWithStateInPandas(
+        state.Largest(columns, order, k, "rank"), ranked, "Append", "None"
+    )
+    return whole.select("interval", "rank", *keys, "comm", "energy_joules")
+
+
+def history(points: DataFrame, values: Sequence[str], keys: Sequence[str] = (), n: int = fixed.HISTORY_POINTS) -> DataFrame:
+    """The last ``n`` points of each series whenever it gets new ones: ``points``, an array of (interval, values).
+
+    ``points`` have an ``interval`` and one row per key and interval, as closed windows have.  Append mode.
+    """
+    keyed = points.select(*(keys or [F.lit("all").alias("series")]), S.micros("interval").alias("at_us"), *values)
+    named = list(keys) or ["series"]
+    point = StructType([keyed.schema["at_us"], *[keyed.schema[v] for v in values]])
+    schema = StructType([*[keyed.schema[c] for c in named], StructField("points", ArrayType(point))])
+    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in point)
+    return keyed.groupBy(*named).transformWithStateInPandas(
+        state.Tail(named, ["at_us", *values], held, n), schema, "Append", "None"
+    )
+
+
+def tail_rows(latest: DataFrame, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """A history's points as rows."""
+    rows = latest.select(*keys, F.explode("points").alias("p"))
+    at = F.timestamp_micros("p.at_us").cast("timestamp_ntz").alias("interval")
+    return rows.select(*keys, at, *[F.col(f"p.{v}").alias(v) for v in values])
+
+
+def gauges(
+    estimates: DataFrame, window: dt.timedelta, labels: Sequence[str] = (*rollup.PROCESS, "comm")
+) -> DataFrame:
+    """Gauges of each closed window, and a tombstone (``stale``, no values) for every series that the window
+    before had and this one has not (:func:`wattframe.operators.metrics.gauge_latest` at each cycle).
+
+    A tombstone comes once; the series' state goes with it.  ``estimates`` keep their event time.  Append mode.
+    """
+    rows = estimates.select(EVENT_TIME, *labels, S.micros("interval").alias("at_us"), *metrics.GAUGES)
+    fields = [rows.schema[c] for c in (*labels, "at_us", *metrics.GAUGES)]
+    out = rows.groupBy(*labels).transformWithStateInPandas(
+        state.Gauge(labels, metrics.GAUGES, int(window.total_seconds() * 1000)),
+        StructType([*fields, StructField("stale", BooleanType())]), "Append", "EventTime",
+    )
+    at = F.timestamp_micros("at_us").cast("timestamp_ntz").alias("interval")
+    shown = [F.when(~F.col("stale"), F.col(g)).alias(g) for g in metrics.GAUGES]
+    return out.select(at, *labels, *shown, "stale")
+
+
 def run_summary(
     vectors: DataFrame,
     path: str,

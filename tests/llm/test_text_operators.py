@@ -228,6 +228,31 @@ def test_checksums_and_context():
     assert pii.mask("write a.b@c.de now", pii.find("write a.b@c.de now")) == "write [email] now"
 
 
+def test_every_span_has_a_score_moved_by_the_words_around():
+    def worth(text):
+        return {k: round(x, 2) for k, _, _, x in pii.find(text)}
+
+    assert worth("4111111111111111") == {"card": 0.8} and worth("Kreditkarte 4111111111111111") == {"card": 1.0}
+    assert worth("serial 4111111111111111") == {"card": 0.5}  # a base span stays
+    assert worth("version 10.0.0.1") == {"ip": 0.4} and worth("Server 10.0.0.1") == {"ip": 1.0}
+    assert worth("llame al +34 600 123 456 hoy") == {"phone": 1.0} and worth("x +34 600 123 456") == {"phone": 0.7}
+    for word in ("Sozialversicherung", "taxpayer", "seguridad", "sociale"):
+        assert worth(f"{word}: 123-45-6789") == {"ssn": 0.7}
+    # a word counts within eight words, on either side, however long those are
+    far = " ".join(f"{'w' * 90}{i}" for i in range(7))
+    assert worth(f"123-45-6789 {far} ssn") == {"ssn": 0.7} and worth(f"ssn {far} w 123-45-6789") == {}
+    assert worth(f"{'taxpayers ' * 5}123-45-6789") == {}
+
+
+def test_many_spans_do_not_slow_each_other():
+    import time
+
+    text = "card 378282246310005 x DE89 3704 0044 0532 0130 00, " * 20_000
+    begin = time.time()
+    found = pii.find(text)
+    assert len(found) == 40_000 and time.time() - begin < 30
+
+
 def test_detect_and_redact(spark, docs, raw, empty, clashing):
     df = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(PII)], "doc_id long, text string, n_chars long")
     for r in pii.detect(df).collect():

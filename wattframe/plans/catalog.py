@@ -832,6 +832,40 @@ def stream_summary(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").drop(sinks.BATCH)
 
 
+@query
+def stream_decode(spark, sf_dir):
+    """Captured segments decoded on a stream: vectors and rejects, read back from their two folders."""
+    path = shared_dir(spark, "decode")
+    fixture.captured_segments(spark, sf_dir).write.parquet(f"{path}/segments")
+    segments = spark.readStream.schema("content binary").option("maxFilesPerTrigger", 4).parquet(f"{path}/segments")
+    jobs.run_decode(segments, f"{path}/vectors", f"{path}/rejects", f"{path}/checkpoint")
+    rejects = spark.read.parquet(f"{path}/rejects").withColumn("raw_bytes", F.octet_length("raw"))
+    vectors = spark.read.parquet(f"{path}/vectors").withColumn("raw_bytes", F.lit(None).cast("int"))
+    return vectors.unionByName(rejects.drop("raw")).drop(sinks.BATCH)
+
+
+@query
+def stream_telemetry_parse(spark, sf_dir):
+    """A feed with greetings, cut-off frames and frames that are sent three times, read as a stream."""
+    path = shared_dir(spark, "feed-stream")
+    docs = telemetry.frames(A.stored_estimates(spark, sf_dir)).select("value")
+    greeting = F.to_json(F.struct(F.lit("connected").alias("type"), F.length("value").alias("message")))
+    cut_off = F.expr("left(value, length(value) div 2)")
+    lines = docs.select(F.explode(F.array("value", greeting, "value", cut_off)).alias("value"))
+    lines.write.text(f"{path}/feed")
+    docs.write.mode("append").text(f"{path}/feed")
+    feed = spark.readStream.schema("value string").text(f"{path}/feed")
+    frames, unreadable = telemetry.parse_stream(feed, jobs.WATERMARK, replayed_within="60 days")
+    sinks.append_files(frames, f"{path}/frames", f"{path}/checkpoint")
+    sinks.append_files(unreadable, f"{path}/rejects", f"{path}/rejects-checkpoint")
+    rows = spark.read.parquet(f"{path}/frames").select("interval", F.col("summary.*"), F.explode("process_data").alias("p"))
+    read = rows.groupBy("interval", "tracked_processes").agg(
+        F.count(F.lit(1)).alias("processes"), F.sum(F.round(F.col("p.energy_joules") * 1e9).cast("bigint")).alias("nj")
+    ).withColumn("unreadable", F.lit(None).cast("bigint"))
+    rejects = spark.read.schema("value string").parquet(f"{path}/rejects")
+    return read.unionByName(rejects.agg(F.count(F.lit(1)).alias("unreadable")), allowMissingColumns=True)
+
+
 def _closed(spark, sf_dir, heartbeats, keys=rollup.PROCESS):
     """Estimates of closed windows that can go on into another stateful step."""
     merged = jobs.pid_merge(_vectors(spark, sf_dir, heartbeats), A.INTERVAL, keys, keep_time=True)

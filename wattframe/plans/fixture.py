@@ -14,7 +14,7 @@ from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators.timeline import with_previous
 from wattframe.sources import tables
-from wattframe.sources.records import EVENT_KINDS, LAYOUTS
+from wattframe.sources.records import EVENT_KINDS, FRAME_HEADER, LAYOUTS, PROBE_NUMBERS
 
 # Which event type stands for which probe event, and the process names.
 KINDS = {"click": "switch", "signup": "exec", "view": "fault_user"}
@@ -23,6 +23,7 @@ NAMES = ("python3", "torch", "node", "postgres", "ollama", "nginx", "vllm", "bas
 REGIONS = ("us", "eu", "fr", "in", "cn")
 KNOWN_CONTAINERS = 15
 CONTAINERS = 20
+SEGMENT_FRAMES = 200
 
 
 def only_probe(events: DataFrame, probe: str) -> DataFrame:
@@ -275,3 +276,22 @@ def packed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "delta_ns", "prev_state", "error_code",
     )
     return rows.mapInArrow(_pack, "host_id bigint, event_id bigint, probe string, data binary")
+
+
+def _segments(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in stream:
+        frames = []
+        for probe, data in zip(batch.column("probe").to_pylist(), batch.column("data").to_pylist()):
+            head = np.array([(len(data), PROBE_NUMBERS[probe])], FRAME_HEADER)
+            frames.append(head.tobytes() + data)
+        blocks = [b"".join(frames[i : i + SEGMENT_FRAMES]) for i in range(0, len(frames), SEGMENT_FRAMES)]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["content"])
+
+
+def captured_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed records, cut at lengths around every limit, as the segments a capture writes."""
+    packed = packed_records(spark, sf_dir)
+    kept = (F.col("event_id") % 12 * 7).cast("int")
+    return packed.select("probe", F.substring("data", F.lit(1), kept).alias("data")).mapInArrow(
+        _segments, "content binary"
+    )

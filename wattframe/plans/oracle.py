@@ -655,6 +655,21 @@ SELECT host_id, pid, comm, {_SCORED_EXTRA}, CAST(0.85 AS DOUBLE) AS confidence,
   comm IN ('python3', 'torch', 'ollama', 'vllm') AS is_ai_inference, '1.0.0-synthetic' AS model_version FROM scored""",
         features="snap",
     ),
+    "stream_decode": sql("""
+SELECT probe, CASE WHEN header THEN ts_us * 1000 ELSE 0 END AS timestamp_ns, CASE WHEN header THEN pid ELSE 0 END AS pid,
+  CASE WHEN header THEN tgid ELSE 0 END AS tgid, CASE WHEN whole THEN comm ELSE '' END AS comm,
+  CASE WHEN whole THEN cpu_time_ns ELSE 0 END AS cpu_time_ns, CASE WHEN whole THEN ctx_switches ELSE 0 END AS ctx_switches,
+  CAST(0 AS BIGINT) AS major_faults, CASE WHEN whole THEN minor_faults ELSE 0 END AS minor_faults,
+  CASE WHEN whole THEN gpu_jobs_submitted ELSE 0 END AS gpu_jobs_submitted, CAST(0 AS BIGINT) AS gpu_active_ns,
+  NOT whole AS malformed, CASE WHEN NOT whole THEN CAST(n_bytes AS INTEGER) END AS raw_bytes
+FROM (SELECT *, n_bytes >= 16 AS header, n_bytes >= CASE probe WHEN 'cpu' THEN 56 ELSE 40 END AS whole
+      FROM (SELECT *, least(event_id % 12 * 7, CASE probe WHEN 'mem' THEN 80 ELSE 64 END) AS n_bytes FROM partial) n) w"""),
+    "stream_telemetry_parse": sql("""
+SELECT "interval", tracked_processes, CAST(sum(tracked_processes) AS BIGINT) AS processes, CAST(sum(nj) AS BIGINT) AS nj,
+  CAST(NULL AS BIGINT) AS unreadable
+FROM (SELECT "interval", host_id, count(*) AS tracked_processes, sum(energy_nj) AS nj FROM attributed GROUP BY 1, 2) f
+GROUP BY 1, 2
+UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FROM (SELECT DISTINCT "interval", host_id FROM attributed) d"""),
     "stream_gauges": sql("""
 SELECT "interval", host_id, pid, comm, energy_joules, power_watts, carbon_grams_co2, cpu_energy_joules,
   memory_energy_joules, gpu_energy_joules, false AS stale FROM heur

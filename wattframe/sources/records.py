@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattframe import schemas
@@ -193,3 +193,50 @@ def with_time(decoded: DataFrame, boot_epoch_ns: int = 0) -> DataFrame:
     ns = F.col("timestamp_ns") + F.lit(int(boot_epoch_ns)).cast("bigint")
     timed = decoded.withColumn("_ns", ns).withColumn("ts_us", F.expr("_ns div 1000")).drop("_ns")
     return timed.withColumn("ts", F.timestamp_micros("ts_us").cast("timestamp_ntz"))
+
+
+# A frame in a captured segment is its record's length (4 bytes, little-endian), the
+# number of its probe (one byte) and the record.
+FRAME_HEADER = np.dtype([("length", "<u4"), ("probe", "u1")])
+PROBE_NUMBERS = {"cpu": 0, "mem": 1, "gpu": 2}
+
+
+def split_frames(segments: DataFrame, content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """Captured segments (whole files, or blocks of them) as ``(probe, data)`` rows, in batches or on a stream.
+
+    A frame that the segment's end cuts off, or whose probe has no number, comes out with the probe NULL and
+    whatever bytes there are.  ``keep`` names columns to carry along.
+    """
+    names = {number: probe for probe, number in PROBE_NUMBERS.items()}
+    size = FRAME_HEADER.itemsize
+
+    def split(stream: Batches) -> Batches:
+        for batch in stream:
+            owner, probes, datas = [], [], []
+            for i, segment in enumerate(batch.column(content).to_pylist()):
+                at, end = 0, len(segment or b"")
+                while at < end:
+                    whole = at + size <= end
+                    length, number = np.frombuffer(segment, FRAME_HEADER, 1, at)[0] if whole else (0, 255)
+                    whole = whole and at + size + int(length) <= end
+                    upto = at + size + int(length) if whole else end
+                    probe = names.get(int(number)) if whole else None
+                    owner.append(i)
+                    probes.append(probe)
+                    datas.append(segment[at + size : upto] if probe else segment[at:upto])
+                    at = upto
+            rows = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(rows) for c in keep], pa.array(probes, pa.string()), pa.array(datas, pa.binary())],
+                [*keep, "probe", "data"],
+            )
+
+    return segments.select(*keep, content).mapInArrow(split, _with_types(segments, keep) + "probe string, data binary")
+
+
+def stream_segments(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Captured files of a folder as a stream of segments (``path``, ``content``), each file once."""
+    reader = spark.readStream.format("binaryFile")
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path).select("path", "content")

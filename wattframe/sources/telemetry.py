@@ -70,3 +70,26 @@ def parse(df: DataFrame, value: str = "value") -> DataFrame:
         .select("d.*")
         .withColumn("interval", F.col("timestamp").cast("timestamp").cast("timestamp_ntz"))
     )
+
+
+def parse_stream(
+    lines: DataFrame, watermark: str, value: str = "value", replayed_within: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """A feed's documents and its unreadable lines, both as streams.
+
+    A document that is sent again while its time is inside the watermark comes out once: it is told by a
+    checksum of its text, which Spark keeps that long.  ``replayed_within`` is the watermark's delay for
+    that, if it is another one.  Messages of other types are no frames and not unreadable either.
+    """
+    doc = F.from_json(F.col(value), schemas.TELEMETRY_DOC)
+    read = lines.select(doc.alias("d"), F.sha2(F.col(value), 256).alias("frame"), F.col(value).alias("value"))
+    at = F.col("d.timestamp").cast("timestamp")
+    frames = (
+        read.where(F.col("d.type") == "telemetry")
+        .select("d.*", "frame", at.alias("event_time"))
+        .withWatermark("event_time", replayed_within or watermark)
+        .dropDuplicatesWithinWatermark(["frame"])
+        .withColumn("interval", F.col("event_time").cast("timestamp_ntz"))
+        .drop("frame", "event_time")
+    )
+    return frames, read.where(F.col("d").isNull() | F.col("d.type").isNull()).select("value")

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DecimalType, LongType, Str
 from wattframe.functions import fixed
 from wattframe.functions import scalar as S
 from wattframe.operators import containers, energy, events, metrics, rollup, views
-from wattframe.sources import samples, telemetry
+from wattframe.sources import records, samples, telemetry
 from wattframe.streaming import sinks, state
 
 WATERMARK = "10 seconds"
@@ -359,6 +359,34 @@ def run_summary(
     return sinks.for_each_batch(closed, summarise, checkpoint, "append", trigger)
 
 
+def run_decode(
+    segments: DataFrame,
+    vectors_path: str,
+    rejects_path: str,
+    checkpoint: str,
+    trigger: Mapping[str, object] = sinks.AVAILABLE_NOW,
+) -> StreamingQuery:
+    """Captured segments decoded as they come: vectors into one folder, what is malformed into another.
+
+    A reject keeps its raw bytes beside what its header says.  Both folders are written per micro-batch, so a
+    replayed one overwrites itself in both.
+    """
+    frames = records.split_frames(segments)
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        known = batch.where(F.col("probe").isNotNull()).withColumn("raw", F.col("data"))
+        decoded = records.decode_records(known, keep=["raw"]).persist()
+        try:
+            sinks.write_batch(decoded.where("not malformed").drop("raw"), vectors_path, batch_id)
+            torn = batch.where(F.col("probe").isNull()).select(F.col("data").alias("raw"), F.lit(True).alias("malformed"))
+            rejects = decoded.where("malformed").unionByName(torn, allowMissingColumns=True)
+            sinks.write_batch(rejects, rejects_path, batch_id)
+        finally:
+            decoded.unpersist()
+
+    return sinks.for_each_batch(frames, route, checkpoint, "append", trigger)
+
+
 def run_two_sinks(
     vectors: DataFrame,
     samples_path: str,

@@ -107,9 +107,10 @@ def test_window_hashes_do_not_depend_on_neighbours():
     assert list(n) == [2, 7, 0, 7] and list(both[offsets[1] : offsets[1] + 3]) == list(alone) == list(both[offsets[3] :])
 
 
-@pytest.mark.parametrize("interval", [1 << 20, 4096])
-def test_vectors(spark, monkeypatch, interval):
+@pytest.mark.parametrize("interval, most", [(1 << 20, 16), (4096, 16), (400, 16), (400, 2)])
+def test_vectors(spark, monkeypatch, interval, most):
     monkeypatch.setattr(vector_join, "INTERVAL_BYTES", interval)
+    monkeypatch.setattr(vector_join, "GROUPED", most)
     monkeypatch.setattr(vector_join, "LEAF", 16)
     draw = np.random.default_rng(3)
     centres = draw.normal(size=(12, 24))

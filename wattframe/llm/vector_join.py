@@ -7,6 +7,10 @@ further apart, so two intervals whose projected boxes are further apart than tha
 pair.  The other pairs of intervals are joined recursively: halves are skipped the same way,
 and what is left is compared by cosine in double precision.
 
+Neighbouring intervals form groups, and a task takes all pairs of intervals of two groups: an interval moves
+once per partner group instead of once per partner.  Groups grow with the table, as far as a task's memory goes,
+as long as there are pairs of groups enough for all tasks.
+
 Equal vectors are one class, compared once.  A vector that is null, empty, zero or holds null,
 NaN or infinite components links with nothing, and vectors of different length never link.
 Rows that repeat are other vectors to each other.  An empty table gives no rows; columns other
@@ -35,6 +39,8 @@ SAMPLE = 4096
 LEADING, KEYED = 8, 3
 #: Bytes of vectors in an interval, vectors in a leaf of the recursion.
 INTERVAL_BYTES, LEAF = 1 << 20, 512
+#: Intervals per range partition, about, and most intervals in a group; powers of two.
+PER_PARTITION, GROUPED = 8, 16
 SLACK = 1e-9
 
 
@@ -186,7 +192,7 @@ def intervals(reps: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
     schema = "node long, copies long, data binary, " + ", ".join(f"{k} int" for k in keys)
     cells = reps.select("node", "copies", "data").mapInArrow(placed, schema)
     total = reps.agg(F.coalesce(F.sum(F.length("data")), F.lit(0)), F.count("*")).first()
-    parts = max(1, -(-total[0] // (8 * INTERVAL_BYTES)))
+    parts = max(1, -(-total[0] // (PER_PARTITION * INTERVAL_BYTES)))
     ordered = cells.repartitionByRange(parts, *keys, "node").sortWithinPartitions(*keys, "node")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,24 +237,43 @@ def intervals(reps: DataFrame, axes: np.ndarray, epsilon: float) -> DataFrame:
         "block long, nodes array<long>, copies array<long>, sizes array<int>, data binary, "
         "low array<double>, high array<double>, cells array<array<int>>"
     )
-    return ordered.mapInArrow(cut, ddl)
+    # the number of the partition, and of the interval in it: grid order
+    place = F.monotonically_increasing_id()
+    return ordered.mapInArrow(cut, ddl).withColumn("part", F.shiftright(place, 33)).withColumn(
+        "nth", place.bitwiseAND((1 << 33) - 1)
+    )
+
+
+def grouped(blocks: DataFrame, tasks: int) -> DataFrame:
+    """Adds ``group``: the intervals of a group are neighbours in grid order, as many as leave at least ``tasks``
+    pairs of groups, and no more than a task holds."""
+    most = blocks.count() / max(1.0, 2 * np.sqrt(tasks))
+    size = 1
+    while 2 * size <= min(most, GROUPED):
+        size *= 2
+    inside = min(size, PER_PARTITION)
+    parts = max(1, size // PER_PARTITION)
+    # a partition may hold more intervals than planned; those beyond are groups of their own
+    return blocks.withColumn("group", F.floor(F.col("part") / parts) * F.lit(1 << 32) + F.floor(F.col("nth") / inside))
 
 
 def near_blocks(blocks: DataFrame, epsilon: float, keyed: int) -> DataFrame:
-    """Pairs (a, b), a <= b, of intervals that may share a pair of near vectors.
+    """Pairs (a, b), a <= b, of intervals that may share a pair of near vectors, with their groups.
 
     Intervals meet on a grid cell of the first directions, one of them with the cells next to
     its own; what meets is then held against the distance of the boxes.  Only numbers of
     intervals and boxes move here, not vectors.
     """
-    boxes = blocks.select("block", "low", "high", F.explode("cells").alias("cell"))
+    boxes = blocks.select("block", "group", "low", "high", F.explode("cells").alias("cell"))
     around = boxes
     for i in range(keyed):
         near = F.sequence(F.col("cell")[i] - 1, F.col("cell")[i] + 1)
         around = around.select("*", F.explode(near).alias(f"k{i}"))
-    around = around.select("block", "low", "high", F.array(*[f"k{i}" for i in range(keyed)]).alias("cell"))
-    left = boxes.select(F.col("block").alias("a"), F.col("low").alias("al"), F.col("high").alias("ah"), "cell")
-    right = around.distinct().select(F.col("block").alias("b"), F.col("low").alias("bl"), F.col("high").alias("bh"), "cell")
+    around = around.select("block", "group", "low", "high", F.array(*[f"k{i}" for i in range(keyed)]).alias("cell"))
+    side = lambda rows, s: rows.select(
+        F.col("block").alias(s), F.col("group").alias(f"{s}g"), F.col("low").alias(f"{s}l"), F.col("high").alias(f"{s}h"), "cell"
+    )
+    left, right = side(boxes, "a"), side(around.distinct(), "b")
     apart = F.zip_with(
         F.zip_with("al", "bh", lambda x, y: x - y),
         F.zip_with("bl", "ah", lambda x, y: x - y),
@@ -256,16 +281,22 @@ def near_blocks(blocks: DataFrame, epsilon: float, keyed: int) -> DataFrame:
     )
     distance = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)
     met = left.join(right, "cell").filter((F.col("a") <= F.col("b")) & (distance <= epsilon * epsilon + SLACK))
-    return met.select("a", "b").distinct()
+    return met.select("a", "b", F.least("ag", "bg").alias("g1"), F.greatest("ag", "bg").alias("g2")).distinct()
 
 
 def links(blocks: DataFrame, pairs: DataFrame, axes: np.ndarray, least: float) -> DataFrame:
-    """(node, links, root) of all near pairs, one task's worth of intervals at a time."""
-    shared = blocks.sparkSession.sparkContext.broadcast(axes)
-    part = ["nodes", "copies", "sizes", "data"]
-    one = blocks.select(F.col("block").alias("a"), F.struct(*part).alias("left"))
-    two = blocks.select(F.col("block").alias("b"), F.struct(*part).alias("right"))
-    both = pairs.join(one, "a").join(two, "b").repartition("a", "b")
+    """(node, links, root) of all near pairs.  A task holds the intervals of two groups, and of the next two
+    only once it is done with them."""
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(axes)
+    part, key = ["nodes", "copies", "sizes", "data"], ["g1", "g2"]
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(*key, F.explode(F.array("a", "b")).alias("block")).distinct()
+    held = needed.join(blocks.select("block", *part), "block").select(*key, F.lit(0).alias("kind"), "block", *part)
+    asked = pairs.select(*key, F.lit(1).alias("kind"), F.col("a").alias("block"), F.col("b").alias("other"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = held.unionByName(asked, allowMissingColumns=True).repartition(4 * tasks, *key)
+    rows = rows.select(*key, "kind", "block", *part, "other").sortWithinPartitions(*key, "kind", "block", "other")
 
     def opened(block: dict) -> dict:
         sizes = np.array(block["sizes"])
@@ -278,19 +309,26 @@ def links(blocks: DataFrame, pairs: DataFrame, axes: np.ndarray, least: float) -
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, {}
         for batch in batches:
             for row in range(batch.num_rows):
-                pair = batch.slice(row, 1).to_pylist()[0]
-                same = pair["a"] == pair["b"]
-                a = opened(pair["left"])
-                b = a if same else opened(pair["right"])
+                one = batch.slice(row, 1).to_pylist()[0]
+                if (one["g1"], one["g2"]) != now:
+                    now, group = (one["g1"], one["g2"]), {}
+                if one["kind"] == 0:
+                    group[one["block"]] = opened(one)
+                    continue
+                same = one["block"] == one["other"]
+                a, b = dict(group[one["block"]]), dict(group[one["other"]])
                 width = max(a["x"].shape[1], b["x"].shape[1])
                 for side in (a, b):
-                    side["x"] = np.pad(side["x"], ((0, 0), (0, width - side["x"].shape[1])))
+                    if side["x"].shape[1] < width:
+                        side["x"] = np.pad(side["x"], ((0, 0), (0, width - side["x"].shape[1])))
                 out = joined(a, b, same, least)
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                if len(out):
+                    yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
-    return both.mapInArrow(run, "node long, links long, root long")
+    return rows.mapInArrow(run, "node long, links long, root long")
 
 
 def near_duplicates(
@@ -308,7 +346,8 @@ def near_duplicates(
     if not axes.size:
         alone = known.select("vec_id", F.lit(0).cast("long").alias("n_links"))
         return alone.select("*", F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    blocks = stored(intervals(reps, axes, epsilon), "intervals")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = grouped(stored(intervals(reps, axes, epsilon), "intervals"), tasks)
     found = stored(links(blocks, near_blocks(blocks, epsilon, min(KEYED, axes.shape[1])), axes, least), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

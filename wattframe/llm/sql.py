@@ -1,7 +1,7 @@
 """The same results in DuckDB's SQL, for the queries that SQL can express.
 
-Quality rules (their hash), language id, packing, page extraction, personal data and periodic
-runs have none; their tests hold them against plain Python instead.
+Quality rules (their hash), language id, packing, page extraction and personal data have none; their
+tests hold them against plain Python instead.
 """
 
 from __future__ import annotations
@@ -233,6 +233,53 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
 FROM listed LEFT JOIN cut USING (r)
 """
 
+#: Places with equal words and their distance; places in a row at one distance are a stretch of that period.
+RUNS = r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         hex(encode(doc_id::VARCHAR)) AS h
+  FROM documents
+), table16 AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(16))::BIGINT AS i))
+), checked AS (
+  SELECT r, doc_id, w, len(w) AS n,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(
+             string_split(regexp_replace(h, '(.)(.)', '\2\1', 'g'), ''), lambda c: instr('0123456789ABCDEF', c)::BIGINT - 1)),
+           lambda a, x: xor(t[1 + (xor(a, x) & 15)], a >> 4))) AS h
+  FROM listed, table16
+), planted AS (
+  SELECT *, (h // 10) % greatest(n, 1) AS a FROM checked
+), texts AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+    list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w
+  FROM planted
+), words AS (
+  SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+), equal AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND x.i < y.i
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal) e GROUP BY r, q, island
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY r, start, length
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS left_words FROM words
+  WHERE NOT EXISTS (SELECT 1 FROM runs WHERE runs.r = words.r AND i >= start + period AND i < start + length) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+         first({'s': start, 'l': length, 'p': period} ORDER BY length DESC, start, period) AS best
+  FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length,
+       best.p::BIGINT AS period, (1000 * best.l // best.p)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(left_words, '')) AS collapsed_sha256
+FROM texts LEFT JOIN found USING (r) LEFT JOIN kept USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard_join": NEAR_TEXTS,
     "op2_sharding": SHARDS,
@@ -240,5 +287,6 @@ ORACLE: dict[str, str] = {
     "op5_source_mixing": MIXING,
     "op10_suffix_array_dedup": REPEATS,
     "op11_collocations": COLLOCATIONS,
+    "op12_periodic_runs": RUNS,
     "op13_topk_search": TOP_K,
 }

@@ -130,13 +130,14 @@ class Index:
         counted = [np.unique(t, return_counts=True) for t in tails]
         term = np.concatenate([t for t, _ in counted] or [np.zeros(0, np.uint16)])
         tf = np.concatenate([c.astype(np.float32) for _, c in counted] or [np.zeros(0, np.float32)])
-        doc = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in counted])
+        doc = np.repeat(np.arange(n), [len(t) for t, _ in counted])
         del counted
         order = np.argsort(term, kind="stable")
         term, tf, self.doc = term[order], tf[order], doc[order]
         del order, doc
         self.starts = np.searchsorted(term, np.arange(IDS + 1))
-        self.weight = corpus.weight(term, tf, sizes[self.doc]).astype(np.float32)
+        # as the sums below take them, or every seed would convert its lists
+        self.weight = corpus.weight(term, tf, sizes[self.doc])
         del tf
         # the most frequent terms have most postings: their part of scores is a matrix product
         df = np.diff(self.starts)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wattframe.operators.timeline import (
     HOT_ROWS,
     STRETCH,
-    hot_keys,
+    known_hot,
     null_safe_join,
     with_stretch,
 )
@@ -70,7 +70,17 @@ def asof_lookup(
     )
     counts = entries.groupBy("_key").agg(F.sum("_rows").alias("_rows"))
     both = facts.select("_key", "_time").unionByName(marks.select("_key", "_time"))
-    hot = hot_keys(both, ["_key"], "_time", hot_rows, counts)
+    hot = known_hot(both, ["_key"], "_time", hot_rows, counts)
+    if hot is None:
+        so_far = (
+            Window.partitionBy("_key").orderBy("_time", "_rank", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+        )
+        found = (
+            facts.unionByName(marks, allowMissingColumns=True)
+            .withColumn("_found", F.last("_state", ignorenulls=True).over(so_far))
+            .where(F.col("_rank") == 1)
+        )
+        return found.select("_row.*", *[F.col("_found")[n].alias(n) for n in values])
 
     def cut(rows: DataFrame, only_hot: bool = False) -> DataFrame:
         return with_stretch(rows, ["_key"], "_time", hot, only_hot)

@@ -205,6 +205,11 @@ def quantile_over_window(est: DataFrame, q: float, window_us: int = 5 * MINUTE)
     )
 
 
+def _one_series(time: str) -> Column:
+    """A key that all rows share, so that a series without labels is cut in time like any other hot key."""
+    return F.when(F.col(time).isNotNull(), F.lit(""))
+
+
 def histogram_counters(
     df: DataFrame,
     value: str = "confidence",
@@ -226,7 +231,7 @@ def histogram_counters(
     )
     names = [*[f"b{i}" for i in range(len(bounds))], "observations", "total_nano"]
     steps = per_interval.withColumns(
-        {"_life": F.lit("") if life is None else life, "_at": S.micros("interval")}
+        {"_life": _one_series("interval") if life is None else life, "_at": S.micros("interval")}
     )
     grown = running_totals(steps, [*by, "_life"], "interval", {n: F.col(n) for n in names}, "_at", hot_rows)
     bucket = lambda le, n: F.struct(F.lit(float(le)).alias("le"), F.col(n).alias("cumulative"))
@@ -259,9 +264,9 @@ def histogram_rate(
     started from 0.  The first sample of a series shows no increase.  Buckets are made monotonic again, as their
     rates may not be if samples were lost in between.
     """
-    samples = counters.withColumn("ts_us", S.micros("interval"))
+    samples = counters.withColumn("ts_us", S.micros("interval")).withColumn("_series", _one_series("ts_us"))
     before = {"_buckets": "buckets", "_observations": "observations", "_total": "total_nano"}
-    seen = with_previous(samples, by, ["ts_us"], before, hot_rows=hot_rows)
+    seen = with_previous(samples, [*by, "_series"], ["ts_us"], before, hot_rows=hot_rows)
     dropped = F.exists(
         F.zip_with("buckets", "_buckets", lambda now, then: now["cumulative"] < then["cumulative"]), lambda d: d
     )

@@ -10,8 +10,9 @@ cut into stretches of time that hold about equally many rows, at quantiles of it
    handed from one stretch to the next comes from a window over those rows;
 3. that state is joined back on (key, stretch), the partitioning step 1 already has.
 
-Without hot keys steps 2 and 3 are empty and AQE drops them.  With them the source is read
-again for those keys, key, order and value columns only.
+Counting is a pass over the key column alone, made when the operator is called.  Without hot keys what it
+returns is one plain window, so the source is read twice in all, and an operator on top of another adds one
+pass.  With them the source is read again for those keys, key, order and value columns only.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.scalar import MICROS, bucket_start, position
+from wattframe.session import stored
 
 HOT_ROWS = 2_000_000
 #: Keys that can be hot at once: beyond ``HOT_ROWS``, a key is hot only if it has more than
@@ -79,6 +81,23 @@ def hot_keys(
     )
 
 
+def known_hot(
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
+) -> DataFrame | None:
+    """:func:`hot_keys` as a small table of its own, or None if one narrow pass finds no hot key."""
+    if not keys:  # a single timeline, which is cut where it is used
+        return hot_keys(df, keys, time, hot_rows, counts)
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts.where(F.col("_rows") > hot_rows).isEmpty():
+        return None
+    return stored(hot_keys(df, keys, time, hot_rows, counts), "hot-keys")
+
+
 def _stretch_of(time: Column, cuts: Column) -> Column:
     """The last cut that is not after ``time``, by bisection."""
     steps = F.array(*[F.lit(PIECES >> k) for k in range(1, PIECES.bit_length())])
@@ -124,7 +143,10 @@ def with_previous(
 ) -> DataFrame:
     """Adds ``{new name: source column}`` taken from the key's previous row (NULL if none)."""
     part = [*keys, STRETCH]
-    hot = hot_keys(df, keys, time, hot_rows)
+    hot = known_hot(df, keys, time, hot_rows)
+    if hot is None:
+        per_key = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(*df.columns, *[F.lag(source).over(per_key).alias(n) for n, source in values.items()])
     in_stretch = Window.partitionBy(*part).orderBy(*order)
     inside = with_stretch(df, keys, time, hot).withColumns(
         {
@@ -167,8 +189,12 @@ def running_totals(
     """
     part = [*keys, STRETCH]
     rows = df.select(*keys, at, time, *[v.alias(f"_in_{n}") for n, v in sums.items()])
-    hot = hot_keys(rows, keys, time, hot_rows)
+    hot = known_hot(rows, keys, time, hot_rows)
     add_up = [F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums]
+    if hot is None:
+        points = rows.repartition(*keys).groupBy(*keys, at).agg(*add_up)
+        so_far = _rows_so_far(keys, [at])
+        return points.select(*keys, at, *[F.sum(f"_in_{n}").over(so_far).alias(n) for n in sums])
     points = (
         with_stretch(rows, keys, time, hot).repartition(*part).groupBy(*part, at).agg(*add_up)
     )
@@ -207,8 +233,8 @@ def running_since(
     ``previous`` names a second column, the sum at the key's row before (NULL if none); it
     comes from the same window.
     """
-    part = [*keys, STRETCH]
-    hot = hot_keys(df, keys, time, hot_rows)
+    hot = known_hot(df, keys, time, hot_rows)
+    part = [*keys, *(() if hot is None else (STRETCH,))]
     so_far = _rows_so_far(part, order)
 
     def since_reset(rows: DataFrame, prior: bool = False) -> DataFrame:
@@ -225,6 +251,11 @@ def running_since(
             "_since", F.col("_sum") - F.coalesce("_base", F.lit(0))
         )
 
+    if hot is None:
+        whole = since_reset(df, previous is not None)
+        prior_sum = F.col("_sum") - F.coalesce("_value", F.lit(0)) - F.coalesce("_prior_base", F.lit(0))
+        first = [] if previous is None else [F.when(F.col("_nth") > 1, prior_sum).alias(previous)]
+        return whole.select(*df.columns, F.col("_since").alias(name), *first)
     inside = since_reset(with_stretch(df, keys, time, hot), previous is not None)
     ends = (
         since_reset(with_stretch(df, keys, time, hot, only_hot=True))

@@ -96,7 +96,7 @@ def test_frames_of_a_segment(spark):
     got = [(r.name, r.probe, bytes(r.data)) for r in records.split_frames(df.repartition(1), keep=["name"]).collect()]
     assert sorted(got, key=repr) == sorted([
         ("a", "cpu", b"x" * 64), ("a", "mem", b""), ("a", "gpu", b"z"), ("b", None, frame("cpu", b"x" * 64)[:-1]),
-        ("c", "cpu", b"q"), ("c", None, b"\x01\x02"), ("d", None, b"?"), ("d", "mem", b"m"),
+        ("c", "cpu", b"q"), ("c", None, b"\x01\x02"), ("d", None, b"\x01\x00\x00\x00\x09?"), ("d", "mem", b"m"),
     ], key=repr)
 
 

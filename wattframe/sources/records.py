@@ -236,7 +236,8 @@ def split_frames(segments: DataFrame, content: str = "content", keep: Sequence[s
 
 def stream_segments(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Captured files of a folder as a stream of segments (``path``, ``content``), each file once."""
-    reader = spark.readStream.format("binaryFile")
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path).select("path", "content")
